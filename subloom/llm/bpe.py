@@ -33,7 +33,7 @@ from .common import batched, plain, rows_of
 MEMO = 600_000
 #: What \s matches in the file's white space rule; str.split() also parts at U+001C to U+001F, which it does not match.
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 
 
 def pieces(text: str) -> list[str]:
