@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
-from .common import documents
+from . import bpe, exact_dedup, langid, simhash, toxicity
+from .common import documents, labels
 
 
 def tokenizer_path() -> str:
@@ -15,15 +15,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_simhash": op5_simhash,
+    "op6_bpe": op6_bpe,
+    "op7_langid": op7_langid,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
