@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import batched, has_letter, plain, rows_of
 
 SAMPLE, DICTIONARY, LANGUAGES = 120, 96 << 10, 512
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 512, 7
 #: Margins below this share of the runner-up's size are rejected.
 NARROW = 0.01
 
