@@ -10,7 +10,8 @@ defaults to the number of documents that the target model makes likelier.
 N-grams are of words (one and two) and of word shapes (one to three): which
 kinds of characters a word holds and whether it repeats a word just before.
 
-All rows are counted and scored; nothing is sampled but by the operator itself.
+All rows are counted in the raw model and scored.  The target model alone is
+fitted on a bounded sample, at most ``TARGET`` labelled rows.
 
 Defined results.  Null and wordless texts have weight 0 exactly and, as they
 are not likelier under the target, count nothing towards ``k``.  Ties with the
@@ -33,6 +34,8 @@ from .common import batched, materialise, plain, rows_of
 
 BITS = 16
 ALPHA = 0.5
+#: The target model is fitted on at most so many labelled rows, those of the least hash of their id.
+TARGET = 20_000
 SEED = 11
 _BASE = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,28 +98,28 @@ def _stretch(piece: bytes) -> np.ndarray:
 def model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target and raw probability of every bucket."""
     known = plain(labels, "doc_id", "quality").where("quality is not null and doc_id is not null")
-    good = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
+    good = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET).select("doc_id")  # TARGET rows at most, so it can be broadcast
     size = 1 << BITS
     pair = pa.schema([("target", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
 
-    def total(target: bool):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(size, np.int64)
-            for (text,) in rows_of(batches, "text"):
-                np.add.at(held, features(text), 1)
-            there = np.flatnonzero(held)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, size), np.int64)
+        for text, is_target in rows_of(batches, "text", "target"):
+            found = features(text)
+            np.add.at(held[0], found, 1)
+            if is_target:
+                np.add.at(held[1], found, 1)
+        for kind in (0, 1):
+            there = np.flatnonzero(held[kind])
             for lo in range(0, len(there), 16384):
                 some = there[lo : lo + 16384]
-                yield pa.RecordBatch.from_arrays([pa.array([target] * len(some)), pa.array(some.astype(np.int32)), pa.array(held[some])], schema=pair)
+                yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(some)), pa.array(some.astype(np.int32)), pa.array(held[kind][some])], schema=pair)
 
-        return add
-
-    base = plain(docs, "doc_id", "text")
-    kind = "target boolean, bucket int, n long"
-    raw = base.select("text").mapInArrow(total(False), kind)
-    target = base.join(good, "doc_id", "left_semi").select("text").mapInArrow(total(True), kind)
+    marked = plain(docs, "doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left").select("text", "target")
+    totals = marked.mapInArrow(total, "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n"))
     counts = np.zeros((2, size))
-    for is_target, bucket, n in raw.unionByName(target).groupBy("target", "bucket").agg(F.sum("n")).collect():  # at most 2 * 2**BITS rows
+    for is_target, bucket, n in totals.collect():  # at most 2 * 2**BITS rows
         counts[int(is_target), bucket] = n
     if not counts[1].sum():
         return np.zeros(size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, packing, quality, simhash, toxicity
+from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, toxicity, winnowing
 from .common import documents, labels
 
 
@@ -23,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -43,7 +47,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op10_winnowing": op10_winnowing,
+    "op2_licenses": op2_licenses,
     "op1_packing": op1_packing,
     "op4_quality": op4_quality,
     "op3_toxicity": op3_toxicity,
@@ -54,6 +64,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_licenses": licenses.oracle_sql(),
     "op9_exact_dedup": """
         WITH n AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
