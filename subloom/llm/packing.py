@@ -30,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, pieces
+from .bpe import pieces
 from .common import batched, materialise, plain, rows_of
 
 #: At most so many patterns are enumerated.
 PATTERNS = 40_000
+#: Entries of the memo of each Python worker.
+MEMO = 1_000_000
 #: Pieces that one part of a length holds, on average.
 PART = 50_000
 _RANK = 40
+_STOPS = ".,;:!?"
 
 
 class Ids:
@@ -54,20 +57,38 @@ class Ids:
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [pieces(t) for t in texts]
-        memo, fresh = self.memo, {}
-        missing = list({p for text in parts for p in text if p not in memo})
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[piece] = array.array("I", found.ids).tobytes()
-        if len(memo) + len(fresh) > MEMO:
-            fresh |= {p: memo[p] for text in parts for p in text if p in memo}
+        parts = [pieces(_folded(t)) for t in texts]
+        memo = self.memo
+        missing = {p for text in parts for p in text if p not in memo}
+        if len(memo) + len(missing) > MEMO:
             memo.clear()
-        memo |= fresh
+            missing = {p for text in parts for p in text}
+        # a word with a stop behind it is the word, then the stop
+        ends = {p: len(word) for p in missing if 0 < len(word := p.rstrip(_STOPS)) < len(p) and word.isalpha() and _latin(word)}
+        wanted = (missing - ends.keys()) | {p[:n] for p, n in ends.items()} | {p[n:] for p, n in ends.items()}
+        wanted = [p for p in wanted if p not in memo]
+        for at in range(0, len(wanted), 4096):
+            some = wanted[at : at + 4096]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memo[piece] = array.array("I", found.ids).tobytes()
+        for p, n in ends.items():
+            memo[p] = memo[p[:n]] + memo[p[n:]]
         return (b"".join(map(memo.__getitem__, text)) for text in parts)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _folded(text: str) -> str:
+    """In lower case where that can't change the ids: the file lower-cases too, and Latin-1 characters one by one."""
+    return text.lower() if _latin(text) else text
+
+
 _loaded: dict[str, Ids] = {}
 
 
