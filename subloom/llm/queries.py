@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, toxicity, winnowing
+from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity, winnowing
 from .common import documents, labels
 
 
@@ -43,6 +43,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
