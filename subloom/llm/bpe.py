@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from .common import batched, plain, rows_of
 
 MEMO = 600_000
+#: Characters of the longest piece that the memo holds.
+SHORT = 48
 #: What \s matches in the file's white space rule; str.split() also parts at U+001C to U+001F, which it does not match.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -124,7 +126,9 @@ class Encoder:
                     if (known := memo.get(piece)) is None:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        known = memo[piece] = array.array("I", self.piece(piece)).tobytes()
+                        known = array.array("I", self.piece(piece)).tobytes()
+                        if len(piece) <= SHORT:
+                            memo[piece] = known
                     found[at] = known
         return b"".join(found)
 

@@ -36,7 +36,9 @@ from .common import batched, materialise, plain, rows_of
 #: At most so many patterns are enumerated.
 PATTERNS = 40_000
 #: Entries of the memo of each Python worker.
-MEMO = 1_000_000
+MEMO = 1_600_000
+#: Characters of the longest piece that it holds.
+SHORT = 48
 #: Pieces that one part of a length holds, on average.
 PART = 50_000
 _RANK = 40
@@ -53,27 +55,53 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [pieces(_folded(t)) for t in texts]
         memo = self.memo
-        missing = {p for text in parts for p in text if p not in memo}
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = {p for text in parts for p in text}
+        out, open_ = [], []
+        for text in texts:
+            found = list(map(memo.get, parts := pieces(_folded(text))))
+            if None in found:
+                open_.append((len(out), parts))
+            out.append(found)
+        if open_:
+            fresh = self._fresh({p for k, parts in open_ for p, known in zip(parts, out[k], strict=True) if known is None})
+            for k, parts in open_:
+                out[k] = [fresh[p] if known is None else known for p, known in zip(parts, out[k], strict=True)]
+            if len(memo) + len(fresh) > MEMO:
+                memo.clear()
+            memo.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
+        return map(b"".join, out)
+
+    def _fresh(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the memo lacks."""
         # a word with a stop behind it is the word, then the stop
         ends = {p: len(word) for p in missing if 0 < len(word := p.rstrip(_STOPS)) < len(p) and word.isalpha() and _latin(word)}
         wanted = (missing - ends.keys()) | {p[:n] for p, n in ends.items()} | {p[n:] for p, n in ends.items()}
-        wanted = [p for p in wanted if p not in memo]
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at : at + 4096]
+        out = {p: known for p in wanted if (known := self.memo.get(p)) is not None}
+        wanted -= out.keys()
+        words = [p for p in wanted if p.isalpha()]
+        rest = [p for p in wanted if not p.isalpha()]
+        for at in range(0, len(words), 4096):  # words are told apart by the ids that end a word
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends_at = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends_at) != len(some):
+                rest += some
+                continue
+            data = ids.tobytes()
+            out |= zip(some, map(data.__getitem__, map(slice, [0, *ends_at[:-1]], ends_at)), strict=True)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[piece] = array.array("I", found.ids).tobytes()
-        for p, n in ends.items():
-            memo[p] = memo[p[:n]] + memo[p[n:]]
-        return (b"".join(map(memo.__getitem__, text)) for text in parts)
+                out[piece] = array.array("I", found.ids).tobytes()
+        out |= {p: out[p[:n]] + out[p[n:]] for p, n in ends.items()}
+        return out
 
 
 def _latin(text: str) -> bool:
