@@ -35,6 +35,8 @@ from .common import batched, materialise, plain, rows_of
 
 #: At most so many patterns are enumerated.
 PATTERNS = 40_000
+#: Shares of the fit that are also tried, leaving more to best fit; 0 leaves it all.
+SHARES = (0.75, 0.5, 0.25, 0.0)
 #: Entries of the memo of each Python worker.
 MEMO = 1_600_000
 #: Characters of the longest piece that it holds.
@@ -188,7 +190,8 @@ def fit_counts(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int
     rows = np.fromiter((x for p in patterns for x in p), np.int64)
     cols = np.repeat(np.arange(n), [len(p) for p in patterns])
     times = lambda x: np.bincount(rows, x[cols], bins)
-    back = lambda r: np.bincount(cols, r[rows], n)
+    weigh = (np.arange(bins) / bins) ** 2  # long pieces are hard to place, so they are fitted first
+    back = lambda r: np.bincount(cols, (r * weigh)[rows], n)
     v = np.ones(n)
     for _ in range(20):  # the largest eigenvalue of A'A bounds the step
         v = back(times(v))
@@ -244,27 +247,41 @@ def _add(bins: dict, pattern: tuple[int, ...], n: int) -> None:
 
 
 def plan(counts: np.ndarray, size: int = 2048) -> Plan:
-    """A plan that uses every piece of the histogram exactly once."""
-    left = counts.astype(np.int64).copy()
+    """A plan that uses every piece of the histogram exactly once: of several roundings of the fit the one with fewest sequences."""
+    patterns = enumerate_patterns(counts, size)
+    inner = counts.astype(np.int64).copy()
+    inner[size] = 0
+    fitted = fit_counts(patterns, inner)
+    tries = [(1, 0), (1, 1), (1, 2), *((share, 0) for share in SHARES)]
+    return min((_rounded(counts, size, patterns, share * fitted, effort) for share, effort in tries), key=lambda p: sum(p.repeats))
+
+
+def _rounded(counts: np.ndarray, size: int, patterns: list[tuple[int, ...]], fitted: np.ndarray, effort: int) -> Plan:
+    """Repeats rounded down; with effort 1 also up where pieces are left, with 2 as often as they are left; the rest by best fit."""
+    left = counts.astype(np.int64).tolist()
     out = Plan([], [])
 
     def take(pattern: tuple[int, ...], n: int) -> None:
-        need = {x: pattern.count(x) for x in pattern}
-        n = min(n, *(int(left[x]) // k for x, k in need.items()))
+        for x in pattern:
+            n = min(n, left[x] // pattern.count(x))
         if n > 0:
-            for x, k in need.items():
-                left[x] -= n * k
+            for x in pattern:
+                left[x] -= n
             out.patterns.append(pattern)
             out.repeats.append(n)
 
-    take((size,), int(left[size]))
-    patterns = enumerate_patterns(left, size)
-    fitted = fit_counts(patterns, left)
+    take((size,), left[size])
     for i in np.argsort(-fitted, kind="stable").tolist():
         if (n := int(fitted[i])) < 1:
             break
         take(patterns[i], n)
-    for pattern, n in best_fit(left, size):
+    if effort:
+        for i in np.argsort(-(fitted % 1), kind="stable").tolist():
+            take(patterns[i], 1)
+    if effort > 1:
+        for pattern in patterns:
+            take(pattern, 1 << 62)
+    for pattern, n in best_fit(np.array(left, np.int64), size):
         out.patterns.append(pattern)
         out.repeats.append(n)
     return out
