@@ -34,13 +34,23 @@ MEMO = 600_000
 #: Characters of the longest piece that the memo holds.
 SHORT = 48
 #: What \s matches in the file's white space rule; str.split() also parts at U+001C to U+001F, which it does not match.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = tuple(map(chr, range(0x1C, 0x20)))
 _SPACE = re.compile("[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 
 
 def pieces(text: str) -> list[str]:
     """The runs between white space."""
-    return [p for p in _SPACE.split(text) if p] if _ODD.search(text) else text.split()
+    return [p for p in _SPACE.split(text) if p] if any(c in text for c in _ODD) else text.split()
+
+
+def gaps(found: list) -> Iterator[int]:
+    """Where a list holds None."""
+    at = -1
+    try:
+        while True:
+            yield (at := found.index(None, at + 1))
+    except ValueError:
+        return
 
 
 def byte_symbols() -> list[str]:
@@ -120,16 +130,15 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
         found = list(map(memo.get, parts := pieces(text)))
-        if None in found:
-            for at, piece in enumerate(parts):
-                if found[at] is None:
-                    if (known := memo.get(piece)) is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        known = array.array("I", self.piece(piece)).tobytes()
-                        if len(piece) <= SHORT:
-                            memo[piece] = known
-                    found[at] = known
+        for at in gaps(found):
+            piece = parts[at]
+            if (known := memo.get(piece)) is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                known = array.array("I", self.piece(piece)).tobytes()
+                if len(piece) <= SHORT:
+                    memo[piece] = known
+            found[at] = known
         return b"".join(found)
 
     def decode(self, ids) -> str:

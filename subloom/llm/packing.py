@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import pieces
+from .bpe import gaps, pieces
 from .common import batched, materialise, plain, rows_of
 
 #: At most so many patterns are enumerated.
@@ -67,14 +67,12 @@ class Ids:
         memo = self.memo
         out, open_ = [], []
         for text in texts:
-            found = list(map(memo.get, parts := pieces(_folded(text))))
-            if None in found:
-                open_.append((len(out), parts))
-            out.append(found)
+            out.append(found := list(map(memo.get, parts := pieces(_folded(text)))))
+            open_ += [(found, at, parts[at]) for at in gaps(found)]
         if open_:
-            fresh = self._fresh({p for k, parts in open_ for p, known in zip(parts, out[k], strict=True) if known is None})
-            for k, parts in open_:
-                out[k] = [fresh[p] if known is None else known for p, known in zip(parts, out[k], strict=True)]
+            fresh = self._fresh({piece for _, _, piece in open_})
+            for found, at, piece in open_:
+                found[at] = fresh[piece]
             if len(memo) + len(fresh) > MEMO:
                 memo.clear()
             memo.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
