@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batched, plain, rows_of
+from .common import batched, plain, rows_of, worker_state
 
 MEMO = 600_000
 #: Characters of the longest piece that the memo holds.
@@ -146,14 +146,9 @@ class Encoder:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept for the life of a Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    """The encoder of a file, kept in the Python worker."""
+    return worker_state(("bpe", path), lambda: Encoder(path))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

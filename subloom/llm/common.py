@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -76,5 +77,23 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make):
+    """Something costly, kept in a Python worker from task to task until another operator's task runs there."""
+    if key not in _kept:
+        release_worker_state()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release_worker_state() -> None:
+    """Free what earlier operators kept in this Python worker."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def has_letter(text: str, found=re.compile(r"[^\W\d_]").search) -> bool:
     return bool(found(text)) and any(map(str.isalpha, text))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, plain, rows_of
+from .common import batched, materialise, plain, release_worker_state, rows_of
 
 CHUNK = 1 << 16
 #: Two primes below 2**31 and a base for each.
@@ -92,6 +92,7 @@ _SPLIT = pa.schema([("fp_len", pa.int64()), ("fp", pa.int64())])
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
+        release_worker_state()
         for doc, text in rows_of(batches, "doc_id", "text"):
             data = normalised(text)
             fp = Fingerprint.of(data)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import gaps, pieces
-from .common import batched, materialise, plain, rows_of
+from .common import batched, materialise, plain, worker_state
 
 #: At most so many patterns are enumerated.
 PATTERNS = 40_000
@@ -117,15 +117,12 @@ def _folded(text: str) -> str:
     return text.lower() if _latin(text) else text
 
 
-_loaded: dict[str, Ids] = {}
-
-
 def cut(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _loaded.get(path) or _loaded.setdefault(path, Ids(path))
+        ids = worker_state(("packing", path), lambda: Ids(path))
 
         def rows():
             for batch in batches:

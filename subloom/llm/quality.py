@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, plain, rows_of
+from .common import batched, materialise, plain, release_worker_state, rows_of
 
 BITS = 16
 ALPHA = 0.5
@@ -104,6 +104,7 @@ def model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     pair = pa.schema([("target", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         held = np.zeros((2, size), np.int64)
         for text, is_target in rows_of(batches, "text", "target"):
             found = features(text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, plain, rows_of
+from .common import batched, materialise, plain, release_worker_state, rows_of
 from .components import components
 
 SEED = 42
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         return batched(((doc, _signed(simhash(text, words_per_shingle))) for doc, text in rows_of(batches, "doc_id", "text")), schema)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
