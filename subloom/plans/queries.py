@@ -1,6 +1,428 @@
-"""Registered queries of the engine, with their SQL."""
+"""Registered queries of the engine, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import call_limit
+from ..functions import arrays, timecode
+from ..functions import text as T
+from ..functions.scripts import LATIN
+from ..functions.similarity import similarity
+from ..operators import blocks as B
+from ..operators import candidates as C
+from ..operators import enrich, grid, quality, reports, timeline
+from ..sources import inputs, srt
+from ..streaming import sessions
+from . import oracle as O
+from . import tables as tab
+
+DAY_HALF = 43200.0
+TERMS = {"the": "The", "of": "OF", "and": "and", "le": "Le", "der": "DER"}
+
+
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return tab.document_readings(spark, d).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+def merge_key(spark: SparkSession, d: str) -> DataFrame:
+    return tab.document_readings(spark, d).select("doc_id", T.merge_key(F.col("text")).alias("key"))
+
+
+def char_profile(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    n = lambda c: c.cast("bigint")
+    return tab.document_readings(spark, d).select(
+        "doc_id",
+        n(T.count_script(t, LATIN)).alias("script_letters"),
+        n(T.count_letters(t)).alias("letters"),
+        n(T.count_foreign(t, LATIN)).alias("foreign_letters"),
+        n(T.count_symbols(t)).alias("symbols"),
+        n(F.char_length(T.meaningful(t))).alias("meaningful"),
+        n(F.size(T.words(t, LATIN))).alias("words"),
+        n(T.count_vowels(t, LATIN)).alias("vowels"),
+        n(T.common_count(t, LATIN)).alias("common_words"),
+        T.is_valid_short(t, LATIN).alias("valid_short"),
+    )
+
+
+def ocr_score(spark: SparkSession, d: str) -> DataFrame:
+    return tab.document_readings(spark, d).select("doc_id", F.round(T.candidate_score(F.col("text"), F.col("confidence"), LATIN), 4).alias("score"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return grid.evaluate(tab.document_readings(spark, d), script=LATIN)
+
+
+def clean_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).groupBy("preset", "reason").agg(F.count("*").alias("n"))
+
+
+def noise_reasons(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.document_readings(spark, d)
+    return df.select("doc_id", F.array_join(T.noise_reasons(F.col("text"), LATIN), ",").alias("reasons"))
+
+
+def best_reading(spark: SparkSession, d: str) -> DataFrame:
+    df = quality.clean(tab.document_readings(spark, d), "balanced", LATIN)
+    return quality.choose_best(df, ["frame_id"], script=LATIN).select("frame_id", "accepted", "engine", "text", F.round("confidence", 6).alias("confidence"), F.round("score", 4).alias("score"))
+
+
+def rejection_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = quality.clean(tab.document_readings(spark, d), "balanced", LATIN)
+    return quality.rejection_counts(df.where("reason <> 'accepted'"), "reason")
+
+
+def engine_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = quality.clean(tab.document_readings(spark, d), "balanced", LATIN)
+    chosen = quality.choose_best(df, ["frame_id"], script=LATIN).where("accepted")
+    return reports.engine_counts(chosen, spark.createDataFrame([("tesseract",), ("paddle",), ("compare",)], "engine string"))
+
+
+def confidence_hist_equal(spark: SparkSession, d: str) -> DataFrame:
+    return reports.histogram(tab.event_readings(spark, d), "confidence", reports.EQUAL_BINS)
+
+
+def confidence_hist_quality(spark: SparkSession, d: str) -> DataFrame:
+    return reports.histogram(tab.event_readings(spark, d), "confidence", reports.QUALITY_BINS)
+
+
+def confidence_stats(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.event_readings(spark, d).withColumn("accepted", F.col("confidence") >= 0.1)
+    out = reports.confidence_stats(df, ["text"])
+    return out.select("text", "calls", "n_accepted", *[F.round(c, 6).alias(c) for c in ("avg_confidence", "median_confidence", "accepted_ratio")], "low_yield")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("video_id", "block_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text", F.round("confidence", 6).alias("confidence"), F.col("readings").cast("bigint").alias("readings"))
+
+
+def blocks_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: every video's readings as blocks, without Python."""
+    return _rounded(B.blocks_of_equal(tab.event_readings(spark, d), max_gap=DAY_HALF, order=("time", "event_id")))
+
+
+def blocks_voted(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the similarity fold with votes; event names are never alike, so results agree."""
+    return _rounded(B.build_blocks(tab.event_readings(spark, d), max_gap=DAY_HALF, script=LATIN))
+
+
+def block_report(spark: SparkSession, d: str) -> DataFrame:
+    blocks = B.blocks_of_equal(tab.event_readings(spark, d), max_gap=DAY_HALF, order=("time", "event_id"))
+    return reports.average_duration(blocks, ["video_id"]).select("video_id", "blocks", F.round("avg_duration", 3).alias("avg_duration"))
+
+
+def block_votes(spark: SparkSession, d: str) -> DataFrame:
+    out = B.block_votes(tab.event_readings(spark, d), ["video_id"], LATIN)
+    return out.select("video_id", "text", F.col("votes").cast("bigint").alias("votes"), F.col("groups").cast("bigint").alias("groups"), F.round("confidence", 6).alias("confidence"))
+
+
+def neighbor_noise(spark: SparkSession, d: str) -> DataFrame:
+    return B.neighbour_filter(tab.conversation_blocks(spark, d), LATIN).select("video_id", "block_no", "text")
+
+
+def change_detection_diff(spark: SparkSession, d: str) -> DataFrame:
+    out = C.detect_changes(tab.embedding_frames(spark, d), threshold=0.14, rate=0.75)
+    return out.select("video_id", F.col("island").cast("bigint").alias("island"), "time", "end_time", F.round("diff_score", 6).alias("diff_score"), "frames")
+
+
+def mask_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("vec_id")
+    df = tab.embedding_frames(spark, d).withColumn("m", arrays.mask(F.col("small")))
+    return df.withColumn("b", F.lag("m").over(w)).select("vec_id", F.round(arrays.jaccard(F.col("b"), F.col("m")), 6).alias("jaccard"))
+
+
+def extraction_stats(spark: SparkSession, d: str) -> DataFrame:
+    frames = tab.embedding_frames(spark, d)
+    return C.extraction_stats(frames.drop("small"), C.detect_changes(frames, threshold=0.14))
+
+
+def gate_stats(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.embedding_frames(spark, d)
+    frames = df.select("video_id", F.format_string("%012d", "vec_id").alias("frame_id"), "time", (F.element_at("small", 1) > -0.1).alias("detected"), arrays.mask(F.col("small")).alias("mask"), "small")
+    return C.gate_stats(C.gate_frames(frames, threshold=0.2, similarity=0.4))
+
+
+def common_region(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.embedding_frames(spark, d)
+    y = lambda i: (0.7 + F.element_at("small", i).cast("double") / 2)
+    out = C.common_region(df.select("video_id", "time", y(1).alias("text_bbox_y1"), y(2).alias("text_bbox_y2")))
+    return out.select("video_id", F.round("y1", 6).alias("y1"), F.round("y2", 6).alias("y2"))
+
+
+def temporal_neighbors_top5(spark: SparkSession, d: str) -> DataFrame:
+    out = C.neighbours(tab.event_readings(spark, d).select("video_id", "frame_id", "time"), window=7200.0)
+    return out.select("video_id", "frame_id", "neighbour_id", F.round("distance", 3).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def call_cap(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.event_readings(spark, d)
+    spans = df.groupBy("video_id").agg((F.max("time") - F.min("time")).alias("duration"))
+    limit = F.least(call_limit(F.col("duration"), "fast"), F.lit(7))
+    kept = quality.first_n(df.join(spans, "video_id").withColumn("cap", limit), ["video_id"], [F.col("time"), F.col("event_id")], F.col("cap"))
+    return kept.groupBy("video_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"), F.any_value("cap").cast("bigint").alias("cap"))
+
+
+def preset_grid(spark: SparkSession, d: str) -> DataFrame:
+    out = grid.scores(_evaluated(spark, d), ["video_id"])
+    return out.select("video_id", "preset", "sample", "accepted", "dropped", *[F.round(c, 4).alias(c) for c in ("avg_confidence", "avg_score", "noise_ratio", "composite")])
+
+
+def preset_choice(spark: SparkSession, d: str) -> DataFrame:
+    return grid.best_preset(grid.scores(_evaluated(spark, d), ["video_id"]), ["video_id"])
+
+
+def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark page: one row, as its readers open one page."""
+    ev = _evaluated(spark, d)
+    ok = ev.where("reason = 'accepted'").select("preset", F.concat_ws("/", "preset", "video_id").alias("video_id"), F.col("frame_id").cast("double").alias("time"), (F.col("frame_id") + 0.75).alias("end"), F.col("cleaned").alias("text"), "score", "confidence", "doc_id")
+    blocks = B.blocks_of_equal(ok, order=("time", "doc_id")).withColumn("preset", F.element_at(F.split("video_id", "/"), 1))
+    return grid.benchmark_html(grid.benchmark(ev, blocks, 1.0))
+
+
+def ocr_report(spark: SparkSession, d: str) -> DataFrame:
+    chosen = quality.choose_best(quality.clean(tab.document_readings(spark, d), "recall", LATIN), ["frame_id"], script=LATIN)
+    seen = quality.observations(chosen, script=LATIN)
+    rows = seen.where("emitted").select(F.lit("all").alias("video_id"), F.col("frame_id").cast("double").alias("time"), (F.col("frame_id") + 0.75).alias("end"), "text", "score", "confidence")
+    return reports.ocr_report(seen, B.blocks_of_equal(rows.withColumn("video_id", (F.col("time") % 64).cast("string"))), quality.rejection_counts(seen)).select(
+        "actual_ocr_calls", "accepted", "rejected", F.round("average_confidence", 6).alias("average_confidence"), "subtitle_blocks_generated", F.to_json("confidence_histogram").alias("histogram"), F.to_json("rejection_reasons").alias("rejections")
+    )
+
+
+def glossary_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    out = enrich.rewrite_terms(tab.conversation_blocks(spark, d), TERMS)
+    return out.select("video_id", "block_no", "text", F.col("text").eqNullSafe(F.col("original")).alias("unchanged"))
+
+
+def corrections(spark: SparkSession, d: str) -> DataFrame:
+    out = enrich.corrections(enrich.rewrite_terms(tab.conversation_blocks(spark, d), TERMS))
+    return out.select("video_id", F.col("index").cast("bigint").alias("index"), "start", "end", "corrected")
+
+
+def translate_cached(spark: SparkSession, d: str) -> DataFrame:
+    blocks = tab.conversation_blocks(spark, d)
+    own = T.clean_for_translation(F.col("text"), LATIN)
+    cache = blocks.where("role = 'assistant'").select(own.alias("source_text")).distinct().withColumn("target_text", F.concat(F.lit("cs:"), "source_text"))
+    out, _ = enrich.translate(blocks, cache, script=LATIN)
+    return out.select("video_id", "block_no", "translated", "status")
+
+
+def translation_summary(spark: SparkSession, d: str) -> DataFrame:
+    blocks = tab.conversation_blocks(spark, d)
+    cache = spark.createDataFrame([], "source_text string, target_text string")
+    out, _ = enrich.translate(blocks, cache, lambda texts: [None if len(t) > 200 else t[::-1] for t in texts], LATIN)
+    return enrich.translation_summary(out)
+
+
+def timing_conformance(spark: SparkSession, d: str) -> DataFrame:
+    a = tab.conversation_blocks(spark, d)
+    b = a.withColumn("end", F.when((F.col("role") == "user") & (F.col("block_no") > 3), F.col("end") + 0.002).otherwise(F.col("end")))
+    return enrich.timing_conformance(a, b)
+
+
+def srt_lines(spark: SparkSession, d: str) -> DataFrame:
+    return srt.cues(tab.conversation_blocks(spark, d)).select("video_id", F.col("block_no").cast("bigint").alias("block_no"), "cue")
+
+
+def cleanup_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return B.cleanup_blocks(tab.conversation_blocks(spark, d), True, LATIN).select("video_id", "block_no", "text")
+
+
+def candidate_signature(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.event_readings(spark, d).withColumn("end_time", F.col("end"))
+    return C.signature(df).select("video_id", "n", F.round("first_time", 3).alias("first_time"), F.round("last_time", 3).alias("last_time"), F.length("digest").cast("bigint").alias("digits"))
+
+
+def report_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = tab.table(spark, d, "documents")
+    text = F.concat(F.lit("title: "), F.col("lang"), F.lit("\nfailed_frames: "), F.col("n_chars").cast("string"), F.lit("\nratio: "), (F.col("doc_id") % 10 / 10).cast("string"), F.lit("\n"))
+    df = reports.scan_report(docs.select("doc_id", text.alias("value")), {"failed_frames": "int", "timeout_frames": "int", "ratio": "double", "title": "string"})
+    return df.drop("value")
+
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    e = tab.table(spark, d, "events")
+    kind = lambda k: F.col("event_type") == k
+    n = (F.col("event_id") % 50).cast("string")
+    message = (
+        F.when(kind("view"), F.concat(F.lit("OCR frame "), n, F.lit("/50")))
+        .when(kind("click"), F.lit("Video uloženo"))
+        .when(kind("purchase"), F.concat(F.lit("Překlad průběh: "), n, F.lit("/50 titulků")))
+        .when(kind("signup"), F.lit("yt-dlp"))
+        .otherwise(F.concat(F.lit("note "), "event_type"))
+    )
+    return e.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("seq"), "event_id", message.alias("message"))
+
+
+def progress_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.progress_events(_logs(spark, d)).select("job_id", "event_id", "percent", "progress")
+
+
+def batch_progress(spark: SparkSession, d: str) -> DataFrame:
+    logs = _logs(spark, d)
+    return timeline.batch_progress(timeline.progress_events(logs), logs.select("job_id").distinct())
+
+
+def log_history(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.last_n(timeline.without_repeats(_logs(spark, d)), 3).select("job_id", "event_id", "message")
+
+
+def ratio_similarity(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("block_no")
+    df = tab.conversation_blocks(spark, d).withColumn("b", F.lag("text").over(w)).where("b is not null")
+    return df.select("video_id", "block_no", F.round(similarity(F.col("b"), F.col("text")), 6).alias("ratio"))
+
+
+def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.event_readings(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.gap_sessions(df, "6 hours", ["video_id"])
+    s = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
+    return out.select("video_id", s("start").alias("start"), s("end").alias("end"), "readings", F.round("confidence", 6).alias("confidence"))
+
+
+def deep_votes(spark: SparkSession, d: str) -> DataFrame:
+    df = tab.document_readings(spark, d)
+    votes = df.select("video_id", F.floor(F.col("frame_id") / 4).cast("string").alias("frame_id"), F.col("doc_id").alias("neighbour_rank"), F.lit(0).alias("variant_rank"), "text", "confidence")
+    return B.deep_vote(votes, LATIN).select("video_id", "frame_id", F.col("outcome"), F.length("text").alias("length"))
+
+
+def language_checks(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    df = tab.document_readings(spark, d)
+    return df.select("doc_id", T.has_good_language(t, LATIN).alias("good"), T.is_acceptable_recovery(t, LATIN).alias("acceptable"), T.looks_like_damaged_sentence(t, LATIN).alias("damaged"), T.is_short_noise(t, LATIN).alias("short_noise"), T.is_fragment_noise(t, LATIN).alias("fragments"))
+
+
+def sample_files(spark: SparkSession, d: str) -> DataFrame:
+    chosen = quality.choose_best(quality.clean(tab.document_readings(spark, d), "balanced", LATIN), ["frame_id"], script=LATIN)
+    seen = quality.observations(chosen, script=LATIN).withColumns({"video_id": F.lit("all"), "time": F.col("frame_id").cast("double")})
+    return inputs.samples(seen).select("frame_id", "emitted", "text", "rejection")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
+        confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, common_region,
+        temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files,
+    )
+}
+
+_R = "round_even"
+_DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_CONV = "cv AS (SELECT conv_id::VARCHAR AS video_id, turn + 1 AS block_no, turn * 2.5 AS start, turn * 2.5 + 2.25 AS \"end\", coalesce(text, '') AS text, role FROM conversations)"
+_BEST = f"""
+    WITH c AS ({O.cleaned("balanced")}),
+    s AS (SELECT doc_id // 2 AS frame_id, CASE WHEN doc_id % 2 = 0 THEN 'tesseract' ELSE 'paddle' END AS engine, cleaned, confidence, reason, round({O.score("cleaned", "confidence", O.repeats("cleaned", 5))}, 9) AS score FROM c),
+    best AS (SELECT frame_id, engine, cleaned, confidence, score, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, CASE engine WHEN 'tesseract' THEN 0 ELSE 1 END) AS k FROM s WHERE reason = 'accepted'),
+    best_rows AS (SELECT f.frame_id, b.frame_id IS NOT NULL AS accepted, b.engine, coalesce(b.cleaned, '') AS text, round(coalesce(b.confidence, 0.0), 6) AS confidence, round(coalesce(b.score, 0.0), 4) AS score
+      FROM (SELECT DISTINCT frame_id FROM s) f LEFT JOIN best b ON b.frame_id = f.frame_id AND b.k = 1)
+"""
+_DIFF = """
+    WITH e AS (SELECT label::VARCHAR AS video_id, vec_id::DOUBLE AS time, embedding::DOUBLE[] AS v FROM embeddings),
+    p AS (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY time) AS b FROM e),
+    s AS (SELECT video_id, time, b IS NULL AS first, CASE WHEN b IS NULL THEN 1.0 ELSE list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - b[i]))) / len(v) END AS diff FROM p),
+    i AS (SELECT *, sum(CASE WHEN first OR diff >= 0.14 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS island FROM s),
+    g AS (SELECT video_id, island::BIGINT AS island, min(time) AS time, max(time) + 0.75 AS end_time, round(arg_min(diff, time), 6) AS diff_score, count(*) AS frames FROM i GROUP BY video_id, island)
+"""
+_GRID = f"""
+    WITH ev AS ({O.evaluated()}),
+    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM ev),
+    a AS (SELECT video_id, preset, count(*) AS sample, count(*) FILTER (reason = 'accepted') AS accepted, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS avg_confidence, coalesce(avg(score) FILTER (reason = 'accepted'), 0.0) AS avg_score FROM sc GROUP BY ALL),
+    g AS (SELECT *, sample - accepted AS dropped, (sample - accepted) / greatest(1, sample) AS noise_ratio, 10000.0 * accepted + 100.0 * avg_confidence + avg_score - (sample - accepted) / greatest(1, sample) AS composite FROM a)
+"""
+_LOGS = """
+    lg AS (SELECT user_id AS job_id, event_id, ts, event_type, event_id % 50 AS n FROM events),
+    pr AS (SELECT job_id, event_id, ts, CASE event_type WHEN 'view' THEN 30 + round_even(n / 50.0 * 35, 0) WHEN 'click' THEN 30 WHEN 'purchase' THEN 65 + round_even(n / 50.0 * 20, 0) WHEN 'signup' THEN 12 END::INTEGER AS percent,
+      CASE event_type WHEN 'view' THEN 'OCR frame ' || n || '/50' WHEN 'click' THEN 'Video uloženo' WHEN 'purchase' THEN 'Překlad průběh: ' || n || '/50 titulků' WHEN 'signup' THEN 'yt-dlp' ELSE 'note ' || event_type END AS message FROM lg),
+    pg AS (SELECT *, coalesce(max(percent) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS progress FROM pr)
+"""
+
+
+def _rewritten(t: str) -> str:
+    edge = "[^\\p{L}\\p{N}\\p{M}_]"
+    for source, target in TERMS.items():
+        for _ in range(2):
+            t = f"regexp_replace({t}, '(?i)(^|{edge}){source}($|{edge})', '\\1{target}\\2', 'g')"
+    return t
+
+
+_TRANSLATABLE = "regexp_replace(trim({n}, {p}), '([{lo}])([{up}])', '\\1 \\2', 'g')".format(n=O.norm("text"), p=O.q(T.PUNCTUATION), lo=LATIN.lower, up=LATIN.upper)
+
+ORACLE_SQL = {
+    "normalize_text": f"SELECT doc_id, {O.norm('text')} AS normalized FROM ({_DOCS})",
+    "merge_key": f"SELECT doc_id, {O.key('text')} AS key FROM ({_DOCS})",
+    "char_profile": f"""
+        SELECT doc_id, {O.count("text", LATIN.letters)} AS script_letters, {O.count("text", chr(92) + "p{L}")} AS letters, {O.count("text", LATIN.foreign)} AS foreign_letters, {O.symbols("text")} AS symbols,
+          {O.meaningful("text")} AS meaningful, len({O.words("text")}) AS words, {O.vowels("text")} AS vowels,
+          {O.size_of(O.words(f"lower({O.norm('text')})"), f"list_contains({O.listed(LATIN.common)}, x)")} AS common_words, {O.valid_short("text")} AS valid_short
+        FROM ({_DOCS})""",
+    "ocr_score": f"SELECT doc_id, round({O.score('text', '(doc_id % 101) / 100.0', O.repeats('text', 5))}, 4) AS score FROM ({_DOCS})",
+    "clean_reason_counts": f"SELECT preset, reason, count(*) AS n FROM ({O.evaluated()}) GROUP BY ALL",
+    "noise_reasons": "SELECT doc_id, concat_ws(',', {}) AS reasons FROM (SELECT doc_id, {} AS t FROM ({}))".format(
+        ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in O.noise_flags("t")), O.norm("text"), _DOCS
+    ),
+    "best_reading": f"{_BEST} SELECT * FROM best_rows",
+    "engine_counts": f"{_BEST} SELECT v.engine, count(b.frame_id) AS n FROM (VALUES ('tesseract'), ('paddle'), ('compare')) v(engine) LEFT JOIN best_rows b ON b.engine = v.engine AND b.accepted GROUP BY v.engine",
+    "rejection_counts": f"SELECT reason, count(*) AS n FROM ({O.cleaned('balanced')}) WHERE reason <> 'accepted' GROUP BY reason",
+    "confidence_hist_equal": O.histogram(O.BINS["equal"]),
+    "confidence_hist_quality": O.histogram(O.BINS["quality"]),
+    "confidence_stats": f"""
+        WITH {O.EVENTS}, s AS (SELECT text, count(*) AS calls, count(*) FILTER (confidence >= 0.1) AS n_accepted, coalesce(avg(confidence) FILTER (confidence >= 0.1), 0) AS a, coalesce(median(confidence) FILTER (confidence >= 0.1), 0) AS m FROM ev GROUP BY text)
+        SELECT text, calls, n_accepted, round(a, 6) AS avg_confidence, round(m, 6) AS median_confidence, round(n_accepted / greatest(1, calls), 6) AS accepted_ratio, n_accepted / greatest(1, calls) < 0.3 AS low_yield FROM s""",
+    "blocks_exact": f"{O.BLOCKS} SELECT video_id, block_no, round(start, 3) AS start, round(\"end\", 3) AS \"end\", text, round(confidence, 6) AS confidence, readings FROM bl",
+    "block_report": f"{O.BLOCKS} SELECT video_id, count(*) AS blocks, round(avg(\"end\" - start), 3) AS avg_duration FROM bl GROUP BY video_id",
+    "block_votes": f"""
+        WITH {O.EVENTS}, g AS (SELECT video_id, text, count(*) AS votes, max(confidence) AS confidence FROM ev GROUP BY ALL),
+        r AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS groups, row_number() OVER (PARTITION BY video_id ORDER BY votes DESC, confidence DESC) AS k FROM g)
+        SELECT video_id, text, votes, groups, round(confidence, 6) AS confidence FROM r WHERE k = 1""",
+    "change_detection_diff": f"{_DIFF} SELECT * FROM g",
+    "extraction_stats": f"{_DIFF}, n AS (SELECT video_id, count(*) AS sampled FROM e GROUP BY ALL) SELECT video_id, any_value(sampled) AS sampled, count(*) AS emitted, any_value(sampled) - count(*) AS skipped_same FROM g JOIN n USING (video_id) GROUP BY video_id",
+    "mask_jaccard": """
+        WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS m FROM embeddings),
+        p AS (SELECT vec_id, m, lag(m) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM e),
+        c AS (SELECT vec_id, b IS NULL AS first, len(list_filter(range(1, len(m) + 1), lambda i: m[i] AND b[i])) AS a, len(list_filter(range(1, len(m) + 1), lambda i: m[i] OR b[i])) AS o FROM p)
+        SELECT vec_id, CASE WHEN first THEN 0.0 WHEN o = 0 THEN 1.0 ELSE round(a / o, 6) END AS jaccard FROM c""",
+    "common_region": """
+        WITH e AS (SELECT label::VARCHAR AS video_id, vec_id, 0.7 + embedding[1]::DOUBLE / 2 AS a, 0.7 + embedding[2]::DOUBLE / 2 AS b FROM embeddings),
+        p AS (SELECT video_id, median(a) AS a, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) AS k FROM e WHERE a > 0) WHERE k <= 200 GROUP BY video_id HAVING count(*) >= 10),
+        s AS (SELECT video_id, median(b) AS b, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) AS k FROM e WHERE b > 0) WHERE k <= 200 GROUP BY video_id HAVING count(*) >= 10)
+        SELECT video_id, round(greatest(0.55, least(0.82, a - 0.06)), 6) AS y1, round(greatest(greatest(0.55, least(0.82, a - 0.06)) + 0.12, least(0.99, b + 0.06)), 6) AS y2 FROM p JOIN s USING (video_id)""",
+    "temporal_neighbors_top5": f"""
+        WITH {O.EVENTS}, p AS (SELECT a.video_id, a.event_id AS f, b.event_id AS g, abs(a.t - b.t) AS d, b.t AS u FROM ev a JOIN ev b ON a.video_id = b.video_id AND abs(a.t - b.t) <= 7200),
+        r AS (SELECT *, row_number() OVER (PARTITION BY video_id, f ORDER BY d, u, g) AS k FROM p)
+        SELECT video_id, printf('%012d', f) AS frame_id, printf('%012d', g) AS neighbour_id, round(d, 3) AS distance, k AS rank FROM r WHERE k <= 5""",
+    "call_cap": f"""
+        WITH {O.EVENTS}, d AS (SELECT video_id, least(7, least({O.FAST[2]}, greatest({O.FAST[1]}, floor((max(t) - min(t)) / 60 * {O.FAST[0]}))))::BIGINT AS cap FROM ev GROUP BY video_id),
+        r AS (SELECT ev.video_id, event_id, cap, row_number() OVER (PARTITION BY ev.video_id ORDER BY t, event_id) AS k FROM ev JOIN d USING (video_id))
+        SELECT video_id, count(*) AS kept, max(event_id) AS last_id, any_value(cap) AS cap FROM r WHERE k <= cap GROUP BY video_id""",
+    "preset_grid": f"{_GRID} SELECT video_id, preset, sample, accepted, dropped, round(avg_confidence, 4) AS avg_confidence, round(avg_score, 4) AS avg_score, round(noise_ratio, 4) AS noise_ratio, round(composite, 4) AS composite FROM g",
+    "preset_choice": f"{_GRID}, k AS (SELECT g.*, row_number() OVER (PARTITION BY video_id ORDER BY accepted DESC, round(avg_confidence, 9) DESC, round(noise_ratio, 9), round(composite, 6) DESC, rank) AS n FROM g JOIN {O.RANKS} USING (preset)) SELECT video_id, preset, accepted, sample FROM k WHERE n = 1",
+    "glossary_rewrite": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no::INTEGER AS block_no, n AS text, n = text AS unchanged FROM r",
+    "corrections": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no AS index, {O.srt_time('start')} AS start, {O.srt_time(chr(34) + 'end' + chr(34))} AS \"end\", n AS corrected FROM r WHERE n <> text",
+    "translate_cached": f"""
+        WITH {_CONV}, s AS (SELECT *, {O.norm(_TRANSLATABLE)} AS src FROM cv), c AS (SELECT DISTINCT src FROM s WHERE role = 'assistant')
+        SELECT video_id, block_no::INTEGER AS block_no, CASE WHEN s.src = '' THEN text WHEN c.src IS NOT NULL THEN 'cs:' || s.src ELSE s.src END AS translated,
+          CASE WHEN s.src = '' THEN 'empty' WHEN c.src IS NOT NULL THEN 'cached' ELSE 'copied' END AS status FROM s LEFT JOIN c ON s.src = c.src""",
+    "translation_summary": f"""
+        WITH {_CONV}, s AS (SELECT {O.norm(_TRANSLATABLE)} AS src FROM cv), a AS (SELECT count(*) AS t, count(*) FILTER (src <> '' AND length(src) > 200) AS f, count(DISTINCT src) FILTER (src <> '') AS u FROM s)
+        SELECT t AS total_blocks, greatest(0, t - f) AS translated_blocks, f AS failed_blocks, u AS unique_misses, CASE WHEN f > 0 AND f >= t THEN 'translation_failed' WHEN f > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM a""",
+    "timing_conformance": f"WITH {_CONV} SELECT video_id, count(*) AS blocks, count(*) FILTER (role = 'user' AND block_no > 3) AS mismatches, count(*) FILTER (role = 'user' AND block_no > 3) = 0 AS conformant FROM cv GROUP BY video_id",
+    "srt_lines": f"""
+        WITH {_CONV}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", text) AS k FROM cv WHERE trim(text) <> '')
+        SELECT video_id, k AS block_no, k || chr(10) || {O.srt_time("start")} || ' --> ' || {O.srt_time('"end"')} || chr(10) || text || chr(10) AS cue FROM n""",
+    "candidate_signature": f"WITH {O.EVENTS} SELECT video_id, count(*) AS n, round(min(t), 3) AS first_time, round(max(t), 3) AS last_time, 40::BIGINT AS digits FROM ev GROUP BY video_id",
+    "report_scan": "SELECT doc_id, n_chars AS failed_frames, 0::BIGINT AS timeout_frames, doc_id % 10 / 10 AS ratio, lang AS title FROM documents",
+    "progress_ladder": f"WITH {_LOGS} SELECT job_id, event_id, percent, progress FROM pg",
+    "batch_progress": f"WITH {_LOGS} SELECT {_R}(avg(p), 0)::INTEGER AS overall_progress FROM (SELECT max(progress) AS p FROM pg GROUP BY job_id)",
+    "log_history": f"""
+        WITH {_LOGS}, d AS (SELECT *, lag(message) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS b FROM pr),
+        r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS k FROM d WHERE b IS DISTINCT FROM message)
+        SELECT job_id, event_id, message FROM r WHERE k <= 3""",
+    "gap_sessions": f"""
+        WITH {O.EVENTS}, g AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER (PARTITION BY video_id ORDER BY t) > 21600, true) THEN 1 ELSE 0 END AS b FROM ev),
+        s AS (SELECT *, sum(b) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT video_id, round(min(t), 3) AS start, round(max(t) + 21600, 3) AS "end", count(*) AS readings, round(max(confidence), 6) AS confidence FROM s GROUP BY video_id, k""",
+}
+ORACLE_SQL["blocks_voted"] = ORACLE_SQL["blocks_exact"]
