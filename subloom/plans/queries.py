@@ -256,7 +256,7 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def progress_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.progress_events(_logs(spark, d)).select("job_id", "event_id", "percent", "progress")
+    return timeline.progress_events(_logs(spark, d)).select("job_id", "event_id", F.coalesce("percent", F.lit(-1)).alias("percent"), "progress")
 
 
 def batch_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -341,11 +341,11 @@ _LOGS = """
 
 
 def _rewritten(t: str) -> str:
-    edge = "[^\\p{L}\\p{N}\\p{M}_]"
+    """Whole words replaced; marks around every other character stand in for word edges."""
+    t = f"regexp_replace({t}, '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', chr(2) || '\\1' || chr(2), 'g')"
     for source, target in TERMS.items():
-        for _ in range(2):
-            t = f"regexp_replace({t}, '(?i)(^|{edge}){source}($|{edge})', '\\1{target}\\2', 'g')"
-    return t
+        t = f"regexp_replace({t}, '(?i)(^|\\x{{02}}){source}($|\\x{{02}})', '\\1{target}\\2', 'g')"
+    return f"replace({t}, chr(2), '')"
 
 
 _TRANSLATABLE = "regexp_replace(trim({n}, {p}), '([{lo}])([{up}])', '\\1 \\2', 'g')".format(n=O.norm("text"), p=O.q(T.PUNCTUATION), lo=LATIN.lower, up=LATIN.upper)
@@ -414,7 +414,7 @@ ORACLE_SQL = {
         SELECT video_id, k AS block_no, k || chr(10) || {O.srt_time("start")} || ' --> ' || {O.srt_time('"end"')} || chr(10) || text || chr(10) AS cue FROM n""",
     "candidate_signature": f"WITH {O.EVENTS} SELECT video_id, count(*) AS n, round(min(t), 3) AS first_time, round(max(t), 3) AS last_time, 40::BIGINT AS digits FROM ev GROUP BY video_id",
     "report_scan": "SELECT doc_id, n_chars AS failed_frames, 0::BIGINT AS timeout_frames, doc_id % 10 / 10 AS ratio, lang AS title FROM documents",
-    "progress_ladder": f"WITH {_LOGS} SELECT job_id, event_id, percent, progress FROM pg",
+    "progress_ladder": f"WITH {_LOGS} SELECT job_id, event_id, coalesce(percent, -1) AS percent, progress FROM pg",
     "batch_progress": f"WITH {_LOGS} SELECT {_R}(avg(p), 0)::INTEGER AS overall_progress FROM (SELECT max(progress) AS p FROM pg GROUP BY job_id)",
     "log_history": f"""
         WITH {_LOGS}, d AS (SELECT *, lag(message) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS b FROM pr),
