@@ -90,24 +90,35 @@ _WITH_TEXT = pa.schema([("doc_id", pa.int64()), ("fp_len", pa.int64()), ("fp", p
 _SPLIT = pa.schema([("fp_len", pa.int64()), ("fp", pa.int64())])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
+def _key(data: bytes, modulus: int | None) -> tuple[int, int]:
+    """Length and residues; with a modulus less, so that texts collide."""
+    fp = Fingerprint.of(data)
+    return (fp.length, fp.value) if modulus is None else (0, fp.value % modulus)
+
+
+def _fingerprints(modulus: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
-        for doc, text in rows_of(batches, "doc_id", "text"):
-            data = normalised(text)
-            fp = Fingerprint.of(data)
-            yield doc, fp.length, fp.value, hashlib.sha256(data).hexdigest()
 
-    return batched(rows(), _FP)
+        def rows():
+            for doc, text in rows_of(batches, "doc_id", "text"):
+                data = normalised(text)
+                yield doc, *_key(data, modulus), hashlib.sha256(data).hexdigest()
 
+        return batched(rows(), _FP)
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for doc, text in rows_of(batches, "doc_id", "text"):
-            fp = Fingerprint.of(normalised(text))
-            yield doc, fp.length, fp.value, text or ""
+    return run
 
-    return batched(rows(), _WITH_TEXT, 128)
+
+def _again(modulus: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for doc, text in rows_of(batches, "doc_id", "text"):
+                yield doc, *_key(normalised(text), modulus), text or ""
+
+        return batched(rows(), _WITH_TEXT, 128)
+
+    return run
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,28 +132,35 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batched(rows(), _SPLIT)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, modulus: int | None = None) -> DataFrame:
     """doc_id, fp_len, fp, text_sha256 of every row's whole text."""
-    return plain(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp_len long, fp long, text_sha256 string")
+    return plain(docs, "doc_id", "text").mapInArrow(_fingerprints(modulus), "doc_id long, fp_len long, fp long, text_sha256 string")
+
 
+def exact_groups(docs: DataFrame, modulus: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    prints = materialise(fingerprints(docs), "exact-prints")
+    ``modulus`` makes fingerprints collide, to test what follows then.
+    """
+    prints = materialise(fingerprints(docs, modulus), "exact-prints")
     key = ["fp_len", "fp"]
     many = prints.groupBy(*key).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
     # the texts of groups of two and more, each held against the row that would stay
     among = prints.join(many, key, "left_semi").select(F.col("doc_id").alias("id")).distinct()
     base = plain(docs, "doc_id", "text")
-    texts = base.join(among, base.doc_id.eqNullSafe(among.id), "left_semi").mapInArrow(_again, "doc_id long, fp_len long, fp long, text string")
+    texts = base.join(among, base.doc_id.eqNullSafe(among.id), "left_semi").mapInArrow(_again(modulus), "doc_id long, fp_len long, fp long, text string")
     texts = materialise(texts, "exact-texts")
     kept_text = texts.join(many, key).where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy(*key).agg(F.any_value("text").alias("other"))
     held = texts.join(kept_text, key).select(*key, "text", "other")
     split = materialise(held.mapInArrow(_differing, "fp_len long, fp long").distinct().withColumn("parted", F.lit(True)), "exact-split")
-    # fingerprints that stand for several texts go apart by SHA-256; there are none unless 62 bits collide
-    parted = prints.join(split, key, "left").withColumn("sub", F.when(F.col("parted"), F.col("text_sha256")).otherwise(F.lit("")))
-    groups = parted.groupBy(*key, "sub").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    out = parted.join(groups, [*key, "sub"], "left")
+    if split.isEmpty():
+        groups, parted = many, prints
+    else:  # fingerprints that stand for several texts go apart by SHA-256
+        key.append("sub")
+        parted = prints.join(split, key[:2], "left").withColumn("sub", F.when(F.col("parted"), F.col("text_sha256")).otherwise(F.lit("")))
+        groups = parted.groupBy(*key).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    # the groups have a row a key, so a common key's rows can be dealt to several tasks
+    out = parted.join(groups, key, "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return out.select(
         "doc_id",

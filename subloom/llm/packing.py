@@ -75,18 +75,29 @@ class Ids:
                 found[at] = fresh[piece]
             if len(memo) + len(fresh) > MEMO:
                 memo.clear()
-            memo.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
+            memo |= fresh
+            for piece in [p for p in fresh if len(p) > SHORT]:
+                del memo[piece]
         return map(b"".join, out)
 
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the memo lacks."""
-        # a word with a stop behind it is the word, then the stop
-        ends = {p: len(word) for p in missing if 0 < len(word := p.rstrip(_STOPS)) < len(p) and word.isalpha() and _latin(word)}
-        wanted = (missing - ends.keys()) | {p[:n] for p, n in ends.items()} | {p[n:] for p, n in ends.items()}
-        out = {p: known for p in wanted if (known := self.memo.get(p)) is not None}
-        wanted -= out.keys()
-        words = [p for p in wanted if p.isalpha()]
-        rest = [p for p in wanted if not p.isalpha()]
+        memo, out, stopped, wanted = self.memo, {}, [], set()
+        for piece in missing:
+            word = piece.rstrip(_STOPS)
+            if len(word) < len(piece) and word.isalpha() and (word.isascii() or _latin(word)):
+                stop = piece[len(word) :]
+                stopped.append((piece, word, stop))  # the ids of the word, then those of the stop
+                for part in (word, stop):
+                    if (known := memo.get(part)) is None:
+                        wanted.add(part)
+                    else:
+                        out[part] = known
+            else:
+                wanted.add(piece)
+        words, rest = [], []
+        for p in wanted:
+            (words if p.isalpha() else rest).append(p)
         for at in range(0, len(words), 4096):  # words are told apart by the ids that end a word
             some = words[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -100,7 +111,8 @@ class Ids:
             some = rest[at : at + 4096]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 out[piece] = array.array("I", found.ids).tobytes()
-        out |= {p: out[p[:n]] + out[p[n:]] for p, n in ends.items()}
+        for piece, word, stop in stopped:
+            out[piece] = out[word] + out[stop]
         return out
 
 

@@ -81,11 +81,9 @@ def test_fingerprints_compose():
     assert exact_dedup.Fingerprint.of(b"ab").value != exact_dedup.Fingerprint.of(b"ba").value
 
 
-def test_colliding_fingerprints_are_told_apart(docs, monkeypatch):
-    want = plain(exact_dedup.exact_groups(docs).collect())
-    prints = exact_dedup.fingerprints
-    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: prints(d).selectExpr("doc_id", "fp_len", "fp", "text_sha256"))
-    assert plain(exact_dedup.exact_groups(docs).collect()) == want
+@pytest.mark.parametrize("modulus", [1, 3])
+def test_colliding_fingerprints_are_told_apart(docs, modulus):
+    assert plain(exact_dedup.exact_groups(docs, modulus).collect()) == plain(exact_dedup.exact_groups(docs).collect())
     assert not exact_dedup._same(b"a" * 70_000, b"a" * 69_999 + b"b")
 
 
