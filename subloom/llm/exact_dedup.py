@@ -150,7 +150,10 @@ def exact_groups(docs: DataFrame, modulus: int | None = None) -> DataFrame:
     base = plain(docs, "doc_id", "text")
     texts = base.join(among, base.doc_id.eqNullSafe(among.id), "left_semi").mapInArrow(_again(modulus), "doc_id long, fp_len long, fp long, text string")
     texts = materialise(texts, "exact-texts")
-    kept_text = texts.join(many, key).where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy(*key).agg(F.any_value("text").alias("other"))
+    tops = many.select(F.col("fp_len").alias("l_"), F.col("fp").alias("f_"), F.col("top").alias("id_"))
+    of_top = (texts.fp_len == tops.l_) & (texts.fp == tops.f_) & texts.doc_id.eqNullSafe(tops.id_)
+    kept_text = texts.join(tops, of_top, "left_semi").groupBy(*key).agg(F.any_value("text").alias("other"))
+    kept_text = materialise(kept_text, "exact-kept")  # read anew, so that the join below can split a common key
     held = texts.join(kept_text, key).select(*key, "text", "other")
     split = materialise(held.mapInArrow(_differing, "fp_len long, fp long").distinct().withColumn("parted", F.lit(True)), "exact-split")
     if split.isEmpty():

@@ -6,8 +6,9 @@ between toxic and other training texts; a logistic regression is fitted on the
 scaled features.
 
 Only fitting uses a sample: at most ``POSITIVE`` toxic and ``NEGATIVE`` other
-labelled rows, those of the least hash of their id, whole texts each.  The
-share of toxic rows that the score assumes is that of all training labels.
+labelled rows, those of the least hash of their id, whole texts each.  A score
+of 0.5 is where the sample's classes part with least error, weighted by the
+share of toxic rows among all training labels.
 
 Defined results.  Null and empty texts get the score of a text without n-grams.
 Where the training rows lack one of the two classes, the score is the share of
@@ -73,7 +74,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], share: float, epochs: int = 5, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], share: float, epochs: int = 4, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """Naive Bayes ratios, then logistic regression by stochastic gradients with adaptive rates."""
     size = 1 << BITS
     y = np.array([label for label, _ in rows], np.float64)
@@ -99,10 +100,19 @@ def fit(rows: list[tuple[int, np.ndarray]], share: float, epochs: int = 5, rate:
             square[f] += step * step
             w[f] -= rate * step / np.sqrt(square[f])
             bias -= rate * error * 0.1
-    prior = y.mean()
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    bias += float(np.log(share / (1 - share)) - np.log(prior / (1 - prior)))
-    return Model((w * ratio * scale).astype(np.float32), bias)
+    z = np.array([float(w[f] @ (ratio[f] * scale)) for _, f in kept])
+    return Model((w * ratio * scale).astype(np.float32), -_cut(z, y, min(max(share, 1e-6), 1 - 1e-6)))
+
+
+def _cut(z: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The middle of the gap that parts the classes with least error, classes weighted as in all training labels."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    missed = np.concatenate(([0.0], np.cumsum(y))) / max(1.0, y.sum()) * share  # toxic below the cut
+    wrong = (1 - np.concatenate(([0.0], np.cumsum(1 - y))) / max(1.0, (1 - y).sum())) * (1 - share)  # others above it
+    k = int(np.argmin(missed + wrong))
+    low, high = z[k - 1] if k else z[0] - 1, z[k] if k < len(z) else z[-1] + 1
+    return float(low + high) / 2
 
 
 def held_out(doc_id: Column) -> Column:
