@@ -43,21 +43,43 @@ GROUP = 4096
 _SIDE = 1024
 
 
-def simhash(text: str | None, words_per_shingle: int = 3) -> int:
-    """The 64-bit fingerprint of a text."""
+def _shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest, k = xxhash.xxh64_intdigest, min(words_per_shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     cuts = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), ">u8", len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(words) - k + 1)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits, highest first, that are set in over half of the hashes."""
+    hashes = hashes.astype(">u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    return counts * 2 > len(hashes)
+
+
+def simhash(text: str | None, words_per_shingle: int = 3) -> int:
+    """The 64-bit fingerprint of a text."""
+    return int.from_bytes(np.packbits(_majority(_shingle_hashes(text, words_per_shingle))).tobytes(), "big")
+
+
+def wide_bits(text: str | None, words_per_shingle: int = 3, width: int = 4) -> np.ndarray:
+    """The bits of ``width`` fingerprints by hash functions that are told apart by an odd factor; the first is ``simhash``."""
+    hashes, out = _shingle_hashes(text, words_per_shingle), []
+    for word in range(width):
+        own = hashes
+        if word:
+            own = (hashes ^ np.uint64(word)) * np.uint64(0x9E3779B97F4A7C15 + 2 * word)
+            own = (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            own ^= own >> np.uint64(32)
+        out.append(_majority(own))
+    return np.concatenate(out)
 
 
 def _signed(x: int) -> int:
@@ -86,19 +108,24 @@ def _keyed(nodes: DataFrame, masks: list[int], more: int = 0) -> DataFrame:
     return nodes.select("fp", "node", F.explode(F.array(*key)).alias("x")).select("x.*", "fp", "node")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: fixed, spread over the space."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, n, np.uint64, endpoint=False)
+def pivots(n: int = PIVOTS, width: int = 1) -> np.ndarray:
+    """Reference fingerprints: fixed, spread over the space; a row each."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (n, width), np.uint64, endpoint=False)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, which are the last axis."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Hamming distances, a row for each fingerprint."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+    return np.stack([distance(fps, ref) for ref in refs], axis=1)
 
 
 def forest(fps: np.ndarray, radius: int, refs: np.ndarray) -> np.ndarray:
-    """For each of distinct fingerprints the index of a fingerprint that it is joined to by links, itself a fixed point."""
-    order = np.argsort(np.bitwise_count(fps ^ refs[0]), kind="stable")
+    """For each of distinct fingerprints (rows) the index of a fingerprint that it is joined to by links, itself a fixed point."""
+    order = np.argsort(distance(fps, refs[0]), kind="stable")
     fps = fps[order]
     table = pivot_table(fps, refs)
     first, root = table[:, 0], np.arange(len(fps))
@@ -116,7 +143,7 @@ def forest(fps: np.ndarray, radius: int, refs: np.ndarray) -> np.ndarray:
                     break
                 near = np.abs(table[i, p] - table[j, p]) <= radius
                 i, j = i[near], j[near]
-            near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+            near = distance(fps[i], fps[j]) <= radius
             i, j = i[near], j[near]
             while len(i):
                 low = np.minimum(root[i], root[j])
@@ -143,7 +170,7 @@ def _group_links(radius: int):
             for _, group in groupby(rows_of(batches, "t", "k", "g", "fp", "node"), key=lambda r: r[:3]):
                 fps, nodes = zip(*(r[3:] for r in group), strict=True)
                 if len(fps) > 1:
-                    to = forest(np.array(fps, np.int64).view(np.uint64), radius, refs)
+                    to = forest(np.array(fps, np.int64).view(np.uint64)[:, None], radius, refs)
                     yield from ((nodes[i], nodes[j]) for i, j in enumerate(to.tolist()) if i != j)
 
         return batched(rows(), _LINK)
@@ -184,3 +211,63 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2
     found = components(links(nodes.where("node is not null"), radius, blocks), "a", "b")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies that differ in more bits than whole blocks can tell
+
+WIDTH, NEAR = 4, 40
+BANDS, BAND_BITS = 64, 24
+
+
+def band_bits(width: int = WIDTH) -> np.ndarray:
+    """Which bits each band reads: fixed, drawn anew for each band."""
+    draw = np.random.default_rng(SEED + 1)
+    return np.stack([draw.permutation(64 * width)[:BAND_BITS] for _ in range(BANDS)])
+
+
+def band_keys(bits: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    return bits[bands] @ (1 << np.arange(BAND_BITS))
+
+
+def near_copies(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+    """doc_id, component_id: documents whose fingerprints of ``64 * WIDTH`` bits differ in ``NEAR`` or fewer, and what they chain to.
+
+    Such a radius is too wide for whole blocks, so candidates share one of
+    ``BANDS`` samples of ``BAND_BITS`` bits; a pair that differs in a share d of
+    its bits is found with probability 1 - (1 - (1 - d)**BAND_BITS)**BANDS (0.95
+    at 0.12).  Within a band's group pairs are pruned by the pivot table and
+    verified as above; however large, a group is scanned in blocks.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int32()))])
+    bands = band_bits()
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
+
+        def rows():
+            for doc, text in rows_of(batches, "doc_id", "text"):
+                bits = wide_bits(text, words_per_shingle, WIDTH)
+                yield doc, np.packbits(bits).tobytes(), band_keys(bits, bands).astype(np.int32)
+
+        return batched(rows(), schema)
+
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = pivots(width=WIDTH)
+
+        def rows():
+            for _, group in groupby(rows_of(batches, "t", "k", "fp", "node"), key=lambda r: r[:2]):
+                fps, nodes = zip(*(r[2:] for r in group), strict=True)
+                if len(fps) > 1:
+                    to = forest(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDTH), NEAR, refs)
+                    yield from ((nodes[i], nodes[j]) for i, j in enumerate(to.tolist()) if i != j)
+
+        return batched(rows(), _LINK)
+
+    prints = materialise(plain(docs, "doc_id", "text").mapInArrow(prints_of, "doc_id long, fp binary, keys array<int>"), "simhash-wide")
+    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "simhash-nodes")
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
+    shared = keyed.join(materialise(keyed.groupBy("t", "k").count().where("count > 1"), "simhash-groups"), ["t", "k"]).select("t", "k", "node")
+    members = shared.join(nodes.select("node", "fp"), "node").repartition("t", "k").sortWithinPartitions("t", "k")
+    found = components(members.mapInArrow(links_of, "a long, b long"), "a", "b")
+    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", "component_id")
