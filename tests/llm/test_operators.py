@@ -316,19 +316,35 @@ def test_suffix_dedup(docs):
     assert plain(suffix_dedup.removed(docs).collect()) == brute_removed(data.rows())
 
 
-@pytest.mark.parametrize("together", [suffix_dedup.TOGETHER, 40])
-def test_suffix_dedup_of_patchworks(spark, together, monkeypatch):
-    draw = random.Random(together)
+def patchwork(seed: int) -> list[tuple]:
+    draw = random.Random(seed)
     pieces = ["".join(draw.choice("ab") for _ in range(n)) for n in (20, 49, 50, 51, 70, 120)] + ["a" * 130, "ab" * 60]
-    rows = [(i, "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 6))), None, None, None) for i in range(60)]
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
-    assert plain(suffix_dedup.removed(data.table(spark, rows)).collect()) == brute_removed(rows)
-    kept = {r.doc_id: r.text for r in suffix_dedup.without_repeats(data.table(spark, rows)).collect()}
+    return [(i, "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 6))), None, None, None) for i in range(60)]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0, 3])
+def test_suffix_dedup_of_patchworks(spark, hot, monkeypatch):
+    rows = patchwork(hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)  # the block maker takes it along
+    assert plain(suffix_dedup.removed(data.table(spark, rows), hot).collect()) == brute_removed(rows)
+    kept = {r.doc_id: r.text for r in suffix_dedup.without_repeats(data.table(spark, rows), hot).collect()}
     sizes = {k[0]: k[1] - k[2] for k in brute_removed(rows)}
     assert {d: len(t) for d, t in kept.items()} == sizes
 
 
+def test_class_repeats_in_small_parts(monkeypatch):
+    texts = [r[1].encode() for r in patchwork(1)]
+    data_, starts = b"".join(texts), np.concatenate(([0], np.cumsum(list(map(len, texts)))))
+    _, place, first, last = suffix_dedup.anchors(data_, starts)
+    classes = sorted({(data_[a : b + suffix_dedup.LEAST], p - a) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)})
+    low = [i * 7 % 40 for i in range(len(classes))]
+    whole = suffix_dedup.class_repeats(classes, low)
+    assert len(whole)
+    for together in (1, 40):
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        assert (suffix_dedup.class_repeats(classes, low) == whole).all()
+
+
 def test_maximal_repeats_by_brute_force():
     draw = random.Random(4)
     text = bytes(draw.choice(b"ab") for _ in range(120))
