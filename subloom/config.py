@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +125,13 @@ def searches_automatically(o: Options) -> bool:
     return o.quality_profile != "old_perfect" and o.crop is None and o.speed != "fast"
 
 
+def model_url(explicit: str | None = None, environ: Mapping[str, str] = os.environ, in_container: bool = False) -> str:
+    """Where a model server is asked: the given address, the environment's, the container's host, this machine."""
+    host = "host.docker.internal" if in_container else "localhost"
+    found = explicit or environ.get("OLLAMA_BASE_URL") or environ.get("OLLAMA_HOST") or f"http://{host}:11434"
+    return (found if "://" in found else f"http://{found}").rstrip("/")
+
+
 def needs_rerun(o: Options, duration_s: float, blocks: int) -> bool:
     """The guard against a poor yield."""
     return o.quality_profile == "default" and o.speed == "quality" and o.full_range and 50 * 60 <= duration_s <= 70 * 60 and blocks < 450

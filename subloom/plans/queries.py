@@ -426,3 +426,27 @@ ORACLE_SQL = {
         SELECT video_id, round(min(t), 3) AS start, round(max(t) + 21600, 3) AS "end", count(*) AS readings, round(max(confidence), 6) AS confidence FROM s GROUP BY video_id, k""",
 }
 ORACLE_SQL["blocks_voted"] = ORACLE_SQL["blocks_exact"]
+_PARTED = f"regexp_replace({O.norm('text')}, '([{LATIN.lower}])([{LATIN.upper}])', '\\1 \\2', 'g')"
+_TIDY = f"trim(regexp_replace({_PARTED}, '[ ]+([,.!?;:])', '\\1', 'g'), {O.q(T.PUNCTUATION)})"
+ORACLE_SQL["cleanup_blocks"] = f"""
+    WITH {_CONV}, c AS (SELECT video_id, block_no, {_TIDY} AS t FROM cv), w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS k FROM c),
+    d AS (SELECT *, t = '' OR (len(k) >= 3 AND {O.size_of("k", "length(x) <= 2")} / greatest(1, len(k)) > 0.70) OR {O.repeats("t", 6)} AS gone FROM w)
+    SELECT video_id, block_no::INTEGER AS block_no, {O.norm("t")} AS text FROM d WHERE NOT gone
+"""
+_W, _LW = O.words("t"), O.words("lower(t)")
+_J, _OWN = O.joined(_W), O.count("t", LATIN.letters)
+_SAFE = f"({O.joined(_LW, ' ')} IN ({', '.join(map(O.q, LATIN.safe_phrases))}) OR {O.size_of(_LW, f'length(x) >= 3 AND list_contains({O.listed(LATIN.safe_words)}, x)')} > 0)"
+_FEW = O.size_of(_LW, "length(x) <= 2")
+ORACLE_SQL["language_checks"] = f"""
+    WITH n AS (SELECT doc_id, text AS raw, {O.norm("text")} AS t FROM ({_DOCS})),
+    f AS (SELECT doc_id, {O.valid_short("t")} AS sh, {O.size_of(O.words("lower(t)"), f"list_contains({O.listed(LATIN.common)}, x)")} AS common, {_OWN} AS own, len({_W}) AS n, length({_J}) AS chars, {O.vowels(_J)} AS v,
+        {O.size_of(_W, "length(x) >= 3")} AS longer, {O.size_of(_W, "length(x) <= 2")} AS few, {O.count(_J, chr(92) + "p{Lu}")} AS up, {" OR ".join(f"({c})" for _, c in O.noise_flags("t"))} AS noisy FROM n),
+    g AS (SELECT *, n > 0 AND (sh OR (NOT noisy AND chars >= 5 AND v / greatest(1, chars) >= 0.22 AND (common > 0 OR longer >= 2 OR chars >= 12))) AS good FROM f),
+    b AS (SELECT doc_id, {_OWN} AS own, {_SAFE} AS safe, len({_LW}) AS n, {_FEW} AS few, {O.size_of(_LW, "length(x) <= 3")} AS tiny, {O.size_of(_LW, "length(x) >= 4")} AS longer,
+        (regexp_matches(t, '[{LATIN.letters}]')::INT + regexp_matches(t, '[{LATIN.foreign}]')::INT + regexp_matches(t, '[\\x{{0370}}-\\x{{03ff}}]')::INT) AS scripts, {O.count(O.joined(_LW), LATIN.vowels)} AS v
+      FROM (SELECT doc_id, raw AS t FROM n))
+    SELECT doc_id, good, sh OR common > 0 OR good AS acceptable, g.own > 20 AND g.n >= 3 AND g.v / greatest(1, chars) >= 0.18 AND g.few / greatest(1, g.n) <= 0.55 AND up / greatest(1, chars) <= 0.65 AS damaged,
+      b.own BETWEEN 1 AND 19 AND NOT safe AND (b.few / greatest(1, b.n) > 0.50 OR b.tiny = b.n OR scripts >= 2 OR (b.own >= 4 AND b.v / greatest(1, b.own) < 0.20)) AS short_noise,
+      b.own >= 20 AND NOT safe AND b.n >= 4 AND b.few / greatest(1, b.n) >= 0.55 AND b.longer < 2 AS fragments
+    FROM g JOIN b USING (doc_id)
+"""

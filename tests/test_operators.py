@@ -238,6 +238,12 @@ def test_configuration(spark):
         Crop(0.5, 0.4)
 
 
+def test_model_url():
+    assert config.model_url("http://a/", {}) == "http://a"
+    assert config.model_url(None, {"OLLAMA_HOST": "b:1", "OLLAMA_BASE_URL": ""}) == "http://b:1"
+    assert config.model_url(None, {}, True) == "http://host.docker.internal:11434"
+
+
 def test_observation_cache(spark):
     runs = inputs.with_digest(spark.createDataFrame([("a", 0.5, None), ("b", 0.5, 1)], "video string, rate double, cap int"), ["video", "rate"])
     cache = runs.where("video = 'a'").withColumn("results", F.lit("r"))
