@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .common import batched, plain, rows_of, worker_state
 
-MEMO = 600_000
+MEMO = 500_000
 #: Characters of the longest piece that the memo holds.
 SHORT = 48
 #: What \s matches in the file's white space rule; str.split() also parts at U+001C to U+001F, which it does not match.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -89,10 +91,12 @@ def worker_state(key: tuple, make):
 
 
 def release_worker_state() -> None:
-    """Free what earlier operators kept in this Python worker."""
+    """Free what earlier operators and tasks have left in this Python worker, and give it back to the system."""
     if _kept:
         _kept.clear()
         gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def has_letter(text: str, found=re.compile(r"[^\W\d_]").search) -> bool:

@@ -38,7 +38,7 @@ PATTERNS = 40_000
 #: Shares of the fit that are also tried, leaving more to best fit; 0 leaves it all.
 SHARES = (0.75, 0.5, 0.25, 0.0)
 #: Entries of the memo of each Python worker.
-MEMO = 1_600_000
+MEMO = 700_000
 #: Characters of the longest piece that it holds.
 SHORT = 48
 #: Pieces that one part of a length holds, on average.
