@@ -144,7 +144,8 @@ def exact_groups(docs: DataFrame, modulus: int | None = None) -> DataFrame:
     """
     prints = materialise(fingerprints(docs, modulus), "exact-prints")
     key = ["fp_len", "fp"]
-    many = prints.groupBy(*key).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    # written, so that joins with it read both sides anew and can split a common key
+    many = materialise(prints.groupBy(*key).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "exact-many")
     # the texts of groups of two and more, each held against the row that would stay
     among = prints.join(many, key, "left_semi").select(F.col("doc_id").alias("id")).distinct()
     base = plain(docs, "doc_id", "text")
