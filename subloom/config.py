@@ -37,7 +37,7 @@ class Crop:
 
 @dataclass(frozen=True)
 class Options:
-    """What a run does, with the reference defaults."""
+    """What a run does, with its defaults."""
 
     engine: str = "paddle"
     preset: str = "recall"
