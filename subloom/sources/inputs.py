@@ -22,7 +22,7 @@ def frames_in(frames: DataFrame, start: float | None = None, end: float | None =
 
 def urls(spark: SparkSession, path: str) -> DataFrame:
     """url: one for each line that isn't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("url")).where("url <> ''")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
