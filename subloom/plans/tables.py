@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer partitions than there are cores, dealt to all: rules on whole texts cost far more than moving them."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def seconds(ts) -> F.Column:
     """Seconds of a timestamp without zone, as a double."""
     return F.unix_micros(ts.cast("timestamp")) / 1e6
@@ -34,7 +40,7 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as readings: two neighbouring documents are one frame's two engines."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select(
         F.col("source").alias("video_id"),
         F.floor(F.col("doc_id") / 2).alias("frame_id"),
