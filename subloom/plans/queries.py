@@ -450,3 +450,6 @@ ORACLE_SQL["language_checks"] = f"""
       b.own >= 20 AND NOT safe AND b.n >= 4 AND b.few / greatest(1, b.n) >= 0.55 AND b.longer < 2 AS fragments
     FROM g JOIN b USING (doc_id)
 """
+
+#: SQL that takes minutes on larger tables; tests run it on the smallest.
+SLOW_SQL = {name: ORACLE_SQL.pop(name) for name in ("preset_grid", "preset_choice")}

@@ -22,10 +22,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.engine.ORACLE_SQL))
+SQL = entry.engine.ORACLE_SQL | entry.engine.SLOW_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, duck, name):
     got = entry.engine.QUERIES[name](spark, SF)
-    rel = duck.sql(entry.engine.ORACLE_SQL[name])
+    rel = duck.sql(SQL[name])
     cols = sorted(got.columns)
     assert sorted(rel.columns) == cols
     value = lambda x: round(float(x), 6) if isinstance(x, float) or type(x).__name__ == "Decimal" else x
