@@ -5,8 +5,10 @@ from __future__ import annotations
 import array
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -295,6 +297,25 @@ def test_licences(spark):
     assert licenses.collision(0.25) > 0.9999
 
 
+def brute_licences(text):
+    def shingles(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return {tuple(w[i : i + licenses.SHINGLE]) for i in range(len(w) - licenses.SHINGLE + 1)}
+
+    own = shingles(text)
+    return ",".join(sorted(n for n, t in licenses.TEMPLATES.items() if len(own & shingles(t)) >= licenses.CONTAINMENT * len(shingles(t))))
+
+
+def test_licences_beside_each_other(spark):
+    notice = licenses.TEMPLATES
+    texts = [" ".join(notice[n] for n in names) for k in (2, 3) for names in permutations(["MIT", "CC-BY-NC-4.0", "ISC", "MIT-grant", "Apache-2.0-header", "GPL-3.0"], k)]
+    texts += [f"{a} {b}" for a, b in combinations(notice.values(), 2)] + [" ".join(notice.values())]
+    got = {r.doc_id: r.licences for r in licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # all are within a window of 512 words
+    assert got == {i: brute_licences(t) for i, t in enumerate(texts)}
+    assert set(got[len(texts) - 1].split(",")) == set(notice)
+
+
 def brute_removed(rows):
     texts = [((1 << 63) - 1 if r[0] is None else r[0], (r[1] or "").encode()) for r in rows]
     least = {}
