@@ -6,7 +6,8 @@ between toxic and other training texts; a logistic regression is fitted on the
 scaled features.
 
 Only fitting uses a sample: at most ``POSITIVE`` toxic and ``NEGATIVE`` other
-labelled rows, those of the least hash of their id, whole texts each.  A score
+labelled ids, those of the least hash, with a whole text each: of rows that
+repeat an id the text of the least hash.  A score
 of 0.5 is where the sample's classes part with least error, weighted by the
 share of toxic rows among all training labels.
 
@@ -132,9 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
         features = Features()
         return batched(((int(t == 1), features.of(text).tobytes()) for t, text in rows_of(batches, "toxic", "text")), schema, 64)
 
-    rows = plain(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, features binary")
+    # of rows that repeat a sampled id the one of the least hash of its text
+    texts = plain(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    rows = texts.select("toxic", "row.text").mapInArrow(run, "toxic int, features binary")
     found = sorted((r[0], bytes(r[1])) for r in rows.toLocalIterator())
-    return fit([(t, np.frombuffer(f, np.int32)) for t, f in found[: 2 * (POSITIVE + NEGATIVE)]], share)
+    return fit([(t, np.frombuffer(f, np.int32)) for t, f in found], share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -433,3 +433,18 @@ def test_gumbel_draws_are_standard():
     draws = np.array([quality.gumbel(i) for i in range(20_000)])
     assert abs(draws.mean() - 0.5772) < 0.03
     assert abs(draws.var() - np.pi**2 / 6) < 0.07
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_toxicity_of_repeated_rows(spark, times, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "NEGATIVE", 40)
+    draw = random.Random(4)
+    say = lambda words: " ".join(draw.choice(words) for _ in range(30))
+    toxic = {i: i % 3 == 0 for i in range(300)}
+    docs = [(i, say(["vile", "scum", "hateful"]) + " " + say(data.WORDS) if t else say(data.WORDS)) for i, t in toxic.items()]
+    docs = docs[:1] + docs[1:] * times + [docs[1]] * (200 * (times - 1))
+    labels = spark.createDataFrame([(i, int(t)) for i, t in toxic.items()], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels).collect()
+    assert len(got) == len(docs)
+    assert sum(r.predicted == toxic[r.doc_id] for r in got) >= 0.99 * len(got)
