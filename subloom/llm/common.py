@@ -16,24 +16,53 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dir: dict[str, str] = {}
+_made: dict[str, list[tuple[str, str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of its own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of its own only where that is unset and all tasks run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="subloom-")
     return _own_dir[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+def made(spark: SparkSession, path: str, table: str = "") -> None:
+    """Note an intermediate folder (and the table that is on it), so that it can be dropped."""
+    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
+
+
+def intermediates(spark: SparkSession) -> int:
+    """How many intermediate folders are noted: a mark for ``drop_intermediates``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate folders noted after the mark; what reads them lazily must have been written by then."""
+    noted = _made.get(spark.sparkContext.applicationId, [])
+    for path, table in noted[since:]:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+    del noted[since:]
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The folder is noted as an intermediate one, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        made(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

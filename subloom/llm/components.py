@@ -13,9 +13,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """u, v, m: m is the least of u and what it is linked to in ``pairs``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
+    """u, v, m: m is the least of u and what it is linked to in ``pairs``.
+
+    The least ones are written first: the join then reads both sides anew, and a
+    hub's links can be split among tasks.
+    """
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
+    return pairs.join(least, "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        edges = materialise(_small_star(materialise(_large_star(edges), "links")), "links")
         if (new := _state(edges)) == state:
             break
         state = new

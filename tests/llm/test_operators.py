@@ -13,6 +13,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from subloom.llm import bpe, components, exact_dedup, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity, winnowing
 from subloom.llm.queries import tokenizer_path
@@ -240,7 +241,7 @@ def test_plan_uses_every_piece_once(seed):
 def brute_winnow(text):
     k, w = winnowing.K, winnowing.W
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) & (1 << 36) - 1 for g in grams]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) & (1 << winnowing._HASH) - 1 for g in grams]
     windows = [range(i, i + w) for i in range(len(hashes) - w + 1)] or ([range(len(hashes))] if hashes else [])
     return sorted({(-place, least) for least, place in (min((hashes[i], -i) for i in r) for r in windows)})
 
@@ -252,7 +253,7 @@ def test_winnowing(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for r in winnowing.fingerprints(df).collect():
         assert [(p.position, p.hash) for p in r.places] == brute_winnow(texts[r.doc_id])
-    digest = lambda t: hashlib.sha256(",".join(format((h << 27) + (1 << 27) - 1 - p, "X") for p, h in brute_winnow(t)).encode()).hexdigest()
+    digest = lambda t: hashlib.sha256(",".join(format((h << winnowing._PLACE) + (1 << winnowing._PLACE) - 1 - p, "X") for p, h in brute_winnow(t)).encode()).hexdigest()
     like = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
     for r in winnowing.edited_likeness(df).collect():
         text, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
@@ -270,6 +271,27 @@ def test_shared_passages_share_a_hash():
     assert {h for _, h in brute_winnow(a + passage + a)} & {h for _, h in brute_winnow(b + passage)}
 
 
+def test_next_documents_of_hot_ids(spark):
+    """A third of the rows without id, a third with one id, identical rows: every row once, each after the one before it."""
+    rows = [(None, f"null {i % 40}") for i in range(60)] + [(7, f"seven {i} " * 4) for i in range(60)] + [(i, f"text of {i} " * 9) for i in range(60)] + [(9, "again and again, the very same row")] * 30
+    base = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hash_of = {r.text: r.h for r in base.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hash_of[r[1]]))
+    want = Counter((d, t, ordered[(i + 1) % len(ordered)][1]) for i, (d, t) in enumerate(ordered))
+    got = winnowing._with_next(base)
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got.select("doc_id", "text", "next_text").collect()) == want
+    sizes = base.withColumn("h", F.xxhash64("text")).groupBy(winnowing._parts(base.withColumn("h", F.xxhash64("text")), 12).alias("part")).count().collect()
+    assert max(r["count"] for r in sizes) <= 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
+def test_cuts_below_a_value(spark, n):
+    cuts = [3 * i for i in range(n)]
+    values = [-1, 0, 1, 2, 3, 4, 3 * n // 2, 3 * n, 3 * n + 9]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", winnowing._below(cuts, F.col("v")).alias("k")).collect()
+    assert {r.v: r.k for r in got} == {v: sum(c < v for c in cuts) for v in values}
+
+
 def test_next_document_of_repeated_and_null_ids(docs):
     rows = winnowing.edited_likeness(docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in data.rows())
@@ -343,10 +365,13 @@ def patchwork(seed: int) -> list[tuple]:
     return [(i, "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 6))), None, None, None) for i in range(60)]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0, 3])
-def test_suffix_dedup_of_patchworks(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "buckets", "touch"), [(suffix_dedup.HOT, 100_000, 4096), (0, 100_000, 4096), (3, 2, 4096), (3, 2, 4), (0, 1, 7)])
+def test_suffix_dedup_of_patchworks(spark, hot, buckets, touch, monkeypatch):
     rows = patchwork(hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)  # the block maker takes it along
+    monkeypatch.setattr(suffix_dedup, "BUCKETS", buckets)  # fewer than partitions: some share a bucket
+    monkeypatch.setattr(suffix_dedup, "TOUCH", touch)  # hashes meet in two levels
+    monkeypatch.setattr(suffix_dedup, "RANGE", 20)
     assert plain(suffix_dedup.removed(data.table(spark, rows), hot).collect()) == brute_removed(rows)
     kept = {r.doc_id: r.text for r in suffix_dedup.without_repeats(data.table(spark, rows), hot).collect()}
     sizes = {k[0]: k[1] - k[2] for k in brute_removed(rows)}
@@ -359,11 +384,13 @@ def test_class_repeats_in_small_parts(monkeypatch):
     _, place, first, last = suffix_dedup.anchors(data_, starts)
     classes = sorted({(data_[a : b + suffix_dedup.LEAST], p - a) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)})
     low = [i * 7 % 40 for i in range(len(classes))]
-    whole = suffix_dedup.class_repeats(classes, low)
-    assert len(whole)
+    times = [1 + i % 2 for i in range(len(classes))]
+    leaf, inner = suffix_dedup.class_repeats(classes, low, times)
+    assert len(inner) and leaf.tolist() == [t > 1 for t in times]
     for together in (1, 40):
         monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
-        assert (suffix_dedup.class_repeats(classes, low) == whole).all()
+        again = suffix_dedup.class_repeats(classes, low, times)
+        assert (again[0] == leaf).all() and (again[1] == inner).all()
 
 
 def test_maximal_repeats_by_brute_force():
