@@ -15,9 +15,9 @@ text is then that of both parts and of the windows across the joint.
 Defined results.  Null text is empty; an empty text's fingerprint has no pairs,
 and two of them are alike (1.0).  A text shorter than a window has one window,
 one shorter than a gram is one gram.  Equal texts have equal fingerprints.
-The next document is the next row by ``doc_id`` (nulls first) and hash of text;
-after the last row comes the first, and a single row is its own next.  An empty
-table gives an empty result.
+The next document is the next row by ``doc_id`` (nulls first) and hash of text,
+its like where a row is repeated; after the last row comes the first, and a
+single row is its own next.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import materialise, plain
 
 K, W = 8, 16
 #: Code points in a row that are sure to be detected.
 GUARANTEE = K + W - 1
 SEGMENT = 1 << 14
-_PLACE = 27
+#: Bits of a packed long for a place (no string of the JVM is longer) and for the hash.
+_PLACE, _HASH = 31, 32
 _LAST = (1 << _PLACE) - 1
 
 
@@ -61,7 +62,7 @@ def _segment(text: Column, at: Column, whole: bool) -> Column:
         grams = F.when(F.char_length(text).between(1, K - 1), F.array(text)).otherwise(grams)
 
     def select(g: Column) -> Column:
-        packed = F.transform(g, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit((1 << 36) - 1)), _PLACE) + (F.lit(_LAST) - F.least(at + i, F.lit(_LAST))))
+        packed = F.transform(g, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit((1 << _HASH) - 1)), _PLACE) + (F.lit(_LAST) - (at + i)))
         count = F.size(g) - F.lit(W - 1)
         if whole:
             count = F.when((count < 1) & (F.size(g) > 0), F.lit(1)).otherwise(count)
@@ -110,30 +111,67 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return base.withColumn("p", winnow(F.col("text"))).select("doc_id", places(F.col("p")).alias("places"), digest(F.col("p")).alias("fingerprint"))
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are less than a value: first among every so many, then between two of those."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    if not groups:
+        return F.lit(0)
+    within = lambda given: F.size(F.filter(given, lambda c: c < value))
+    coarse = within(F.lit([g[-1] for g in groups]))
+    fine = within(F.coalesce(F.get(F.lit(groups), coarse), F.array().cast("array<bigint>")))
+    return F.least(coarse * step, F.lit(len(cuts))) + fine
+
+
+def _parts(rows: DataFrame, n: int) -> Column:
+    """A number that ascends with (doc_id, h), nulls first, of which each value has about as many rows.
+
+    An id that many rows carry (null is one) takes several numbers, by hash.
+    """
+    share = [(i + 1) / n for i in range(n - 1)] or [0.5]
+    found = rows.agg(F.percentile_approx("doc_id", share, 10 * n).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    cuts: dict[int, int] = {}
+    for c in found["cuts"] or []:
+        if c is not None:
+            cuts[c] = cuts.get(c, 0) + 1
+    often = {c: m for c, m in cuts.items() if m > 1}
+    none = found["nulls"] * n // max(1, found["n"]) + 1
+    most = max([none, *often.values()]) + 1
+    high = F.shiftright(F.col("h"), 32) + (1 << 31)  # the hash's upper half, ascending with it
+    by_hash = lambda m: F.shiftright(high * m, 32)
+    times = F.try_element_at(F.create_map(*[F.lit(x) for c in often.items() for x in c]), F.col("doc_id")) if often else F.lit(None).cast("int")
+    own = F.when(F.col("doc_id").isNull(), by_hash(F.lit(none))).when(times.isNotNull(), 1 + by_hash(times)).otherwise(F.lit(0))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _below(list(cuts), F.col("doc_id"))).cast("long") * most + own
+
+
 def _with_next(base: DataFrame) -> DataFrame:
     """``base`` (doc_id, text) with fingerprint and the next row's text and fingerprint; whole texts are shuffled once."""
     spark = base.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = base.agg(F.percentile_approx("doc_id", [(i + 1) / (3 * n) for i in range(3 * n - 1)] or [0.5], 10 * n)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    below = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col("doc_id")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = base.select("doc_id", "text", F.xxhash64("text").alias("h"), F.when(F.col("doc_id").isNull(), -1).otherwise(below).alias("part"))
+    n = 3 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = base.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    again = None
+    repeated = materialise(rows.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), (F.col("count") - 1).alias("more")), "winnowing-repeated")
+    if not repeated.isEmpty():  # of rows that are repeated one is followed by the next document, the others by their like
+        same = rows.doc_id.eqNullSafe(repeated.d) & (rows.h == repeated.g)
+        one = rows.join(repeated, same).dropDuplicates(["doc_id", "h"])
+        again = one.withColumn("p", winnow(F.col("text"))).select("doc_id", "text", "p", F.explode(F.sequence(F.lit(1).cast("long"), "more"))).drop("col")
+        again = again.withColumns({"next_text": F.col("text"), "next_p": F.col("p")})
+        rows = rows.join(repeated, same, "left_anti").unionByName(one.select("doc_id", "text", "h"))
+    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    rows = rows.withColumn("part", _parts(rows, n))
     # the first row of each part follows the last one of the part before: a copy goes there
-    heads = sorted(rows.groupBy("part").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), "h")).alias("x")).select("part", "x.d", "x.h").collect())  # a row a part
+    heads = sorted(rows.groupBy("part").agg(F.min(F.struct(least.alias("d"), "h")).alias("x")).select("part", "x.d", "x.h").collect())  # a row a part
     if not heads:
         return rows.select("doc_id", "text", F.lit("").alias("next_text")).withColumn("p", winnow(F.col("text"))).withColumn("next_p", F.col("p"))
     ahead = [(d, h, heads[i - 1][0]) for i, (_, d, h) in enumerate(heads)]
-    ghosts = spark.createDataFrame(ahead, "d long, h long, part int")
-    copies = (
-        rows.drop("part").join(F.broadcast(ghosts), (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == ghosts.d) & (rows.h == ghosts.h))
-        .select("doc_id", "text", rows.h, "part").dropDuplicates(["part"])
-    )
+    ghosts = spark.createDataFrame(ahead, "d long, g long, part long")
+    copies = rows.drop("part").join(F.broadcast(ghosts), (least == ghosts.d) & (rows.h == ghosts.g)).select("doc_id", "text", "h", "part").dropDuplicates(["part"])
     all_rows = rows.withColumn("ghost", F.lit(False)).unionByName(copies.withColumn("ghost", F.lit(True))).repartition(n, "part")
     printed = all_rows.withColumn("p", winnow(F.col("text")))
-    w = Window.partitionBy("part").orderBy("ghost", *order)
+    w = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.col("h"))
     out = printed.withColumn("next_text", F.lead("text").over(w)).withColumn("next_p", F.lead("p").over(w))
-    return out.where("not ghost").select("doc_id", "text", "p", "next_text", "next_p")
+    out = out.where("not ghost").select("doc_id", "text", "p", "next_text", "next_p")
+    return out if again is None else out.unionByName(again.select(out.columns))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
