@@ -9,21 +9,32 @@ defaults to the number of documents that the target model makes likelier.
 
 N-grams are of words (one and two) and of word shapes (one to three): which
 kinds of characters a word holds and whether it repeats a word just before.
+Words are never cut, however long a text is.
 
 All rows are counted in the raw model and scored.  The target model alone is
 fitted on a bounded sample, at most ``TARGET`` labelled rows.
 
+A small target must not make what it happens to lack look bad.  So a document's
+own n-grams are taken out of both models when it is scored, and the target model
+is smoothed towards the raw one (a Dirichlet prior as heavy as the target
+itself): an n-gram without evidence in either has ratio 0.  What drift remains
+is the same for every n-gram, and is calibrated: ``drift``, taken off each
+n-gram's ratio, is the middle of the gap between the mean ratios of labelled
+texts of quality 1 and 0 (at most ``TARGET`` of each; without texts of quality 0
+it lies below the least of quality 1).
+
 Defined results.  Null and wordless texts have weight 0 exactly and, as they
 are not likelier under the target, count nothing towards ``k``.  Ties with the
 k-th key are all selected; repeated rows have equal keys and share their fate.
-Null ids share one draw of noise.  A ``doc_id`` labelled twice has its larger
-label.  Without target rows every weight is 0 and nothing is selected; an empty
-table gives an empty result.
+Null ids share one draw of noise and are never labelled.  A ``doc_id`` labelled
+twice has its larger label.  Without target rows every weight is 0 and nothing
+is selected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +45,13 @@ from .common import batched, materialise, plain, release_worker_state, rows_of
 
 BITS = 16
 ALPHA = 0.5
-#: The target model is fitted on at most so many labelled rows, those of the least hash of their id.
+#: Labelled rows of each class that the target model and the drift are fitted on at most, those of the least hash of their id.
 TARGET = 20_000
 SEED = 11
 _BASE = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_STRETCH = 1 << 20
+#: Bytes and words that are looked at together.
+_STRETCH, _CHUNK = 1 << 20, 1 << 18
 
 #: Kind of each byte, as a bit.
 _KIND = np.full(256, 1 << 7, np.uint16)
@@ -54,78 +66,172 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return ((x * _ODD) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(text: str | None) -> np.ndarray:
-    """Buckets of a text's n-grams, with repeats."""
-    whole = (text or "").encode("utf-8", "replace")
-    out = []
-    at = 0
-    while at < len(whole):  # long texts in stretches that end between words, where there are words
-        end = min(len(whole), at + _STRETCH)
-        if end < len(whole) and (space := whole.rfind(b" ", at, end)) > at:
-            end = space
-        out.append(_stretch(whole[at:end]))
-        at = end
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def _stretch(piece: bytes) -> np.ndarray:
-    data = np.frombuffer(piece, np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.int64)
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and kinds of characters of every word, in order."""
+    hashes, kinds, open_ = [], [], 0  # open_: bytes of the last word, where a stretch ends within it
+    for lo in range(0, len(data), _STRETCH):
+        part = np.frombuffer(data, np.uint8, min(_STRETCH, len(data) - lo), lo)
+        blank = (part == 32) | ((part >= 9) & (part <= 13))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            open_ = 0
+            continue
+        with np.errstate(over="ignore"):
+            # sum of byte * base**position, shifted to the word: equal words have equal sums
+            powers = np.cumprod(np.full(len(part), _BASE))
+            prefix = np.concatenate(([np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers)))
+            inverse = np.cumprod(np.full(len(part), np.uint64(pow(int(_BASE), -1, 1 << 64))))
+            word = (prefix[ends] - prefix[starts]) * inverse[starts]
+            own = _KIND[part]
+            own[blank] = 0
+            kind = np.bitwise_or.reduceat(own, starts)
+            length = int(ends[0])
+            if open_ and starts[0] == 0:  # the rest of the word that the stretch before began
+                shift = np.uint64(pow(int(_BASE), open_, 1 << 64))
+                hashes[-1][-1] += shift * word[0]
+                kinds[-1][-1] |= kind[0]
+                length += open_
+                word, kind = word[1:], kind[1:]
+        if len(word):
+            hashes.append(word)
+            kinds.append(kind)
+        if ends[-1] == len(part):
+            open_ = length if len(starts) == 1 and starts[0] == 0 else int(ends[-1] - starts[-1])
+        else:
+            open_ = 0
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.uint16)
+    return np.concatenate(hashes), np.concatenate(kinds)
+
+
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of a text's n-grams, with repeats, some words at a time."""
+    word, kind = _words((text or "").encode("utf-8", "replace"))
     with np.errstate(over="ignore"):
-        # sum of byte * base**position, shifted to the word: equal words have equal sums
-        powers = np.cumprod(np.full(len(data), _BASE))
-        prefix = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)))
-        inverse = np.cumprod(np.full(len(data), np.uint64(pow(int(_BASE), -1, 1 << 64))))
-        word = (prefix[ends] - prefix[starts]) * inverse[starts]
-        kinds = _KIND[data]
-        kinds[blank] = 0
-        shape = np.bitwise_or.reduceat(kinds, starts).astype(np.uint64)
+        shape = kind.astype(np.uint64)
         for back in (1, 2):
             shape[back:] |= np.where(word[back:] == word[:-back], np.uint64(1 << (8 + back)), np.uint64(0))
         shape = (shape + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
-        found = [_mix(word, 1), _mix(shape, 3)]
-        if len(word) > 1:
-            found += [_mix(word[:-1] * np.uint64(31) + word[1:], 2), _mix(shape[:-1] * np.uint64(31) + shape[1:], 4)]
-        if len(word) > 2:
-            found.append(_mix((shape[:-2] * np.uint64(31) + shape[1:-1]) * np.uint64(31) + shape[2:], 5))
-    return np.concatenate(found)
-
-
-def model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of target and raw probability of every bucket."""
+        join = lambda a, b: a * np.uint64(31) + b
+        for lo in range(0, len(word), _CHUNK):
+            hi = lo + _CHUNK
+            w, s = word[lo : hi + 1], shape[lo : hi + 2]
+            pairs = join(s[:-1], s[1:])
+            yield np.concatenate([_mix(w[:_CHUNK], 1), _mix(s[:_CHUNK], 3), _mix(join(w[:-1], w[1:]), 2), _mix(pairs[:_CHUNK], 4), _mix(join(pairs[:-1], s[2:]), 5)])
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each occurs."""
+    parts = [np.unique(x, return_counts=True) for x in features(text)]
+    if len(parts) == 1:
+        return parts[0]
+    held = np.zeros(1 << BITS, np.int64)
+    for bucket, n in parts:
+        held[bucket] += n
+    there = np.flatnonzero(held)
+    return there, held[there]
+
+
+@dataclass
+class Model:
+    """Counts of every bucket in the raw corpus and the target, which documents are the target, and what is taken off each ratio."""
+
+    raw: np.ndarray
+    target: np.ndarray
+    ids: frozenset[int]
+    drift: float = 0.0
+
+    def __post_init__(self):
+        self.totals = self.raw.sum(), self.target.sum()
+
+    def weigh(self, doc: int | None, text: str | None) -> tuple[float, int]:
+        """Log weight of a text under both models without it, and the number of its n-grams."""
+        bucket, n = counted(text)
+        size = int(n.sum())
+        if not size or not self.totals[1]:
+            return 0.0, size
+        own = n if doc in self.ids else 0
+        raw, target = self.raw[bucket] - n, self.target[bucket] - own
+        all_raw, all_target = self.totals[0] - size, self.totals[1] - (size if doc in self.ids else 0)
+        share = (raw + ALPHA) / (all_raw + ALPHA * len(self.raw))
+        prior = self.totals[1]
+        ratio = np.log((target + prior * share) / (all_target + prior) / share)
+        return float(n @ ratio) - self.drift * size, size
+
+
+def _labelled(labels: DataFrame, quality: int) -> list[int]:
+    """At most ``TARGET`` ids of that label."""
     known = plain(labels, "doc_id", "quality").where("quality is not null and doc_id is not null")
-    good = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET).select("doc_id")  # TARGET rows at most, so it can be broadcast
+    own = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).where(F.col("quality") == quality)
+    return [r[0] for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET).select("doc_id").collect()]
+
+
+def _middle(good: np.ndarray, bad: np.ndarray) -> float:
+    """The middle of the gap that parts the classes, given by their mean ratios, with least error; each class weighs as much."""
+    if not len(good):
+        return 0.0
+    if not len(bad):
+        return float(good.min() - max(1e-3, good.max() - good.min()))
+    x, y = np.concatenate((good, bad)), np.repeat((1 / len(good), -1 / len(bad)), (len(good), len(bad)))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    wrong = np.concatenate(([0.0], np.cumsum(y)))  # good texts below the cut less bad ones
+    k = int(np.argmin(wrong))
+    low, high = x[k - 1] if k else x[0] - 1, x[k] if k < len(x) else x[-1] + 1
+    return float(low + high) / 2
+
+
+def model(docs: DataFrame, labels: DataFrame) -> Model:
+    """Both models, counted in one pass over all texts, and the drift, from one over the labelled ones."""
+    good = frozenset(_labelled(labels, 1))
     size = 1 << BITS
+    sent = docs.sparkSession.sparkContext.broadcast(good)  # at most TARGET ids
     pair = pa.schema([("target", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
         held = np.zeros((2, size), np.int64)
-        for text, is_target in rows_of(batches, "text", "target"):
-            found = features(text)
-            np.add.at(held[0], found, 1)
-            if is_target:
-                np.add.at(held[1], found, 1)
+        for doc, text in rows_of(batches, "doc_id", "text"):
+            bucket, n = counted(text)
+            held[0, bucket] += n
+            if doc in sent.value:
+                held[1, bucket] += n
         for kind in (0, 1):
             there = np.flatnonzero(held[kind])
             for lo in range(0, len(there), 16384):
                 some = there[lo : lo + 16384]
                 yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(some)), pa.array(some.astype(np.int32)), pa.array(held[kind][some])], schema=pair)
 
-    marked = plain(docs, "doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left").select("text", "target")
-    totals = marked.mapInArrow(total, "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n"))
+    base = plain(docs, "doc_id", "text")
+    totals = base.mapInArrow(total, "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n"))
     counts = np.zeros((2, size))
     for is_target, bucket, n in totals.collect():  # at most 2 * 2**BITS rows
         counts[int(is_target), bucket] = n
-    if not counts[1].sum():
-        return np.zeros(size)
-    share = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * size)
-    return share[1] - share[0]
+    out = Model(counts[0], counts[1], good)
+    if out.totals[1]:
+        out.drift = _drift(base, out, frozenset(_labelled(labels, 0)))
+    return out
+
+
+def _drift(base: DataFrame, own: Model, bad: frozenset[int]) -> float:
+    sent = base.sparkSession.sparkContext.broadcast((own, bad))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, bad_ids = sent.value
+
+        def rows():
+            for doc, text in rows_of(batches, "doc_id", "text"):
+                weight, n = both.weigh(doc, text)
+                if n:
+                    yield doc, doc in bad_ids, weight / n
+
+        return batched(rows(), pa.schema([("doc_id", pa.int64()), ("bad", pa.bool_()), ("mean", pa.float64())]))
+
+    ids = base.sparkSession.createDataFrame([(i,) for i in own.ids | bad], "doc_id long")
+    means = base.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, bad boolean, mean double")
+    found = means.groupBy("doc_id", "bad").agg(F.min("mean").alias("mean")).collect()  # a row for each labelled id
+    return _middle(*(np.array([r["mean"] for r in found if r["bad"] == kind]) for kind in (False, True)))
 
 
 def gumbel(doc_id: int | None, seed: int = SEED) -> float:
@@ -143,14 +249,14 @@ def _sortable(x: float) -> int:
     return bits if bits >= 0 else bits ^ ((1 << 63) - 1)
 
 
-def _scored(doc: int | None, text: str | None, ratio: np.ndarray) -> tuple[float, int]:
-    weight = float(ratio[features(text)].sum())
+def _scored(doc: int | None, text: str | None, own: Model) -> tuple[float, int]:
+    weight, _ = own.weigh(doc, text)
     return weight, _sortable(weight + gumbel(doc))
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def weights(docs: DataFrame, own: Model) -> DataFrame:
     """doc_id, log_weight, key (orders as weight plus noise) for every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(own)  # of fixed size
     schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +298,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
 
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The selected rows of ``docs`` with all their columns; no row is moved between tasks."""
-    ratio = model(docs, labels)
-    least = threshold(materialise(weights(docs, ratio), "quality-weights"), k)
+    own = model(docs, labels)
+    least = threshold(materialise(weights(docs, own), "quality-weights"), k)
     if least is None:
         return docs.limit(0)
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
+    sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
