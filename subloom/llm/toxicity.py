@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed n-grams of the lower-cased text's UTF-8 bytes,
-padded by a space at both ends.  A feature's value is its log-count ratio
+Features are the distinct hashed n-grams of the lower-cased text's characters
+(code points), padded by a space at both ends.  A feature's value is its log-count ratio
 between toxic and other training texts; a logistic regression is fitted on the
 scaled features.
 
@@ -34,7 +34,7 @@ from .common import batched, plain, rows_of
 BITS = 19
 SIZES = (3, 4, 5, 6)
 POSITIVE, NEGATIVE = 1500, 3000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _ODD = np.uint64(1_114_123), np.uint64(0x9E3779B97F4A7C15)
 
 
 class Features:
@@ -44,14 +44,14 @@ class Features:
         self.last = np.zeros(1 << BITS, np.int32)
 
     def of(self, text: str | None) -> np.ndarray:
-        data = np.frombuffer(b" " + (text or "").lower().encode("utf-8", "replace") + b" ", np.uint8).astype(np.uint64)
+        data = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         found = []
         for at in range(0, max(1, len(data) - SIZES[0] + 1), 1 << 18):  # long texts in overlapping stretches
             part = data[at : at + (1 << 18) + SIZES[-1] - 1]
             rolled, n = part, 1
             for size in SIZES:
                 while n < size and len(rolled) > 1:
-                    rolled = rolled[:-1] * np.uint64(257) + part[n:]
+                    rolled = rolled[:-1] * _BASE + part[n:]
                     n += 1
                 if n == size:
                     found.append((((rolled + np.uint64(size)) * _ODD) >> np.uint64(64 - BITS)).astype(np.int32))
@@ -75,6 +75,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
+def log_count_ratios(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Naive Bayes log-count ratio of every bucket; those of one or two texts tell nothing and have 0."""
+    positive = sum(label for label, _ in rows)
+    counts = np.ones((2, 1 << BITS))
+    for label, features in rows:
+        counts[label, features] += 1
+    ratio = np.log(counts[1] / (positive + 2)) - np.log(counts[0] / (len(rows) - positive + 2))
+    ratio[(counts.sum(0) - 2) < 3] = 0
+    return ratio
+
+
 def fit(rows: list[tuple[int, np.ndarray]], share: float, epochs: int = 4, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """Naive Bayes ratios, then logistic regression by stochastic gradients with adaptive rates."""
     size = 1 << BITS
@@ -82,11 +93,7 @@ def fit(rows: list[tuple[int, np.ndarray]], share: float, epochs: int = 4, rate:
     if not len(y) or y.min() == y.max():
         share = min(max(share, 0.0), 1.0)
         return Model(np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    counts = np.ones((2, size))
-    for label, features in rows:
-        counts[label, features] += 1
-    ratio = np.log(counts[1] / (y.sum() + 2)) - np.log(counts[0] / (len(y) - y.sum() + 2))
-    ratio[(counts.sum(0) - 2) < 3] = 0  # n-grams of one or two texts tell nothing
+    ratio = log_count_ratios(rows)
     kept = [(label, features[ratio[features] != 0]) for label, features in rows]
     w, square, bias = np.zeros(size), np.full(size, 1e-6), 0.0
     draw = np.random.default_rng(7)
