@@ -5,29 +5,31 @@ text is compressed in blocks with every dictionary; the language whose bytes
 are fewest is chosen, and the choice is rejected where the margin to the next
 is narrow (``rejected``; the label stays, callers may drop it).
 
-Only the dictionaries use a sample: of each language the ``SAMPLE`` rows of the
-least hash of their id, whole texts, joined and cut at ``DICTIONARY`` bytes.
-All rows' languages are known to the classifier; over ``LANGUAGES`` different
-values are an error.
+Only the dictionaries use a sample: of each language's texts with a letter the
+``SAMPLE`` of the least hash of their id, joined and cut at ``DICTIONARY``
+bytes.  What goes to the driver and to every task is ``DICTIONARY`` bytes for
+each different value of ``lang``; a text is compressed once with each.
 
 Defined results.  Null texts and texts without a letter get ``und`` and score
 0.  Equal sizes choose the language of the least name.  Without training rows
-every text gets ``und``.  Rows are independent; null ids are not held out.
+every text gets ``und``; a language whose training texts have no letter is not
+learned.  Rows are independent; null ids are not held out.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, has_letter, plain, rows_of
 
-SAMPLE, DICTIONARY, LANGUAGES = 120, 96 << 10, 512
+SAMPLE, DICTIONARY = 120, 96 << 10
 BLOCK, LEVEL = 512, 7
 #: Margins below this share of the runner-up's size are rejected.
 NARROW = 0.01
@@ -75,24 +77,34 @@ def train(docs: DataFrame, training: Column) -> Classifier:
 
 
 def dictionaries(docs: DataFrame, training: Column) -> dict[str, bytes]:
-    known = plain(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & training)
-    names = sorted(r[0] for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    if not names:
-        return {}
-    sample = None
-    for name in names:
-        least = known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        sample = least if sample is None else sample.unionByName(least)
-    sample = sample.distinct()
-    # at most SAMPLE rows a language, so it can be broadcast
-    texts = plain(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull()).join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
-    held: dict[str, bytearray] = {n: bytearray() for n in names}
-    for lang, text in texts.orderBy("lang", F.xxhash64("doc_id"), "text").select("lang", "text").toLocalIterator():
-        if len(held[lang]) < DICTIONARY:
-            held[lang] += letters(text) + b"\n"
-    return {n: bytes(b[:DICTIONARY]) or b"\n" * 8 for n, b in held.items()}
+    """A dictionary for each language, from two passes over the documents, however many languages there are.
+
+    The first ranks each language's texts that hold a letter by hash, on narrow
+    rows and with the rank limited before they are moved; the second fetches the
+    texts of those chosen.
+    """
+    known = plain(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & training & F.col("text").rlike(r"\p{L}"))
+    known = known.withColumn("th", F.xxhash64("text"))
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    chosen = known.select("lang", "doc_id", "th", F.row_number().over(least).alias("rank")).where(F.col("rank") <= SAMPLE)
+    chosen = chosen.groupBy("lang", "doc_id", "th").agg(F.min("rank").alias("rank"))  # rows that repeat give one text
+    fetched = known.join(chosen, ["lang", "doc_id", "th"]).dropDuplicates(["lang", "rank"])
+    sample = fetched.select("lang", "rank", F.substring("text", 1, DICTIONARY).alias("text")).repartition("lang")
+    schema = pa.schema([("lang", pa.string()), ("content", pa.binary())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for lang, group in groupby(rows_of(batches, "lang", "text"), key=lambda r: r[0]):
+                held = bytearray()
+                for _, text in group:
+                    if len(held) < DICTIONARY:
+                        held += letters(text) + b"\n"
+                yield lang, bytes(held[:DICTIONARY])
+
+        return batched(rows(), schema, 64)
+
+    joined = sample.sortWithinPartitions("lang", "rank").select("lang", "text").mapInArrow(join, "lang string, content binary")
+    return {r[0]: bytes(r[1]) for r in joined.toLocalIterator()}  # DICTIONARY bytes a language at most
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
