@@ -303,8 +303,9 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFram
     for length, n in histogram.items():
         counts[length] = n
     sent = spark.sparkContext.broadcast(plan(counts, size).places())
-    parts = max(8, int(counts.sum()) // PART)
-    salted = cuts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    # a length is dealt to as many parts as its own count asks for
+    parts = F.element_at(F.array(*[F.lit(int(-(-n // PART)) or 1) for n in counts]), F.col("length").cast("int") + 1)
+    salted = cuts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), parts).cast("int"))
     below = (
         salted.groupBy("length", "part").count()
         .withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count"))
