@@ -11,8 +11,9 @@ fingerprint has a row of a pivot table, its Hamming distances to reference
 fingerprints.  By the triangle inequality a pair whose rows differ by more than
 ``radius`` in some coordinate is no link and is discarded unseen; survivors are
 verified.  A group gives a spanning forest of its links, not its pairs.  Groups
-of over ``GROUP`` are first keyed again by the bits that their key left free,
-which loses no pair.
+of over ``GROUP`` are keyed again, by bits that their key left free, until none
+is larger (fingerprints are distinct, so few are left under nearly all bits);
+that loses no pair.
 
 Equal fingerprints are one node, so groups of copies cost nothing.
 
@@ -69,17 +70,17 @@ def simhash(text: str | None, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(_majority(_shingle_hashes(text, words_per_shingle))).tobytes(), "big")
 
 
-def wide_bits(text: str | None, words_per_shingle: int = 3, width: int = 4) -> np.ndarray:
-    """The bits of ``width`` fingerprints by hash functions that are told apart by an odd factor; the first is ``simhash``."""
-    hashes, out = _shingle_hashes(text, words_per_shingle), []
+def wide(hashes: np.ndarray, width: int = 4) -> np.ndarray:
+    """``width`` fingerprints as 64-bit words, by hash functions that are told apart by an odd factor; the first is the simhash."""
+    out = []
     for word in range(width):
         own = hashes
         if word:
             own = (hashes ^ np.uint64(word)) * np.uint64(0x9E3779B97F4A7C15 + 2 * word)
             own = (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             own ^= own >> np.uint64(32)
-        out.append(_majority(own))
-    return np.concatenate(out)
+        out.append(np.packbits(_majority(own)).view(">u8"))
+    return np.concatenate(out).astype(np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -103,8 +104,9 @@ def _masks(bits: list[int], blocks: int, agree: int) -> list[int]:
     return [sum(choice) for choice in combinations(cuts, agree)]
 
 
-def _keyed(nodes: DataFrame, masks: list[int], more: int = 0) -> DataFrame:
-    key = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k"), F.lit(more).cast("long").alias("g")) for i, m in enumerate(masks)]
+def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """t, k, fp, node: each node under each mask (t), with its bits there (k)."""
+    key = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)]
     return nodes.select("fp", "node", F.explode(F.array(*key)).alias("x")).select("x.*", "fp", "node")
 
 
@@ -167,8 +169,8 @@ def _group_links(radius: int):
         refs = pivots()
 
         def rows():
-            for _, group in groupby(rows_of(batches, "t", "k", "g", "fp", "node"), key=lambda r: r[:3]):
-                fps, nodes = zip(*(r[3:] for r in group), strict=True)
+            for _, group in groupby(rows_of(batches, "t", "k", "fp", "node"), key=lambda r: r[:2]):
+                fps, nodes = zip(*(r[2:] for r in group), strict=True)
                 if len(fps) > 1:
                     to = forest(np.array(fps, np.int64).view(np.uint64)[:, None], radius, refs)
                     yield from ((nodes[i], nodes[j]) for i, j in enumerate(to.tolist()) if i != j)
@@ -179,29 +181,32 @@ def _group_links(radius: int):
 
 
 def links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """a, b: links that join exactly the nodes (fp, node; fp distinct) within ``radius`` of each other."""
-    agree = blocks - radius
-    bits = list(range(64))
-    masks = _masks(bits, blocks, agree)
-    keyed = _keyed(nodes, masks)
-    key = ["t", "k", "g"]
-    sizes = materialise(keyed.groupBy(*key).count().where("count > 1"), "simhash-groups")
-    shared = keyed.join(sizes, key)
-    small = shared.where(F.col("count") <= GROUP).select(*key, "fp", "node")
-    run = _group_links(radius)
-    out = small.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
-    if not sizes.where(F.col("count") > GROUP).isEmpty():
-        parts = []
-        for t, mask in enumerate(masks):
-            free = [b for b in bits if not mask >> b & 1]
-            finer = _masks(free, radius + 2, 2)
-            own = shared.where((F.col("count") > GROUP) & (F.col("t") == t)).select("fp", "node")
-            parts.append(_keyed(own, [mask | m for m in finer], t + 1))
-        large = parts[0]
-        for part in parts[1:]:
-            large = large.unionByName(part)
-        out = out.unionByName(large.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long"))
-    return out
+    """a, b: links that join exactly the nodes (fp, node; fp distinct) within ``radius`` of each other.
+
+    Groups of over ``GROUP`` are keyed again by ``radius + 2`` cuts of the bits
+    that their key left free, two of which a pair within the radius must share;
+    then once more, as long as enough bits are free to cut.
+    """
+    masks = _masks(list(range(64)), blocks, blocks - radius)
+    members, large = _keyed(nodes, masks), F.col("count") > GROUP
+    key, run, out = ["t", "k"], _group_links(radius), None
+    while True:
+        sizes = materialise(members.groupBy(*key).count().where("count > 1"), "simhash-groups")
+        shared = members.join(sizes, key)
+        free = [[b for b in range(64) if not m >> b & 1] for m in masks]
+        last = min(map(len, free)) < 2 * (radius + 2) or sizes.where(large).isEmpty()
+        small = (shared if last else shared.where(~large)).select(*key, "fp", "node")
+        found = small.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        # a mask of the next level is one of this level and two cuts of the bits that it left free
+        finer = [[m | extra for extra in _masks(bits, radius + 2, 2)] for m, bits in zip(masks, free, strict=True)]
+        many = len(finer[0])
+        masks = [m for group in finer for m in group]
+        each = F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("i")
+        own = shared.where(large).select("fp", "node", "t", each).select("fp", "node", (F.col("t") * many + F.col("i")).alias("t"))
+        members = materialise(own.select("t", F.col("fp").bitwiseAND(F.get(F.lit([_signed(m) for m in masks]), F.col("t"))).alias("k"), "fp", "node"), "simhash-members")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -211,63 +216,3 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, radius: int = 2
     found = components(links(nodes.where("node is not null"), radius, blocks), "a", "b")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# --- near copies that differ in more bits than whole blocks can tell
-
-WIDTH, NEAR = 4, 40
-BANDS, BAND_BITS = 64, 24
-
-
-def band_bits(width: int = WIDTH) -> np.ndarray:
-    """Which bits each band reads: fixed, drawn anew for each band."""
-    draw = np.random.default_rng(SEED + 1)
-    return np.stack([draw.permutation(64 * width)[:BAND_BITS] for _ in range(BANDS)])
-
-
-def band_keys(bits: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    return bits[bands] @ (1 << np.arange(BAND_BITS))
-
-
-def near_copies(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id, component_id: documents whose fingerprints of ``64 * WIDTH`` bits differ in ``NEAR`` or fewer, and what they chain to.
-
-    Such a radius is too wide for whole blocks, so candidates share one of
-    ``BANDS`` samples of ``BAND_BITS`` bits; a pair that differs in a share d of
-    its bits is found with probability 1 - (1 - (1 - d)**BAND_BITS)**BANDS (0.95
-    at 0.12).  Within a band's group pairs are pruned by the pivot table and
-    verified as above; however large, a group is scanned in blocks.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int32()))])
-    bands = band_bits()
-
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_state()
-
-        def rows():
-            for doc, text in rows_of(batches, "doc_id", "text"):
-                bits = wide_bits(text, words_per_shingle, WIDTH)
-                yield doc, np.packbits(bits).tobytes(), band_keys(bits, bands).astype(np.int32)
-
-        return batched(rows(), schema)
-
-    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(width=WIDTH)
-
-        def rows():
-            for _, group in groupby(rows_of(batches, "t", "k", "fp", "node"), key=lambda r: r[:2]):
-                fps, nodes = zip(*(r[2:] for r in group), strict=True)
-                if len(fps) > 1:
-                    to = forest(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDTH), NEAR, refs)
-                    yield from ((nodes[i], nodes[j]) for i, j in enumerate(to.tolist()) if i != j)
-
-        return batched(rows(), _LINK)
-
-    prints = materialise(plain(docs, "doc_id", "text").mapInArrow(prints_of, "doc_id long, fp binary, keys array<int>"), "simhash-wide")
-    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "simhash-nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
-    shared = keyed.join(materialise(keyed.groupBy("t", "k").count().where("count > 1"), "simhash-groups"), ["t", "k"]).select("t", "k", "node")
-    members = shared.join(nodes.select("node", "fp"), "node").repartition("t", "k").sortWithinPartitions("t", "k")
-    found = components(members.mapInArrow(links_of, "a long, b long"), "a", "b")
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "component_id")

@@ -144,32 +144,13 @@ def test_links_find_every_pair(spark, radius, blocks, monkeypatch):
         assert [got.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
-def test_near_copies(spark):
-    draw = random.Random(6)
-    rows = []
-    for i in range(40):
-        words = [draw.choice(data.WORDS) + str(draw.randrange(99)) for _ in range(220)]
-        rows.append((3 * i, " ".join(words)))
-        if i % 2:
-            for at in draw.sample(range(220), 5):
-                words[at] = "edited"
-            rows.append((3 * i + 1, " ".join(words)))
-    rows += [(500, None), (501, ""), (None, rows[0][1])]
-    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    bands = simhash.band_bits()
-    bits = {d: simhash.wide_bits(t) for d, t in rows if d is not None}
-    keys = {d: simhash.band_keys(b, bands) for d, b in bits.items()}
-    component = {d: d for d in bits}
-    for a in bits:
-        for b in bits:
-            if (bits[a] != bits[b]).sum() <= simhash.NEAR and (keys[a] == keys[b]).any():
-                old, new = max(component[a], component[b]), min(component[a], component[b])
-                component = {d: new if c == old else c for d, c in component.items()}
-    assert {d: c for d, c in got.items() if d is not None} == component
-    pairs = [i for i in range(40) if i % 2]
-    assert sum(component[3 * i + 1] == 3 * i for i in pairs) >= 0.9 * len(pairs)
-    assert all(component[3 * i] == 3 * i for i in range(40)) and component[501] == 500
-    assert int("".join(map(str, simhash.wide_bits(rows[0][1])[:64].astype(int))), 2) == brute_simhash(rows[0][1])
+def test_wide_fingerprints():
+    text = data.prose(4, 300)
+    hashes = simhash._shingle_hashes(text, 3)
+    own = simhash.wide(hashes)
+    assert len(own) == 4 and int(own[0]) == brute_simhash(text) == simhash.simhash(text)
+    assert len(set(own.tolist())) == 4
+    assert simhash.wide(np.empty(0, np.uint64)).tolist() == [0] * 4
 
 
 def test_components_of_a_long_chain(spark):
