@@ -1,10 +1,17 @@
 """Exact deduplication by composable polynomial fingerprints.
 
 A text is hashed in chunks; hashes of neighbouring chunks combine by
-length-shifted arithmetic (``hash(ab) = hash(a) * base**len(b) + hash(b)``), so
-the chunks of a huge text can be hashed apart and in any grouping.  Rows that
-share a fingerprint are then compared chunk by chunk with one row of their
-group; where two texts differ all the same, the group is split by SHA-256.
+length-shifted arithmetic (``hash(ab) = hash(a) * base**len(b) + hash(b)``), in
+any grouping.  Texts of over ``HUGE`` bytes are cut, their chunks dealt to all
+tasks and hashed there; an aggregation by row combines them.
+
+Rows that share a fingerprint are compared chunk by chunk: an aggregation over
+(fingerprint, place) keeps the least and the greatest chunk, so equal chunks
+collapse where they are read and a group of copies of any size is no task's
+alone.  Where the two differ the fingerprint stands for several texts, and its
+group is split by SHA-256.  Texts whose fingerprint no other row has are mostly
+left out of the comparison by a bitmap of at most ``BITS`` bits; those that it
+lets through are compared with themselves, so it decides nothing.
 
 Defined results.  Null text counts as empty; empty texts are equal to each
 other.  A null ``doc_id`` takes part, and is kept only where no row of its group
@@ -17,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import batched, materialise, plain, release_worker_state, rows_of
 
-CHUNK = 1 << 16
+CHUNK, HUGE = 1 << 16, 1 << 22
+BITS = 1 << 23
 #: Two primes below 2**31 and a base for each.
 PRIMES = ((1 << 31) - 1, 2147483629)
 BASES = (1_000_003, 16_777_619)
@@ -59,10 +68,7 @@ class Fingerprint:
 
     @classmethod
     def of(cls, data: bytes) -> Fingerprint:
-        out = cls()
-        for at in range(0, len(data), CHUNK):
-            out = out + cls.of_chunk(data[at : at + CHUNK])
-        return out
+        return reduce(add, map(cls.of_chunk, chunks(data)), cls())
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         moved = (h * pow(b, other.length, p) for h, b, p in zip(self.residues, BASES, PRIMES, strict=True))
@@ -77,64 +83,115 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _same(a: bytes, b: bytes) -> bool:
-    """Chunk by chunk, ending at the first difference."""
-    if len(a) != len(b):
-        return False
-    x, y = memoryview(a), memoryview(b)
-    return all(x[at : at + CHUNK] == y[at : at + CHUNK] for at in range(0, len(a), CHUNK))
+def chunks(data: bytes) -> Iterator[bytes]:
+    return (data[at : at + CHUNK] for at in range(0, len(data), CHUNK))
 
 
+_FP_DDL = "doc_id long, fp_len long, fp long, text_sha256 string"
 _FP = pa.schema([("doc_id", pa.int64()), ("fp_len", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
-_WITH_TEXT = pa.schema([("doc_id", pa.int64()), ("fp_len", pa.int64()), ("fp", pa.int64()), ("text", pa.string())])
-_SPLIT = pa.schema([("fp_len", pa.int64()), ("fp", pa.int64())])
+_PIECE_DDL = "row long, doc_id long, text_sha256 string, at long, chunk binary"
+_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("at", pa.int64()), ("chunk", pa.binary())])
+_HASHED_DDL = "row long, doc_id long, text_sha256 string, at long, length long, r1 long, r2 long"
+_HASHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), *((n, pa.int64()) for n in ("at", "length", "r1", "r2"))])
+_HELD = pa.schema([("fp_len", pa.int64()), ("fp", pa.int64()), ("at", pa.int64()), ("chunk", pa.binary())])
 
 
-def _key(data: bytes, modulus: int | None) -> tuple[int, int]:
+def _key(fp: Fingerprint, modulus: int | None) -> tuple[int, int]:
     """Length and residues; with a modulus less, so that texts collide."""
-    fp = Fingerprint.of(data)
     return (fp.length, fp.value) if modulus is None else (0, fp.value % modulus)
 
 
-def _fingerprints(modulus: int | None):
+def _whole(modulus: int | None):
+    """Fingerprints of whole texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
 
         def rows():
             for doc, text in rows_of(batches, "doc_id", "text"):
                 data = normalised(text)
-                yield doc, *_key(data, modulus), hashlib.sha256(data).hexdigest()
+                yield doc, *_key(Fingerprint.of(data), modulus), hashlib.sha256(data).hexdigest()
 
         return batched(rows(), _FP)
 
     return run
 
 
-def _again(modulus: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for doc, text in rows_of(batches, "doc_id", "text"):
-                yield doc, *_key(normalised(text), modulus), text or ""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of huge texts."""
 
-        return batched(rows(), _WITH_TEXT, 128)
-
-    return run
+    def rows():
+        for row, doc, text in rows_of(batches, "row", "doc_id", "text"):
+            data = normalised(text)
+            digest = hashlib.sha256(data).hexdigest()
+            yield from ((row, doc, digest, at, chunk) for at, chunk in enumerate(chunks(data)))
 
+    return batched(rows(), _PIECE, 32)
 
-def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints under which a row's text differs from that of the row it is held against."""
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        for n, fp, text, other in rows_of(batches, "fp_len", "fp", "text", "other"):
-            if not _same(normalised(text), normalised(other)):
-                yield n, fp
+        for row, doc, digest, at, chunk in rows_of(batches, *_PIECE.names):
+            fp = Fingerprint.of_chunk(chunk)
+            yield row, doc, digest, at, fp.length, *fp.residues
 
-    return batched(rows(), _SPLIT)
+    return batched(rows(), _HASHED)
+
+
+def _combined(modulus: int | None):
+    """The fingerprint of a row from those of its chunks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = table.sort_by("at").to_pydict()
+        parts = (Fingerprint(n, (a, b)) for n, a, b in zip(x["length"], x["r1"], x["r2"], strict=True))
+        row = (x["doc_id"][0], *_key(reduce(add, parts, Fingerprint()), modulus), x["text_sha256"][0])
+        return pa.Table.from_pylist([dict(zip(_FP.names, row, strict=True))], schema=_FP)
+
+    return run
 
 
 def fingerprints(docs: DataFrame, modulus: int | None = None) -> DataFrame:
     """doc_id, fp_len, fp, text_sha256 of every row's whole text."""
-    return plain(docs, "doc_id", "text").mapInArrow(_fingerprints(modulus), "doc_id long, fp_len long, fp long, text_sha256 string")
+    base = plain(docs, "doc_id", "text")
+    huge = F.coalesce(F.octet_length("text") > HUGE, F.lit(False))
+    cut = base.where(huge).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_pieces, _PIECE_DDL)
+    spread = cut.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "row", "at")
+    combined = spread.mapInArrow(_hashed, _HASHED_DDL).groupBy("row").applyInArrow(_combined(modulus), _FP_DDL)
+    return base.where(~huge).mapInArrow(_whole(modulus), _FP_DDL).unionByName(combined)
+
+
+def _slot(n: int, fp: int) -> int:
+    return (n * 0x9E3779B1 + fp % 4294967291) % 4294967291 % BITS
+
+
+def _bitmap(groups: DataFrame) -> np.ndarray:
+    """Which slots the groups' fingerprints (fp_len, fp) fall in, as bits: at most ``BITS`` of them."""
+    slot = F.pmod(F.pmod(F.col("fp_len") * F.lit(0x9E3779B1) + F.pmod("fp", F.lit(4294967291)), F.lit(4294967291)), F.lit(BITS))
+    words = groups.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))).alias("bits"))
+    out = np.zeros(BITS // 32, np.uint32)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out
+
+
+def _in_groups(modulus: int | None, sent):
+    """Chunks of the texts that may be in a group, the first with the text's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+
+        def rows():
+            for (text,) in rows_of(batches, "text"):
+                data = normalised(text)
+                key = _key(Fingerprint.of(data), modulus)
+                slot = _slot(*key)
+                if bitmap[slot >> 5] >> np.uint32(slot & 31) & 1:
+                    yield *key, -1, len(data).to_bytes(8, "little")
+                    yield from ((*key, at, chunk) for at, chunk in enumerate(chunks(data)))
+
+        return batched(rows(), _HELD, 128)
+
+    return run
 
 
 def exact_groups(docs: DataFrame, modulus: int | None = None) -> DataFrame:
@@ -146,17 +203,10 @@ def exact_groups(docs: DataFrame, modulus: int | None = None) -> DataFrame:
     key = ["fp_len", "fp"]
     # written, so that joins with it read both sides anew and can split a common key
     many = materialise(prints.groupBy(*key).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "exact-many")
-    # the texts of groups of two and more, each held against the row that would stay
-    among = prints.join(many, key, "left_semi").select(F.col("doc_id").alias("id")).distinct()
-    base = plain(docs, "doc_id", "text")
-    texts = base.join(among, base.doc_id.eqNullSafe(among.id), "left_semi").mapInArrow(_again(modulus), "doc_id long, fp_len long, fp long, text string")
-    texts = materialise(texts, "exact-texts")
-    tops = many.select(F.col("fp_len").alias("l_"), F.col("fp").alias("f_"), F.col("top").alias("id_"))
-    of_top = (texts.fp_len == tops.l_) & (texts.fp == tops.f_) & texts.doc_id.eqNullSafe(tops.id_)
-    kept_text = texts.join(tops, of_top, "left_semi").groupBy(*key).agg(F.any_value("text").alias("other"))
-    kept_text = materialise(kept_text, "exact-kept")  # read anew, so that the join below can split a common key
-    held = texts.join(kept_text, key).select(*key, "text", "other")
-    split = materialise(held.mapInArrow(_differing, "fp_len long, fp long").distinct().withColumn("parted", F.lit(True)), "exact-split")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(many))  # BITS bits
+    held = plain(docs, "text").mapInArrow(_in_groups(modulus, sent), "fp_len long, fp long, at long, chunk binary")
+    least_and_most = held.groupBy(*key, "at").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    split = materialise(least_and_most.where("least <> most").select(*key).distinct().withColumn("parted", F.lit(True)), "exact-split")
     if split.isEmpty():
         groups, parted = many, prints
     else:  # fingerprints that stand for several texts go apart by SHA-256

@@ -87,7 +87,23 @@ def test_fingerprints_compose():
 @pytest.mark.parametrize("modulus", [1, 3])
 def test_colliding_fingerprints_are_told_apart(docs, modulus):
     assert plain(exact_dedup.exact_groups(docs, modulus).collect()) == plain(exact_dedup.exact_groups(docs).collect())
-    assert not exact_dedup._same(b"a" * 70_000, b"a" * 69_999 + b"b")
+
+
+def test_huge_texts_and_prefixes(spark, monkeypatch):
+    """Chunks of huge texts are hashed apart and combined; a text is told from one that goes on after a whole chunk."""
+    monkeypatch.setattr(exact_dedup, "CHUNK", 8)
+    monkeypatch.setattr(exact_dedup, "HUGE", 20)
+    texts = ["abcdefgh" * 9, "ABCDEFGH" * 9, "abcdefgh" * 8, "abcdefgh" * 8 + "abcdefgx", "abcdefgh", "", None, "é" * 40, "abcdefgh" * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").repartition(3)
+    norm = [(t or "").translate(UPPER) for t in texts]
+    for modulus in (None, 1):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df, modulus).collect()}
+        for i, t in enumerate(norm):
+            assert got[i] == (max(k for k, u in enumerate(norm) if u == t), norm.count(t) + (t == norm[0]))
+    whole = {r.doc_id: (r.fp_len, r.fp) for r in exact_dedup.fingerprints(df).collect()}
+    for i, t in enumerate(norm):
+        fp = exact_dedup.Fingerprint.of(t.encode())
+        assert whole[i] == (fp.length, fp.value)
 
 
 def brute_simhash(text, k=3):
