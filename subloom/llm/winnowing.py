@@ -31,6 +31,8 @@ K, W = 8, 16
 #: Code points in a row that are sure to be detected.
 GUARANTEE = K + W - 1
 SEGMENT = 1 << 14
+#: Bytes of text, on average, for each task.
+SHARE = 8 << 20
 #: Bits of a packed long for a place (no string of the JVM is longer) and for the hash.
 _PLACE, _HASH = 31, 32
 _LAST = (1 << _PLACE) - 1
@@ -129,7 +131,7 @@ def _parts(rows: DataFrame, n: int) -> Column:
     An id that many rows carry (null is one) takes several numbers, by hash.
     """
     share = [(i + 1) / n for i in range(n - 1)] or [0.5]
-    found = rows.agg(F.percentile_approx("doc_id", share, 10 * n).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    found = rows.agg(F.percentile_approx("doc_id", share, min(10 * n, 100_000)).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     cuts: dict[int, int] = {}
     for c in found["cuts"] or []:
         if c is not None:
@@ -147,7 +149,8 @@ def _parts(rows: DataFrame, n: int) -> Column:
 def _with_next(base: DataFrame) -> DataFrame:
     """``base`` (doc_id, text) with fingerprint and the next row's text and fingerprint; whole texts are shuffled once."""
     spark = base.sparkSession
-    n = 3 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(spark.sparkContext.defaultParallelism, min(-(-size // SHARE), 25_000))  # tasks; more, smaller parts even them out
     rows = base.select("doc_id", "text", F.xxhash64("text").alias("h"))
     again = None
     repeated = materialise(rows.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), (F.col("count") - 1).alias("more")), "winnowing-repeated")
@@ -158,7 +161,7 @@ def _with_next(base: DataFrame) -> DataFrame:
         again = again.withColumns({"next_text": F.col("text"), "next_p": F.col("p")})
         rows = rows.join(repeated, same, "left_anti").unionByName(one.select("doc_id", "text", "h"))
     least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = rows.withColumn("part", _parts(rows, n))
+    rows = rows.withColumn("part", _parts(rows, 4 * n))
     # the first row of each part follows the last one of the part before: a copy goes there
     heads = sorted(rows.groupBy("part").agg(F.min(F.struct(least.alias("d"), "h")).alias("x")).select("part", "x.d", "x.h").collect())  # a row a part
     if not heads:

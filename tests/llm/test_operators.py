@@ -461,6 +461,81 @@ def test_langid_and_null_rules(spark):
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang in held)
 
 
+def brute_features(text):
+    """Buckets of a text's character n-grams, one by one."""
+    padded, out = f" {(text or '').lower()} ", set()
+    for n in toxicity.SIZES:
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i : i + n]:
+                h = h * 1_114_123 + ord(c)
+            out.add(((h + n) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Features, naive Bayes ratios and scores from plain n-grams; the regression's weights are the model's own."""
+    rows = data.rows()[:20]
+    labelled = [(i % 3 == 0, r[1]) for i, r in enumerate(rows)]
+    feats = toxicity.Features()
+    assert all(set(feats.of(t).tolist()) == brute_features(t) and len(feats.of(t)) == len(brute_features(t)) for _, t in labelled)
+    pairs = [(int(y), feats.of(t)) for y, t in labelled]
+    counts = [Counter(b for y, t in labelled if y == kind for b in brute_features(t)) for kind in (False, True)]
+    toxic = sum(y for y, _ in labelled)
+    ratio = toxicity.log_count_ratios(pairs)
+    for b in set(counts[0]) | set(counts[1]):
+        want = np.log((counts[1][b] + 1) / (toxic + 2)) - np.log((counts[0][b] + 1) / (len(labelled) - toxic + 2)) if counts[0][b] + counts[1][b] > 2 else 0.0
+        assert ratio[b] == pytest.approx(want)
+    model = toxicity.fit(pairs, 0.3)
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), model).collect())
+    for (d, x), r in zip(got, rows, strict=True):
+        z = sum(float(model.weights[b]) for b in brute_features(r[1])) + model.bias
+        assert d == r[0] and x == pytest.approx(1 / (1 + np.exp(-max(-50, min(50, z)))), rel=1e-3, abs=1e-9)
+
+
+def test_long_texts_lose_no_ngram():
+    text = data.prose(9, 60_000)  # over a stretch
+    assert len(text) > 1 << 18
+    feats = toxicity.Features()
+    assert set(feats.of(text).tolist()) == brute_features(text)
+
+
+def test_langid_by_one_compressor_call_a_block(spark):
+    import zstandard
+
+    rows = [(r[0], r[1], r[2]) for r in data.rows()] + [(200 + i, data.prose(200 + i, 40), f"l{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = langid.dictionaries(docs, ~langid.held_out(F.col("doc_id")))
+    letters = lambda t: re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+    learn = defaultdict(list)
+    hash_of = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for d, t, lang in rows:
+        if d is not None and lang is not None and t and re.search(r"[^\W\d_]", t) and zlib.crc32(str(d).encode()) % 3 != 1:
+            learn[lang].append((hash_of[d], d, t))
+    assert set(content) == set(learn)
+    for lang, texts in learn.items():
+        joined = b"".join(letters(t) + b"\n" for _, _, t in sorted(set(texts)))
+        assert content[lang] == joined[: langid.DICTIONARY]
+    for r in langid.classify(docs, content).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id and (d is not None or t))
+        if r.doc_id is None or not text or not re.search(r"[^\W\d_]", text):
+            continue
+        data_, size = letters(text), {}
+        for lang in sorted(content):
+            made = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            size[lang] = sum(len(made.compress(data_[i : i + langid.BLOCK])) for i in range(0, len(data_), langid.BLOCK))
+        best = min(sorted(size), key=size.__getitem__)
+        runner_up = min(v for k, v in size.items() if k != best)
+        assert (r.lang_pred, r.score) == (best, pytest.approx((runner_up - size[best]) / runner_up))
+
+
+def test_many_languages(spark):
+    word = lambda k: "".join(chr(97 + k // 26**p % 26) * 3 for p in range(3))
+    rows = [(i, f"{word(i % 600)} " * 5, f"lang{i % 600}") for i in range(1200)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got.count() == 1200 and got.select("lang_pred").distinct().count() > 300
+
+
 def test_toxicity_generalises(spark):
     draw = random.Random(9)
     rows, marks = [], []
@@ -477,6 +552,84 @@ def test_toxicity_generalises(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def brute_words(text):
+    return re.split(rb"[ \t-\r]+", (text or "").encode().strip(b" \t\n\x0b\x0c\r")) if (text or "").strip(" \t\n\x0b\x0c\r") else []
+
+
+def brute_ngrams(text):
+    """N-grams of words and of word shapes as plain tuples."""
+    groups = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,", b"!?", b"'\"-:;()", b"|#$%&*@=+<>/\\_~^[]{}"]
+    words = brute_words(text)
+    shapes = []
+    for i, w in enumerate(words):
+        kinds = {next((k for k, g in enumerate(groups) if c in g), "high" if c > 127 else "other") for c in w}
+        shapes.append((frozenset(kinds), words[i - 1 : i] == [w], i > 1 and words[i - 2] == w))
+    out = Counter(("w", w) for w in words) + Counter(("s", x) for x in shapes)
+    out += Counter(("ww", *x) for x in zip(words, words[1:])) + Counter(("ss", *x) for x in zip(shapes, shapes[1:]))  # noqa: B905
+    return out + Counter(("sss", *x) for x in zip(shapes, shapes[1:], shapes[2:]))  # noqa: B905
+
+
+def test_quality_weights_by_brute_force(docs, labels):
+    """Weights from plain n-gram counts, each document left out of its own models; hashed buckets collide at times."""
+    good = {i for i in range(12) if i % 5}
+    rows = [(r[0], brute_ngrams(r[1])) for r in data.rows()]
+    raw, target = Counter(), Counter()
+    for d, grams in rows:
+        raw += grams
+        if d in good:
+            target += grams
+    n_raw, n_target, cells = sum(raw.values()), sum(target.values()), 1 << quality.BITS
+
+    def mean(d, grams):
+        own = grams if d in good else Counter()
+        size, all_target = sum(grams.values()), n_target - sum(own.values())
+        total = 0.0
+        for g, k in grams.items():
+            share = (raw[g] - k + quality.ALPHA) / (n_raw - size + quality.ALPHA * cells)
+            total += k * np.log((target[g] - own[g] + n_target * share) / (all_target + n_target) / share)
+        return total / size
+
+    own = quality.model(docs, labels)
+    assert own.totals == (n_raw, n_target)
+    means = {}
+    for d, grams in rows:
+        if grams and d is not None and d < 12:
+            means.setdefault(d, []).append(mean(d, grams))
+    means = {d: min(v) for d, v in means.items()}
+    low, high = max(means[d] for d in means if d not in good), min(means[d] for d in good)
+    if low < high:
+        assert own.drift == pytest.approx((low + high) / 2, abs=0.02)
+    got = sorted((r.doc_id is not None, r.doc_id, r.log_weight) for r in quality.weights(docs, own).collect() if r.doc_id is not None)
+    want = sorted((True, d, (mean(d, g) - own.drift) * sum(g.values()) if g else 0.0) for d, g in rows if d is not None)
+    for (_, d, x), (_, e, y) in zip(got, want, strict=True):
+        assert d == e and x == pytest.approx(y, rel=0.05, abs=2.0)
+
+
+def test_quality_of_long_texts(monkeypatch):
+    """Stretches and chunks change nothing, wherever they end."""
+    texts = [data.prose(3, 900), "x" * 5000, "ab " * 2000, "\n\n" + data.prose(4, 50) + "   ", "é" * 333 + " . " + "!" * 40]
+    whole = [quality.counted(t) for t in texts]
+    for stretch, chunk in ((7, 3), (64, 10), (1000, 1)):
+        monkeypatch.setattr(quality, "_STRETCH", stretch)
+        monkeypatch.setattr(quality, "_CHUNK", chunk)
+        for t, (bucket, n) in zip(texts, whole, strict=True):
+            got = quality.counted(t)
+            assert (got[0] == bucket).all() and (got[1] == n).all()
+    assert int(whole[2][1].sum()) == sum(brute_ngrams(texts[2]).values())
+
+
+def test_quality_keeps_languages_alike(spark):
+    """Shares of unlabelled documents that stay, by language, within ten points from the smallest tables up; bad ones go."""
+    shares = {}
+    for sf in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        weighed = quality.weights(docs, quality.model(docs, labels)).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left")
+        for r in weighed.groupBy("lang").agg(F.avg(F.when(F.col("quality").isNull(), (F.col("log_weight") > 0).cast("double"))).alias("kept"), F.min(F.when(F.col("quality") == 1, F.col("log_weight"))).alias("good"), F.max(F.when(F.col("quality") == 0, F.col("log_weight"))).alias("bad")).collect():
+            shares[sf, r.lang] = r.kept
+            assert r.good > 0 and (r.bad is None or r.bad < 0)
+    assert all(0.6 < x < 0.95 for x in shares.values()), shares
+
+
 def test_quality_selects_the_largest_keys(docs, labels, spark):
     ratio = quality.model(docs, labels)
     rows = quality.weights(docs, ratio).collect()
