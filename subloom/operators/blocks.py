@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import astuple, dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.core import ladder
 from ..functions.scripts import CYRILLIC, Script
-from ..functions.similarity import plain_ratio, ratio
+from ..functions.similarity import ratio
 from ..schema import BLOCKS
 
 VOTE_SIMILARITY, NEIGHBOUR_SIMILARITY, DEEP_SIMILARITY = 0.82, 0.55, 0.78
@@ -39,57 +40,106 @@ def blocks_of_equal(observations: DataFrame, max_gap: float = 1.2, min_duration:
     )
 
 
-class Vote:
-    """Votes for a block's text, grouped greedily by likeness to each group's first key."""
+@dataclass(frozen=True)
+class Group:
+    """Readings that say the same, as one record; a reading is a group of one."""
 
-    def __init__(self):
-        self.groups: list[dict] = []
+    key: str
+    text: str
+    count: int
+    confidence: float
+    score: float
 
-    def add(self, text: str, key: str, score: float, confidence: float, suspicious: bool) -> None:
-        group = next((g for g in self.groups if plain_ratio(key, g["key"]) >= VOTE_SIMILARITY), None)
-        if group is None:
-            group = {"key": key, "text": text, "count": 0, "confidence": 0.0, "score": 0.0}
-            self.groups.append(group)
-        group["count"] += 1
-        group["confidence"] = max(group["confidence"], confidence)
-        group["score"] = max(group["score"], score + (-12.0 if suspicious else 8.0))
-        if not suspicious and len(text) > len(group["text"]) and confidence >= 0.80 * group["confidence"]:
-            group["text"] = text
+    def rank(self) -> tuple:
+        """The rule of every vote: most readings, then confidence, score and length."""
+        return self.count, self.confidence, self.score, len(self.text)
 
-    def winner(self) -> dict:
-        return max(self.groups, key=lambda g: (g["count"], g["confidence"], g["score"], len(g["text"])))
+
+def likeness(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def joined(groups: list[Group], new: Group, alike: float, merge: Callable[[Group, Group], Group]) -> list[Group]:
+    """The groups after a reading: merged into the first whose key is as like as ``alike``, or one more."""
+    for i, g in enumerate(groups):
+        if new.key == g.key or likeness(new.key, g.key) >= alike:
+            return [*groups[:i], merge(g, new), *groups[i + 1 :]]
+    return [*groups, new]
+
+
+def winner(groups: list[Group]) -> Group:
+    """The highest rank; of equal ones the group that came first."""
+    return max(groups, key=Group.rank)
+
+
+def block_reading(text: str, key: str, score: float, confidence: float, suspicious: bool) -> Group:
+    """A reading as it votes for a block's text: doubt costs points."""
+    return Group(key, text, 1, max(0.0, confidence), max(0.0, score + (-12.0 if suspicious else 8.0)))
+
+
+def keep_first_key(suspicious: bool) -> Callable[[Group, Group], Group]:
+    """Merging for blocks: the first key leads; a longer text that is beyond doubt and nearly as confident takes over."""
+
+    def merge(g: Group, r: Group) -> Group:
+        confidence = max(g.confidence, r.confidence)
+        better = not suspicious and len(r.text) > len(g.text) and r.confidence >= 0.80 * confidence
+        return Group(g.key, r.text if better else g.text, g.count + r.count, confidence, max(g.score, r.score))
+
+    return merge
+
+
+def keep_best_score(g: Group, r: Group) -> Group:
+    """Merging for repeated readings of a frame: the best-scored reading leads."""
+    lead = r if r.score > g.score else g
+    return Group(lead.key, lead.text, g.count + r.count, max(g.confidence, r.confidence), lead.score)
 
 
 class Session:
-    """The block that is being built; ``add`` gives a finished one when the next reading doesn't join it."""
+    """The block that is being built; ``add`` gives a finished one when the next reading doesn't join it.
+
+    It holds groups, not readings: ``state`` and ``restored`` carry it between
+    the batches of a stream.
+    """
 
     def __init__(self, max_gap: float, similarity: float, min_duration: float):
         self.max_gap, self.similarity, self.min_duration = max_gap, similarity, min_duration
-        self.vote: Vote | None = None
+        self.groups: list[Group] = []
+        self.keys: dict[str, str] = {}
+        self.start, self.end, self.readings = 0.0, 0.0, 0
 
     @staticmethod
     def alike(a: str, key_a: str, b: str, key_b: str) -> float:
-        return SequenceMatcher(None, key_a, key_b).ratio() if key_a and key_b else SequenceMatcher(None, a, b).ratio()
+        return likeness(key_a, key_b) if key_a and key_b else likeness(a, b)
+
+    def joins(self, time: float, text: str, key: str) -> bool:
+        w = winner(self.groups)
+        return time - self.end <= self.max_gap and self.alike(w.text, self.keys[w.text], text, key) >= self.similarity
 
     def add(self, time: float, end: float, text: str, key: str, score: float, confidence: float, suspicious: bool) -> dict | None:
-        done = None
-        if self.vote is not None:
-            w = self.vote.winner()
-            if not (time - self.end <= self.max_gap and self.alike(w["text"], self.keys[w["text"]], text, key) >= self.similarity):
-                done = self.finish()
-        if self.vote is None:
-            self.vote, self.start, self.end, self.keys, self.readings = Vote(), time, end, {}, 0
+        done = self.finish() if self.groups and not self.joins(time, text, key) else None
+        if not self.groups:
+            self.start, self.end, self.keys, self.readings = time, end, {}, 0
         self.end = max(self.end, end)
         self.readings += 1
         self.keys[text] = key
-        self.vote.add(text, key or text, score, confidence, suspicious)
+        self.groups = joined(self.groups, block_reading(text, key or text, score, confidence, suspicious), VOTE_SIMILARITY, keep_first_key(suspicious))
+        self.keys = {g.text: self.keys[g.text] for g in self.groups}
         return done
 
     def finish(self) -> dict | None:
-        if self.vote is None:
+        if not self.groups:
             return None
-        w, self.vote = self.vote.winner(), None
-        return {"start": self.start, "end": max(self.end, self.start + self.min_duration), "text": w["text"], "score": w["score"], "confidence": w["confidence"], "readings": self.readings}
+        w, self.groups = winner(self.groups), []
+        return {"start": self.start, "end": max(self.end, self.start + self.min_duration), "text": w.text, "score": w.score, "confidence": w.confidence, "readings": self.readings}
+
+    def state(self) -> dict | None:
+        return {"start": self.start, "end": self.end, "readings": self.readings, "keys": self.keys, "groups": [astuple(g) for g in self.groups]} if self.groups else None
+
+    def restored(self, state: dict | None) -> Session:
+        if state:
+            self.start, self.end, self.readings, self.keys = state["start"], state["end"], state["readings"], state["keys"]
+            self.groups = [Group(*g) for g in state["groups"]]
+        return self
 
 
 def fold_blocks(rows: Iterable, max_gap: float, similarity: float, min_duration: float) -> Iterator[dict]:
@@ -151,11 +201,11 @@ def block_votes(observations: DataFrame, keys: list[str], script: Script = CYRIL
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observations.select(*keys).schema)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        vote = Vote()
+        groups: list[Group] = []
         for r in pdf.sort_values(["time", "frame_id"], kind="stable").itertuples():
-            vote.add(r.text, r.key or r.text, r.score, r.confidence, r.suspicious)
-        w = vote.winner()
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "text": w["text"], "votes": w["count"], "groups": len(vote.groups), "score": w["score"], "confidence": w["confidence"]}])
+            groups = joined(groups, block_reading(r.text, r.key or r.text, r.score, r.confidence, r.suspicious), VOTE_SIMILARITY, keep_first_key(r.suspicious))
+        w = winner(groups)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "text": w.text, "votes": w.count, "groups": len(groups), "score": w.score, "confidence": w.confidence}])
 
     ready = prepared(observations, script).select(*keys, "frame_id", "time", "text", "key", "score", "confidence", "suspicious")
     return ready.groupBy(*keys).applyInPandas(fold, f"{schema}, text string, votes int, groups int, score double, confidence double")
@@ -175,21 +225,14 @@ def deep_vote(votes: DataFrame, script: Script = CYRILLIC, limit: int = 24) -> D
     ready = ready.select("video_id", "frame_id", "rank", "text", "confidence", T.merge_key(t).alias("key"), T.candidate_score(t, F.col("confidence"), script).alias("score"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
+        groups: list[Group] = []
         for r in pdf.sort_values("rank").itertuples():
-            if not r.text:
-                continue
-            group = next((g for g in groups if SequenceMatcher(None, r.key, g["lead"].key).ratio() >= DEEP_SIMILARITY), None)
-            if group is None:
-                groups.append({"lead": r, "all": [r]})
-                continue
-            group["all"].append(r)
-            if r.score > group["lead"].score:
-                group["lead"] = r
-        best = max(groups, key=lambda g: (len(g["all"]), max(r.confidence for r in g["all"]), max(r.score for r in g["all"]), len(g["lead"].text)), default=None)
+            if r.text:
+                groups = joined(groups, Group(r.key, r.text, 1, r.confidence, r.score), DEEP_SIMILARITY, keep_best_score)
         row = {"video_id": pdf.video_id.iloc[0], "frame_id": pdf.frame_id.iloc[0], "text": "", "confidence": 0.0, "votes": 0}
-        if best is not None:
-            row |= {"text": best["lead"].text, "confidence": max(r.confidence for r in best["all"]), "votes": len(best["all"])}
+        if groups:
+            best = winner(groups)
+            row |= {"text": best.text, "confidence": best.confidence, "votes": best.count}
         return pd.DataFrame([row])
 
     won = ready.groupBy("video_id", "frame_id").applyInPandas(fold, "video_id string, frame_id string, text string, confidence double, votes int")

@@ -87,13 +87,14 @@ def gate_frames(frames: DataFrame, rate: float = 0.75, **options) -> DataFrame:
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate, rows = Gate(**options), []
+        gate, rows, last = Gate(**options), [], None
         for r in pdf.sort_values(["time", "frame_id"], kind="stable").itertuples():
             state, diff = gate.step(r.time, bool(r.detected), r.mask, r.small)
             if state == "same":
-                last = next(x for x in reversed(rows) if x[6] == "emit")
                 last[3] = r.time + rate
             rows.append([r.video_id, r.frame_id, r.time, r.time + rate, diff, 1.0 if state == "emit" else 0.0, state])
+            if state == "emit":
+                last = rows[-1]
         return pd.DataFrame(rows, columns=["video_id", "frame_id", "time", "end_time", "diff_score", "mask_similarity", "state"])
 
     return frames.select("video_id", "frame_id", "time", "detected", "mask", "small").groupBy("video_id").applyInPandas(fold, DEDUP_OUT)
@@ -141,11 +142,15 @@ def neighbours(frames: DataFrame, window: float = 1.0, limit: int = 5) -> DataFr
 
 
 def signature(candidates: DataFrame) -> DataFrame:
-    """video_id, n, first_time, last_time, digest of the rounded rows."""
-    row = F.struct(F.round("time", 3).alias("time"), F.round("end_time", 3).alias("end_time"), F.col("frame_id"))
-    return candidates.groupBy("video_id").agg(
-        F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.sha1(F.to_json(F.sort_array(F.collect_list(row)))).alias("digest")
-    )
+    """video_id, n, first_time, last_time, digest of the rounded rows in any order.
+
+    The digest is a sum of the rows' hashes, so it is combined where rows are
+    read, whatever a video's size.
+    """
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint").cast("string")
+    row = F.md5(F.concat_ws("|", ms("time"), ms("end_time"), F.col("frame_id")))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return candidates.groupBy("video_id").agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.sha1(F.sum(number).cast("string")).alias("digest"))
 
 
 def decode(files: DataFrame, decoder) -> DataFrame:

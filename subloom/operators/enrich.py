@@ -13,11 +13,17 @@ from ..functions import text as T
 from ..functions import timecode
 from ..functions.core import ladder
 from ..functions.scripts import CYRILLIC, Script
+from ..shared import written
 
 # fixed values: terms whose case a glossary restores
-_NAMES = "Krishna Radha Vishnu Shiva Mahadev Narayan Narayana Lakshmi Laxmi Brahma Saraswati Parvati Ganesha Ganesh Arjuna Yashoda Vrindavan Mathura Gokul Dwarka Kurukshetra"
-_WORDS = "dharma karma bhakti maya avatar asura deva mantra puja yajna prasad leela gopi gopika guru rishi muni shakti atma moksha samsara"
-GLOSSARY = {t.lower(): t for t in [*_NAMES.split(), *_WORDS.split(), "Vedas", "Upanishads", "Bhagavad Gita"]}
+TERMS = (
+    "Krishna", "Radha", "Vishnu", "Shiva", "Mahadev", "Narayan", "Narayana", "Lakshmi", "Laxmi", "Brahma", "Saraswati", "Parvati", "Ganesha", "Ganesh", "Arjuna", "Yashoda", "Vrindavan",
+    "Mathura", "Gokul", "Dwarka", "Kurukshetra", "dharma", "karma", "bhakti", "maya", "avatar", "asura", "deva", "mantra", "puja", "yajna", "prasad", "leela", "gopi", "gopika", "guru",
+    "rishi", "muni", "shakti", "atma", "moksha", "samsara", "Vedas", "Upanishads", "Bhagavad Gita",
+)
+GLOSSARY = {term.lower(): term for term in TERMS}
+
+Translator = Callable[[list[str]], list[str | None]]
 
 
 def rewrite_terms(blocks: DataFrame, glossary: dict[str, str] | None = None, column: str = "text") -> DataFrame:
@@ -53,7 +59,49 @@ def corrections(rewritten: DataFrame) -> DataFrame:
     )
 
 
-def translate(blocks: DataFrame, cache: DataFrame, translator: Callable[[list[str]], list[str | None]] | None = None, script: Script = CYRILLIC) -> tuple[DataFrame, DataFrame]:
+def first_that_answers(*translators: Translator) -> Translator:
+    """A translator that asks the next one for what the ones before gave no answer to.
+
+    One that raises counts as having answered nothing.
+    """
+
+    def run(texts: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(texts)
+        for ask in translators:
+            open_ = [i for i, t in enumerate(out) if t is None]
+            if not open_:
+                break
+            try:
+                answers = list(ask([texts[i] for i in open_]))
+            except Exception:  # noqa: BLE001  a model that can't be reached is one that doesn't answer
+                continue
+            for i, answer in zip(open_, answers, strict=True):
+                out[i] = answer
+        return out
+
+    return run
+
+
+def asked(texts: DataFrame, model: Translator, answer: str = "fresh") -> DataFrame:
+    """source_text and ``answer``: a model's answers to distinct texts, null for a failure.
+
+    Written, so that a model is asked once for each text however many results
+    use its answers.  A batch that raises is a batch of failures.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            items = part["source_text"].tolist()
+            try:
+                done = list(model(items))
+            except Exception:  # noqa: BLE001
+                done = [None] * len(items)
+            yield pd.DataFrame({"source_text": items, answer: done}, dtype="object")
+
+    return written(texts.select("source_text").mapInPandas(run, f"source_text string, {answer} string"), "answers")
+
+
+def translate(blocks: DataFrame, cache: DataFrame, translator: Translator | None = None, script: Script = CYRILLIC) -> tuple[DataFrame, DataFrame]:
     """Blocks with ``translated`` and ``status``, and the new cache rows.
 
     Distinct cleaned texts meet the cache once; only those it lacks go to
@@ -63,20 +111,7 @@ def translate(blocks: DataFrame, cache: DataFrame, translator: Callable[[list[st
     source = blocks.withColumn("source_text", T.clean_for_translation(F.col("text"), script))
     known = cache.groupBy("source_text").agg(F.max("target_text").alias("cached"))
     misses = source.select("source_text").where("source_text <> ''").distinct().join(known, "source_text", "left_anti")
-    if translator is None:
-        fresh = misses.select("source_text", F.lit(None).cast("string").alias("fresh"))
-    else:
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                texts = part["source_text"].tolist()
-                try:
-                    done = list(translator(texts))
-                except Exception:  # noqa: BLE001  a failed batch is a batch of failures
-                    done = [None] * len(texts)
-                yield pd.DataFrame({"source_text": texts, "fresh": done}, dtype="object")
-
-        fresh = misses.mapInPandas(run, "source_text string, fresh string")
+    fresh = misses.select("source_text", F.lit(None).cast("string").alias("fresh")) if translator is None else asked(misses, translator)
     out = source.join(known, "source_text", "left").join(fresh, "source_text", "left")
     status = ladder(
         (F.col("source_text") == "", "empty"),
@@ -88,6 +123,14 @@ def translate(blocks: DataFrame, cache: DataFrame, translator: Callable[[list[st
     return out.withColumns({"translated": target, "status": status}).drop("cached", "fresh"), fresh.where("fresh is not null").select("source_text", F.col("fresh").alias("target_text"))
 
 
+def cleaned_by_model(blocks: DataFrame, model: Translator, script: Script = CYRILLIC, allow_drop: bool = False) -> DataFrame:
+    """Texts tidied by rule, then by a model that sees each distinct one once; without an answer the rule's text stays."""
+    tidy = blocks.withColumn("source_text", T.heuristic_cleanup(F.col("text"), allow_drop, script))
+    answers = asked(tidy.select("source_text").where("source_text <> ''").distinct(), model, "answer")
+    answer = T.normalize(F.coalesce("answer", F.lit("")))
+    return tidy.join(answers, "source_text", "left").withColumn("text", F.when(answer != "", answer).otherwise(F.col("source_text"))).select(*blocks.columns)
+
+
 def translation_summary(translated: DataFrame, requested: bool = True) -> DataFrame:
     """total, translated, failed, unique_misses, status of a translation, one row."""
     failed = F.count_if(F.col("status") == "failed")
@@ -101,6 +144,15 @@ def translation_summary(translated: DataFrame, requested: bool = True) -> DataFr
     return df.select("total_blocks", F.greatest(F.lit(0), F.col("total_blocks") - F.col("failed_blocks")).alias("translated_blocks"), "failed_blocks", "unique_misses", status.alias("status"))
 
 
+def translation_report(translated: DataFrame, engine: str, input_file: str, output_file: str, error: str | None = None) -> DataFrame:
+    """The translation's report as one row: files, counts, engine, status and, where there is one, the error (K8)."""
+    df = translation_summary(translated, engine != "none")
+    status = F.when(F.lit(error is not None), F.lit("translation_failed")).otherwise(F.col("status"))
+    return df.select(
+        F.lit(input_file).alias("input_file"), F.lit(output_file).alias("output_file"), "total_blocks", "translated_blocks", "failed_blocks", F.lit(engine).alias("engine"), status.alias("status"), F.lit(error).cast("string").alias("error")
+    )
+
+
 def timing_conformance(a: DataFrame, b: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """video_id, blocks, mismatches, conformant: same blocks at the same times."""
     left = a.select("video_id", "block_no", F.col("start").alias("s1"), F.col("end").alias("e1"))

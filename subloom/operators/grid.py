@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PRESETS, presets_table
+from ..config import PRESETS, SEARCH_ORDER, presets_table
 from ..functions import text as T
+from ..functions.core import ladder
 from ..functions.scripts import CYRILLIC, Script
 
 
@@ -44,11 +45,68 @@ def best_preset(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or [])).agg(F.max_by("preset", order).alias("preset"), F.max_by("accepted", order).alias("accepted"), F.max_by("sample", order).alias("sample"))
 
 
+def trial(readings: DataFrame, regions: DataFrame | None = None, script: Script = CYRILLIC, sample: int = 100, least: int = 4) -> DataFrame:
+    """video_id, label, preset, accepted, sample of each video's best configuration.
+
+    The first ``sample`` readings of a video are cleaned under every preset; with
+    ``regions`` (readings of the same frames from a detected region) the preset
+    ``recall`` is tried on those too, as ``auto-region``.  Videos of fewer than
+    ``least`` readings keep what they have: label and preset are null.  The
+    highest count of accepted readings wins, then confidence, least noise and
+    score, then the earlier trial.
+    """
+    first = lambda df: sample_per_key(df, ["video_id"], ["time", "frame_id"], sample)
+    own = first(readings)
+    counts = own.groupBy("video_id").agg(F.count("*").alias("_n"))
+    tried = scores(evaluate(own, script=script), ["video_id"]).withColumn("label", F.col("preset"))
+    if regions is not None:
+        tried = tried.unionByName(scores(evaluate(first(regions), ["recall"], script), ["video_id"]).withColumn("label", F.lit("auto-region")))
+    trials = {name: i for i, name in enumerate([*SEARCH_ORDER, "auto-region"])}
+    rank = ladder(*[(F.col("label") == name, i) for name, i in trials.items()], otherwise=len(trials))
+    order = F.struct(F.col("accepted"), F.round("avg_confidence", 9), -F.round("noise_ratio", 9), F.round("composite", 6), -rank)
+    best = tried.groupBy("video_id").agg(*[F.max_by(c, order).alias(c) for c in ("label", "preset", "accepted")])
+    enough = F.col("_n") >= least
+    return counts.join(best, "video_id").select("video_id", *[F.when(enough, F.col(c)).alias(c) for c in ("label", "preset", "accepted")], F.col("_n").alias("sample"))
+
+
+def chosen_readings(readings: DataFrame, trials: DataFrame, regions: DataFrame | None = None, script: Script = CYRILLIC, default: str = "recall") -> DataFrame:
+    """All readings cleaned under their video's winner, from the detected region where that won: the run after the trial."""
+    won = trials.select("video_id", F.coalesce("preset", F.lit(default)).alias("_p"), F.coalesce(F.col("label") == "auto-region", F.lit(False)).alias("_region"))
+    source = readings.withColumn("_from", F.lit(False))
+    if regions is not None:
+        source = source.unionByName(regions.withColumn("_from", F.lit(True)))
+    else:
+        won = won.withColumn("_region", F.lit(False))
+    mine = source.join(won, "video_id").where(F.col("_from") == F.col("_region")).drop("_from", "_region")
+    return evaluate(mine, script=script).where(F.col("preset") == F.col("_p")).drop("_p")
+
+
 def region_is_better(hits: int, initial: int) -> bool:
     """Whether a detected region replaces the initial crop."""
     return hits >= max(4, int(0.65 * initial))
 
 
+def region_trial(initial: DataFrame, regional: DataFrame, settings: DataFrame | None = None, sample: int = 120) -> DataFrame:
+    """video_id, initial_hits, region_hits, use_region, cached: the balanced mode's choice of region.
+
+    ``initial`` and ``regional`` are candidates (video_id, time, has_subtitle) of
+    the usual crop and of the detected region; only the time of the first
+    ``sample`` initial ones counts.  ``settings`` (video_id, use_region) are choices
+    made before; they are taken over, and nothing is counted for those videos'
+    verdict.  A video without a detected region keeps its crop.
+    """
+    first = sample_per_key(initial, ["video_id"], ["time"], sample)
+    until = first.groupBy("video_id").agg(F.max("time").alias("_until"), F.count_if("has_subtitle").alias("initial_hits"))
+    hits = regional.join(until.select("video_id", "_until"), "video_id").where(F.col("time") <= F.col("_until")).groupBy("video_id").agg(F.count_if("has_subtitle").alias("region_hits"))
+    df = until.drop("_until").join(hits, "video_id", "left")
+    better = F.coalesce(F.col("region_hits") >= F.greatest(F.lit(4), F.floor(F.col("initial_hits") * 0.65)), F.lit(False))
+    if settings is None:
+        return df.select("video_id", "initial_hits", F.coalesce("region_hits", F.lit(0)).alias("region_hits"), better.alias("use_region"), F.lit(False).alias("cached"))
+    known = settings.select("video_id", F.col("use_region").alias("_known"))
+    df = df.join(known, "video_id", "left")
+    return df.select("video_id", "initial_hits", F.coalesce("region_hits", F.lit(0)).alias("region_hits"), F.coalesce("_known", better).alias("use_region"), F.col("_known").isNotNull().alias("cached"))
+
+
 def benchmark(evaluated: DataFrame, blocks: DataFrame, seconds: float | None = None) -> DataFrame:
     """The benchmark's row for each preset (D18, K10). ``blocks`` has preset."""
     ok = F.col("reason") == "accepted"
@@ -76,7 +134,7 @@ def benchmark_html(report: DataFrame) -> DataFrame:
     return report.agg(page.alias("html"))
 
 
-def sample_per_key(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The first rows of each key (L4)."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def sample_per_key(df: DataFrame, keys: list[str], order: str | list[str], n: int) -> DataFrame:
+    """The first rows of each key (L4); Spark cuts groups before they are moved."""
+    w = Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

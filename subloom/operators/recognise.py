@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PREPROCESS_MODES
+from ..functions import text as T
+from ..functions.core import ladder
+from ..functions.scripts import CYRILLIC, Script
+from ..shared import written
+from . import quality
+from .blocks import deep_vote
+from .candidates import neighbours
+from .enrich import Translator, asked
 
 Recogniser = Callable[[bytes], tuple[str, float]]
 SPATIAL = ("crop", "crop_up", "crop_down")
@@ -61,13 +69,125 @@ def read(images: DataFrame, engines: dict[str, Callable[[], Recogniser]], second
     return images.select("video_id", "frame_id", "time", "variant", "content").mapInPandas(run, schema)
 
 
-def variants(frames: DataFrame, mode: str = "subtitle") -> DataFrame:
-    """A row for each spatial and preprocessing variant, with its rank."""
+def read_with_fallback(images: DataFrame, engine: dict[str, Callable[[], Recogniser]], fallback: dict[str, Callable[[], Recogniser]], seconds: float = 30.0) -> DataFrame:
+    """Readings of one engine; what it failed on is read by another, what took too long is not.
+
+    Readings are written, so that no image is read twice by the same engine.
+    """
+    first = written(read(images, engine, seconds), "readings")
+    failed = first.where("status = 'failed'").select("video_id", "frame_id", "variant").distinct()
+    keys = ["video_id", "frame_id"] + ["variant"] * ("variant" in images.columns)
+    again = read(images.join(failed.select(*keys).distinct(), keys, "left_semi"), fallback, seconds)
+    return first.unionByName(written(again, "readings"))
+
+
+def last_chance(images: DataFrame, chosen: DataFrame, engine: dict[str, Callable[[], Recogniser]], preset: str = "recall", script: Script = CYRILLIC, seconds: float = 30.0) -> DataFrame:
+    """``chosen`` with frames that came out without a text read once more, by another engine.
+
+    The new reading passes the cleaner and the choice like any other; where it
+    fails too, the first verdict stays.
+    """
+    keys = ["video_id", "frame_id", "time"]
+    empty = chosen.where("text = ''").select(*keys)
+    readings = written(read(images.join(empty, keys, "left_semi"), engine, seconds), "readings").where("status = 'ok'")
+    better = quality.choose_best(quality.clean(readings, preset, script), keys, tuple(engine), script).where("accepted")
+    kept = chosen.join(better.select(*keys), keys, "left_anti")
+    return kept.unionByName(better.select(*chosen.columns))
+
+
+def deep_retry(
+    images: DataFrame,
+    wanted: DataFrame,
+    engine: dict[str, Callable[[], Recogniser]],
+    transform: Callable[[bytes, str], bytes],
+    preset: str = "recall",
+    mode: str = "auto",
+    script: Script = CYRILLIC,
+    window: float = 1.0,
+    limit: int = 5,
+    votes: int = 24,
+    seconds: float = 8.0,
+) -> DataFrame:
+    """video_id, frame_id, text, confidence, outcome of the ``wanted`` frames, read again with more effort (U4).
+
+    The nearest frames in time, themselves included, are read in every variant;
+    readings that the cleaner accepts and that aren't noise, or are known short
+    texts, vote, the first ``votes`` by nearness and variant.  A frame's variants
+    are read once, however many frames ask for them.
+    """
+    near = neighbours(images.select("video_id", "frame_id", "time"), window, limit).join(wanted.select("video_id", "frame_id").distinct(), ["video_id", "frame_id"], "left_semi")
+    near = written(near, "deep-neighbours")
+    shots = images.join(near.select("video_id", F.col("neighbour_id").alias("frame_id")).distinct(), ["video_id", "frame_id"], "left_semi")
+    each = variants(shots, mode)
+    ranks = each.sparkSession.createDataFrame(list(enumerate(variant_names(mode))), "variant_rank int, variant string")
+    readings = written(read(transform_images(each, transform), engine, seconds), "deep-readings").where("status = 'ok'")
+    cleaned = quality.noise(quality.clean(readings, preset, script), "cleaned", "standard", script)
+    fit = cleaned.where((F.col("reason") == "accepted") & (~F.col("noise.suspicious") | F.col("noise.is_valid_short"))).join(F.broadcast(ranks), "variant")  # a row for each variant
+    fit = fit.select("video_id", F.col("frame_id").alias("neighbour_id"), "variant_rank", F.col("cleaned").alias("text"), "confidence")
+    cast = near.select("video_id", "frame_id", "neighbour_id", F.col("rank").alias("neighbour_rank")).join(fit, ["video_id", "neighbour_id"])
+    return deep_vote(cast, script, votes)
+
+
+def recovered(chosen: DataFrame, retried: DataFrame, noise_mode: str = "standard", script: Script = CYRILLIC) -> DataFrame:
+    """``chosen`` with what the retry gave, and ``deep``: recovered, rejected, or null for frames not retried.
+
+    A text that was recovered takes the frame's place; one that was not takes
+    away a suspicious text, but for known short ones.
+    """
+    again = retried.select("video_id", "frame_id", F.col("text").alias("_text"), F.col("confidence").alias("_confidence"), "outcome")
+    df = quality.noise(chosen.join(again, ["video_id", "frame_id"], "left"), "text", noise_mode, script)
+    tried, found = F.col("outcome").isNotNull(), F.coalesce(F.col("_text") != "", F.lit(False))
+    lost = tried & ~found & F.col("noise.suspicious") & ~F.col("noise.is_valid_short")
+    return df.withColumns(
+        {
+            "text": F.when(found, F.col("_text")).when(lost, F.lit("")).otherwise(F.col("text")),
+            "confidence": F.when(found, F.greatest("confidence", "_confidence")).otherwise(F.col("confidence")),
+            "reason": F.when(found | lost, F.col("outcome")).otherwise(F.col("reason")),
+            "accepted": F.col("accepted") & ~lost,
+            "deep": F.when(found, F.lit("recovered")).when(lost, F.lit("rejected")),
+        }
+    ).select(*chosen.columns, "deep")
+
+
+def sanity_by_model(suspicious: DataFrame, model: Translator, script: Script = CYRILLIC) -> DataFrame:
+    """Adds ``sane`` (valid, repaired, reason): by rule where that suffices, else by a model's word (P10, U8).
+
+    The model sees each distinct repaired text once, and only those that the
+    rules leave in doubt; it answers VALID or NOISE, anything else is no answer.
+    """
+    df = suspicious.withColumn("_s", T.language_sanity(F.col("text"), script)).withColumn("source_text", F.col("_s.repaired"))
+    answers = asked(df.where("not _s.valid").select("source_text").distinct(), model, "answer")
+    word = F.upper(F.trim(F.coalesce("answer", F.lit(""))))
+    valid = F.col("_s.valid") | word.startswith("VALID")
+    reason = ladder((F.col("_s.valid"), F.col("_s.reason")), (word.startswith("VALID"), "ollama_language_sanity"), (word.startswith("NOISE"), "ollama_language_noise"), otherwise=F.col("_s.reason"))
+    out = df.join(answers, "source_text", "left").withColumn("sane", F.struct(valid.alias("valid"), F.col("_s.repaired").alias("repaired"), reason.alias("reason")))
+    return out.select(*suspicious.columns, "sane")
+
+
+def model_answers(listed: object, model: str) -> tuple[bool, bool]:
+    """From a server's list of models: whether it can be asked, and whether it has the model, by full or short name.
+
+    None means that it could not be reached; a server that doesn't list the
+    model is asked all the same.
+    """
+    if listed is None:
+        return False, False
+    entries = listed.get("models", []) if isinstance(listed, dict) else []
+    names = {str(e.get("name", "")) for e in entries if isinstance(e, dict)}
+    return True, model in names or model.split(":")[0] in {n.split(":")[0] for n in names}
+
+
+def variant_names(mode: str = "subtitle") -> list[str]:
+    """Spatial and preprocessing variants, in the order in which they vote."""
     modes = ["subtitle", "grayscale", "adaptive", "contrast", "threshold", "denoise", "simple"]
     if mode in PREPROCESS_MODES and mode not in modes:
         modes.insert(0, mode)
-    names = [f"{s}:{m}" for s in SPATIAL for m in [*modes, "invert"]]
-    each = F.array(*[F.struct(F.lit(i).alias("variant_rank"), F.lit(n).alias("variant")) for i, n in enumerate(names)])
+    return [f"{s}:{m}" for s in SPATIAL for m in [*modes, "invert"]]
+
+
+def variants(frames: DataFrame, mode: str = "subtitle") -> DataFrame:
+    """A row for each spatial and preprocessing variant, with its rank."""
+    each = F.array(*[F.struct(F.lit(i).alias("variant_rank"), F.lit(n).alias("variant")) for i, n in enumerate(variant_names(mode))])
     return frames.select("*", F.explode(each).alias("_v")).select(*frames.columns, "_v.*")
 
 

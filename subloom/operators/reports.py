@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import ladder
@@ -76,6 +76,103 @@ def ocr_report(observations: DataFrame, blocks: DataFrame, rejections: DataFrame
     return joined.withColumn("accepted_ratio", F.col("accepted") / F.greatest(F.lit(1), F.col("actual_ocr_calls")))
 
 
+def quality_report(
+    observations: DataFrame, blocks: DataFrame, stats: DataFrame, statuses: DataFrame, candidates: DataFrame, profile: str = "default", detect_mode: str = "hybrid", crop: tuple = (0.08, 0.92, 0.78, 0.93), auto_region: bool = False, raw_srt: str = ""
+) -> DataFrame:
+    """A video's quality report, a row with the report document's 29 fields.
+
+    Needs observations (video_id, emitted, confidence, rejection; ``deep`` where
+    frames were retried), blocks (video_id, confidence), stats (the gate's),
+    statuses (video_id, status of each reading) and candidates (video_id,
+    has_subtitle, text_bbox_area).  Every part is aggregated by video where it is
+    read, and the parts meet on the video.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    deep = F.col("deep") if "deep" in observations.columns else F.lit(None).cast("string")
+    seen = observations.groupBy("video_id").agg(
+        F.count("*").alias("calls"), F.count_if("emitted").alias("accepted"), F.count_if(~F.col("emitted")).alias("rejected"), F.count_if(deep.isNotNull()).alias("deep_attempted"),
+        F.count_if(deep == "recovered").alias("deep_recovered"), F.count_if(deep == "rejected").alias("deep_rejected"),
+    )
+    part = F.explode(F.split("rejection", ",")).alias("reason")
+    why = observations.where("rejection is not null").select("video_id", part).select("video_id", F.when(F.trim("reason") == "", F.lit("empty")).otherwise(F.trim("reason")).alias("reason"))
+    why = why.groupBy("video_id", "reason").agg(F.count("*").alias("n")).groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejection_reasons"))
+    name = bin_of(F.col("confidence"), QUALITY_BINS)
+    bins = F.create_map(*[x for b, _ in QUALITY_BINS for x in (F.lit(b), F.count_if(F.col("confidence").isNotNull() & (name == b)))])
+    made = blocks.groupBy("video_id").agg(F.count("*").alias("blocks"), F.avg("confidence").alias("mean"), F.median("confidence").alias("mid"), bins.alias("bins"))
+    read = statuses.groupBy("video_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "failed", "timeout")])
+    area = average_area(candidates, ["video_id"])
+    out = seen
+    for other in (why, made, read, stats, area):
+        out = out.join(other, "video_id", "left")
+    ratio = F.col("accepted") / F.greatest(F.lit(1), F.col("calls"))
+    no_bins = F.create_map(*[x for b, _ in QUALITY_BINS for x in (F.lit(b), F.lit(0).cast("bigint"))])
+    return out.select(
+        "video_id", n("sampled").alias("total_frames_sampled"), n("with_text").alias("frames_with_subtitles"), n("with_text").alias("white_text_frames"), n("skipped_no_text").alias("skipped_without_subtitles"),
+        n("skipped_same").alias("skipped_same_subtitle"), n("skipped_same").alias("skipped_same_subtitle_frames"), n("calls").alias("actual_ocr_calls"), n("ok").alias("successful_ocr_calls"),
+        n("failed").alias("failed_ocr_calls"), n("timeout").alias("timeout_ocr_calls"), n("calls").alias("total_ocr_results"), n("accepted").alias("accepted_ocr_results"), n("rejected").alias("noise_rejected"),
+        F.lit(profile).alias("quality_profile"), F.lit(detect_mode).alias("subtitle_detect_mode"), F.coalesce("avg_area", F.lit(0.0)).alias("average_text_bbox_area"), ratio.alias("accepted_ratio"),
+        F.when(ratio < 0.3, F.lit("filter_too_aggressive")).otherwise(F.lit("")).alias("accepted_ratio_warning"), n("deep_attempted").alias("deep_analysis_attempted"),
+        n("deep_recovered").alias("deep_analysis_recovered"), n("deep_rejected").alias("deep_analysis_rejected"), F.coalesce("rejection_reasons", F.create_map().cast("map<string,bigint>")).alias("rejection_reasons"),
+        F.coalesce("mean", F.lit(0.0)).alias("average_confidence"), F.coalesce("mid", F.lit(0.0)).alias("median_confidence"), F.coalesce("bins", no_bins).alias("confidence_histogram"),
+        F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x1", "x2", "y1", "y2"), crop, strict=True)]).alias("used_crop"), F.lit(auto_region).alias("auto_region_used"),
+        n("blocks").alias("subtitle_blocks_generated"), F.lit(raw_srt).alias("raw_srt"),
+    )
+
+
+# fixed values: the text report's lines after its head (name, column, format), and its advice
+REPORT_LINES = (
+    ("quality_profile", "quality_profile", "%s"), ("subtitle_detect_mode", "subtitle_detect_mode", "%s"), ("sampled_frames_total", "total_frames_sampled", "%d"), ("ocr_frames", "actual_ocr_calls", "%d"),
+    ("actual_ocr_calls", "actual_ocr_calls", "%d"), ("white_text_frames", "white_text_frames", "%d"), ("skipped_same_subtitle_frames", "skipped_same_subtitle_frames", "%d"),
+    ("skipped_same_subtitle", "skipped_same_subtitle", "%d"), ("white_text_detected_frames", "white_text_frames", "%d"), ("skipped_without_subtitles", "skipped_without_subtitles", "%d"),
+    ("average_text_bbox_area", "average_text_bbox_area", "%.1f"), ("used_ocr_results", "accepted_ocr_results", "%d"), ("dropped_ocr_results", "noise_rejected", "%d"),
+    ("empty_ocr_results", "empty_ocr_results", "%d"), ("successful_frames", "successful_ocr_calls", "%d"), ("timeout_frames", "timeout_ocr_calls", "%d"), ("failed_frames", "failed_ocr_calls", "%d"),
+    ("total_ocr_results", "total_ocr_results", "%d"), ("accepted_ocr_results", "accepted_ocr_results", "%d"), ("noise_rejected", "noise_rejected", "%d"), ("accepted_ratio", "accepted_ratio", "%.3f"),
+    ("accepted_ratio_warning", "accepted_ratio_warning", "%s"), ("deep_analysis_attempted", "deep_analysis_attempted", "%d"), ("deep_analysis_recovered", "deep_analysis_recovered", "%d"),
+    ("deep_analysis_rejected", "deep_analysis_rejected", "%d"), ("rejection_reasons", "rejection_reasons", "map"), ("average_ocr_confidence", "average_confidence", "%.3f"),
+    ("median_ocr_confidence", "median_confidence", "%.3f"), ("confidence_histogram", "confidence_histogram", "map"), ("engine_counts", "engine_counts", "map"),
+)
+ADVICE = (
+    "Pokud je titulků málo, zkuste --ocr-preset recall, širší crop nebo --subtitle-detect-mode white-text.",
+    "Pokud je moc šumu, zkuste --subtitle-detect-mode hybrid, --ocr-preset balanced nebo strict a zkontrolujte temp/debug_detection.",
+)
+
+
+def report_text(report: DataFrame, observations: DataFrame, samples: int = 25) -> DataFrame:
+    """video_id, value: the report as text, with the first rejected readings.
+
+    Needs observations with time, frame_id, engine, text, emitted and rejection.
+    """
+    w = Window.partitionBy("video_id").orderBy("time", "frame_id")
+    dropped = observations.where("not emitted").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)
+    line = F.concat(F.lit("- ["), F.coalesce("rejection", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
+    noisy = dropped.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("line")))).alias("noise"))
+    empty = observations.groupBy("video_id").agg(F.count_if(~F.col("emitted") & (F.coalesce("text", F.lit("")) == "")).alias("empty_ocr_results"))
+    used = observations.where("emitted").groupBy("video_id", "engine").agg(F.count("*").alias("n")).groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", "n")))).alias("engine_counts"))
+    df = report
+    for other in (noisy, empty, used):
+        df = df.join(other, "video_id", "left")
+    df = df.withColumn("engine_counts", F.coalesce("engine_counts", F.create_map().cast("map<string,bigint>"))).withColumn("empty_ocr_results", F.coalesce("empty_ocr_results", F.lit(0)))
+    entry = lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))
+    as_map = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), entry), ", "), F.lit("}"))
+    lines = [F.concat(F.lit(f"{name}: "), as_map(c) if fmt == "map" else F.format_string(fmt, F.col(c))) for name, c, fmt in REPORT_LINES]
+    rule = F.lit("=" * 40)
+    head = F.array(F.lit("OCR REPORT"), rule, *lines, F.lit(""), F.lit("TOP OCR NOISE SAMPLES"), rule)
+    tail = F.array(F.lit(""), F.lit("RECOMMENDATION"), rule, *[F.lit(x) for x in ADVICE])
+    noise = F.coalesce(F.transform("noise", lambda x: x["line"]), F.array().cast("array<string>"))
+    return df.select("video_id", F.concat(F.array_join(F.concat(head, noise, tail), "\n"), F.lit("\n")).alias("value"))
+
+
+def with_timing(texts: DataFrame, changes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Text reports with their timing section; ``changes`` has video_id, calls (K4)."""
+    times = average_duration(blocks, ["video_id"])
+    df = texts.join(changes.select("video_id", "calls"), "video_id", "left").join(times, "video_id", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    section = F.format_string(
+        "\nTIMING\n" + "=" * 40 + "\nsubtitle_changes_or_ocr_crops: %d\nsubtitle_blocks: %d\naverage_subtitle_duration: %.3f\n", number("calls"), number("blocks"), F.coalesce("avg_duration", F.lit(0.0))
+    )
+    return df.select("video_id", F.concat("value", section).alias("value"))
+
+
 def scan_report(reports: DataFrame, keys: dict[str, str], column: str = "value") -> DataFrame:
     """Adds the values of ``key: value`` lines, as int, double, string or map; missing ones are 0 or empty."""
     out = {}

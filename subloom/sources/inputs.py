@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import CACHE
+
 
 def videos(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, length, content, modificationTime of media files."""
@@ -20,9 +23,29 @@ def frames_in(frames: DataFrame, start: float | None = None, end: float | None =
     return frames if end is None else frames.where(F.col("time") <= float(end))
 
 
-def urls(spark: SparkSession, path: str) -> DataFrame:
-    """url: one for each line that isn't blank."""
-    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("url")).where("url <> ''")
+def urls(spark: SparkSession, path: str | None, single: str = "") -> DataFrame:
+    """url: one for each line that isn't blank; without any, the single one; without that, an error."""
+    trimmed = F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("url")
+    given = spark.createDataFrame([(single,)], "value string").select(trimmed).where("url <> ''")
+    lines = spark.read.text(path).select(trimmed).where("url <> ''") if path else given.limit(0)
+    if not lines.isEmpty():
+        return lines
+    if given.isEmpty():
+        raise ValueError("no url")
+    return given
+
+
+def translation_cache(spark: SparkSession, path: str) -> DataFrame:
+    """source_text, target_text, engine of a cache folder; empty where there is none."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], CACHE)
+
+
+def log_rows(logs: DataFrame, path: str) -> None:
+    """Append log lines (job_id, seq, message) to the logs' table, a folder for each job."""
+    logs.write.mode("append").partitionBy("job_id").parquet(path)
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

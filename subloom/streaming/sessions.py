@@ -27,53 +27,59 @@ def gap_sessions(readings: DataFrame, gap: str, keys: list[str], delay: str | No
 _FIELDS = ["time", "end", "text", "key", "score", "confidence", "suspicious"]
 
 
-def content_sessions(readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC) -> DataFrame:
+def content_sessions(
+    readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC, keep: float = 3600.0
+) -> DataFrame:
     """The batch fold's blocks from a stream (X2). Needs ``ts`` (event time) beside a reading's columns.
 
-    A video's state is its open block's readings and what waits behind the
-    watermark, so late rows take their place in order.  A block closes when a
+    A video's state is its open block's groups of votes and what waits behind
+    the watermark, so late rows take their place in order.  A block closes when a
     reading that is past the watermark doesn't join it, or when the watermark has
-    passed its end by the gap.
+    passed its end by the gap.  A video that has been silent for ``keep`` seconds
+    of event time leaves the store; should it come again, its blocks are counted
+    anew.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"open": [], "wait": [], "no": 0}
+        held = json.loads(state.get[0]) if state.exists else {"open": None, "seen": 0.0, "wait": [], "no": 0}
+        wait = held["wait"]
         for part in parts:
-            held["wait"] += [[float(t.timestamp()), f, *r] for t, f, *r in part[["ts", "frame_id", *_FIELDS]].itertuples(index=False, name=None)]
+            wait += [[float(t.timestamp()), f, *r] for t, f, *r in part[["ts", "frame_id", *_FIELDS]].itertuples(index=False, name=None)]
         mark = state.getCurrentWatermarkMs() / 1000
-        held["wait"].sort(key=lambda r: (r[2], str(r[1])))
-        session, done, opened = Session(max_gap, similarity, min_duration), [], held["open"]
-        for r in opened:
-            session.add(*r[2:])
-        while held["wait"] and held["wait"][0][0] <= mark:
-            r = held["wait"].pop(0)
+        wait.sort(key=lambda r: (r[2], str(r[1])))
+        session, done, seen, taken = Session(max_gap, similarity, min_duration).restored(held["open"]), [], held["seen"], 0
+        while taken < len(wait) and wait[taken][0] <= mark:  # in order, up to the first that may still be preceded
+            r = wait[taken]
+            taken += 1
             if (b := session.add(*r[2:])) is not None:
                 done.append(b)
-                opened = []
-            opened.append(r)
-        if opened and mark > max(r[0] + (r[3] - r[2]) for r in opened) + max_gap and not (held["wait"] and held["wait"][0][2] - session.end <= max_gap):
+                seen = 0.0
+            seen = max(seen, r[0] + (r[3] - r[2]))  # the block's end on the clock of ``ts``
+        wait = wait[taken:]
+        if session.groups and mark > seen + max_gap and not (wait and wait[0][2] - session.end <= max_gap):
             done.append(session.finish())
-            opened = []
-        held["open"] = opened
-        rows = []
-        for b in done:
-            held["no"] += 1
-            rows.append({"video_id": key[0], "block_no": held["no"], **b})
-        state.update((json.dumps(held),))
-        if opened or held["wait"]:
-            latest = max(r[0] + (r[3] - r[2]) for r in [*opened, *held["wait"]])
+        rows = [{"video_id": key[0], "block_no": held["no"] + i, **b} for i, b in enumerate(done, 1)]
+        if session.groups or wait:
+            state.update((json.dumps({"open": session.state(), "seen": seen, "wait": wait, "no": held["no"] + len(done)}),))
+            latest = max([seen if session.groups else 0.0, *(r[0] + (r[3] - r[2]) for r in wait)])
             state.setTimeoutTimestamp(int(max(latest + max_gap, mark) * 1000) + 1)
+        elif state.hasTimedOut:  # nothing came since the last block was given out
+            state.remove()
+        else:  # only the count, until the video has been silent for long
+            state.update((json.dumps({"open": None, "seen": 0.0, "wait": [], "no": held["no"] + len(done)}),))
+            state.setTimeoutTimestamp(int((mark + keep) * 1000) + 1)
         yield pd.DataFrame(rows, columns=["video_id", "block_no", "start", "end", "text", "score", "confidence", "readings"])
 
     ready = prepared(readings, script).select("video_id", "ts", "frame_id", *_FIELDS).withWatermark("ts", delay)
     return ready.groupBy("video_id").applyInPandasWithState(step, f"{BLOCKS}, readings int", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, **options) -> DataFrame:
+def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, keep: float = 3600.0, **options) -> DataFrame:
     """Frames to read, from a stream, each with its end once that is final (X3). Needs ``ts`` beside the batch gate's columns.
 
     A row is given out when the next one is emitted or text has gone, so its end
-    no longer changes; the last of a stream waits for a timer.
+    no longer changes; the last of a stream waits for a timer.  A video that has
+    been silent for ``keep`` seconds of event time leaves the store.
     """
     schema = "video_id string, frame_id string, time double, end_time double"
 
@@ -87,8 +93,10 @@ def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.7
         gate, out = Gate(**options), []
         if held["gate"]:
             gate.__dict__.update(held["gate"])
-        while held["wait"] and held["wait"][0][0] <= mark:
-            _, t, frame, detected, mask, small = held["wait"].pop(0)
+        wait, taken = held["wait"], 0
+        while taken < len(wait) and wait[taken][0] <= mark:
+            _, t, frame, detected, mask, small = wait[taken]
+            taken += 1
             what, _ = gate.step(t, detected, mask, small)
             if what == "same" and held["last"]:
                 held["last"][1:] = [held["last"][1], t + rate]
@@ -97,13 +105,17 @@ def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.7
                 held["last"] = None
             if what == "emit":
                 held["last"] = [frame, t, t + rate]
-        if state.hasTimedOut and held["last"] and not held["wait"]:
+        wait = wait[taken:]
+        if state.hasTimedOut and held["last"] and not wait:
             out.append((key[0], *held["last"]))
             held["last"] = None
-        held["gate"] = {k: (v if not hasattr(v, "tolist") else v.tolist()) for k, v in gate.__dict__.items()}
-        state.update((json.dumps(held),))
-        if held["last"] or held["wait"]:
-            state.setTimeoutTimestamp(int(max([mark, *(r[0] for r in held["wait"])]) * 1000) + int(rate * 1000) + 1)
+        if state.hasTimedOut and not wait and held["last"] is None and not out:
+            state.remove()  # silent since its last row was given out
+        else:
+            kept = {k: (v if not hasattr(v, "tolist") else v.tolist()) for k, v in gate.__dict__.items()}
+            state.update((json.dumps({"gate": kept, "last": held["last"], "wait": wait}),))
+            until = max([mark, *(r[0] for r in wait)]) + rate if held["last"] or wait else mark + keep
+            state.setTimeoutTimestamp(int(until * 1000) + 1)
         yield pd.DataFrame(out, columns=["video_id", "frame_id", "time", "end_time"])
 
     ready = frames.select("video_id", "ts", "frame_id", "time", "detected", "mask", "small").withWatermark("ts", delay)
