@@ -111,35 +111,47 @@ def trim_noise_words(items: Column, script: Script = CYRILLIC) -> Column:
     return F.when(F.size(items) == 0, items).otherwise(let(let(items, ends), within))
 
 
-def looks_like_gibberish(items: Column, relaxed: bool, script: Script = CYRILLIC) -> Column:
-    """Whether a word list is noise (P5)."""
+def word_features(w: Column, script: Script = CYRILLIC) -> Column:
+    """What the gibberish rules ask of a word list, as a struct."""
+    joined, known = F.array_join(w, ""), list(script.short_words)
+    long = F.filter(w, lambda x: F.char_length(x) >= 3)
+    return F.struct(
+        F.size(w).alias("n"),
+        F.char_length(joined).alias("chars"),
+        F.size(F.filter(w, lambda x: (F.char_length(x) > 1) | F.lower(x).isin(known))).alias("telling"),
+        F.size(F.filter(w, lambda x: (F.char_length(x) <= 2) & ~F.lower(x).isin(known))).alias("odd"),
+        count_in(lowered(w), script.common).alias("common"),
+        count_vowels(joined, script).alias("vowels"),
+        count_upper(joined).alias("upper"),
+        F.size(long).alias("long"),
+        F.size(F.filter(long, lambda x: count_vowels(x, script) == 0)).alias("mute"),
+        F.array_max(F.transform(w, F.char_length)).alias("longest"),
+    )
+
+
+def is_gibberish(f: Column, relaxed: bool) -> Column:
+    """The rules on a word list's features (P5)."""
     pick = lambda strict, loose: loose if relaxed else strict
+    n, chars = f["n"], F.greatest(F.lit(1), f["chars"])
+    found = [
+        n == 0,
+        f["telling"] < F.greatest(F.lit(1.0), n * pick(0.6, 0.45)),
+        f["odd"] / F.greatest(F.lit(1), n) > pick(0.45, 0.65),
+        (f["chars"] >= 8) & (f["vowels"] / chars < pick(0.22, 0.14)),
+        (f["chars"] >= 5) & (f["upper"] / chars > pick(0.45, 0.75)),
+        (f["long"] > 0) & (f["mute"] / F.greatest(F.lit(1), f["long"]) > pick(0.35, 0.55)),
+    ]
+    if not relaxed:
+        found += [(n <= 2) & (f["longest"] < 5), (f["chars"] < 8) & (f["common"] == 0), (n >= 4) & (f["common"] == 0) & (f["chars"] < 42)]
+    out = F.lit(False)
+    for rule in found:
+        out = out | F.coalesce(rule, F.lit(False))
+    return out
 
-    def rules(w: Column) -> Column:
-        joined = F.array_join(w, "")
-        n, chars = F.size(w), F.char_length(joined)
-        known = list(script.short_words)
-        telling = F.size(F.filter(w, lambda x: (F.char_length(x) > 1) | F.lower(x).isin(known)))
-        odd = F.size(F.filter(w, lambda x: (F.char_length(x) <= 2) & ~F.lower(x).isin(known)))
-        common = count_in(lowered(w), script.common)
-        long = F.filter(w, lambda x: F.char_length(x) >= 3)
-        mute = F.size(F.filter(long, lambda x: count_vowels(x, script) == 0))
-        found = [
-            telling < F.greatest(F.lit(1.0), n * pick(0.6, 0.45)),
-            odd / F.greatest(F.lit(1), n) > pick(0.45, 0.65),
-            (chars >= 8) & (count_vowels(joined, script) / F.greatest(F.lit(1), chars) < pick(0.22, 0.14)),
-            (chars >= 5) & (count_upper(joined) / F.greatest(F.lit(1), chars) > pick(0.45, 0.75)),
-            (F.size(long) > 0) & (mute / F.greatest(F.lit(1), F.size(long)) > pick(0.35, 0.55)),
-        ]
-        if not relaxed:
-            longest = F.array_max(F.transform(w, F.char_length))
-            found += [(n <= 2) & (longest < 5), (chars < 8) & (common == 0), (n >= 4) & (common == 0) & (chars < 42)]
-        out = n == 0
-        for rule in found:
-            out = out | F.coalesce(rule, F.lit(False))
-        return out
 
-    return let(items, rules)
+def looks_like_gibberish(items: Column, relaxed: bool, script: Script = CYRILLIC) -> Column:
+    """Whether a word list is noise (P5)."""
+    return let(items, lambda w: let(word_features(w, script), lambda f: is_gibberish(f, relaxed)))
 
 
 def noise_reasons(text: Column, script: Script = CYRILLIC) -> Column:
@@ -333,61 +345,107 @@ def script_code(lang: Column) -> Column:
     return ladder((lang == "ru", "rus"), otherwise=lang)
 
 
-def clean_with_reason(text: Column, preset: str, min_ratio: float, min_chars: int, script: Script = CYRILLIC) -> Column:
-    """struct(cleaned, reason): the cleaner's ladder."""
-    loose = preset in ("recall", "maximum_recall")
-    credit = lambda t: sum((F.contains(F.lower(t), F.lit(c)).cast("int") for c in script.credits), F.lit(0)) > 0
-
-    def line(raw: Column) -> Column:
-        """A line's text, or null where it is dropped."""
-        start = normalize(raw)
-        if script.leading_noise:
-            start = F.btrim(F.regexp_replace(start, f"(?iu)^(?:{script.leading_noise})\\s*[:\\-–—.]?\\s*", ""))
-        return let(start, legacy if preset == "legacy_good" else usual)
-
-    def legacy(t: Column) -> Column:
-        own = count_script(t, script)
-        fine = (own > 15) | ((t != "") & (is_valid_short(t, script) | ((F.char_length(meaningful(t)) > 3) & (own / dense_length(t) >= 0.12))))
-        return F.when(fine, t)
-
-    def usual(t: Column) -> Column:
-        short = is_valid_short(t, script)
-        drop = ((F.char_length(t) < 3) & ~short) | credit(t) | (count_foreign(t, script) > F.greatest(F.lit(3), count_script(t, script)))
-        if not loose:
-            drop = drop | (count_symbols(t) > F.greatest(F.lit(3), count_letters(t)))
-
-        def by_words(w: Column) -> Column:
-            joined = F.array_join(w, " ")
-            gone = drop | ((F.char_length(joined) < 3) & ~short)
-            if preset in ("strict", "balanced"):
-                gone = gone | (~short & looks_like_gibberish(w, preset == "balanced", script))
-            return F.when(~gone, F.when(joined == "", t).otherwise(joined))
-
-        return let(trim_noise_words(words(t, script), script), by_words)
-
-    def whole(t: Column) -> Column:
-        own, foreign = count_script(t, script), count_foreign(t, script)
-        short = is_valid_short(t, script)
+def _rule(preset: str) -> str:
+    """Presets that treat lines alike share a rule."""
+    return "loose" if preset not in ("strict", "balanced", "legacy_good") else preset
+
+
+def _credit(t: Column, script: Script) -> Column:
+    return sum((F.contains(F.lower(t), F.lit(c)).cast("int") for c in script.credits), F.lit(0)) > 0
+
+
+def _line_features(raw: Column, rules: set[str], script: Script) -> Column:
+    """A line's text and what the rules ask of it, computed once."""
+    start = normalize(raw)
+    if script.leading_noise:
+        start = F.btrim(F.regexp_replace(start, f"(?iu)^(?:{script.leading_noise})\\s*[:\\-–—.]?\\s*", ""))
+
+    def of(t: Column) -> Column:
+        fields = [t.alias("t"), is_valid_short(t, script).alias("short"), count_script(t, script).alias("own")]
+        if "legacy_good" in rules:
+            fields += [F.char_length(meaningful(t)).alias("meaningful"), dense_length(t).alias("dense")]
+        if rules == {"legacy_good"}:
+            return F.struct(*fields)
+        fields += [_credit(t, script).alias("credit"), count_foreign(t, script).alias("foreign")]
+        if rules & {"strict", "balanced"}:
+            fields += [count_symbols(t).alias("symbols"), count_letters(t).alias("letters")]
+
+        def with_words(w: Column) -> Column:
+            more = [F.array_join(w, " ").alias("joined")]
+            if rules & {"strict", "balanced"}:
+                more.append(word_features(w, script).alias("words"))
+            return F.struct(*fields, *more)
+
+        return let(trim_noise_words(words(t, script), script), with_words)
+
+    return let(start, of)
+
+
+def _line_text(f: Column, rule: str) -> Column:
+    """A line's text under a rule, or null where it is dropped."""
+    t, short = f["t"], f["short"]
+    if rule == "legacy_good":
+        return F.when((f["own"] > 15) | ((t != "") & (short | ((f["meaningful"] > 3) & (f["own"] / f["dense"] >= 0.12)))), t)
+    gone = ((F.char_length(t) < 3) & ~short) | f["credit"] | (f["foreign"] > F.greatest(F.lit(3), f["own"])) | ((F.char_length(f["joined"]) < 3) & ~short)
+    if rule != "loose":
+        gone = gone | (f["symbols"] > F.greatest(F.lit(3), f["letters"])) | (~short & is_gibberish(f["words"], rule == "balanced"))
+    return F.when(~gone, F.when(f["joined"] == "", t).otherwise(f["joined"]))
+
+
+def _text_features(t: Column, rule: str, script: Script) -> Column:
+    fields = [t.alias("t"), F.char_length(t).alias("length"), _credit(t, script).alias("credit"), is_valid_short(t, script).alias("short"), count_script(t, script).alias("own")]
+    if rule == "legacy_good":
+        return F.struct(*fields, mild_noise_reasons(t, script).alias("mild"))
+    fields += [count_foreign(t, script).alias("foreign"), dense_length(t).alias("dense")]
+    if rule != "loose":
         blank = F.regexp_count(t, F.lit("(?U)[\\s" + "".join("\\" + c for c in sorted(set(SYMBOLS))) + "]"))
-        share = blank / F.greatest(F.lit(1), F.char_length(t))
-        steps = [(t == "", "empty_after_cleanup"), (credit(t), "credit_or_technical_text")]
-        if preset in ("strict", "balanced"):
-            steps.append((F.char_length(t) > (160 if preset == "strict" else 240), f"too_long_{preset}"))
-        if preset == "legacy_good":
-            mild = mild_noise_reasons(t, script)
-            steps.append((F.size(mild) > 0, F.array_join(mild, ",")))
-        else:
-            steps += [
-                ((own < min_chars) & ~short, "too_few_cyrillic_chars"),
-                (foreign > F.greatest(F.lit(2.0), own * 0.45), "too_many_latin_letters"),
-                ((own / dense_length(t) < min_ratio) & ~short, "low_cyrillic_ratio"),
-            ]
-            if not loose:
-                steps.append((count_symbols(t) > count_letters(t), "more_symbols_than_letters"))
-            if preset in ("strict", "balanced"):
-                steps.append((share > (0.55 if preset == "strict" else 0.70), "mostly_symbols"))
-        reason = ladder(*steps, otherwise="accepted")
-        return let(reason, lambda r: F.struct(F.when(r == "accepted", t).otherwise(F.lit("")).alias("cleaned"), r.alias("reason")))
-
-    lines = F.filter(F.transform(F.split(text, LINE_ENDS), line), lambda x: x.isNotNull())
-    return let(normalize(F.array_join(lines, " ")), whole)
+        fields += [count_symbols(t).alias("symbols"), count_letters(t).alias("letters"), blank.alias("blank")]
+    return F.struct(*fields)
+
+
+def _verdict(f: Column, preset: str, min_ratio: float, min_chars: int) -> Column:
+    """struct(cleaned, reason) of a whole text: the first rule that it breaks."""
+    rule, own = _rule(preset), f["own"]
+    steps = [(f["t"] == "", "empty_after_cleanup"), (f["credit"], "credit_or_technical_text")]
+    if rule in ("strict", "balanced"):
+        steps.append((f["length"] > (160 if rule == "strict" else 240), f"too_long_{rule}"))
+    if rule == "legacy_good":
+        steps.append((F.size(f["mild"]) > 0, F.array_join(f["mild"], ",")))
+    else:
+        steps += [
+            ((own < min_chars) & ~f["short"], "too_few_cyrillic_chars"),
+            (f["foreign"] > F.greatest(F.lit(2.0), own * 0.45), "too_many_latin_letters"),
+            ((own / f["dense"] < min_ratio) & ~f["short"], "low_cyrillic_ratio"),
+        ]
+    if rule in ("strict", "balanced"):
+        steps.append((f["symbols"] > f["letters"], "more_symbols_than_letters"))
+        steps.append((f["blank"] / F.greatest(F.lit(1), f["length"]) > (0.55 if rule == "strict" else 0.70), "mostly_symbols"))
+    return let(ladder(*steps, otherwise="accepted"), lambda r: F.struct(F.when(r == "accepted", f["t"]).otherwise(F.lit("")).alias("cleaned"), r.alias("reason")))
+
+
+def clean_under(text: Column, presets: list[tuple[str, float, int]], script: Script = CYRILLIC) -> Column:
+    """array<struct(preset, r: struct(cleaned, reason))>: the cleaner's ladder (P4) under several presets (name, least share, least letters).
+
+    Lines are split and looked at once for all presets, and each rule's text once
+    for the presets that share it.
+    """
+    by_rule: dict[str, list[tuple[str, float, int]]] = {}
+    for preset in presets:
+        by_rule.setdefault(_rule(preset[0]), []).append(preset)
+
+    def under(rule: str, lines: Column) -> Column:
+        kept = F.filter(F.transform(lines, lambda f: _line_text(f, rule)), lambda x: x.isNotNull())
+        each = lambda f: F.array(*[F.struct(F.lit(n).alias("preset"), _verdict(f, n, share, chars).alias("r")) for n, share, chars in by_rule[rule]])
+        return let(normalize(F.array_join(kept, " ")), lambda t: let(_text_features(t, rule, script), each))
+
+    def whole(lines: Column) -> Column:
+        parts = [under(rule, lines) for rule in by_rule]
+        return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
+
+    rules = set(by_rule)
+    return let(F.transform(F.split(text, LINE_ENDS), lambda raw: _line_features(raw, rules, script)), whole)
+
+
+def clean_with_reason(text: Column, preset: str, min_ratio: float, min_chars: int, script: Script = CYRILLIC) -> Column:
+    """struct(cleaned, reason) under one preset."""
+    return F.element_at(clean_under(text, [(preset, min_ratio, min_chars)], script), 1)["r"]

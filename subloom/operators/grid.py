@@ -14,15 +14,11 @@ from ..functions.scripts import CYRILLIC, Script
 def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC) -> DataFrame:
     """Readings under every preset: adds preset, cleaned, reason, score; one row for each pair.
 
-    All presets' results of a reading are computed in its own row and then
-    unfolded, so readings aren't joined or moved.
+    All presets' results of a reading are computed in its own row, from features
+    that they share, and then unfolded, so readings aren't joined or moved.
     """
-    text = F.coalesce("text", F.lit(""))
-    each = []
-    for name in presets or list(PRESETS):
-        share, chars, _ = PRESETS[name]
-        each.append(F.struct(F.lit(name).alias("preset"), T.clean_with_reason(text, name, share, chars, script).alias("r")))
-    df = readings.select("*", F.explode(F.array(*each)).alias("_x"))
+    each = T.clean_under(F.coalesce("text", F.lit("")), [(name, *PRESETS[name][:2]) for name in presets or list(PRESETS)], script)
+    df = readings.select("*", F.explode(each).alias("_x"))
     df = df.withColumns({"preset": F.col("_x.preset"), "cleaned": F.col("_x.r.cleaned"), "reason": F.col("_x.r.reason")}).drop("_x")
     return df.withColumn("score", T.candidate_score(F.col("cleaned"), F.col("confidence"), script))
 

@@ -102,7 +102,7 @@ def quality_report(
     read = statuses.groupBy("video_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "failed", "timeout")])
     area = average_area(candidates, ["video_id"])
     out = seen
-    for other in (why, made, read, stats, area):
+    for other in (why, made, read, stats.select("video_id", "sampled", "with_text", "skipped_no_text", "skipped_same"), area):
         out = out.join(other, "video_id", "left")
     ratio = F.col("accepted") / F.greatest(F.lit(1), F.col("calls"))
     no_bins = F.create_map(*[x for b, _ in QUALITY_BINS for x in (F.lit(b), F.lit(0).cast("bigint"))])

@@ -122,65 +122,89 @@ def _within(w: str) -> str:
     return f"CASE WHEN len({w}) >= 3 AND {size_of(w, stray)} > len({w}) * 0.35 THEN list_filter({w}, lambda x: NOT {stray}) ELSE {w} END"
 
 
-def _gibberish(w: str, relaxed: bool) -> str:
+def _word_features(w: str) -> str:
+    """Columns that the gibberish rules ask of a word list."""
+    j, known = joined(w), listed(S.short_words)
+    parts = {
+        "n": f"len({w})",
+        "chars": f"length({j})",
+        "telling": size_of(w, f"length(x) > 1 OR list_contains({known}, lower(x))"),
+        "odd": size_of(w, f"length(x) <= 2 AND NOT list_contains({known}, lower(x))"),
+        "vow": vowels(j),
+        "up": count(j, chr(92) + "p{Lu}"),
+        "long": size_of(w, "length(x) >= 3"),
+        "mute": size_of(w, "length(x) >= 3 AND " + vowels("x") + " = 0"),
+        "common": size_of(w, f"list_contains({listed(S.common)}, lower(x))"),
+        "longest": f"list_max(list_transform({w}, lambda x: length(x)))",
+        "j": joined(w, " "),
+    }
+    return ", ".join(f"{e} AS {n}" for n, e in parts.items())
+
+
+def _gibberish(relaxed: bool) -> str:
     pick = lambda strict, loose: loose if relaxed else strict
-    j, n = joined(w), f"len({w})"
-    chars, known = f"length({j})", listed(S.short_words)
-    common = size_of(w, f"list_contains({listed(S.common)}, lower(x))")
-    long = size_of(w, "length(x) >= 3")
     rules = [
-        f"{n} = 0",
-        f"{size_of(w, f'length(x) > 1 OR list_contains({known}, lower(x))')} < greatest(1.0, {n} * {pick(0.6, 0.45)})",
-        f"{size_of(w, f'length(x) <= 2 AND NOT list_contains({known}, lower(x))')} / greatest(1, {n}) > {pick(0.45, 0.65)}",
-        f"({chars} >= 8 AND {vowels(j)} / greatest(1, {chars}) < {pick(0.22, 0.14)})",
-        f"({chars} >= 5 AND {count(j, chr(92) + 'p{Lu}')} / greatest(1, {chars}) > {pick(0.45, 0.75)})",
-        f"({long} > 0 AND {size_of(w, 'length(x) >= 3 AND ' + vowels('x') + ' = 0')} / greatest(1, {long}) > {pick(0.35, 0.55)})",
+        "n = 0",
+        f"telling < greatest(1.0, n * {pick(0.6, 0.45)})",
+        f"odd / greatest(1, n) > {pick(0.45, 0.65)}",
+        f"(chars >= 8 AND vow / greatest(1, chars) < {pick(0.22, 0.14)})",
+        f"(chars >= 5 AND up / greatest(1, chars) > {pick(0.45, 0.75)})",
+        f"(long > 0 AND mute / greatest(1, long) > {pick(0.35, 0.55)})",
     ]
     if not relaxed:
-        rules += [f"({n} <= 2 AND list_max(list_transform({w}, lambda x: length(x))) < 5)", f"({chars} < 8 AND {common} = 0)", f"({n} >= 4 AND {common} = 0 AND {chars} < 42)"]
+        rules += ["(n <= 2 AND longest < 5)", "(chars < 8 AND common = 0)", "(n >= 4 AND common = 0 AND chars < 42)"]
     return "coalesce(" + " OR ".join(rules) + ", false)"
 
 
-def cleaned(preset: str, source: str = "documents") -> str:
-    """CTE body: doc_id, video_id, confidence, cleaned, reason of one preset."""
+def _line(rule: str) -> str:
+    """A line's text under a rule, or null."""
+    more = "" if rule == "loose" else f" OR symbols > greatest(3, letters) OR (NOT sh AND {_gibberish(rule == 'balanced')})"
+    return f"CASE WHEN gone OR (length(j) < 3 AND NOT sh){more} THEN NULL WHEN j = '' THEN t ELSE j END"
+
+
+def _ladder(preset: str) -> str:
     share, chars, _ = PRESETS[preset]
-    loose = preset in ("recall", "maximum_recall")
-    sym = "" if loose else f" OR {symbols('t')} > greatest(3, {count('t', chr(92) + 'p{L}')})"
-    noise = f" OR (NOT sh AND {_gibberish('w', preset == 'balanced')})" if preset in ("strict", "balanced") else ""
-    own, foreign = count("t", S.letters), count("t", S.foreign)
-    blank = count("t", _WS + "".join("\\" + c for c in sorted(set(SYMBOLS)) if c != "'") + "''")
-    steps = [("t = ''", "empty_after_cleanup"), (_credit("t"), "credit_or_technical_text")]
-    if preset in ("strict", "balanced"):
+    strictness = preset if preset in ("strict", "balanced") else ""
+    steps = [("t = ''", "empty_after_cleanup"), ("credit", "credit_or_technical_text")]
+    if strictness:
         steps.append((f"length(t) > {160 if preset == 'strict' else 240}", f"too_long_{preset}"))
     steps += [
-        (f"{own} < {chars} AND NOT {valid_short('t')}", "too_few_cyrillic_chars"),
-        (f"{foreign} > greatest(2.0, {own} * 0.45)", "too_many_latin_letters"),
-        (f"{own} / {dense('t')} < {share} AND NOT {valid_short('t')}", "low_cyrillic_ratio"),
+        (f"own < {chars} AND NOT sh", "too_few_cyrillic_chars"),
+        ("latin > greatest(2.0, own * 0.45)", "too_many_latin_letters"),
+        (f"own / dense < {share} AND NOT sh", "low_cyrillic_ratio"),
     ]
-    if not loose:
-        steps.append((f"{symbols('t')} > {count('t', chr(92) + 'p{L}')}", "more_symbols_than_letters"))
-    if preset in ("strict", "balanced"):
-        steps.append((f"{blank} / greatest(1, length(t)) > {0.55 if preset == 'strict' else 0.70}", "mostly_symbols"))
-    ladder = " ".join(f"WHEN {c} THEN '{r}'" for c, r in steps)
+    if strictness:
+        steps.append(("symbols > letters", "more_symbols_than_letters"))
+        steps.append((f"blank / greatest(1, length(t)) > {0.55 if preset == 'strict' else 0.70}", "mostly_symbols"))
+    return "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in steps) + " ELSE 'accepted' END"
+
+
+def evaluated(presets: tuple[str, ...] = tuple(PRESETS)) -> str:
+    """Query: doc_id, video_id, confidence, preset, cleaned, reason of every document under the presets.
+
+    Features of lines, and of the texts that they make under each rule, are
+    columns, computed once.
+    """
+    rule_of = {p: p if p in ("strict", "balanced") else "loose" for p in presets}
+    letters, blank = count("t", chr(92) + "p{L}"), count("t", _WS + "".join("\\" + c for c in sorted(set(SYMBOLS)) if c != "'") + "''")
+    texts = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, i, {_line(r)} AS line FROM l4" for r in sorted(set(rule_of.values())))
+    ladders = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS preset, t, {_ladder(p)} AS reason FROM tf WHERE rule = '{r}'" for p, r in rule_of.items())
     return f"""
-        SELECT doc_id, video_id, confidence, '{preset}' AS preset, CASE WHEN reason = 'accepted' THEN t ELSE '' END AS cleaned, reason FROM (
-          SELECT *, CASE {ladder} ELSE 'accepted' END AS reason FROM (
-            SELECT doc_id, any_value(video_id) AS video_id, any_value(confidence) AS confidence, {norm("coalesce(string_agg(line, ' ' ORDER BY i), '')")} AS t FROM (
-              SELECT doc_id, video_id, confidence, i, CASE WHEN gone OR (length(j) < 3 AND NOT sh){noise} THEN NULL WHEN j = '' THEN t ELSE j END AS line FROM (
-                SELECT *, {joined("w", " ")} AS j FROM (
-                  SELECT * REPLACE ({_within("w")} AS w) FROM (
-                    SELECT * REPLACE ({_trim("w")} AS w) FROM (
-                      SELECT doc_id, video_id, confidence, i, t, {words("t")} AS w, {valid_short("t")} AS sh,
-                        (length(t) < 3 AND NOT {valid_short("t")}) OR {_credit("t")} OR {count("t", S.foreign)} > greatest(3, {count("t", S.letters)}){sym} AS gone
-                      FROM (SELECT doc_id, video_id, confidence, i, {norm("l[i]")} AS t FROM (
-                        SELECT doc_id, source AS video_id, (doc_id % 101) / 100.0 AS confidence, string_split_regex(coalesce(text, ''), '{LINES}') AS l, unnest(range(1, len(string_split_regex(coalesce(text, ''), '{LINES}')) + 1)) AS i FROM documents))
-                    )))))
-            GROUP BY doc_id))
+        WITH l0 AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '{LINES}') AS l FROM documents),
+        l1 AS (SELECT doc_id, i, {norm("l[i]")} AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l0)),
+        l2 AS MATERIALIZED (SELECT doc_id, i, t, {words("t")} AS w, {valid_short("t")} AS sh, {_credit("t")} AS credit, {count("t", S.foreign)} AS latin, {count("t", S.letters)} AS own, {symbols("t")} AS symbols, {letters} AS letters FROM l1),
+        l3 AS MATERIALIZED (SELECT * REPLACE ({_trim("w")} AS w) FROM l2),
+        l3b AS MATERIALIZED (SELECT * REPLACE ({_within("w")} AS w) FROM l3),
+        l4 AS MATERIALIZED (SELECT doc_id, i, t, sh, symbols, letters, (length(t) < 3 AND NOT sh) OR credit OR latin > greatest(3, own) AS gone, {_word_features("w")} FROM l3b),
+        tx AS MATERIALIZED (SELECT doc_id, rule, {norm("coalesce(string_agg(line, ' ' ORDER BY i), '')")} AS t FROM ({texts}) GROUP BY doc_id, rule),
+        tf AS MATERIALIZED (SELECT doc_id, rule, t, {_credit("t")} AS credit, {valid_short("t")} AS sh, {count("t", S.letters)} AS own, {count("t", S.foreign)} AS latin, {dense("t")} AS dense, {symbols("t")} AS symbols, {letters} AS letters, {blank} AS blank FROM tx)
+        SELECT d.doc_id, d.source AS video_id, (d.doc_id % 101) / 100.0 AS confidence, preset, CASE WHEN reason = 'accepted' THEN t ELSE '' END AS cleaned, reason FROM ({ladders}) x JOIN documents d USING (doc_id)
     """
 
 
-def evaluated() -> str:
-    return "SELECT * FROM (" + " UNION ALL ".join(f"({cleaned(p)})" for p in PRESETS) + ")"
+def cleaned(preset: str) -> str:
+    """The same of one preset."""
+    return evaluated((preset,))
 
 
 def noise_flags(t: str) -> list[tuple[str, str]]:

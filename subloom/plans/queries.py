@@ -157,10 +157,10 @@ def temporal_neighbors_top5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_cap(spark: SparkSession, d: str) -> DataFrame:
-    df = tab.event_readings(spark, d)
-    spans = df.groupBy("video_id").agg((F.max("time") - F.min("time")).alias("duration"))
-    limit = F.least(call_limit(F.col("duration"), "fast"), F.lit(7))
-    kept = quality.first_n(df.join(spans, "video_id").withColumn("cap", limit), ["video_id"], [F.col("time"), F.col("event_id")], F.col("cap"))
+    """Users are dealt to eight videos of seven and a half minutes to an hour, so each rule of the cap decides somewhere."""
+    df = tab.event_readings(spark, d).withColumn("video_id", F.col("user_id") % 8)
+    spans = df.groupBy("video_id").agg(((F.max("time") - F.min("time")) * (F.col("video_id") + 1) / 5760).alias("duration"))
+    kept = quality.first_n(df.join(spans, "video_id").withColumn("cap", call_limit(F.col("duration"), "fast")), ["video_id"], [F.col("time"), F.col("event_id")], F.col("cap"))
     return kept.groupBy("video_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"), F.any_value("cap").cast("bigint").alias("cap"))
 
 
@@ -181,23 +181,77 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     return grid.benchmark_html(grid.benchmark(ev, blocks, 1.0))
 
 
+def _seen(spark: SparkSession, d: str, preset: str) -> DataFrame:
+    """Documents as observations: two are a frame's two engines."""
+    chosen = quality.choose_best(quality.clean(tab.document_readings(spark, d), preset, LATIN), ["frame_id"], script=LATIN)
+    return quality.observations(chosen, script=LATIN).withColumn("time", F.col("frame_id").cast("double"))
+
+
+def _seen_blocks(seen: DataFrame) -> DataFrame:
+    rows = seen.where("emitted").select(F.concat(F.lit("v"), (F.col("frame_id") % 64).cast("string")).alias("video_id"), "time", (F.col("time") + 0.75).alias("end"), "text", "score", "confidence")
+    return B.blocks_of_equal(rows, max_gap=64.0)
+
+
+def _listed(c: str) -> F.Column:
+    """A map as ``key=value`` in order of keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ")
+
+
 def ocr_report(spark: SparkSession, d: str) -> DataFrame:
-    chosen = quality.choose_best(quality.clean(tab.document_readings(spark, d), "recall", LATIN), ["frame_id"], script=LATIN)
-    seen = quality.observations(chosen, script=LATIN)
-    rows = seen.where("emitted").select(F.lit("all").alias("video_id"), F.col("frame_id").cast("double").alias("time"), (F.col("frame_id") + 0.75).alias("end"), "text", "score", "confidence")
-    return reports.ocr_report(seen, B.blocks_of_equal(rows.withColumn("video_id", (F.col("time") % 64).cast("string"))), quality.rejection_counts(seen)).select(
-        "actual_ocr_calls", "accepted", "rejected", F.round("average_confidence", 6).alias("average_confidence"), "subtitle_blocks_generated", F.to_json("confidence_histogram").alias("histogram"), F.to_json("rejection_reasons").alias("rejections")
-    )
+    seen = _seen(spark, d, "recall")
+    out = reports.ocr_report(seen, _seen_blocks(seen), quality.rejection_counts(seen))
+    rounded = [F.round(c, 6).alias(c) for c in ("average_confidence", "median_confidence", "average_subtitle_duration", "accepted_ratio")]
+    return out.select("actual_ocr_calls", "accepted", "rejected", *rounded, "subtitle_blocks_generated", _listed("confidence_histogram").alias("histogram"), _listed("rejection_reasons").alias("rejections"))
+
+
+def _report_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Observations of four videos, their blocks, the gate's counts, reading statuses and candidates."""
+    seen = _seen(spark, d, "recall").withColumn("video_id", F.concat(F.lit("v"), (F.col("frame_id") % 4).cast("string")))
+    blocks = B.blocks_of_equal(seen.where("emitted").withColumn("end", F.col("time") + 0.75), max_gap=4.0)
+    frames = tab.document_readings(spark, d).select(F.concat(F.lit("v"), (F.col("frame_id") % 4).cast("string")).alias("video_id"), "doc_id", "confidence")
+    state = F.when(F.col("doc_id") % 5 == 0, "no_text").when(F.col("doc_id") % 7 == 0, "same").otherwise("emit")
+    stats = C.gate_stats(frames.withColumn("state", state))
+    statuses = frames.select("video_id", F.when(F.col("doc_id") % 17 == 0, "failed").when(F.col("doc_id") % 23 == 0, "timeout").otherwise("ok").alias("status"))
+    candidates = frames.select("video_id", (F.col("doc_id") % 3 > 0).alias("has_subtitle"), (F.col("confidence") * 100).alias("text_bbox_area"))
+    return seen, blocks, stats, statuses, candidates
+
+
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    report = reports.quality_report(*_report_parts(spark, d), raw_srt="raw.srt")
+    rounded = {c: F.round(c, 6) for c in ("average_text_bbox_area", "accepted_ratio", "average_confidence", "median_confidence")}
+    maps = {c: _listed(c) for c in ("rejection_reasons", "confidence_histogram")}
+    return report.withColumns(rounded | maps | {"used_crop": F.format_string("%.2f %.2f %.2f %.2f", *[F.col(f"used_crop.{c}") for c in ("x1", "x2", "y1", "y2")])})
+
+
+def quality_report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text reports' lines, and how often each stands in a report."""
+    seen, blocks, stats, statuses, candidates = _report_parts(spark, d)
+    texts = reports.report_text(reports.quality_report(seen, blocks, stats, statuses, candidates), seen)
+    return reports.with_timing(texts, stats, blocks).select("video_id", F.explode(F.split("value", "\n")).alias("line")).groupBy("video_id", "line").agg(F.count("*").alias("times"))
+
+
+def preset_trial(spark: SparkSession, d: str) -> DataFrame:
+    """The presets on each source's first readings of low confidence; in the detected region two texts of three are lost and one is cut short."""
+    own = tab.document_readings(spark, d).select("video_id", F.format_string("%012d", "doc_id").alias("frame_id"), F.col("doc_id").cast("double").alias("time"), "doc_id", "engine", "text", "confidence")
+    region = own.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 120)).otherwise(F.lit("")))
+    return grid.trial(own.where("confidence < 0.5"), region, LATIN, sample=20)
+
+
+def region_trial(spark: SparkSession, d: str) -> DataFrame:
+    e = tab.embedding_frames(spark, d)
+    hit = lambda i, least: (F.element_at("small", i) > least).alias("has_subtitle")
+    settings = e.select("video_id").distinct().where("video_id = '3'").withColumn("use_region", F.lit(True))
+    return grid.region_trial(e.select("video_id", "time", hit(1, -0.05)), e.select("video_id", "time", hit(2, 0.0)), settings, sample=40)
 
 
 def glossary_rewrite(spark: SparkSession, d: str) -> DataFrame:
     out = enrich.rewrite_terms(tab.conversation_blocks(spark, d), TERMS)
-    return out.select("video_id", "block_no", "text", F.col("text").eqNullSafe(F.col("original")).alias("unchanged"))
+    return out.select("video_id", "block_no", "text", F.array_join("terms", ", ").alias("terms"), F.col("text").eqNullSafe(F.col("original")).alias("unchanged"))
 
 
 def corrections(spark: SparkSession, d: str) -> DataFrame:
     out = enrich.corrections(enrich.rewrite_terms(tab.conversation_blocks(spark, d), TERMS))
-    return out.select("video_id", F.col("index").cast("bigint").alias("index"), "start", "end", "corrected")
+    return out.select("video_id", F.col("index").cast("bigint").alias("index"), "start", "end", "original", "corrected", "reason", "confidence")
 
 
 def translate_cached(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +285,7 @@ def cleanup_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_signature(spark: SparkSession, d: str) -> DataFrame:
     df = tab.event_readings(spark, d).withColumn("end_time", F.col("end"))
-    return C.signature(df).select("video_id", "n", F.round("first_time", 3).alias("first_time"), F.round("last_time", 3).alias("last_time"), F.length("digest").cast("bigint").alias("digits"))
+    return C.signature(df).select("video_id", "n", F.round("first_time", 3).alias("first_time"), F.round("last_time", 3).alias("last_time"), "digest")
 
 
 def report_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -294,8 +348,7 @@ def language_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_files(spark: SparkSession, d: str) -> DataFrame:
-    chosen = quality.choose_best(quality.clean(tab.document_readings(spark, d), "balanced", LATIN), ["frame_id"], script=LATIN)
-    seen = quality.observations(chosen, script=LATIN).withColumns({"video_id": F.lit("all"), "time": F.col("frame_id").cast("double")})
+    seen = _seen(spark, d, "balanced").withColumn("video_id", F.lit("all"))
     return inputs.samples(seen).select("frame_id", "emitted", "text", "rejection")
 
 
@@ -305,20 +358,101 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial,
     )
 }
 
 _R = "round_even"
 _DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _CONV = "cv AS (SELECT conv_id::VARCHAR AS video_id, turn + 1 AS block_no, turn * 2.5 AS start, turn * 2.5 + 2.25 AS \"end\", coalesce(text, '') AS text, role FROM conversations)"
-_BEST = f"""
-    WITH c AS ({O.cleaned("balanced")}),
+
+
+def _best(preset: str) -> str:
+    return f"""
+    WITH c AS ({O.cleaned(preset)}),
     s AS (SELECT doc_id // 2 AS frame_id, CASE WHEN doc_id % 2 = 0 THEN 'tesseract' ELSE 'paddle' END AS engine, cleaned, confidence, reason, round({O.score("cleaned", "confidence", O.repeats("cleaned", 5))}, 9) AS score FROM c),
     best AS (SELECT frame_id, engine, cleaned, confidence, score, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, CASE engine WHEN 'tesseract' THEN 0 ELSE 1 END) AS k FROM s WHERE reason = 'accepted'),
     best_rows AS (SELECT f.frame_id, b.frame_id IS NOT NULL AS accepted, b.engine, coalesce(b.cleaned, '') AS text, round(coalesce(b.confidence, 0.0), 6) AS confidence, round(coalesce(b.score, 0.0), 4) AS score
       FROM (SELECT DISTINCT frame_id FROM s) f LEFT JOIN best b ON b.frame_id = f.frame_id AND b.k = 1)
 """
+
+
+_BEST = _best("balanced")
+
+
+def _observed(preset: str) -> str:
+    """The same with ``seen``: emitted, rejection and the text that is kept (noise rules and local language sanity)."""
+    flags = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in O.noise_flags("t"))
+    w = O.words("t")
+    j, n, common = O.joined(w), f"len({w})", O.size_of(O.words("lower(t)"), f"list_contains({O.listed(LATIN.common)}, x)")
+    own = O.count("t", LATIN.letters)
+    damaged = f"{own} > 20 AND {n} >= 3 AND {O.vowels(j)} / greatest(1, length({j})) >= 0.18 AND {O.size_of(w, 'length(x) <= 2')} / greatest(1, {n}) <= 0.55 AND {O.count(j, chr(92) + 'p{Lu}')} / greatest(1, length({j})) <= 0.65"
+    return f"""{_best(preset)},
+    why AS (SELECT frame_id, string_agg(engine || ':' || reason, '; ' ORDER BY CASE engine WHEN 'tesseract' THEN 0 ELSE 1 END) AS joint FROM s GROUP BY frame_id),
+    nz AS (SELECT b.*, joint, {O.norm("text")} AS t FROM best_rows b JOIN why USING (frame_id)),
+    fl AS MATERIALIZED (SELECT *, concat_ws(',', {flags}) AS found, {O.valid_short("t")} AS sh, {own} AS own, ({common} > 0 OR ({damaged})) AS sane FROM nz),
+    bl0 AS (SELECT *, found <> '' AND own > 20 AND sane AS saved, found <> '' AND NOT sh AND NOT (found <> '' AND own > 20 AND sane) AS blocked FROM fl),
+    seen AS (SELECT frame_id, frame_id::DOUBLE AS time, engine, confidence, accepted AND text <> '' AND NOT blocked AS emitted, CASE WHEN NOT accepted THEN joint WHEN blocked THEN 'noise_filter:' || found END AS rejection, CASE WHEN saved THEN t ELSE text END AS text FROM bl0)
+"""
+
+
+def _joined_blocks(rows: str, gap: float, name: str) -> str:
+    """CTEs ending in ``name``: video_id, block, start, e, confidence of runs of equal texts; ``rows`` has video_id, t, e, text, confidence, o (order)."""
+    return f"""
+    {name}_a AS (SELECT *, CASE WHEN lag(text) OVER w IS DISTINCT FROM text OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS brk FROM ({rows}) WINDOW w AS (PARTITION BY video_id ORDER BY t, o)),
+    {name}_b AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS run FROM {name}_a),
+    {name}_c AS (SELECT *, CASE WHEN coalesce(t - max(e) OVER (PARTITION BY video_id, run ORDER BY t, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {gap}, true) THEN 1 ELSE 0 END AS nb FROM {name}_b),
+    {name}_d AS (SELECT *, sum(nb) OVER (PARTITION BY video_id ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS block FROM {name}_c),
+    {name} AS (SELECT video_id, block, min(t) AS start, greatest(max(e), min(t) + 0.7) AS e, max(confidence) AS confidence FROM {name}_d GROUP BY video_id, block)
+"""
+
+
+def _bins(value: str, filtered: str = "true") -> str:
+    """The quality bins' counts as ``name=n``, in order of name."""
+    return " || '; ' || ".join(f"'{name}=' || count(*) FILTER ({filtered} AND {O.hist(O.BINS['quality'], value)} = '{name}')" for name, _ in sorted(O.BINS["quality"]))
+
+
+_PARTS = "SELECT CASE WHEN trim(p) = '' THEN 'empty' ELSE trim(p) END AS reason"
+_REPORT = f"""{_observed("recall")},
+    o AS (SELECT *, 'v' || frame_id % 4 AS video_id FROM seen),
+    {_joined_blocks("SELECT video_id, time AS t, time + 0.75 AS e, text, confidence, 0 AS o FROM o WHERE emitted", 4.0, "bk")},
+    fr AS (SELECT 'v' || (doc_id // 2) % 4 AS video_id, doc_id, (doc_id % 101) / 100.0 * 100 AS area FROM documents),
+    ob AS (SELECT video_id, count(*) AS calls, count(*) FILTER (emitted) AS accepted, count(*) FILTER (NOT emitted) AS rejected FROM o GROUP BY video_id),
+    rj AS (SELECT video_id, string_agg(reason || '=' || n, '; ' ORDER BY reason) AS reasons, string_agg('''' || reason || ''': ' || n, ', ' ORDER BY reason) AS named FROM (SELECT video_id, reason, count(*) AS n FROM ({_PARTS}, video_id FROM (SELECT video_id, unnest(string_split(rejection, ',')) AS p FROM o WHERE rejection IS NOT NULL)) GROUP BY ALL) GROUP BY video_id),
+    bb AS (SELECT video_id, count(*) AS blocks, avg(confidence) AS mean, median(confidence) AS mid, {_bins("confidence")} AS bins, avg(e - start) AS duration FROM bk GROUP BY video_id),
+    st AS (SELECT video_id, count(*) AS sampled, count(*) FILTER (doc_id % 5 = 0) AS no_text, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 = 0) AS same, count(*) FILTER (doc_id % 17 = 0) AS failed,
+      count(*) FILTER (doc_id % 17 <> 0 AND doc_id % 23 = 0) AS timeout, coalesce(avg(area) FILTER (doc_id % 3 > 0 AND area > 0), 0.0) AS area FROM fr GROUP BY video_id),
+    rp AS (SELECT * FROM ob LEFT JOIN rj USING (video_id) LEFT JOIN bb USING (video_id) LEFT JOIN st USING (video_id))
+"""
+_NO_BINS = "; ".join(f"{name}=0" for name, _ in sorted(O.BINS["quality"]))
+
+
+def _text_lines() -> str:
+    """The lines of the text reports, in SQL."""
+    braces = lambda c: f"'{{' || coalesce({c}, '') || '}}'"
+    bins = f"'''' || replace(replace(coalesce(bins, '{_NO_BINS}'), '=', ''': '), '; ', ', ''')"
+    fixed = {
+        "quality_profile": "'default'", "subtitle_detect_mode": "'hybrid'", "total_frames_sampled": "sampled", "actual_ocr_calls": "calls", "white_text_frames": "sampled - no_text", "skipped_same_subtitle_frames": "same",
+        "skipped_same_subtitle": "same", "skipped_without_subtitles": "no_text", "average_text_bbox_area": "printf('%.1f', area)", "accepted_ocr_results": "accepted", "noise_rejected": "rejected", "empty_ocr_results": "empties",
+        "successful_ocr_calls": "sampled - failed - timeout", "timeout_ocr_calls": "timeout", "failed_ocr_calls": "failed", "total_ocr_results": "calls", "accepted_ratio": "printf('%.3f', accepted / greatest(1, calls))",
+        "accepted_ratio_warning": "CASE WHEN accepted / greatest(1, calls) < 0.3 THEN 'filter_too_aggressive' ELSE '' END", "deep_analysis_attempted": "0", "deep_analysis_recovered": "0", "deep_analysis_rejected": "0",
+        "rejection_reasons": braces("named"), "average_confidence": "printf('%.3f', coalesce(mean, 0.0))", "median_confidence": "printf('%.3f', coalesce(mid, 0.0))",
+        "confidence_histogram": braces(bins), "engine_counts": braces("engines"),
+    }
+    lines = ", ".join(f"'{name}: ' || ({fixed[c]})" for name, c, _ in reports.REPORT_LINES)
+    rule = "repeat('=', 40)"
+    timing = f"'', 'TIMING', {rule}, 'subtitle_changes_or_ocr_crops: ' || (sampled - no_text - same), 'subtitle_blocks: ' || coalesce(blocks, 0), 'average_subtitle_duration: ' || printf('%.3f', coalesce(duration, 0.0)), ''"
+    return f"""{_REPORT},
+    em AS (SELECT video_id, count(*) FILTER (NOT emitted AND text = '') AS empties FROM o GROUP BY video_id),
+    en AS (SELECT video_id, string_agg('''' || engine || ''': ' || n, ', ' ORDER BY engine) AS engines FROM (SELECT video_id, engine, count(*) AS n FROM o WHERE emitted GROUP BY ALL) GROUP BY video_id),
+    x AS (SELECT * FROM rp LEFT JOIN em USING (video_id) LEFT JOIN en USING (video_id)),
+    ln AS (
+      SELECT video_id, unnest(['OCR REPORT', {rule}, {lines}, '', 'TOP OCR NOISE SAMPLES', {rule}, '', 'RECOMMENDATION', {rule}, {", ".join(map(O.q, reports.ADVICE))}, {timing}]) AS line FROM x
+      UNION ALL SELECT video_id, '- [' || coalesce(rejection, '') || '] ' || text FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time) AS k FROM o WHERE NOT emitted) WHERE k <= 25)
+    SELECT video_id, line, count(*) AS times FROM ln GROUP BY ALL
+"""
+
+
 _DIFF = """
     WITH e AS (SELECT label::VARCHAR AS video_id, vec_id::DOUBLE AS time, embedding::DOUBLE[] AS v FROM embeddings),
     p AS (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY time) AS b FROM e),
@@ -342,12 +476,22 @@ _LOGS = """
 
 def _rewritten(t: str) -> str:
     """Whole words replaced; marks around every other character stand in for word edges."""
-    t = f"regexp_replace({t}, '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', chr(2) || '\\1' || chr(2), 'g')"
+    t = _marked(t)
     for source, target in TERMS.items():
         t = f"regexp_replace({t}, '(?i)(^|\\x{{02}}){source}($|\\x{{02}})', '\\1{target}\\2', 'g')"
     return f"replace({t}, chr(2), '')"
 
 
+def _marked(t: str) -> str:
+    return f"regexp_replace({t}, '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', chr(2) || '\\1' || chr(2), 'g')"
+
+
+def _terms(t: str) -> str:
+    """The terms that change a text: those that occur otherwise than written."""
+    edge = lambda flag, word: f"len(regexp_extract_all({_marked(t)}, '{flag}(^|\\x{{02}}){word}($|\\x{{02}})'))"
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN {edge('(?i)', source)} <> {edge('', target)} THEN 'glossary:{target}' END" for source, target in TERMS.items()) + ")"
+
+
 _TRANSLATABLE = "regexp_replace(trim({n}, {p}), '([{lo}])([{up}])', '\\1 \\2', 'g')".format(n=O.norm("text"), p=O.q(T.PUNCTUATION), lo=LATIN.lower, up=LATIN.upper)
 
 ORACLE_SQL = {
@@ -394,13 +538,14 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY video_id, f ORDER BY d, u, g) AS k FROM p)
         SELECT video_id, printf('%012d', f) AS frame_id, printf('%012d', g) AS neighbour_id, round(d, 3) AS distance, k AS rank FROM r WHERE k <= 5""",
     "call_cap": f"""
-        WITH {O.EVENTS}, d AS (SELECT video_id, least(7, least({O.FAST[2]}, greatest({O.FAST[1]}, floor((max(t) - min(t)) / 60 * {O.FAST[0]}))))::BIGINT AS cap FROM ev GROUP BY video_id),
-        r AS (SELECT ev.video_id, event_id, cap, row_number() OVER (PARTITION BY ev.video_id ORDER BY t, event_id) AS k FROM ev JOIN d USING (video_id))
-        SELECT video_id, count(*) AS kept, max(event_id) AS last_id, any_value(cap) AS cap FROM r WHERE k <= cap GROUP BY video_id""",
+        WITH {O.EVENTS}, u AS (SELECT video_id::BIGINT % 8 AS v, t, event_id FROM ev),
+        d AS (SELECT v, least({O.FAST[2]}, greatest({O.FAST[1]}, floor((max(t) - min(t)) * (v + 1) / 5760 / 60 * {O.FAST[0]})))::BIGINT AS cap FROM u GROUP BY v),
+        r AS (SELECT v, event_id, cap, row_number() OVER (PARTITION BY v ORDER BY t, event_id) AS k FROM u JOIN d USING (v))
+        SELECT v AS video_id, count(*) AS kept, max(event_id) AS last_id, any_value(cap) AS cap FROM r WHERE k <= cap GROUP BY v""",
     "preset_grid": f"{_GRID} SELECT video_id, preset, sample, accepted, dropped, round(avg_confidence, 4) AS avg_confidence, round(avg_score, 4) AS avg_score, round(noise_ratio, 4) AS noise_ratio, round(composite, 4) AS composite FROM g",
     "preset_choice": f"{_GRID}, k AS (SELECT g.*, row_number() OVER (PARTITION BY video_id ORDER BY accepted DESC, round(avg_confidence, 9) DESC, round(noise_ratio, 9), round(composite, 6) DESC, rank) AS n FROM g JOIN {O.RANKS} USING (preset)) SELECT video_id, preset, accepted, sample FROM k WHERE n = 1",
-    "glossary_rewrite": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no::INTEGER AS block_no, n AS text, n = text AS unchanged FROM r",
-    "corrections": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no AS index, {O.srt_time('start')} AS start, {O.srt_time(chr(34) + 'end' + chr(34))} AS \"end\", n AS corrected FROM r WHERE n <> text",
+    "glossary_rewrite": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no::INTEGER AS block_no, n AS text, {_terms('text')} AS terms, n = text AS unchanged FROM r",
+    "corrections": f"WITH {_CONV}, r AS (SELECT *, {_rewritten('text')} AS n FROM cv) SELECT video_id, block_no AS index, {O.srt_time('start')} AS start, {O.srt_time(chr(34) + 'end' + chr(34))} AS \"end\", text AS original, n AS corrected, {_terms('text')} AS reason, 0.5::DOUBLE AS confidence FROM r WHERE n <> text",
     "translate_cached": f"""
         WITH {_CONV}, s AS (SELECT *, {O.norm(_TRANSLATABLE)} AS src FROM cv), c AS (SELECT DISTINCT src FROM s WHERE role = 'assistant')
         SELECT video_id, block_no::INTEGER AS block_no, CASE WHEN s.src = '' THEN text WHEN c.src IS NOT NULL THEN 'cs:' || s.src ELSE s.src END AS translated,
@@ -412,7 +557,9 @@ ORACLE_SQL = {
     "srt_lines": f"""
         WITH {_CONV}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", text) AS k FROM cv WHERE trim(text) <> '')
         SELECT video_id, k AS block_no, k || chr(10) || {O.srt_time("start")} || ' --> ' || {O.srt_time('"end"')} || chr(10) || text || chr(10) AS cue FROM n""",
-    "candidate_signature": f"WITH {O.EVENTS} SELECT video_id, count(*) AS n, round(min(t), 3) AS first_time, round(max(t), 3) AS last_time, 40::BIGINT AS digits FROM ev GROUP BY video_id",
+    "candidate_signature": f"""
+        WITH {O.EVENTS}, h AS (SELECT video_id, t, ('0x' || substr(md5(round(t * 1000)::BIGINT || '|' || round(e * 1000)::BIGINT || '|' || printf('%012d', event_id)), 1, 15))::BIGINT AS k FROM ev)
+        SELECT video_id, count(*) AS n, round(min(t), 3) AS first_time, round(max(t), 3) AS last_time, sha1(sum(k)::VARCHAR) AS digest FROM h GROUP BY video_id""",
     "report_scan": "SELECT doc_id, n_chars AS failed_frames, 0::BIGINT AS timeout_frames, doc_id % 10 / 10 AS ratio, lang AS title FROM documents",
     "progress_ladder": f"WITH {_LOGS} SELECT job_id, event_id, coalesce(percent, -1) AS percent, progress FROM pg",
     "batch_progress": f"WITH {_LOGS} SELECT {_R}(avg(p), 0)::INTEGER AS overall_progress FROM (SELECT max(progress) AS p FROM pg GROUP BY job_id)",
@@ -451,5 +598,70 @@ ORACLE_SQL["language_checks"] = f"""
     FROM g JOIN b USING (doc_id)
 """
 
-#: SQL that takes minutes on larger tables; tests run it on the smallest.
-SLOW_SQL = {name: ORACLE_SQL.pop(name) for name in ("preset_grid", "preset_choice")}
+ORACLE_SQL["benchmark_report"] = f"""
+    WITH ev AS ({O.evaluated()}),
+    {_joined_blocks("SELECT preset || '/' || video_id AS video_id, (doc_id // 2)::DOUBLE AS t, doc_id // 2 + 0.75 AS e, cleaned AS text, confidence, doc_id AS o FROM ev WHERE reason = 'accepted'", 1.2, "bk")},
+    n AS (SELECT split_part(video_id, '/', 1) AS preset, count(*) AS blocks FROM bk GROUP BY ALL),
+    a AS (SELECT preset, count(*) AS c, count(*) FILTER (reason = 'accepted') AS h, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS m FROM ev GROUP BY preset),
+    r AS (SELECT preset, '<tr><td>' || preset || '</td><td>' || c || '</td><td>' || h || '</td><td>' || coalesce(blocks, 0) || '</td><td>' || printf('%.3f', m) || '</td><td>0</td><td>0</td><td>' || printf('%.2f', c::DOUBLE) || '</td></tr>' AS row FROM a LEFT JOIN n USING (preset))
+    SELECT '<!doctype html><meta charset=''utf-8''><title>OCR benchmark</title><h1>OCR benchmark</h1><table><thead><tr><th>Preset</th><th>OCR candidates</th><th>OCR hits</th><th>Subtitle blocks</th><th>Average confidence</th><th>Timeout frames</th><th>Failed frames</th><th>Candidates/s</th></tr></thead><tbody>'
+      || string_agg(row, '' ORDER BY preset) || '</tbody></table>' AS html FROM r
+"""
+ORACLE_SQL["ocr_report"] = f"""{_observed("recall")},
+    {_joined_blocks("SELECT 'v' || frame_id % 64 AS video_id, time AS t, time + 0.75 AS e, text, confidence, 0 AS o FROM seen WHERE emitted", 64.0, "bk")},
+    a AS (SELECT count(*) AS calls, count(*) FILTER (emitted) AS accepted, count(*) FILTER (NOT emitted) AS rejected, coalesce(avg(confidence) FILTER (emitted), 0.0) AS mean, coalesce(median(confidence) FILTER (emitted), 0.0) AS mid, {_bins("confidence", "emitted")} AS histogram FROM seen),
+    b AS (SELECT count(*) AS n, coalesce(avg(e - start), 0.0) AS d FROM bk),
+    k AS (SELECT string_agg(reason || '=' || n, '; ' ORDER BY reason) AS r FROM (SELECT reason, count(*) AS n FROM ({_PARTS} FROM (SELECT unnest(string_split(rejection, ',')) AS p FROM seen WHERE rejection IS NOT NULL)) GROUP BY reason))
+    SELECT calls AS actual_ocr_calls, accepted, rejected, round(mean, 6) AS average_confidence, round(mid, 6) AS median_confidence, round(d, 6) AS average_subtitle_duration, round(accepted / greatest(1, calls), 6) AS accepted_ratio,
+      n AS subtitle_blocks_generated, histogram, coalesce(r, '') AS rejections FROM a, b, k
+"""
+ORACLE_SQL["sample_files"] = f"""{_observed("balanced")},
+    r AS (SELECT *, row_number() OVER (PARTITION BY emitted ORDER BY time) AS k FROM seen)
+    SELECT frame_id, emitted, substr(text, 1, 300) AS text, rejection FROM r WHERE k <= 100
+"""
+ORACLE_SQL["quality_report"] = f"""{_REPORT}
+    SELECT video_id, sampled AS total_frames_sampled, sampled - no_text AS frames_with_subtitles, sampled - no_text AS white_text_frames, no_text AS skipped_without_subtitles, same AS skipped_same_subtitle, same AS skipped_same_subtitle_frames,
+      calls AS actual_ocr_calls, sampled - failed - timeout AS successful_ocr_calls, failed AS failed_ocr_calls, timeout AS timeout_ocr_calls, calls AS total_ocr_results, accepted AS accepted_ocr_results, rejected AS noise_rejected,
+      'default' AS quality_profile, 'hybrid' AS subtitle_detect_mode, round(area, 6) AS average_text_bbox_area, round(accepted / greatest(1, calls), 6) AS accepted_ratio, CASE WHEN accepted / greatest(1, calls) < 0.3 THEN 'filter_too_aggressive' ELSE '' END AS accepted_ratio_warning,
+      0::BIGINT AS deep_analysis_attempted, 0::BIGINT AS deep_analysis_recovered, 0::BIGINT AS deep_analysis_rejected, coalesce(reasons, '') AS rejection_reasons, round(coalesce(mean, 0.0), 6) AS average_confidence, round(coalesce(mid, 0.0), 6) AS median_confidence,
+      coalesce(bins, '{_NO_BINS}') AS confidence_histogram, '0.08 0.92 0.78 0.93' AS used_crop, false AS auto_region_used, coalesce(blocks, 0)::BIGINT AS subtitle_blocks_generated, 'raw.srt' AS raw_srt FROM rp
+"""
+ORACLE_SQL["quality_report_text"] = _text_lines()
+_SHORTENED = O.evaluated(("recall",)).replace("coalesce(text, '')", "CASE WHEN doc_id % 3 = 0 THEN substr(coalesce(text, ''), 1, 120) ELSE '' END", 1)
+ORACLE_SQL["preset_trial"] = f"""
+    WITH own AS ({O.evaluated()}), reg AS ({_SHORTENED}),
+    every AS (SELECT *, preset AS label FROM own UNION ALL SELECT *, 'auto-region' AS label FROM reg),
+    f AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE (doc_id % 101) / 100.0 < 0.5),
+    g AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+    used AS (SELECT every.* FROM every JOIN f USING (doc_id) WHERE k <= 20 AND label <> 'auto-region' UNION ALL SELECT every.* FROM every JOIN g USING (doc_id) WHERE k <= 20 AND label = 'auto-region'),
+    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM used),
+    a AS (SELECT video_id, label, preset, count(*) AS sample, count(*) FILTER (reason = 'accepted') AS accepted, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS m, coalesce(avg(score) FILTER (reason = 'accepted'), 0.0) AS s FROM sc GROUP BY ALL),
+    o AS (SELECT *, (sample - accepted) / greatest(1, sample) AS noise FROM a),
+    r AS (SELECT o.*, row_number() OVER (PARTITION BY video_id ORDER BY accepted DESC, round(m, 9) DESC, round(noise, 9), round(10000.0 * accepted + 100.0 * m + s - noise, 6) DESC, coalesce(rank, 9)) AS k FROM o LEFT JOIN {O.RANKS} ON r.preset = o.label),
+    n AS (SELECT video_id, count(*) AS n FROM used WHERE label = 'recall' GROUP BY video_id)
+    SELECT video_id, CASE WHEN n >= 4 THEN label END AS label, CASE WHEN n >= 4 THEN preset END AS preset, CASE WHEN n >= 4 THEN accepted END AS accepted, n AS sample FROM r JOIN n USING (video_id) WHERE k = 1
+"""
+ORACLE_SQL["region_trial"] = """
+    WITH e AS (SELECT label::VARCHAR AS video_id, vec_id, embedding[1] > -0.05 AS a, embedding[2] > 0.0 AS b, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+    u AS (SELECT video_id, max(vec_id) AS until, count(*) FILTER (a) AS initial_hits FROM e WHERE k <= 40 GROUP BY video_id),
+    h AS (SELECT video_id, count(*) FILTER (b) AS region_hits FROM e JOIN u USING (video_id) WHERE vec_id <= until GROUP BY video_id)
+    SELECT video_id, initial_hits, region_hits, video_id = '3' OR region_hits >= greatest(4, floor(initial_hits * 0.65)) AS use_region, video_id = '3' AS cached FROM u JOIN h USING (video_id)
+"""
+ORACLE_SQL["gate_stats"] = """
+    WITH RECURSIVE f AS (SELECT label::VARCHAR AS video_id, vec_id::DOUBLE AS t, embedding[1] > -0.1 AS detected, list_transform(embedding, lambda x: x > 0) AS mask, embedding::DOUBLE[] AS small, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+    g AS (
+      SELECT video_id, 0::BIGINT AS rn, '' AS state, false AS active, NULL::DOUBLE AS read_at, NULL::BOOLEAN[] AS mask, NULL::DOUBLE[] AS small FROM (SELECT DISTINCT video_id FROM f)
+      UNION ALL
+      SELECT video_id, rn, state, state <> 'no_text' AND (state = 'emit' OR active), CASE WHEN state = 'emit' THEN t ELSE read_at END,
+        CASE state WHEN 'emit' THEN own_mask WHEN 'same' THEN mask END, CASE state WHEN 'emit' THEN own_small WHEN 'same' THEN small END
+      FROM (
+        SELECT *, CASE WHEN NOT detected THEN 'no_text' WHEN active AND diff < 0.2 AND (alike > 0.4 OR (alike >= 0.75 * 0.4 AND read_at IS NOT NULL AND t - read_at < 2.0)) THEN 'same' ELSE 'emit' END AS state
+        FROM (
+          SELECT g.video_id, f.rn, f.t, f.detected, g.active, g.read_at, g.mask, g.small, f.mask AS own_mask, f.small AS own_small,
+            CASE WHEN g.small IS NULL THEN 1.0 ELSE list_sum(list_transform(range(1, len(f.small) + 1), lambda i: abs(f.small[i] - g.small[i]))) / len(f.small) END AS diff,
+            CASE WHEN g.mask IS NULL THEN 0.0 WHEN len(list_filter(range(1, len(f.mask) + 1), lambda i: f.mask[i] OR g.mask[i])) = 0 THEN 1.0
+              ELSE len(list_filter(range(1, len(f.mask) + 1), lambda i: f.mask[i] AND g.mask[i])) / len(list_filter(range(1, len(f.mask) + 1), lambda i: f.mask[i] OR g.mask[i])) END AS alike
+          FROM g JOIN f ON f.video_id = g.video_id AND f.rn = g.rn + 1)))
+    SELECT video_id, count(*) AS sampled, count(*) FILTER (state <> 'no_text') AS with_text, count(*) FILTER (state = 'no_text') AS skipped_no_text, count(*) FILTER (state = 'same') AS skipped_same, count(*) FILTER (state = 'emit') AS calls
+    FROM g WHERE rn > 0 GROUP BY video_id
+"""

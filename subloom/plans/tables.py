@@ -29,6 +29,7 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("video_id"),
         F.format_string("%012d", "event_id").alias("frame_id"),
         "event_id",
+        "user_id",
         "ts",
         t.alias("time"),
         (t + 600.0).alias("end"),

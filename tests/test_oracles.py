@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-SQL = entry.engine.ORACLE_SQL | entry.engine.SLOW_SQL
+SQL = entry.engine.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
