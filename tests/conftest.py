@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from pyspark.sql import SparkSession
 
+    work = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
@@ -20,7 +22,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
-        .config("spark.sql.warehouse.dir", "/tmp/subloom-warehouse")
+        .config("spark.sql.warehouse.dir", f"{work}/warehouse")
+        .config("spark.checkpoint.dir", f"{work}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
