@@ -118,6 +118,39 @@ def block_votes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", "text", F.col("votes").cast("bigint").alias("votes"), F.col("groups").cast("bigint").alias("groups"), F.round("confidence", 6).alias("confidence"))
 
 
+#: Words that stand for the event types where texts are to be alike, and short texts of noise and sense.
+SPELLINGS = ("{} of the page", "{} of the pages", "{spaced} of the page", "{} of the page!")
+SHORT_TEXTS = ("qv xz wk", "qv xz wkl", "the river was cold", "zr tk", "qv xz wk and the stone", "no", "mnb vcx", "mnb vcxy")
+
+
+def _alike_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose texts are spellings of their type: one has letters apart, which makes it suspicious."""
+    kind = F.col("text")
+    spaced = F.btrim(F.regexp_replace(kind, "(.)", "$1 "))
+    each = [F.concat(spaced if "{spaced}" in x else kind, F.lit(x.partition("}")[2])) for x in SPELLINGS]
+    text = F.get(F.array(*each), (F.col("event_id") % len(SPELLINGS)).cast("int"))
+    return tab.event_readings(spark, d).withColumn("text", text)
+
+
+def blocks_alike(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions and votes over texts that are alike: the longest spelling that is confident enough and beyond doubt wins."""
+    out = B.build_blocks(_alike_readings(spark, d), max_gap=DAY_HALF, script=LATIN)
+    return _rounded(out.withColumn("score", F.round("score", 4))).join(out.select("video_id", "block_no", F.round("score", 4).alias("score")), ["video_id", "block_no"])
+
+
+def votes_alike(spark: SparkSession, d: str) -> DataFrame:
+    out = B.block_votes(_alike_readings(spark, d), ["video_id"], LATIN)
+    return out.select("video_id", "text", F.col("votes").cast("bigint").alias("votes"), F.col("groups").cast("bigint").alias("groups"), F.round("score", 4).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def neighbor_noise_alike(spark: SparkSession, d: str) -> DataFrame:
+    """Short texts in order of events: noise stays only beside a text that is like it and no noise itself."""
+    w = Window.partitionBy("video_id").orderBy("time", "event_id")
+    text = F.get(F.lit(list(SHORT_TEXTS)), F.pmod(F.col("event_id") * 7 + F.floor(F.col("event_id") / 3), F.lit(len(SHORT_TEXTS))).cast("int"))
+    blocks = tab.event_readings(spark, d).select("video_id", "event_id", F.row_number().over(w).alias("block_no"), text.alias("text"))
+    return B.neighbour_filter(blocks, LATIN).select("video_id", "block_no", "text")
+
+
 def neighbor_noise(spark: SparkSession, d: str) -> DataFrame:
     return B.neighbour_filter(tab.conversation_blocks(spark, d), LATIN).select("video_id", "block_no", "text")
 
@@ -358,7 +391,8 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
+        neighbor_noise_alike,
     )
 }
 
@@ -647,6 +681,59 @@ ORACLE_SQL["region_trial"] = """
     h AS (SELECT video_id, count(*) FILTER (b) AS region_hits FROM e JOIN u USING (video_id) WHERE vec_id <= until GROUP BY video_id)
     SELECT video_id, initial_hits, region_hits, video_id = '3' OR region_hits >= greatest(4, floor(initial_hits * 0.65)) AS use_region, video_id = '3' AS cached FROM u JOIN h USING (video_id)
 """
+_ALIKE = f"""{O.EVENTS},
+    al AS (SELECT video_id, event_id, t, e, confidence, text AS kind, [text, text, trim(regexp_replace(text, '(.)', '\\1 ', 'g')), text][event_id % 4 + 1] || {O.listed(tuple(x.partition("}")[2] for x in SPELLINGS))}[event_id % 4 + 1] AS text FROM ev),
+    sp AS (SELECT text, {" OR ".join(f"({c})" for _, c in O.noise_flags("t"))} AS doubt FROM (SELECT DISTINCT text, {O.norm("text")} AS t FROM al))
+"""
+
+
+def _voted(keys: str, rows: str) -> str:
+    """Recursive CTE ``vt``: the text of each key's readings (in ``rows`` with n, their order), by the voting rule within one group."""
+    own = ", ".join(f"r.{k} = v.{k}" for k in keys.split(", ")).replace(", ", " AND ")
+    return f"""
+    rw AS MATERIALIZED ({rows}),
+    vt AS (
+      SELECT {keys}, n, text, confidence, greatest(0.0, CASE WHEN doubt THEN -12.0 ELSE 8.0 END) AS score FROM rw WHERE n = 1
+      UNION ALL
+      SELECT {", ".join(f"r.{k}" for k in keys.split(", "))}, r.n, CASE WHEN NOT r.doubt AND length(r.text) > length(v.text) AND r.confidence >= 0.80 * greatest(v.confidence, r.confidence) THEN r.text ELSE v.text END,
+        greatest(v.confidence, r.confidence), greatest(v.score, CASE WHEN r.doubt THEN -12.0 ELSE 8.0 END)
+      FROM vt v JOIN rw r ON {own} AND r.n = v.n + 1),
+    en AS (SELECT {keys}, arg_max(text, n) AS text, max(n) AS votes, max(confidence) AS confidence, max(score) AS score FROM vt GROUP BY {keys})
+"""
+
+
+_ALIKE_BLOCKS = O.BLOCKS.replace("WITH ", "", 1).replace(O.EVENTS + ",", "", 1).replace("FROM ev ", "FROM al ").replace("lag(text)", "lag(kind)").replace("IS DISTINCT FROM text", "IS DISTINCT FROM kind")
+ORACLE_SQL["blocks_alike"] = f"""
+    WITH RECURSIVE {_ALIKE}, {_ALIKE_BLOCKS},
+    {_voted("video_id, block_no", "SELECT d.video_id, d.block_no, row_number() OVER (PARTITION BY d.video_id, d.block_no ORDER BY t, event_id) AS n, d.text, d.confidence, doubt FROM d JOIN sp USING (text)")}
+    SELECT bl.video_id, bl.block_no, round(start, 3) AS start, round("end", 3) AS "end", en.text, round(en.confidence, 6) AS confidence, readings, round(en.score, 4)::DOUBLE AS score FROM bl JOIN en ON bl.video_id = en.video_id AND bl.block_no = en.block_no
+"""
+ORACLE_SQL["votes_alike"] = f"""
+    WITH RECURSIVE {_ALIKE},
+    {_voted("video_id, kind", "SELECT al.video_id, kind, row_number() OVER (PARTITION BY al.video_id, kind ORDER BY t, event_id) AS n, al.text, confidence, doubt FROM al JOIN sp USING (text)")},
+    fs AS (SELECT video_id, kind, min((t, event_id)) AS first FROM al GROUP BY ALL),
+    rk AS (SELECT en.*, count(*) OVER (PARTITION BY video_id) AS groups, row_number() OVER (PARTITION BY video_id ORDER BY votes DESC, confidence DESC, score DESC, length(text) DESC, first) AS k FROM en JOIN fs USING (video_id, kind))
+    SELECT video_id, text, votes, groups, round(score, 4)::DOUBLE AS score, round(confidence, 6) AS confidence FROM rk WHERE k = 1
+"""
+
+
+def _short_ratios() -> str:
+    """Rows (a, b, ratio) of the short texts' keys, by the same library as the operator: SQL has no such function."""
+    keys = ["".join(c for c in x.lower() if c.isalnum()) for x in SHORT_TEXTS]
+    return ", ".join(f"({O.q(a)}, {O.q(b)}, {B.likeness(a, b)!r})" for a in dict.fromkeys(keys) for b in dict.fromkeys(keys))
+
+
+ORACLE_SQL["neighbor_noise_alike"] = f"""
+    WITH {O.EVENTS}, x AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id)::INTEGER AS block_no, {O.listed(SHORT_TEXTS)}[(event_id * 7 + event_id // 3) % {len(SHORT_TEXTS)} + 1] AS text FROM ev),
+    f0 AS (SELECT text, text AS t, {O.key("text")} AS key FROM (SELECT DISTINCT text FROM x)),
+    f1 AS (SELECT text, key, {_OWN} AS own, {_SAFE} AS safe, len({_LW}) AS n, {_FEW} AS few, {O.size_of(_LW, "length(x) <= 3")} AS tiny, {O.size_of(_LW, "length(x) >= 4")} AS longer, {O.count(O.joined(_LW), LATIN.vowels)} AS v FROM f0),
+    f AS (SELECT text, key, own BETWEEN 1 AND 19 AND NOT safe AND (few / greatest(1, n) > 0.50 OR tiny = n OR (own >= 4 AND v / greatest(1, own) < 0.20)) AS short,
+      own >= 20 AND NOT safe AND n >= 4 AND few / greatest(1, n) >= 0.55 AND longer < 2 AS fragments FROM f1),
+    b AS (SELECT x.*, key, short, short OR fragments AS sus, lag(key) OVER w AS pk, lag(short) OVER w AS ps, lead(key) OVER w AS nk, lead(short) OVER w AS ns FROM x JOIN f USING (text) WINDOW w AS (PARTITION BY video_id ORDER BY block_no)),
+    rt(a, b, ratio) AS (VALUES {_short_ratios()})
+    SELECT video_id, block_no, text FROM b LEFT JOIN rt p ON p.a = key AND p.b = pk AND NOT ps LEFT JOIN rt n ON n.a = key AND n.b = nk AND NOT ns
+    WHERE NOT sus OR greatest(coalesce(p.ratio, 0.0), coalesce(n.ratio, 0.0)) >= 0.55
+"""
 ORACLE_SQL["gate_stats"] = """
     WITH RECURSIVE f AS (SELECT label::VARCHAR AS video_id, vec_id::DOUBLE AS t, embedding[1] > -0.1 AS detected, list_transform(embedding, lambda x: x > 0) AS mask, embedding::DOUBLE[] AS small, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
     g AS (
