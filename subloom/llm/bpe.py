@@ -4,8 +4,10 @@ A word is a doubly linked list of symbols.  A priority queue holds the ranks of
 adjacent pairs; a popped entry whose symbols have changed since it was pushed is
 stale and skipped.  Decoding concatenates vocabulary strings.
 
-The tokenizer file fixes normaliser, pre-tokenizer, vocabulary and merges; it is
-read by the executors from ``path`` and never copied.  White space always parts
+The tokenizer file fixes vocabulary, merges and the pre-tokenizer's pattern; it
+is read by the executors from ``path`` and never copied.  Of normalisers only
+that of the kind "BPE with word ends" is known: NFC, then lower case, one
+character at a time; white space parts words.  White space always parts
 words, so texts are encoded piece by piece between white space and a bounded
 memo holds the pieces met before; it only saves time.
 

@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,24 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder as shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_own_dir: dict[str, str] = {}
 _made: dict[str, list[tuple[str, str]]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of its own only where that is unset and all tasks run on this machine (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="subloom-")
-    return _own_dir[app]
-
-
 def made(spark: SparkSession, path: str, table: str = "") -> None:
     """Note an intermediate folder (and the table that is on it), so that it can be dropped."""
     _made.setdefault(spark.sparkContext.applicationId, []).append((path, table))
