@@ -40,14 +40,14 @@ def drop_intermediates(spark: SparkSession, since: int = 0) -> None:
     del noted[since:]
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
     The folder is noted as an intermediate one, unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if not keep:
         made(spark, path)
     return spark.read.schema(df.schema).parquet(path)

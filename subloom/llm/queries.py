@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, suffix_dedup, toxicity, winnowing
+from . import bpe, exact_dedup, langid, licenses, negatives, packing, quality, search, simhash, suffix_dedup, toxicity, warc, winnowing
 from .common import documents, labels
 
 
@@ -55,7 +55,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(documents(spark, sf_dir))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op11_negatives": op11_negatives,
+    "op12_warc": op12_warc,
+    "op13_search": op13_search,
     "op10_winnowing": op10_winnowing,
     "op2_licenses": op2_licenses,
     "op1_packing": op1_packing,
@@ -69,6 +84,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_negatives": negatives.oracle_sql(),
+    "op12_warc": warc.oracle_sql(),
+    "op13_search": search.oracle_sql(),
     "op2_licenses": licenses.oracle_sql(),
     "op9_exact_dedup": """
         WITH n AS (
