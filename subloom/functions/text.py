@@ -154,27 +154,39 @@ def looks_like_gibberish(items: Column, relaxed: bool, script: Script = CYRILLIC
     return let(items, lambda w: let(word_features(w, script), lambda f: is_gibberish(f, relaxed)))
 
 
-def noise_reasons(text: Column, script: Script = CYRILLIC) -> Column:
-    """Reasons to suspect noise (P6); empty for a clean text."""
+def _short_enough(t: Column, own: Column, script: Script) -> Column:
+    """``is_valid_short`` of a normalised text, looked at only where its letters are few enough for a listed one."""
+    most = 2 * max(map(len, script.valid_short), default=0)
+    return F.when(own <= most, is_valid_short(t, script)).otherwise(F.lit(False))
 
-    def rules(t: Column) -> Column:
-        w = words(t, script)
-        joined = F.array_join(w, "")
-        n, chars = F.size(w), F.char_length(joined)
-        unless = ~is_valid_short(t, script)
-        capital = F.filter(w, lambda x: (F.char_length(x) >= 4) & (count_upper(x) > 0) & (F.upper(x) == x))
+
+def noise_features(text: Column, script: Script = CYRILLIC) -> Column:
+    """struct(t, own, short, reasons): a text's normal form, its letters, whether it is a known short one, and the reasons to suspect noise (P6); each is computed once."""
+
+    def rules(t: Column, own: Column, w: Column, short: Column) -> Column:
+        n, unless = F.size(w), ~short
+        chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x))
+        capital = F.aggregate(F.filter(w, lambda x: (F.char_length(x) >= 4) & (F.upper(x) == x) & x.rlike(r"\p{Lu}")), F.lit(0), lambda a, x: a + F.char_length(x))
         pair = f"(?iu)([{script.letters}])\\1"
         return reasons(
-            ("low_cyrillic_ratio", (count_script(t, script) / dense_length(t) < 0.40) & unless),
+            ("low_cyrillic_ratio", (own / dense_length(t) < 0.40) & unless),
             ("too_many_one_char_words", (n >= 3) & (_short(w, 1) / F.greatest(F.lit(1), n) > 0.50)),
             ("too_many_short_fragments", (n >= 4) & unless & (_short(w, 2) / F.greatest(F.lit(1), n) > 0.75) & (count_in(lowered(w), script.common) < F.greatest(F.lit(2.0), n * 0.35))),
-            ("too_few_meaningful_chars", (F.char_length(meaningful(t)) < 4) & unless),
-            ("random_uppercase_sequence", (F.char_length(F.array_join(capital, "")) >= 6) & unless),
+            ("too_few_meaningful_chars", unless & (F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) < 4)),
+            ("random_uppercase_sequence", (capital >= 6) & unless),
             ("repeated_letters", (F.regexp_count(t, F.lit(pair + "+")) >= 2) | t.rlike(pair + "\\1")),
-            ("too_few_vowels", (n > 0) & unless & (chars >= 8) & (count_vowels(joined, script) / F.greatest(F.lit(1), chars) < 0.12)),
+            ("too_few_vowels", (n > 0) & unless & (chars >= 8) & (count_vowels(F.array_join(w, ""), script) / F.greatest(F.lit(1), chars) < 0.12)),
         )
 
-    return let(normalize(text), rules)
+    def of_counts(f: Column) -> Column:
+        return let(_short_enough(f["t"], f["own"], script), lambda short: F.struct(f["t"].alias("t"), f["own"].alias("own"), short.alias("short"), rules(f["t"], f["own"], f["w"], short).alias("reasons")))
+
+    return let(normalize(text), lambda t: let(F.struct(t.alias("t"), count_script(t, script).alias("own"), words(t, script).alias("w")), of_counts))
+
+
+def noise_reasons(text: Column, script: Script = CYRILLIC) -> Column:
+    """Reasons to suspect noise (P6); empty for a clean text."""
+    return noise_features(text, script)["reasons"]
 
 
 def mild_noise_reasons(text: Column, script: Script = CYRILLIC) -> Column:
@@ -194,13 +206,18 @@ def mild_noise_reasons(text: Column, script: Script = CYRILLIC) -> Column:
     return let(normalize(text), rules)
 
 
-def needs_deep_retry(text: Column, mode: str, script: Script = CYRILLIC) -> Column:
-    """Whether a reading is read again with more effort."""
-    if mode == "none":
+def needs_deep_retry(text: Column, mode: str | Column, script: Script = CYRILLIC) -> Column:
+    """Whether a reading is read again with more effort (P9); the mode may be a column."""
+    if isinstance(mode, str) and mode == "none":
         return F.lit(False)
-    t = normalize(text)
-    needs = (F.size(words(t, script)) < 2) | (F.char_length(meaningful(t)) < 4) | (F.size(noise_reasons(t, script)) > 0)
-    return needs if mode == "aggressive" else needs & is_valid_short(t, script)
+
+    def of(f: Column) -> Column:
+        needs = (F.size(f["reasons"]) > 0) | (F.size(words(f["t"], script)) < 2) | (F.char_length(meaningful(f["t"])) < 4)
+        if isinstance(mode, Column):
+            return needs & ((mode == "aggressive") | ((mode == "short") & f["short"]))
+        return needs if mode == "aggressive" else needs & f["short"]
+
+    return let(noise_features(text, script), of)
 
 
 def has_good_language(text: Column, script: Script = CYRILLIC) -> Column:

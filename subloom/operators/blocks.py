@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.core import ladder
 from ..functions.scripts import CYRILLIC, Script
 from ..functions.similarity import ratio
-from ..schema import BLOCKS
 
 VOTE_SIMILARITY, NEIGHBOUR_SIMILARITY, DEEP_SIMILARITY = 0.82, 0.55, 0.78
 
@@ -55,6 +57,7 @@ class Group:
         return self.count, self.confidence, self.score, len(self.text)
 
 
+@lru_cache(maxsize=1 << 14)
 def likeness(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
@@ -157,21 +160,72 @@ def prepared(observations: DataFrame, script: Script = CYRILLIC) -> DataFrame:
     return observations.withColumns({"key": T.merge_key(F.col("text")), "suspicious": F.size(T.noise_reasons(F.col("text"), script)) > 0})
 
 
+def gap_islands(rows: DataFrame, max_gap: float) -> DataFrame:
+    """Adds ``island``: readings of a video with different ones never share a block.
+
+    A reading that comes more than ``max_gap`` after the latest end of all before
+    it begins a block whatever the votes say, so the fold may be cut there.  The
+    latest end is carried over cells of time: each cell's own is one partial
+    aggregate, a window over a video's cells carries them on, and the rows are
+    looked at cell by cell, so that one long video is spread over all tasks.  An
+    island's name is the time at which it began.
+    """
+    width = max(60.0, 64 * max_gap)
+    df = rows.withColumn("_cell", F.floor(F.col("time") / width))
+    before = Window.partitionBy("video_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy("video_id", "_cell").agg(F.max("end").alias("_end"), F.min("time").alias("_first"))
+    carried = cells.select("video_id", "_cell", F.max("_end").over(before).alias("_until"))
+    own = Window.partitionBy("video_id", "_cell").orderBy("time", "frame_id")
+    df = df.join(carried, ["video_id", "_cell"])
+    until = F.greatest("_until", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_start", F.when(F.coalesce(F.col("time") - until > max_gap, F.lit(True)), F.col("time"))).drop("_until")
+    starts = df.groupBy("video_id", "_cell").agg(F.max("_start").alias("_last"))
+    latest = starts.select("video_id", "_cell", F.max("_last").over(before).alias("_before"))
+    island = F.greatest("_before", F.max("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.join(latest, ["video_id", "_cell"]).withColumn("island", island).drop("_cell", "_start", "_before")
+
+
+_FOLDED = pa.schema([("video_id", pa.string()), ("island", pa.float64()), ("k", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("score", pa.float64()), ("confidence", pa.float64()), ("readings", pa.int32())])
+
+
 def build_blocks(observations: DataFrame, max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC) -> DataFrame:
     """Blocks of similar consecutive readings, with voted texts.
 
     The text that the next reading is held against depends on all votes so far,
-    so a video is folded in one group of small rows; videos are independent.
+    so readings are folded in order, each island by itself; a task holds one open
+    block's votes and nothing else.  Readings without a time make no block.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "frame_id"], kind="stable")
-        rows = pdf[["time", "end", "text", "key", "score", "confidence", "suspicious"]].itertuples(index=False, name=None)
-        out = [{"video_id": pdf.video_id.iloc[0], "block_no": i, **b} for i, b in enumerate(fold_blocks(rows, max_gap, similarity, min_duration), 1)]
-        return pd.DataFrame(out, columns=["video_id", "block_no", "start", "end", "text", "score", "confidence", "readings"])
-
-    ready = prepared(observations, script).select("video_id", "frame_id", "time", "end", "text", "key", "score", "confidence", "suspicious")
-    return ready.groupBy("video_id").applyInPandas(fold, f"{BLOCKS}, readings int")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, session, k, out = None, Session(max_gap, similarity, min_duration), 0, []
+
+        def give(done: dict | None) -> None:
+            nonlocal k
+            if done is not None:
+                k += 1
+                out.append((*at, k, done["start"], done["end"], done["text"], done["score"], done["confidence"], done["readings"]))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOLDED.types, strict=True)], schema=_FOLDED)
+
+        for batch in batches:
+            for video, island, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (video, island) != at:
+                    give(session.finish())
+                    at, session, k = (video, island), Session(max_gap, similarity, min_duration), 0
+                give(session.add(*r))
+            if len(out) >= 1_000:
+                yield batch_of(out)
+                out.clear()
+        give(session.finish())
+        if out:
+            yield batch_of(out)
+
+    ready = gap_islands(prepared(observations, script).select("video_id", "frame_id", "time", "end", "text", "key", "score", "confidence", "suspicious").where("time is not null"), max_gap)
+    ready = ready.repartition("video_id", "island").sortWithinPartitions("video_id", "island", "time", "frame_id").select("video_id", "island", "time", "end", "text", "key", "score", "confidence", "suspicious")
+    made = ready.mapInArrow(fold, "video_id string, island double, k int, start double, `end` double, text string, score double, confidence double, readings int")
+    w = Window.partitionBy("video_id").orderBy("island", "k")
+    return made.select("video_id", F.row_number().over(w).alias("block_no"), "start", "end", "text", "score", "confidence", "readings")
 
 
 def neighbour_filter(blocks: DataFrame, script: Script = CYRILLIC) -> DataFrame:
@@ -196,19 +250,36 @@ def cleanup_blocks(blocks: DataFrame, allow_drop: bool = True, script: Script =
     return blocks.withColumn("text", T.heuristic_cleanup(F.col("text"), allow_drop, script)).where("text <> ''")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterable[tuple], kinds: list[pa.DataType], names: list[str], size: int = 1_000) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
 def block_votes(observations: DataFrame, keys: list[str], script: Script = CYRILLIC) -> DataFrame:
-    """The voted text of each group of readings."""
+    """The voted text of each group of readings (A15); a task holds one group's votes, not its readings."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observations.select(*keys).schema)
+    ready = prepared(observations, script).select(*keys, "time", "frame_id", "text", "key", "score", "confidence", "suspicious")
+    kinds = [to_arrow_type(f.dataType) for f in observations.select(*keys).schema]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def voted() -> Iterator[tuple]:
+            for key, rows in groupby(_rows(batches), lambda r: r[: len(keys)]):
+                groups: list[Group] = []
+                for *_, text, merged, score, confidence, suspicious in rows:
+                    groups = joined(groups, block_reading(text, merged or text, score, confidence, suspicious), VOTE_SIMILARITY, keep_first_key(suspicious))
+                w = winner(groups)
+                yield (*key, w.text, w.count, len(groups), w.score, w.confidence)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[Group] = []
-        for r in pdf.sort_values(["time", "frame_id"], kind="stable").itertuples():
-            groups = joined(groups, block_reading(r.text, r.key or r.text, r.score, r.confidence, r.suspicious), VOTE_SIMILARITY, keep_first_key(r.suspicious))
-        w = winner(groups)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "text": w.text, "votes": w.count, "groups": len(groups), "score": w.score, "confidence": w.confidence}])
+        yield from _batches(voted(), [*kinds, pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()], [*keys, "text", "votes", "groups", "score", "confidence"])
 
-    ready = prepared(observations, script).select(*keys, "frame_id", "time", "text", "key", "score", "confidence", "suspicious")
-    return ready.groupBy(*keys).applyInPandas(fold, f"{schema}, text string, votes int, groups int, score double, confidence double")
+    dealt = ready.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "time", "frame_id")
+    return dealt.mapInArrow(fold, f"{schema}, text string, votes int, groups int, score double, confidence double")
 
 
 def deep_vote(votes: DataFrame, script: Script = CYRILLIC, limit: int = 24) -> DataFrame:
@@ -224,18 +295,21 @@ def deep_vote(votes: DataFrame, script: Script = CYRILLIC, limit: int = 24) -> D
     ready = votes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     ready = ready.select("video_id", "frame_id", "rank", "text", "confidence", T.merge_key(t).alias("key"), T.candidate_score(t, F.col("confidence"), script).alias("score"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[Group] = []
-        for r in pdf.sort_values("rank").itertuples():
-            if r.text:
-                groups = joined(groups, Group(r.key, r.text, 1, r.confidence, r.score), DEEP_SIMILARITY, keep_best_score)
-        row = {"video_id": pdf.video_id.iloc[0], "frame_id": pdf.frame_id.iloc[0], "text": "", "confidence": 0.0, "votes": 0}
-        if groups:
-            best = winner(groups)
-            row |= {"text": best.text, "confidence": best.confidence, "votes": best.count}
-        return pd.DataFrame([row])
-
-    won = ready.groupBy("video_id", "frame_id").applyInPandas(fold, "video_id string, frame_id string, text string, confidence double, votes int")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def voted() -> Iterator[tuple]:
+            for key, rows in groupby(_rows(batches), lambda r: r[:2]):
+                groups: list[Group] = []
+                for *_, text, confidence, merged, score in rows:
+                    if text:
+                        groups = joined(groups, Group(merged, text, 1, confidence, score), DEEP_SIMILARITY, keep_best_score)
+                best = winner(groups) if groups else Group("", "", 0, 0.0, 0.0)
+                yield (*key, best.text, best.confidence, best.count)
+
+        yield from _batches(voted(), [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32()], ["video_id", "frame_id", "text", "confidence", "votes"])
+
+    ready = ready.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_id").cast("string").alias("frame_id"), "rank", "text", "confidence", "key", "score")
+    dealt = ready.repartition("video_id", "frame_id").sortWithinPartitions("video_id", "frame_id", "rank")
+    won = dealt.mapInArrow(fold, "video_id string, frame_id string, text string, confidence double, votes int")
     won = won.withColumn("_n", T.noise_reasons(t, script))
     why = lambda default: F.when(F.size("_n") > 0, F.array_join("_n", ",")).otherwise(F.lit(default))
     outcome = ladder(

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,27 +78,76 @@ class Gate:
         return "emit", diff
 
 
+def text_runs(frames: DataFrame, cell: float = 600.0) -> DataFrame:
+    """Adds ``run``: how many frames without text come before a frame; those of a run, and the one that ends it, share a number.
+
+    The count is carried over cells of time: a partial aggregate for each cell, a
+    window over a video's cells, and a window inside each cell, so that one long
+    video is spread over all tasks.
+    """
+    df = frames.withColumn("_cell", F.floor(F.col("time") / cell))
+    gone = (~F.coalesce(F.col("detected"), F.lit(False))).cast("long")
+    before = Window.partitionBy("video_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy("video_id", "_cell").agg(F.sum(gone).alias("_n"))
+    carried = cells.select("video_id", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("video_id", "_cell").orderBy("time", "frame_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = df.withColumn("_own", F.coalesce(F.sum(gone).over(own), F.lit(0))).join(carried, ["video_id", "_cell"])
+    return met.withColumn("run", F.col("_before") + F.col("_own")).drop("_cell", "_before", "_own")
+
+
+_GATED = pa.schema([("video_id", pa.string()), ("frame_id", pa.string()), ("time", pa.float64()), ("end_time", pa.float64()), ("diff_score", pa.float64()), ("mask_similarity", pa.float64()), ("state", pa.string())])
+
+
+def _vectors(column: pa.Array, kind: type) -> Iterator[np.ndarray | None]:
+    """The lists of a column as arrays; null items count as 0."""
+    kinds = {bool: pa.bool_(), float: pa.float64()}
+    ends, flat = column.offsets.to_numpy(), column.values.cast(kinds[kind]).fill_null(kind(0)).to_numpy(zero_copy_only=False)
+    for i, there in enumerate(column.is_valid().to_pylist()):
+        yield flat[ends[i] : ends[i + 1]] if there else None
+
+
 def gate_frames(frames: DataFrame, rate: float = 0.75, **options) -> DataFrame:
     """Every frame with the gate's decision; emitted rows last until the last frame that repeats them.
 
     Needs video_id, frame_id, time, detected, mask, small.  The decision depends
-    on the last *emitted* mask, which no window function can express, so a
-    video's frames are folded in one group; masks and thumbnails are a few
-    thousand values a frame, never images.
+    on the last *emitted* mask, which no window function can express, so frames
+    are folded in order.  A frame without text clears all that the gate knows but
+    the time of its last reading, which the next emitted frame overwrites before
+    it is asked for; so runs of frames with text, each with the frame that ends
+    it, are folded apart.  A task holds one emitted mask and nothing else.
+    Frames without a time are left out.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate, rows, last = Gate(**options), [], None
-        for r in pdf.sort_values(["time", "frame_id"], kind="stable").itertuples():
-            state, diff = gate.step(r.time, bool(r.detected), r.mask, r.small)
-            if state == "same":
-                last[3] = r.time + rate
-            rows.append([r.video_id, r.frame_id, r.time, r.time + rate, diff, 1.0 if state == "emit" else 0.0, state])
-            if state == "emit":
-                last = rows[-1]
-        return pd.DataFrame(rows, columns=["video_id", "frame_id", "time", "end_time", "diff_score", "mask_similarity", "state"])
-
-    return frames.select("video_id", "frame_id", "time", "detected", "mask", "small").groupBy("video_id").applyInPandas(fold, DEDUP_OUT)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gate, last = None, None, None
+
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _GATED.types, strict=True)], schema=_GATED)
+
+        for batch in batches:
+            out: list[list] = []
+            plain = [batch.column(c).to_pylist() for c in ("video_id", "run", "frame_id", "time", "detected")]
+            for video, run, frame, t, detected, mask, small in zip(*plain, _vectors(batch.column("mask"), bool), _vectors(batch.column("small"), float), strict=True):
+                if (video, run) != at:
+                    out += [last] if last else []
+                    at, gate, last = (video, run), Gate(**options), None
+                state, diff = gate.step(t, bool(detected), mask, small)
+                row = [video, frame, t, t + rate, diff, 1.0 if state == "emit" else 0.0, state]
+                if state == "emit":
+                    out += [last] if last else []
+                    last = row
+                    continue
+                if state == "same":
+                    last[3] = t + rate
+                out.append(row)
+            if out:
+                yield batch_of(out)
+        if last:
+            yield batch_of([last])
+
+    ready = text_runs(frames.select("video_id", "frame_id", "time", "detected", "mask", "small").where("time is not null"))
+    ready = ready.repartition("video_id", "run").sortWithinPartitions("video_id", "run", "time", "frame_id")
+    return ready.mapInArrow(fold, DEDUP_OUT)
 
 
 def gate_stats(gated: DataFrame) -> DataFrame:
@@ -130,15 +180,29 @@ def common_region(candidates: DataFrame, limit: int = 200) -> DataFrame:
 def neighbours(frames: DataFrame, window: float = 1.0, limit: int = 5) -> DataFrame:
     """video_id, frame_id, neighbour_id, distance, rank: the nearest frames within a time window, itself included.
 
-    A band join on whole windows: a frame meets those of its own and the two
-    neighbouring cells, then the exact distance is tested.
+    Frames of one time have the same neighbours.  In order of time, with no more
+    than ``limit`` frames of each time, the nearest ones of a time's first frame
+    are at most ``2 * limit - 1`` rows away on either side, so a bounded frame of
+    a window has them, and another hands them to the rest of that time.  A video
+    is cut into cells of time; frames at an edge stand in the next cell too, so
+    that one long video is spread over all tasks and nothing is joined.  Equal
+    distances are ordered by time, then id.  Frames without a time have none.
     """
-    cell = F.floor(F.col("time") / window)
-    left = frames.select("video_id", F.col("frame_id"), F.col("time").alias("t"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = frames.select("video_id", F.col("frame_id").alias("neighbour_id"), F.col("time").alias("u"), cell.alias("cell"))
-    pairs = left.join(right, ["video_id", "cell"]).withColumn("distance", F.abs(F.col("t") - F.col("u"))).where(F.col("distance") <= window)
-    w = Window.partitionBy("video_id", "frame_id").orderBy("distance", "u", "neighbour_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("video_id", "frame_id", "neighbour_id", "distance", "rank")
+    width = 64.0 * window
+    t, cell = F.col("time"), F.floor(F.col("time") / width)
+    copies = F.array(cell, F.when(t - cell * width <= window, cell - 1), F.when((cell + 1) * width - t <= window, cell + 1))
+    df = frames.select("video_id", "frame_id", t.cast("double").alias("time")).where("time is not null")
+    df = df.select("*", cell.alias("_home"), F.explode(F.array_compact(copies)).alias("_cell"))
+    of_time = Window.partitionBy("video_id", "_cell", "time").orderBy("frame_id")
+    df = df.withColumn("_n", F.row_number().over(of_time)).withColumn("_more", F.col("_n") > limit)
+    around = Window.partitionBy("video_id", "_cell", "_more").orderBy("time", "frame_id").rowsBetween(-(2 * limit - 1), 2 * limit - 1)
+    distance = lambda x: F.abs(x["time"] - F.col("time"))
+    near = F.transform(F.collect_list(F.struct("time", "frame_id")).over(around), lambda x: F.struct(distance(x).alias("distance"), x["time"].alias("u"), x["frame_id"].alias("neighbour_id")))
+    near = F.slice(F.array_sort(F.filter(near, lambda x: x["distance"] <= window)), 1, limit)
+    df = df.withColumn("_near", F.when(F.col("_n") == 1, near))
+    df = df.withColumn("_near", F.first("_near", ignorenulls=True).over(of_time)).where(F.col("_cell") == F.col("_home"))
+    each = df.select("video_id", "frame_id", F.posexplode("_near").alias("_at", "_x"))
+    return each.select("video_id", "frame_id", "_x.neighbour_id", "_x.distance", (F.col("_at") + 1).alias("rank"))
 
 
 def signature(candidates: DataFrame) -> DataFrame:

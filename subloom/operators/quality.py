@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS
 from ..functions import text as T
-from ..functions.core import ladder
+from ..functions.core import ladder, let
 from ..functions.scripts import CYRILLIC, Script
 
 
@@ -38,16 +38,19 @@ def noise(df: DataFrame, column: str = "cleaned", mode: str = "standard", script
 def choose_best(readings: DataFrame, keys: list[str], engine_order: tuple[str, ...] = ("tesseract", "paddle"), script: Script = CYRILLIC) -> DataFrame:
     """Of each key's cleaned readings the accepted one of the highest score; earlier engines win ties.
 
-    Groups where nothing is accepted keep an empty text and every engine's reason.
-    One partial aggregation: a key's readings never meet in one task before it.
+    Groups where nothing is accepted keep an empty text and every engine's reason;
+    ``raw`` is a reading as it came, of the last engine that read anything.  One
+    partial aggregation: a key's readings never meet in one task before it.
     """
-    score = F.round(T.candidate_score(F.col("cleaned"), F.col("confidence"), script), 9)
     rank = ladder(*[(F.col("engine") == e, F.lit(i)) for i, e in enumerate(engine_order)], otherwise=F.lit(len(engine_order)))
+    scored = readings.withColumn("_score", F.round(T.candidate_score(F.col("cleaned"), F.col("confidence"), script), 9)).withColumn("_rank", rank)
+    score, rank = F.col("_score"), F.col("_rank")
     ok = F.col("reason") == "accepted"
     order = F.struct(score.alias("score"), (-rank).alias("first"))
-    picked = F.struct(F.col("engine"), F.col("cleaned").alias("text"), F.col("confidence"), score.alias("score"), F.col("text").alias("raw_text"))
+    picked = F.struct(F.col("engine"), F.col("cleaned").alias("text"), F.col("confidence"), score.alias("score"))
     why = F.struct(rank.alias("rank"), F.concat(F.col("engine"), F.lit(":"), F.col("reason")).alias("why"))
-    out = readings.groupBy(*keys).agg(F.max_by(picked, F.when(ok, order)).alias("_p"), F.max(ok).alias("accepted"), F.array_sort(F.collect_set(why)).alias("_w"))
+    read = F.max_by("text", F.when(F.coalesce(F.col("text"), F.lit("")) != "", rank))
+    out = scored.groupBy(*keys).agg(F.max_by(picked, F.when(ok, order)).alias("_p"), F.max(ok).alias("accepted"), F.array_sort(F.collect_set(why)).alias("_w"), read.alias("_raw"))
     joined = F.array_join(F.transform("_w", lambda w: w["why"]), "; ")
     return out.select(
         *keys,
@@ -57,20 +60,47 @@ def choose_best(readings: DataFrame, keys: list[str], engine_order: tuple[str, .
         F.coalesce(F.when(F.col("accepted"), F.col("_p.confidence")), F.lit(0.0)).alias("confidence"),
         F.coalesce(F.when(F.col("accepted"), F.col("_p.score")), F.lit(0.0)).alias("score"),
         F.when(F.col("accepted"), F.lit("accepted")).otherwise(joined).alias("reason"),
+        F.coalesce("_raw", F.lit("")).alias("raw"),
     )
 
 
+def verdict(text: Column, noise_mode: str = "standard", script: Script = CYRILLIC, sanity: str = "local") -> Column:
+    """struct(route, text, rejection): what becomes of a chosen text, computed once.
+
+    Routes: ``clean`` stays; ``sanity`` is a suspicious text of more than twenty
+    letters that language sanity decides on, with its repaired text or its reason;
+    ``noise`` is a suspicious text that goes.  Known short texts are clean.
+    """
+    out = lambda route, t, why: F.struct(F.lit(route).alias("route"), t.alias("text"), why.cast("string").alias("rejection"))
+
+    def decide(f: Column) -> Column:
+        bad = F.lit(False) if noise_mode == "off" else (F.size(f["reasons"]) > 0) & ~f["short"]
+        why = F.concat(F.lit("noise_filter:"), F.array_join(f["reasons"], ","))
+        judged = let(T.language_sanity(f["raw"], script), lambda s: F.when(s["valid"], out("sanity", s["repaired"], F.lit(None))).otherwise(out("sanity", F.lit(""), s["reason"])))
+        asked = (f["own"] > 20) & F.lit(sanity != "off")
+        return F.when(~bad, out("clean", f["raw"], F.lit(None))).when(asked, judged).otherwise(out("noise", F.lit(""), why))
+
+    def features(t: Column) -> Column:
+        if noise_mode == "mild":
+            return F.struct(t.alias("raw"), T.count_script(t, script).alias("own"), T.is_valid_short(t, script).alias("short"), T.mild_noise_reasons(t, script).alias("reasons"))
+        return let(T.noise_features(t, script), lambda f: F.struct(t.alias("raw"), f["own"].alias("own"), f["short"].alias("short"), f["reasons"].alias("reasons")))
+
+    return let(text, lambda t: let(features(t), decide))
+
+
 def observations(chosen: DataFrame, noise_mode: str = "standard", script: Script = CYRILLIC, sanity: str = "local") -> DataFrame:
-    """Adds ``emitted`` and ``rejection``: suspicious texts are rejected unless short and known, or saved by language sanity."""
-    df = noise(chosen, "text", noise_mode, script)
-    sane = T.language_sanity(F.col("text"), script)
-    saved = F.col("noise.suspicious") & (T.count_script(F.col("text"), script) > 20) & F.lit(sanity != "off")
-    df = df.withColumn("_s", F.when(saved, sane))
-    blocked = F.col("noise.suspicious") & ~F.col("noise.is_valid_short") & ~F.coalesce(F.col("_s.valid"), F.lit(False))
-    emitted = F.col("accepted") & (F.col("text") != "") & ~blocked
-    why = F.when(~F.col("accepted"), F.col("reason")).when(blocked, F.concat(F.lit("noise_filter:"), F.array_join("noise.reasons", ",")))
-    text = F.when(F.coalesce(F.col("_s.valid"), F.lit(False)), F.col("_s.repaired")).otherwise(F.col("text"))
-    return df.withColumns({"emitted": emitted, "rejection": why, "text": text}).drop("_s")
+    """Adds ``emitted``, ``rejection`` and ``route``; the text is what is emitted, empty where nothing is.
+
+    Frames that were read again (``deep`` is there and not null) have been judged
+    already: they stay as the retry left them.
+    """
+    judged = F.col("accepted") & (F.col("text") != "")
+    retried = F.col("deep").isNotNull() if "deep" in chosen.columns else F.lit(False)
+    df = chosen.withColumn("_v", F.when(judged & ~retried, verdict(F.col("text"), noise_mode, script, sanity)))
+    text = F.when(judged & retried, F.col("text")).otherwise(F.coalesce("_v.text", F.lit("")))
+    why = F.when(text == "", F.coalesce("_v.rejection", "reason"))
+    route = F.when(retried, F.lit("deep")).otherwise(F.coalesce("_v.route", F.lit("none")))
+    return df.select(*[c for c in chosen.columns if c != "text"], text.alias("text"), (text != "").alias("emitted"), why.alias("rejection"), route.alias("route"))
 
 
 def rejection_counts(df: DataFrame, column: str = "rejection") -> DataFrame:

@@ -125,14 +125,18 @@ def deep_retry(
     fit = cleaned.where((F.col("reason") == "accepted") & (~F.col("noise.suspicious") | F.col("noise.is_valid_short"))).join(F.broadcast(ranks), "variant")  # a row for each variant
     fit = fit.select("video_id", F.col("frame_id").alias("neighbour_id"), "variant_rank", F.col("cleaned").alias("text"), "confidence")
     cast = near.select("video_id", "frame_id", "neighbour_id", F.col("rank").alias("neighbour_rank")).join(fit, ["video_id", "neighbour_id"])
-    return deep_vote(cast, script, votes)
+    voted = deep_vote(cast, script, votes)
+    none = {"text": "", "confidence": 0.0, "outcome": "deep_no_text"}  # every frame has an outcome, those without a fit reading too
+    asked_for = wanted.select("video_id", "frame_id").distinct().join(voted, ["video_id", "frame_id"], "left")
+    return asked_for.select("video_id", "frame_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
 
 
 def recovered(chosen: DataFrame, retried: DataFrame, noise_mode: str = "standard", script: Script = CYRILLIC) -> DataFrame:
-    """``chosen`` with what the retry gave, and ``deep``: recovered, rejected, or null for frames not retried.
+    """``chosen`` with what the retry gave, and ``deep``: recovered, rejected, kept, or null for frames not retried.
 
     A text that was recovered takes the frame's place; one that was not takes
-    away a suspicious text, but for known short ones.
+    away a suspicious text, but for known short ones, which are kept like texts
+    that aren't suspicious.
     """
     again = retried.select("video_id", "frame_id", F.col("text").alias("_text"), F.col("confidence").alias("_confidence"), "outcome")
     df = quality.noise(chosen.join(again, ["video_id", "frame_id"], "left"), "text", noise_mode, script)
@@ -144,11 +148,91 @@ def recovered(chosen: DataFrame, retried: DataFrame, noise_mode: str = "standard
             "confidence": F.when(found, F.greatest("confidence", "_confidence")).otherwise(F.col("confidence")),
             "reason": F.when(found | lost, F.col("outcome")).otherwise(F.col("reason")),
             "accepted": F.col("accepted") & ~lost,
-            "deep": F.when(found, F.lit("recovered")).when(lost, F.lit("rejected")),
+            "deep": F.when(found, F.lit("recovered")).when(lost, F.lit("rejected")).when(tried, F.lit("kept")),
         }
     ).select(*chosen.columns, "deep")
 
 
+Engines = dict[str, Callable[[], Recogniser]]
+
+
+def read_loop(
+    images: DataFrame,
+    engine: Engines,
+    fallback: Engines | None = None,
+    late: Engines | None = None,
+    deep: Engines | None = None,
+    deep_mode: str = "none",
+    transform: Callable[[bytes, str], bytes] = lambda content, variant: content,
+    preset: str = "recall",
+    noise_mode: str = "standard",
+    sanity: str = "local",
+    model: Translator | None = None,
+    script: Script = CYRILLIC,
+    window: float = 1.0,
+    preprocess: str = "subtitle",
+    seconds: float = 30.0,
+) -> DataFrame:
+    """Frames to observations, the whole way: read, choose, read again, judge, last chance.
+
+    Needs video_id, frame_id, time and content; with ``deep_mode='by frame'`` a
+    column deep_mode too.  Adds engine, text, confidence, score, raw, emitted,
+    rejection, route and deep.  A frame takes one route and each engine sees it
+    once:
+
+    - a frame on which an engine takes too long, or that no engine could read,
+      is no observation; what ``engine`` fails on ``fallback`` reads;
+    - ``deep``: texts that ask for more effort are read again in variants by
+      ``deep``, and stay as that leaves them;
+    - ``sanity``: other suspicious texts of more than twenty letters stay by rule,
+      or by ``model``'s word where the rule denies it, with spacing repaired;
+    - ``noise``: other suspicious texts go;
+    - ``late``: frames left without a text are read by an engine not yet asked,
+      and the choice among all their readings is final.
+
+    Readings and each branch's answers are written once; a branch runs on its own
+    rows only.
+    """
+    keys = ["video_id", "frame_id", "time"]
+    order = tuple(dict.fromkeys(["tesseract", *engine, *(fallback or {}), *(late or {})]))
+    plain = images.select(*keys, "content")
+    readings = read_with_fallback(plain, engine, fallback, seconds) if fallback else written(read(plain, engine, seconds), "readings")
+    slow = readings.where("status = 'timeout'").select(*keys).distinct()
+    fit = readings.where("status = 'ok'").join(slow, keys, "left_anti")
+    chosen = written(quality.choose_best(quality.clean(fit, preset, script), keys, order, script), "chosen")
+    if deep is not None and deep_mode != "none":
+        asked_for = chosen
+        mode: str | object = deep_mode
+        if deep_mode == "by frame":
+            asked_for, mode = chosen.join(images.select(*keys, "deep_mode"), keys), F.col("deep_mode")
+        wanted = written(asked_for.where((F.col("text") != "") & T.needs_deep_retry(F.col("text"), mode, script)).select("video_id", "frame_id"), "wanted")
+        chosen = recovered(chosen, deep_retry(plain, wanted, deep, transform, preset, preprocess, script, window), noise_mode, script)
+    else:
+        chosen = chosen.withColumn("deep", F.lit(None).cast("string"))
+    seen = quality.observations(chosen.withColumn("_chosen", F.col("text")), noise_mode, script, sanity)
+    if model is not None and sanity != "off":
+        seen = written(seen, "judged")
+        doubt = (F.col("route") == "sanity") & ~F.col("emitted")
+        told = sanity_by_model(seen.where(doubt).withColumn("text", F.col("_chosen")), model, script)
+        told = told.withColumns({"text": F.when(F.col("sane.valid"), F.col("sane.repaired")).otherwise(F.lit("")), "emitted": F.col("sane.valid"), "rejection": F.when(~F.col("sane.valid"), F.col("sane.reason"))})
+        seen = seen.where(~doubt).unionByName(told.select(*seen.columns))
+    seen = seen.drop("_chosen")
+    if late is not None:
+        seen = written(seen, "judged")
+        lost = seen.where("not emitted")
+        asked_before = readings.where(F.col("engine").isin(*late)).select(*keys).distinct()
+        more = written(read(plain.join(lost.select(*keys), keys, "left_semi").join(asked_before, keys, "left_anti"), late, seconds), "readings").where("status = 'ok'")
+        both = more.unionByName(fit.join(more.select(*keys).distinct(), keys, "left_semi"))
+        again = quality.choose_best(quality.clean(both, preset, script), keys, order, script)
+        again = again.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("accepted", "engine", "text", "confidence", "score", "reason", "raw")])
+        df = lost.join(again, keys, "left")
+        read_late = F.col("_accepted").isNotNull()
+        new = {c: F.when(read_late, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("accepted", "engine", "text", "confidence", "score", "reason", "raw")}
+        new |= {"emitted": F.coalesce("_accepted", F.lit(False)), "rejection": F.when(F.coalesce("_accepted", F.lit(False)), F.lit(None)).when(read_late, F.col("_reason")).otherwise(F.col("rejection")), "route": F.when(read_late, F.lit("late")).otherwise(F.col("route"))}
+        seen = seen.where("emitted").unionByName(df.withColumns(new).select(*seen.columns))
+    return seen.withColumn("score", F.when(F.col("emitted"), T.candidate_score(F.col("text"), F.col("confidence"), script)).otherwise(F.lit(0.0)))
+
+
 def sanity_by_model(suspicious: DataFrame, model: Translator, script: Script = CYRILLIC) -> DataFrame:
     """Adds ``sane`` (valid, repaired, reason): by rule where that suffices, else by a model's word (P10, U8).
 

@@ -12,7 +12,8 @@ from ..functions.scripts import LATIN
 from ..functions.similarity import similarity
 from ..operators import blocks as B
 from ..operators import candidates as C
-from ..operators import enrich, grid, quality, reports, timeline
+from ..operators import enrich, grid, quality, recognise, reports, timeline
+from ..shared import noted, settled, written
 from ..sources import inputs, srt
 from ..streaming import sessions
 from . import oracle as O
@@ -171,10 +172,19 @@ def extraction_stats(spark: SparkSession, d: str) -> DataFrame:
     return C.extraction_stats(frames.drop("small"), C.detect_changes(frames, threshold=0.14))
 
 
-def gate_stats(spark: SparkSession, d: str) -> DataFrame:
+def _gated(spark: SparkSession, d: str) -> DataFrame:
     df = tab.embedding_frames(spark, d)
     frames = df.select("video_id", F.format_string("%012d", "vec_id").alias("frame_id"), "time", (F.element_at("small", 1) > -0.1).alias("detected"), arrays.mask(F.col("small")).alias("mask"), "small")
-    return C.gate_stats(C.gate_frames(frames, threshold=0.2, similarity=0.4))
+    return C.gate_frames(frames, threshold=0.2, similarity=0.4)
+
+
+def gate_stats(spark: SparkSession, d: str) -> DataFrame:
+    return C.gate_stats(_gated(spark, d))
+
+
+def gate_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame's state, difference and end."""
+    return _gated(spark, d).select("video_id", "time", "end_time", F.round("diff_score", 6).alias("diff_score"), "state")
 
 
 def common_region(spark: SparkSession, d: str) -> DataFrame:
@@ -225,21 +235,22 @@ def _seen_blocks(seen: DataFrame) -> DataFrame:
     return B.blocks_of_equal(rows, max_gap=64.0)
 
 
-def _listed(c: str) -> F.Column:
-    """A map as ``key=value`` in order of keys."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ")
+def _listed(c: str, name: str) -> F.Column:
+    """Pairs of a name and a count as ``name=count``, in their order."""
+    return F.array_join(F.transform(F.col(c), lambda e: F.concat(e[name], F.lit("="), e["n"].cast("string"))), "; ")
 
 
 def ocr_report(spark: SparkSession, d: str) -> DataFrame:
-    seen = _seen(spark, d, "recall")
-    out = reports.ocr_report(seen, _seen_blocks(seen), quality.rejection_counts(seen))
+    mark = noted(spark)
+    seen = written(_seen(spark, d, "recall"), "observations")
+    out = settled(reports.ocr_report(seen, _seen_blocks(seen)), "ocr-report", mark)
     rounded = [F.round(c, 6).alias(c) for c in ("average_confidence", "median_confidence", "average_subtitle_duration", "accepted_ratio")]
-    return out.select("actual_ocr_calls", "accepted", "rejected", *rounded, "subtitle_blocks_generated", _listed("confidence_histogram").alias("histogram"), _listed("rejection_reasons").alias("rejections"))
+    return out.select("actual_ocr_calls", "accepted", "rejected", *rounded, "subtitle_blocks_generated", _listed("confidence_histogram", "bin").alias("histogram"), _listed("rejection_reasons", "reason").alias("rejections"))
 
 
 def _report_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Observations of four videos, their blocks, the gate's counts, reading statuses and candidates."""
-    seen = _seen(spark, d, "recall").withColumn("video_id", F.concat(F.lit("v"), (F.col("frame_id") % 4).cast("string")))
+    seen = written(_seen(spark, d, "recall").withColumn("video_id", F.concat(F.lit("v"), (F.col("frame_id") % 4).cast("string"))), "observations")
     blocks = B.blocks_of_equal(seen.where("emitted").withColumn("end", F.col("time") + 0.75), max_gap=4.0)
     frames = tab.document_readings(spark, d).select(F.concat(F.lit("v"), (F.col("frame_id") % 4).cast("string")).alias("video_id"), "doc_id", "confidence")
     state = F.when(F.col("doc_id") % 5 == 0, "no_text").when(F.col("doc_id") % 7 == 0, "same").otherwise("emit")
@@ -250,17 +261,20 @@ def _report_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
 
 
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    report = reports.quality_report(*_report_parts(spark, d), raw_srt="raw.srt")
+    mark = noted(spark)
+    report = settled(reports.quality_report(*_report_parts(spark, d), raw_srt="raw.srt"), "quality-report", mark)
     rounded = {c: F.round(c, 6) for c in ("average_text_bbox_area", "accepted_ratio", "average_confidence", "median_confidence")}
-    maps = {c: _listed(c) for c in ("rejection_reasons", "confidence_histogram")}
-    return report.withColumns(rounded | maps | {"used_crop": F.format_string("%.2f %.2f %.2f %.2f", *[F.col(f"used_crop.{c}") for c in ("x1", "x2", "y1", "y2")])})
+    maps = {"rejection_reasons": _listed("rejection_reasons", "reason"), "confidence_histogram": _listed("confidence_histogram", "bin")}
+    return report.drop("readings").withColumns(rounded | maps | {"used_crop": F.format_string("%.2f %.2f %.2f %.2f", *[F.col(f"used_crop.{c}") for c in ("x1", "x2", "y1", "y2")])})
 
 
 def quality_report_text(spark: SparkSession, d: str) -> DataFrame:
     """The text reports' lines, and how often each stands in a report."""
+    mark = noted(spark)
     seen, blocks, stats, statuses, candidates = _report_parts(spark, d)
     texts = reports.report_text(reports.quality_report(seen, blocks, stats, statuses, candidates), seen)
-    return reports.with_timing(texts, stats, blocks).select("video_id", F.explode(F.split("value", "\n")).alias("line")).groupBy("video_id", "line").agg(F.count("*").alias("times"))
+    whole = settled(reports.with_timing(texts, stats, blocks), "quality-report-text", mark)
+    return whole.select("video_id", F.explode(F.split("value", "\n")).alias("line")).groupBy("video_id", "line").agg(F.count("*").alias("times"))
 
 
 def preset_trial(spark: SparkSession, d: str) -> DataFrame:
@@ -380,19 +394,54 @@ def language_checks(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", T.has_good_language(t, LATIN).alias("good"), T.is_acceptable_recovery(t, LATIN).alias("acceptable"), T.looks_like_damaged_sentence(t, LATIN).alias("damaged"), T.is_short_noise(t, LATIN).alias("short_noise"), T.is_fragment_noise(t, LATIN).alias("fragments"))
 
 
+#: What the stand-in of a costly engine reads, by the length of an image.
+READ_AGAIN = ("the river was cold", "brada", "", "and the stone")
+
+
+def _engine(kind: str):
+    """Stand-ins of engines: an image's bytes are its text, and their number decides what goes wrong."""
+
+    def first(content: bytes) -> tuple[str, float]:
+        if len(content) % 13 == 0:
+            raise OSError("unreadable")
+        return content.decode(), len(content) % 101 / 100.0
+
+    made = {
+        "first": first,
+        "fallback": lambda content: (content.decode(), 0.4),
+        "late": lambda content: ("the house of stone", 0.6) if len(content) % 2 == 0 else ("", 0.0),
+        "deep": lambda content: (READ_AGAIN[len(content) % 4], 0.9),
+    }
+    return lambda: made[kind]
+
+
+def read_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as images through the whole read loop: every route is taken by some."""
+    docs = tab.spread(tab.table(spark, d, "documents").select("doc_id", "source", "text"))
+    mode = F.get(F.array(F.lit("aggressive"), F.lit("short"), F.lit("none")), (F.col("doc_id") % 3).cast("int"))
+    images = docs.select(F.col("source").alias("video_id"), F.format_string("%012d", "doc_id").alias("frame_id"), (F.col("doc_id") * 10.0).alias("time"), F.col("text").cast("binary").alias("content"), mode.alias("deep_mode"))
+    mark = noted(spark)
+    seen = recognise.read_loop(images, {"paddle": _engine("first")}, {"tesseract": _engine("fallback")}, {"second": _engine("late")}, {"deep": _engine("deep")}, "by frame", script=LATIN)
+    out = settled(seen, "read-loop", mark)
+    return out.select("frame_id", "engine", "text", F.round("confidence", 6).alias("confidence"), F.round("score", 4).alias("score"), "emitted", "rejection", "route", "deep")
+
+
 def sample_files(spark: SparkSession, d: str) -> DataFrame:
+    """The samples file's lines, numbered."""
+    mark = noted(spark)
     seen = _seen(spark, d, "balanced").withColumn("video_id", F.lit("all"))
-    return inputs.samples(seen).select("frame_id", "emitted", "text", "rejection")
+    text = settled(inputs.samples_text(inputs.samples(seen)), "samples", mark)
+    return text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
-        confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, common_region,
+        confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
         srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
-        neighbor_noise_alike,
+        neighbor_noise_alike, read_loop,
     )
 }
 
@@ -426,7 +475,9 @@ def _observed(preset: str) -> str:
     nz AS (SELECT b.*, joint, {O.norm("text")} AS t FROM best_rows b JOIN why USING (frame_id)),
     fl AS MATERIALIZED (SELECT *, concat_ws(',', {flags}) AS found, {O.valid_short("t")} AS sh, {own} AS own, ({common} > 0 OR ({damaged})) AS sane FROM nz),
     bl0 AS (SELECT *, found <> '' AND own > 20 AND sane AS saved, found <> '' AND NOT sh AND NOT (found <> '' AND own > 20 AND sane) AS blocked FROM fl),
-    seen AS (SELECT frame_id, frame_id::DOUBLE AS time, engine, confidence, accepted AND text <> '' AND NOT blocked AS emitted, CASE WHEN NOT accepted THEN joint WHEN blocked THEN 'noise_filter:' || found END AS rejection, CASE WHEN saved THEN t ELSE text END AS text FROM bl0)
+    rw AS (SELECT doc_id // 2 AS frame_id, coalesce(nullif(max(CASE WHEN doc_id % 2 = 1 THEN text END), ''), max(CASE WHEN doc_id % 2 = 0 THEN text END), '') AS raw FROM documents GROUP BY 1),
+    seen AS (SELECT frame_id, frame_id::DOUBLE AS time, engine, confidence, accepted AND text <> '' AND NOT blocked AS emitted, CASE WHEN NOT accepted THEN joint WHEN blocked AND own > 20 THEN 'language_sanity_noise' WHEN blocked THEN 'noise_filter:' || found END AS rejection,
+      CASE WHEN blocked THEN '' WHEN saved THEN t ELSE text END AS text, {O.norm("raw")} AS raw FROM bl0 JOIN rw USING (frame_id))
 """
 
 
@@ -441,9 +492,15 @@ def _joined_blocks(rows: str, gap: float, name: str) -> str:
 """
 
 
-def _bins(value: str, filtered: str = "true") -> str:
-    """The quality bins' counts as ``name=n``, in order of name."""
-    return " || '; ' || ".join(f"'{name}=' || count(*) FILTER ({filtered} AND {O.hist(O.BINS['quality'], value)} = '{name}')" for name, _ in sorted(O.BINS["quality"]))
+def _bins(value: str, filtered: str = "true", bins: str = "quality") -> str:
+    """The bins' counts as ``name=n``, in order."""
+    return " || '; ' || ".join(f"'{name}=' || count(*) FILTER ({filtered} AND {O.hist(O.BINS[bins], value)} = '{name}')" for name, _ in O.BINS[bins])
+
+
+def _reasons(keys: str = "") -> str:
+    """Query: keys, reason, n, and where each reason first came up; of ``o``'s rejections."""
+    part = f"SELECT {keys}time, i, CASE WHEN trim(p[i]) = '' THEN 'empty' ELSE trim(p[i]) END AS reason FROM (SELECT {keys}time, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT {keys}time, string_split(coalesce(rejection, ''), ',') AS p FROM o WHERE NOT emitted))"
+    return f"SELECT {keys}reason, count(*) AS n, min({{'t': time, 'i': i}}) AS fst FROM ({part}) GROUP BY ALL"
 
 
 _PARTS = "SELECT CASE WHEN trim(p) = '' THEN 'empty' ELSE trim(p) END AS reason"
@@ -451,38 +508,37 @@ _REPORT = f"""{_observed("recall")},
     o AS (SELECT *, 'v' || frame_id % 4 AS video_id FROM seen),
     {_joined_blocks("SELECT video_id, time AS t, time + 0.75 AS e, text, confidence, 0 AS o FROM o WHERE emitted", 4.0, "bk")},
     fr AS (SELECT 'v' || (doc_id // 2) % 4 AS video_id, doc_id, (doc_id % 101) / 100.0 * 100 AS area FROM documents),
-    ob AS (SELECT video_id, count(*) AS calls, count(*) FILTER (emitted) AS accepted, count(*) FILTER (NOT emitted) AS rejected FROM o GROUP BY video_id),
-    rj AS (SELECT video_id, string_agg(reason || '=' || n, '; ' ORDER BY reason) AS reasons, string_agg('''' || reason || ''': ' || n, ', ' ORDER BY reason) AS named FROM (SELECT video_id, reason, count(*) AS n FROM ({_PARTS}, video_id FROM (SELECT video_id, unnest(string_split(rejection, ',')) AS p FROM o WHERE rejection IS NOT NULL)) GROUP BY ALL) GROUP BY video_id),
+    ob AS (SELECT video_id, count(*) AS seen_calls, count(*) FILTER (emitted) AS accepted, coalesce(avg(confidence) FILTER (emitted), 0.0) AS r_mean, coalesce(median(confidence) FILTER (emitted), 0.0) AS r_mid, {_bins("confidence", "emitted", "equal")} AS r_bins,
+      count(*) FILTER (emitted AND engine = 'tesseract') AS n_t, count(*) FILTER (emitted AND engine = 'paddle') AS n_p FROM o GROUP BY video_id),
+    rj AS (SELECT video_id, string_agg(reason || '=' || n, '; ' ORDER BY fst) AS reasons, string_agg('''' || reason || ''': ' || n, ', ' ORDER BY fst) AS named FROM ({_reasons("video_id, ")}) GROUP BY video_id),
     bb AS (SELECT video_id, count(*) AS blocks, avg(confidence) AS mean, median(confidence) AS mid, {_bins("confidence")} AS bins, avg(e - start) AS duration FROM bk GROUP BY video_id),
     st AS (SELECT video_id, count(*) AS sampled, count(*) FILTER (doc_id % 5 = 0) AS no_text, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 = 0) AS same, count(*) FILTER (doc_id % 17 = 0) AS failed,
       count(*) FILTER (doc_id % 17 <> 0 AND doc_id % 23 = 0) AS timeout, coalesce(avg(area) FILTER (doc_id % 3 > 0 AND area > 0), 0.0) AS area FROM fr GROUP BY video_id),
-    rp AS (SELECT * FROM ob LEFT JOIN rj USING (video_id) LEFT JOIN bb USING (video_id) LEFT JOIN st USING (video_id))
+    rp AS (SELECT *, seen_calls + failed + timeout AS calls FROM ob LEFT JOIN rj USING (video_id) LEFT JOIN bb USING (video_id) LEFT JOIN st USING (video_id))
 """
-_NO_BINS = "; ".join(f"{name}=0" for name, _ in sorted(O.BINS["quality"]))
+_NO_BINS = "; ".join(f"{name}=0" for name, _ in O.BINS["quality"])
 
 
 def _text_lines() -> str:
     """The lines of the text reports, in SQL."""
     braces = lambda c: f"'{{' || coalesce({c}, '') || '}}'"
-    bins = f"'''' || replace(replace(coalesce(bins, '{_NO_BINS}'), '=', ''': '), '; ', ', ''')"
+    bins = "'''' || replace(replace(r_bins, '=', ''': '), '; ', ', ''')"
     fixed = {
-        "quality_profile": "'default'", "subtitle_detect_mode": "'hybrid'", "total_frames_sampled": "sampled", "actual_ocr_calls": "calls", "white_text_frames": "sampled - no_text", "skipped_same_subtitle_frames": "same",
-        "skipped_same_subtitle": "same", "skipped_without_subtitles": "no_text", "average_text_bbox_area": "printf('%.1f', area)", "accepted_ocr_results": "accepted", "noise_rejected": "rejected", "empty_ocr_results": "empties",
-        "successful_ocr_calls": "sampled - failed - timeout", "timeout_ocr_calls": "timeout", "failed_ocr_calls": "failed", "total_ocr_results": "calls", "accepted_ratio": "printf('%.3f', accepted / greatest(1, calls))",
+        "quality_profile": "'default'", "subtitle_detect_mode": "'hybrid'", "total_frames_sampled": "sampled", "actual_ocr_calls": "sampled - no_text - same", "white_text_frames": "sampled - no_text", "skipped_same_subtitle_frames": "same",
+        "skipped_same_subtitle": "same", "skipped_without_subtitles": "no_text", "readings.average_text_bbox_area": "printf('%.1f', area)", "accepted_ocr_results": "accepted", "noise_rejected": "calls - accepted", "empty_ocr_results": "seen_calls - accepted",
+        "successful_ocr_calls": "accepted", "timeout_ocr_calls": "timeout", "failed_ocr_calls": "failed", "total_ocr_results": "calls", "readings.accepted_ratio": "printf('%.3f', accepted / greatest(1, calls))",
         "accepted_ratio_warning": "CASE WHEN accepted / greatest(1, calls) < 0.3 THEN 'filter_too_aggressive' ELSE '' END", "deep_analysis_attempted": "0", "deep_analysis_recovered": "0", "deep_analysis_rejected": "0",
-        "rejection_reasons": braces("named"), "average_confidence": "printf('%.3f', coalesce(mean, 0.0))", "median_confidence": "printf('%.3f', coalesce(mid, 0.0))",
-        "confidence_histogram": braces(bins), "engine_counts": braces("engines"),
+        "rejection_reasons": braces("named"), "readings.average_confidence": "printf('%.3f', r_mean)", "readings.median_confidence": "printf('%.3f', r_mid)",
+        "readings.confidence_histogram": braces(bins), "readings.engine_counts": "'{''tesseract'': ' || n_t || ', ''paddle'': ' || n_p || '}'",
     }
     lines = ", ".join(f"'{name}: ' || ({fixed[c]})" for name, c, _ in reports.REPORT_LINES)
     rule = "repeat('=', 40)"
     timing = f"'', 'TIMING', {rule}, 'subtitle_changes_or_ocr_crops: ' || (sampled - no_text - same), 'subtitle_blocks: ' || coalesce(blocks, 0), 'average_subtitle_duration: ' || printf('%.3f', coalesce(duration, 0.0)), ''"
     return f"""{_REPORT},
-    em AS (SELECT video_id, count(*) FILTER (NOT emitted AND text = '') AS empties FROM o GROUP BY video_id),
-    en AS (SELECT video_id, string_agg('''' || engine || ''': ' || n, ', ' ORDER BY engine) AS engines FROM (SELECT video_id, engine, count(*) AS n FROM o WHERE emitted GROUP BY ALL) GROUP BY video_id),
-    x AS (SELECT * FROM rp LEFT JOIN em USING (video_id) LEFT JOIN en USING (video_id)),
+    x AS (SELECT * FROM rp),
     ln AS (
       SELECT video_id, unnest(['OCR REPORT', {rule}, {lines}, '', 'TOP OCR NOISE SAMPLES', {rule}, '', 'RECOMMENDATION', {rule}, {", ".join(map(O.q, reports.ADVICE))}, {timing}]) AS line FROM x
-      UNION ALL SELECT video_id, '- [' || coalesce(rejection, '') || '] ' || text FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time) AS k FROM o WHERE NOT emitted) WHERE k <= 25)
+      UNION ALL SELECT video_id, '- [' || coalesce(rejection, '') || '] ' || substr(raw, 1, 300) FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time) AS k FROM o WHERE NOT emitted AND raw <> '') WHERE k <= 25)
     SELECT video_id, line, count(*) AS times FROM ln GROUP BY ALL
 """
 
@@ -632,6 +688,51 @@ ORACLE_SQL["language_checks"] = f"""
     FROM g JOIN b USING (doc_id)
 """
 
+# the gate as a recursion over each video's frames: what it knows is a row's columns
+ORACLE_SQL["gate_frames"] = """
+    WITH RECURSIVE f AS (SELECT label::VARCHAR AS video_id, vec_id::DOUBLE AS t, embedding[1]::DOUBLE > -0.1 AS seen, embedding::DOUBLE[] AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    g AS (
+      SELECT DISTINCT video_id, 0::BIGINT AS n, NULL::DOUBLE AS t, '' AS state, 0.0::DOUBLE AS diff, false AS active, NULL::DOUBLE AS read_at, NULL::DOUBLE[] AS s FROM f
+      UNION ALL
+      SELECT video_id, n, t, state, diff, state <> 'no_text' AS active, CASE WHEN state = 'emit' THEN t ELSE read_at END, CASE state WHEN 'no_text' THEN NULL WHEN 'emit' THEN own ELSE s END FROM (
+        SELECT *, CASE WHEN NOT seen THEN 'no_text' WHEN active AND diff < 0.2 AND (alike > 0.4 OR (alike >= 0.75 * 0.4 AND t - read_at < 2.0)) THEN 'same' ELSE 'emit' END AS state FROM (
+          SELECT f.video_id, f.n, f.t, f.seen, f.s AS own, g.s AS s, g.active, g.read_at,
+            CASE WHEN g.s IS NULL THEN 1.0 ELSE list_sum(list_transform(range(1, len(f.s) + 1), lambda i: abs(f.s[i] - g.s[i]))) / len(f.s) END AS diff,
+            CASE WHEN g.s IS NULL THEN 0.0 ELSE len(list_filter(range(1, len(f.s) + 1), lambda i: f.s[i] > 0 AND g.s[i] > 0)) / greatest(1, len(list_filter(range(1, len(f.s) + 1), lambda i: f.s[i] > 0 OR g.s[i] > 0))) END AS alike
+          FROM g JOIN f ON f.video_id = g.video_id AND f.n = g.n + 1))),
+    e AS (SELECT *, sum(CASE WHEN state = 'emit' THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS k FROM g WHERE n > 0)
+    SELECT video_id, t AS time, CASE WHEN state = 'emit' THEN max(t) FILTER (state <> 'no_text') OVER (PARTITION BY video_id, k) ELSE t END + 0.75 AS end_time, round(diff, 6) AS diff_score, state FROM e
+"""
+
+
+def _read_loop_sql() -> str:
+    flags = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in O.noise_flags("t"))
+    w = O.words("t")
+    j, n, common = O.joined(w), f"len({w})", O.size_of(O.words("lower(t)"), f"list_contains({O.listed(LATIN.common)}, x)")
+    own = O.count("t", LATIN.letters)
+    damaged = f"{n} >= 3 AND {O.vowels(j)} / greatest(1, length({j})) >= 0.18 AND {O.size_of(w, 'length(x) <= 2')} / greatest(1, {n}) <= 0.55 AND {O.count(j, chr(92) + 'p{Lu}')} / greatest(1, length({j})) <= 0.65"
+    score = lambda t, c: f"round({O.score(t, c, O.repeats(t, 5))}, 9)"
+    phrase = "CASE k " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(READ_AGAIN)) + " END"
+    return f"""
+    WITH c AS ({O.cleaned("recall")}),
+    a AS (SELECT doc_id, strlen(text) AS len, CASE WHEN strlen(text) % 13 = 0 THEN 'tesseract' ELSE 'paddle' END AS engine, CASE WHEN strlen(text) % 13 = 0 THEN 0.4 ELSE strlen(text) % 101 / 100.0 END AS conf, reason, cleaned, doc_id % 3 AS mode, strlen(text) % 4 AS k
+      FROM c JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
+    b AS (SELECT *, reason = 'accepted' AS ok, {O.norm("cleaned")} AS t FROM a),
+    f AS MATERIALIZED (SELECT *, concat_ws(',', {flags}) AS found, {O.valid_short("t")} AS sh, {own} AS own, ({common} > 0 OR ({damaged})) AS sane, {n} AS n, {O.meaningful("t")} AS chars FROM b),
+    g AS (SELECT *, ok AND (found <> '' OR n < 2 OR chars < 4) AND (mode = 0 OR (mode = 1 AND sh)) AS again, ok AND found <> '' AND NOT sh AS bad FROM f),
+    h AS (SELECT *, CASE WHEN again AND k IN (0, 3) THEN 'recovered' WHEN again AND bad THEN 'rejected' WHEN again THEN 'kept' END AS deep,
+      CASE WHEN NOT ok THEN 'none' WHEN again THEN 'deep' WHEN NOT bad THEN 'clean' WHEN own > 20 THEN 'sanity' ELSE 'noise' END AS route FROM g),
+    i AS (SELECT *, CASE WHEN NOT ok OR deep = 'rejected' OR (route = 'sanity' AND NOT sane) OR route = 'noise' THEN '' WHEN deep = 'recovered' THEN {phrase} WHEN route = 'sanity' THEN t ELSE cleaned END AS kept,
+      CASE WHEN deep = 'recovered' THEN greatest(conf, 0.9) WHEN NOT ok THEN 0.0 ELSE conf END AS kept_conf FROM h),
+    l AS (SELECT *, CASE WHEN len % 2 = 0 AND (NOT ok OR {score("'the house of stone'", "0.6")} > {score("cleaned", "conf")}) THEN 'second' WHEN ok THEN engine END AS chosen FROM i WHERE kept = ''),
+    m AS (SELECT doc_id, chosen AS engine, CASE chosen WHEN 'second' THEN 'the house of stone' ELSE coalesce(nullif(cleaned, ''), '') END AS text, CASE WHEN chosen = 'second' THEN 0.6 WHEN chosen IS NULL THEN 0.0 ELSE conf END AS conf, chosen IS NOT NULL AS emitted,
+        CASE WHEN chosen IS NULL THEN engine || ':' || reason || '; second:empty_after_cleanup' END AS rejection, 'late' AS route, deep FROM l
+      UNION ALL SELECT doc_id, engine, kept, kept_conf, true, NULL, route, deep FROM i WHERE kept <> '')
+    SELECT printf('%012d', doc_id) AS frame_id, engine, text, round(conf, 6) AS confidence, round(CASE WHEN emitted THEN {score("text", "conf")} ELSE 0.0 END, 4) AS score, emitted, rejection, route, deep FROM m
+"""
+
+
+ORACLE_SQL["read_loop"] = _read_loop_sql()
 ORACLE_SQL["benchmark_report"] = f"""
     WITH ev AS ({O.evaluated()}),
     {_joined_blocks("SELECT preset || '/' || video_id AS video_id, (doc_id // 2)::DOUBLE AS t, doc_id // 2 + 0.75 AS e, cleaned AS text, confidence, doc_id AS o FROM ev WHERE reason = 'accepted'", 1.2, "bk")},
@@ -642,22 +743,25 @@ ORACLE_SQL["benchmark_report"] = f"""
       || string_agg(row, '' ORDER BY preset) || '</tbody></table>' AS html FROM r
 """
 ORACLE_SQL["ocr_report"] = f"""{_observed("recall")},
+    o AS (SELECT * FROM seen),
     {_joined_blocks("SELECT 'v' || frame_id % 64 AS video_id, time AS t, time + 0.75 AS e, text, confidence, 0 AS o FROM seen WHERE emitted", 64.0, "bk")},
-    a AS (SELECT count(*) AS calls, count(*) FILTER (emitted) AS accepted, count(*) FILTER (NOT emitted) AS rejected, coalesce(avg(confidence) FILTER (emitted), 0.0) AS mean, coalesce(median(confidence) FILTER (emitted), 0.0) AS mid, {_bins("confidence", "emitted")} AS histogram FROM seen),
+    a AS (SELECT count(*) AS calls, count(*) FILTER (emitted) AS accepted, count(*) FILTER (NOT emitted) AS rejected, coalesce(avg(confidence) FILTER (emitted), 0.0) AS mean, coalesce(median(confidence) FILTER (emitted), 0.0) AS mid, {_bins("confidence", "emitted", "equal")} AS histogram FROM seen),
     b AS (SELECT count(*) AS n, coalesce(avg(e - start), 0.0) AS d FROM bk),
-    k AS (SELECT string_agg(reason || '=' || n, '; ' ORDER BY reason) AS r FROM (SELECT reason, count(*) AS n FROM ({_PARTS} FROM (SELECT unnest(string_split(rejection, ',')) AS p FROM seen WHERE rejection IS NOT NULL)) GROUP BY reason))
+    k AS (SELECT string_agg(reason || '=' || n, '; ' ORDER BY fst) AS r FROM ({_reasons()}))
     SELECT calls AS actual_ocr_calls, accepted, rejected, round(mean, 6) AS average_confidence, round(mid, 6) AS median_confidence, round(d, 6) AS average_subtitle_duration, round(accepted / greatest(1, calls), 6) AS accepted_ratio,
       n AS subtitle_blocks_generated, histogram, coalesce(r, '') AS rejections FROM a, b, k
 """
 ORACLE_SQL["sample_files"] = f"""{_observed("balanced")},
-    r AS (SELECT *, row_number() OVER (PARTITION BY emitted ORDER BY time) AS k FROM seen)
-    SELECT frame_id, emitted, substr(text, 1, 300) AS text, rejection FROM r WHERE k <= 100
+    r AS (SELECT emitted, rejection, CASE WHEN emitted THEN text ELSE substr(raw, 1, 300) END AS v, row_number() OVER (PARTITION BY emitted ORDER BY time) AS k FROM seen WHERE emitted OR raw <> ''),
+    l AS (SELECT [0, k] AS o, k || '. ' || v AS line FROM r WHERE emitted AND k <= 100 UNION ALL SELECT [2, k], k || '. [' || rejection || '] ' || v FROM r WHERE NOT emitted AND k <= 100
+      UNION ALL VALUES ([-1, 0], 'ACCEPTED OCR SAMPLES'), ([-1, 1], repeat('=', 40)), ([1, 0], ''), ([1, 1], 'DROPPED OCR SAMPLES'), ([1, 2], repeat('=', 40)), ([3, 0], ''))
+    SELECT (row_number() OVER (ORDER BY o) - 1)::INTEGER AS line_no, line FROM l
 """
 ORACLE_SQL["quality_report"] = f"""{_REPORT}
     SELECT video_id, sampled AS total_frames_sampled, sampled - no_text AS frames_with_subtitles, sampled - no_text AS white_text_frames, no_text AS skipped_without_subtitles, same AS skipped_same_subtitle, same AS skipped_same_subtitle_frames,
-      calls AS actual_ocr_calls, sampled - failed - timeout AS successful_ocr_calls, failed AS failed_ocr_calls, timeout AS timeout_ocr_calls, calls AS total_ocr_results, accepted AS accepted_ocr_results, rejected AS noise_rejected,
-      'default' AS quality_profile, 'hybrid' AS subtitle_detect_mode, round(area, 6) AS average_text_bbox_area, round(accepted / greatest(1, calls), 6) AS accepted_ratio, CASE WHEN accepted / greatest(1, calls) < 0.3 THEN 'filter_too_aggressive' ELSE '' END AS accepted_ratio_warning,
-      0::BIGINT AS deep_analysis_attempted, 0::BIGINT AS deep_analysis_recovered, 0::BIGINT AS deep_analysis_rejected, coalesce(reasons, '') AS rejection_reasons, round(coalesce(mean, 0.0), 6) AS average_confidence, round(coalesce(mid, 0.0), 6) AS median_confidence,
+      sampled - no_text - same AS actual_ocr_calls, accepted AS successful_ocr_calls, failed AS failed_ocr_calls, timeout AS timeout_ocr_calls, calls AS total_ocr_results, accepted AS accepted_ocr_results, calls - accepted AS noise_rejected,
+      'default' AS quality_profile, 'hybrid' AS subtitle_detect_mode, round(area, 1) AS average_text_bbox_area, round(accepted / greatest(1, calls), 3) AS accepted_ratio, CASE WHEN accepted / greatest(1, calls) < 0.3 THEN 'filter_too_aggressive' ELSE '' END AS accepted_ratio_warning,
+      0::BIGINT AS deep_analysis_attempted, 0::BIGINT AS deep_analysis_recovered, 0::BIGINT AS deep_analysis_rejected, coalesce(reasons, '') AS rejection_reasons, round(coalesce(mean, round(r_mean, 3)), 6) AS average_confidence, round(coalesce(mid, round(r_mid, 3)), 6) AS median_confidence,
       coalesce(bins, '{_NO_BINS}') AS confidence_histogram, '0.08 0.92 0.78 0.93' AS used_crop, false AS auto_region_used, coalesce(blocks, 0)::BIGINT AS subtitle_blocks_generated, 'raw.srt' AS raw_srt FROM rp
 """
 ORACLE_SQL["quality_report_text"] = _text_lines()

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_noted: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,7 +25,25 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table that is written now and read by whoever uses it."""
+    """``df`` as a table that is written now and read by whoever uses it; it is noted as one that can be dropped."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _noted.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def noted(spark: SparkSession) -> int:
+    """How many tables have been written so far: a mark for ``settled``."""
+    return len(_noted.get(spark.sparkContext.applicationId, []))
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` as a table of its own; the tables noted after the mark, which it was made from, are deleted."""
+    spark = df.sparkSession
+    out = written(df, name)
+    tables = _noted[spark.sparkContext.applicationId]
+    for path in tables[since:-1]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+    del tables[since:]
+    return out

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
 from ..schema import CACHE
 
 
@@ -85,9 +86,25 @@ def write_cache(df: DataFrame, path: str, by: str = "digest") -> None:
 
 
 def samples(observations: DataFrame, n: int = 100) -> DataFrame:
-    """The first accepted and rejected rows, at most ``n`` of each."""
-    w = Window.partitionBy("emitted").orderBy("video_id", "time", "frame_id")
-    return observations.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).withColumn("text", F.substring("text", 1, 300)).drop("_r")
+    """video_id, emitted, k, rejection, text: each video's first accepted texts, and its first rejected readings as they came.
+
+    At most ``n`` of each; rejected readings are cut at 300 characters, and blank
+    ones are none.
+    """
+    shown = F.when(F.col("emitted"), F.col("text")).otherwise(F.substring(normalize(F.col("raw")), 1, 300))
+    w = Window.partitionBy("video_id", "emitted").orderBy("time", "frame_id")
+    df = observations.select("video_id", "time", "frame_id", "emitted", "rejection", shown.alias("text")).where("text <> ''")
+    return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("video_id", "emitted", "k", "rejection", "text")
+
+
+def samples_text(listed: DataFrame) -> DataFrame:
+    """video_id, value: the samples as the text of a file (K5)."""
+    line = F.concat(F.col("k").cast("string"), F.lit(". "), F.when(F.col("emitted"), F.lit("")).otherwise(F.concat(F.lit("["), F.coalesce("rejection", F.lit("")), F.lit("] "))), F.col("text"))
+    part = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("k", line.alias("line"))))), lambda x: x["line"])  # noqa: E731  at most n lines
+    both = listed.groupBy("video_id").agg(part(F.col("emitted")).alias("_a"), part(~F.col("emitted")).alias("_d"))
+    rule = F.lit("=" * 40)
+    lines = F.concat(F.array(F.lit("ACCEPTED OCR SAMPLES"), rule), "_a", F.array(F.lit(""), F.lit("DROPPED OCR SAMPLES"), rule), "_d")
+    return both.select("video_id", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
 
 
 def engine_comparison(readings: DataFrame, engines: list[str], n: int = 100) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,25 +132,25 @@ def test_deep_retry(spark):
 def test_quality_report_has_the_documents_fields(spark):
     seen = spark.createDataFrame(
         [("v", "1", 1.0, "paddle", "Это дом", True, 0.9, None, None), ("v", "2", 2.0, None, "шум", False, 0.3, "noise_filter:a,b", "rejected"), ("v", "3", 3.0, None, "", False, 0.0, "deep_no_text", None), ("w", "1", 1.0, "paddle", "Где", True, 0.5, None, "recovered")],
-        f"{KEYS}, engine string, text string, emitted boolean, confidence double, rejection string, deep string",
-    )
+        f"{KEYS}, engine string, raw string, emitted boolean, confidence double, rejection string, deep string",
+    ).withColumn("text", F.when(F.col("emitted"), F.col("raw")).otherwise(F.lit("")))
     blocks = spark.createDataFrame([("v", 0.0, 2.0, 0.9), ("w", 0.0, 1.0, 0.5)], "video_id string, start double, end double, confidence double")
     stats = C.gate_stats(spark.createDataFrame([("v", "emit"), ("v", "same"), ("v", "no_text"), ("w", "emit")], "video_id string, state string"))
     statuses = spark.createDataFrame([("v", "ok"), ("v", "failed"), ("v", "timeout"), ("w", "ok")], "video_id string, status string")
     candidates = spark.createDataFrame([("v", True, 10.0), ("v", True, 30.0), ("v", False, 99.0)], "video_id string, has_subtitle boolean, text_bbox_area double")
     report = reports.quality_report(seen, blocks, stats, statuses, candidates)
-    assert len(report.columns) == 1 + 29
+    assert len(report.columns) == 1 + 29 + 1  # and what only the text shows
     v = report.where("video_id = 'v'").first()
-    assert (v.total_frames_sampled, v.frames_with_subtitles, v.skipped_without_subtitles, v.skipped_same_subtitle, v.actual_ocr_calls) == (3, 2, 1, 1, 3)
-    assert (v.successful_ocr_calls, v.failed_ocr_calls, v.timeout_ocr_calls, v.accepted_ocr_results, v.noise_rejected) == (1, 1, 1, 1, 2)
-    assert (v.average_text_bbox_area, v.accepted_ratio_warning, v.deep_analysis_attempted, v.deep_analysis_recovered, v.deep_analysis_rejected) == (20.0, "", 1, 0, 1)
-    assert v.rejection_reasons == {"noise_filter:a": 1, "b": 1, "deep_no_text": 1} and v.confidence_histogram["0.85-0.95"] == 1
+    assert (v.total_frames_sampled, v.frames_with_subtitles, v.skipped_without_subtitles, v.skipped_same_subtitle, v.actual_ocr_calls, v.total_ocr_results) == (3, 2, 1, 1, 1, 5)
+    assert (v.successful_ocr_calls, v.failed_ocr_calls, v.timeout_ocr_calls, v.accepted_ocr_results, v.noise_rejected) == (1, 1, 1, 1, 4)
+    assert (v.average_text_bbox_area, v.accepted_ratio_warning, v.deep_analysis_attempted, v.deep_analysis_recovered, v.deep_analysis_rejected) == (20.0, "filter_too_aggressive", 1, 0, 1)
+    assert [tuple(x) for x in v.rejection_reasons] == [("noise_filter:a", 1), ("b", 1), ("deep_no_text", 1)] and dict(map(tuple, v.confidence_histogram))["0.85-0.95"] == 1
     text = reports.with_timing(reports.report_text(report, seen), stats, blocks).where("video_id = 'v'").first().value
     lines = text.splitlines()
     assert lines[:2] == ["OCR REPORT", "=" * 40] and len([x for x in lines if ": " in x and not x.startswith("- ")]) >= 30
-    assert "- [noise_filter:a,b] шум" in lines and "empty_ocr_results: 1" in lines and "engine_counts: {'paddle': 1}" in lines and "average_subtitle_duration: 2.000" in lines
+    assert "- [noise_filter:a,b] шум" in lines and "empty_ocr_results: 2" in lines and "engine_counts: {'tesseract': 0, 'paddle': 1}" in lines and "confidence_histogram: {'0.0-0.2': 0, '0.2-0.4': 0, '0.4-0.6': 0, '0.6-0.8': 0, '0.8-1.0': 1}" in lines and not any(x.startswith("- [deep_no_text]") for x in lines) and "average_subtitle_duration: 2.000" in lines
     scanned = reports.scan_report(spark.createDataFrame([(text,)], "value string"), {"timeout_frames": "int", "accepted_ratio": "double", "rejection_reasons": "map"}).first()
-    assert (scanned.timeout_frames, scanned.accepted_ratio, scanned.rejection_reasons["b"]) == (1, 0.333, 1)
+    assert (scanned.timeout_frames, scanned.accepted_ratio, scanned.rejection_reasons["b"]) == (1, 0.2, 1)
 
 
 def test_trials(spark):
@@ -202,3 +205,32 @@ def test_urls_caches_and_logs(spark, tmp_path):
     for i in range(2):
         inputs.log_rows(spark.createDataFrame([("j", i, f"line {i}")], "job_id string, seq int, message string"), str(tmp_path / "logs"))
     assert [r.message for r in spark.read.parquet(str(tmp_path / "logs")).orderBy("seq").collect()] == ["line 0", "line 1"]
+
+
+def test_read_loop_routes_and_calls(spark, tmp_path):
+    """Each route is taken, late readings are final, slow frames are none, and every engine sees a frame once."""
+    texts = {"000": "Это наш дом", "001": "зжшщцкрпт бвгдж", "002": "сломан", "003": "медленно", "004": "", "005": "ббббб вввв жжжжж ддд ггггг зззз", "006": "Да"}
+    frames = spark.createDataFrame([("v", k, float(10 * int(k)), bytearray(t.encode())) for k, t in texts.items()], f"{KEYS}, content binary")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def engine(name):
+        def read(content: bytes) -> tuple[str, float]:
+            text = content.decode()
+            (log / f"{name}-{uuid.uuid4().hex}").write_text(text)
+            if name == "first" and text == "сломан":
+                raise OSError("broken")
+            if name == "first" and text == "медленно":
+                time.sleep(3)
+            return {"first": (text, 0.5), "fallback": ("Где наш дом", 0.4), "late": ("Это наш лес" if text else "", 0.6)}[name]
+
+        return {{"first": "paddle", "fallback": "tesseract", "late": "third"}[name]: lambda: read}
+
+    seen = {r.frame_id: r for r in recognise.read_loop(frames, engine("first"), engine("fallback"), engine("late"), seconds=1.0).collect()}
+    assert set(seen) == set(texts) - {"003"}
+    assert (seen["000"].route, seen["000"].text, seen["000"].engine, seen["000"].emitted) == ("clean", "Это наш дом", "paddle", True)
+    assert (seen["002"].text, seen["002"].engine) == ("Где наш дом", "tesseract")
+    assert seen["001"].route == "late" and seen["004"].route == "late" and not seen["004"].emitted and "third:" in seen["004"].rejection
+    assert seen["005"].route == "late" and seen["006"].route == "clean"
+    calls = [(f.name.split("-")[0], f.read_text()) for f in log.iterdir()]
+    assert len(calls) == len(set(calls)) and ("late", "Это наш дом") not in calls and ("late", "медленно") not in calls

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,11 +41,12 @@ def test_time_range_reaches_the_scan(spark, tmp_path):
 
 
 def test_samples_and_comparison(spark):
-    rows = [("v", f"{i:03d}", float(i), "t" * 400, i % 2 == 0) for i in range(10)]
-    seen = spark.createDataFrame(rows, "video_id string, frame_id string, time double, text string, emitted boolean")
+    rows = [("v", f"{i:03d}", float(i), "t" * 400 if i % 2 == 0 else "", " " if i == 3 else f"raw{i} " + "r" * 400, i % 2 == 0, None if i % 2 == 0 else "why") for i in range(10)]
+    seen = spark.createDataFrame(rows, "video_id string, frame_id string, time double, text string, raw string, emitted boolean, rejection string")
     got = inputs.samples(seen, 3)
-    assert sorted(r.frame_id for r in got.collect()) == ["000", "001", "002", "003", "004", "005"]
-    assert {len(r.text) for r in got.collect()} == {300}
+    assert sorted((r.emitted, r.k, len(r.text), r.text[:4]) for r in got.collect()) == [(False, 1, 300, "raw1"), (False, 2, 300, "raw5"), (False, 3, 300, "raw7"), (True, 1, 400, "tttt"), (True, 2, 400, "tttt"), (True, 3, 400, "tttt")]
+    lines = inputs.samples_text(got).first().value.split("\n")
+    assert lines[:2] == ["ACCEPTED OCR SAMPLES", "=" * 40] and lines[2] == "1. " + "t" * 400 and lines[5:8] == ["", "DROPPED OCR SAMPLES", "=" * 40] and lines[8].startswith("1. [why] raw1 r") and lines[-1] == ""
     readings = spark.createDataFrame([("v", "1", 0.0, "a", "x"), ("v", "1", 0.0, "b", "y"), ("v", "2", 1.0, "a", "z")], "video_id string, frame_id string, time double, engine string, text string")
     wide = inputs.engine_comparison(readings, ["a", "b"], 10).collect()
     assert [(r.a, r.b) for r in wide] == [("x", "y"), ("z", None)]
@@ -66,15 +69,26 @@ def test_decoder_failures_are_rows(spark):
 
 
 def test_report_is_one_row(spark, tmp_path):
-    seen = spark.createDataFrame([(True, 0.5), (True, 0.9), (False, 0.1)], "emitted boolean, confidence double")
+    seen = spark.createDataFrame([(1.0, "1", True, "paddle", 0.5, None), (2.0, "2", True, "paddle", 0.9, None), (3.0, "3", False, None, 0.1, "too_short")], "time double, frame_id string, emitted boolean, engine string, confidence double, rejection string")
     blocks = spark.createDataFrame([(0.0, 2.0), (3.0, 4.0)], "start double, end double")
-    rejected = spark.createDataFrame([("too_short", 1)], "reason string, n bigint")
-    report = reports.ocr_report(seen, blocks, rejected)
+    report = reports.ocr_report(seen, blocks)
     r = report.first()
     assert (r.actual_ocr_calls, r.accepted, r.rejected, r.average_confidence, r.median_confidence) == (3, 2, 1, 0.7, 0.7)
-    assert r.confidence_histogram == {"0.00-0.50": 0, "0.50-0.70": 1, "0.70-0.85": 0, "0.85-0.95": 1, "0.95-1.00": 0}
-    assert (r.subtitle_blocks_generated, r.average_subtitle_duration, r.rejection_reasons) == (2, 1.5, {"too_short": 1})
+    assert [tuple(x) for x in r.confidence_histogram] == [("0.0-0.2", 0), ("0.2-0.4", 0), ("0.4-0.6", 1), ("0.6-0.8", 0), ("0.8-1.0", 1)]
+    assert (r.subtitle_blocks_generated, r.average_subtitle_duration, [tuple(x) for x in r.rejection_reasons]) == (2, 1.5, [("too_short", 1)])
     inputs.write_json(report, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first().accepted == 2
     areas = spark.createDataFrame([("v", True, 4.0), ("v", True, 0.0), ("v", False, 9.0)], "video_id string, has_subtitle boolean, text_bbox_area double")
     assert reports.average_area(areas, ["video_id"]).first().avg_area == 4.0
+
+
+def test_exact_median(spark):
+    """Whole and broken numbers, both signs, one value many times, nulls and NaN; one group is most of the rows."""
+    draw = random.Random(3)
+    rows = [("hot", 0.5)] * 3_000 + [("hot", draw.random()) for _ in range(2_999)] + [("a", x) for x in (-1.5, 2.0, -0.0, 1e300)] + [("b", None), ("c", float("nan")), ("c", -7.25), (None, 1.0), (None, 4.0)]
+    got = {r.k: r["median"] for r in reports.exact_median(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    want = {k: statistics.median([x for q, x in rows if q == k and x is not None and x == x]) for k in ("hot", "a", "c", None)}
+    assert got == want
+    whole = reports.exact_median(spark.createDataFrame(rows, "k string, x double"), [], "x").first()["median"]
+    assert whole == statistics.median([x for _, x in rows if x is not None and x == x])
+    assert reports.exact_median(spark.createDataFrame([], "k string, x double"), ["k"], "x").collect() == []
