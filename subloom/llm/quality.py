@@ -2,10 +2,11 @@
 
 Two generative models, bags of hashed n-grams, are counted: one on the target
 texts (labelled of quality 1), one on the raw corpus (all rows).  A document's
-log importance weight is the sum of its n-grams' log ratios.  Gumbel noise, a
-function of seed and ``doc_id``, is added, and the ``k`` largest keys are
-selected: a sample without replacement in proportion to the weights.  ``k``
-defaults to the number of documents that the target model makes likelier.
+log importance weight is the sum of its n-grams' log ratios.  So that documents
+of all lengths are drawn alike, it is brought to the scale of ``SCALE`` n-grams;
+Gumbel noise, a function of seed and ``doc_id``, is added, and the ``k`` largest
+keys are selected: a sample without replacement in proportion to the scaled
+weights.
 
 N-grams are of words (one and two) and of word shapes (one to three): which
 kinds of characters a word holds and whether it repeats a word just before.
@@ -17,18 +18,21 @@ fitted on a bounded sample, at most ``TARGET`` labelled rows.
 A small target must not make what it happens to lack look bad.  So a document's
 own n-grams are taken out of both models when it is scored, and the target model
 is smoothed towards the raw one (a Dirichlet prior as heavy as the target
-itself): an n-gram without evidence in either has ratio 0.  What drift remains
-is the same for every n-gram, and is calibrated: ``drift``, taken off each
-n-gram's ratio, is the middle of the gap between the mean ratios of labelled
-texts of quality 1 and 0 (at most ``TARGET`` of each; without texts of quality 0
-it lies below the least of quality 1).
-
-Defined results.  Null and wordless texts have weight 0 exactly and, as they
-are not likelier under the target, count nothing towards ``k``.  Ties with the
-k-th key are all selected; repeated rows have equal keys and share their fate.
-Null ids share one draw of noise and are never labelled.  A ``doc_id`` labelled
-twice has its larger label.  Without target rows every weight is 0 and nothing
-is selected; an empty table gives an empty result.
+itself): an n-gram without evidence in either has ratio 0.
+
+How many are drawn is told by the labels: ``k`` defaults to the number of
+documents whose mean ratio is over ``cut``, the middle of the gap between the
+mean ratios of labelled texts of quality 1 and 0 (at most ``TARGET`` of each;
+without texts of quality 0 it lies below the least of quality 1).  No label but
+quality 1 enters a weight, and which documents make up the k is a draw: those
+near the cut change places from seed to seed.
+
+Defined results.  Null and wordless texts have weight 0 exactly, count nothing
+towards ``k`` and are never selected.  Ties with the k-th key are all selected;
+repeated rows have equal keys and share their fate.  Null ids share one draw of
+noise and are never labelled.  A ``doc_id`` labelled twice has its larger label.
+Without target rows every weight is 0 and nothing is selected; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +47,10 @@ from pyspark.sql import functions as F
 
 from .common import batched, materialise, plain, release_worker_state, rows_of
 
-BITS = 16
+#: Cells of the hashed n-grams, as a power of two; both models' counts, 16 MB, are sent to the tasks.
+BITS = 20
+#: N-grams that every document counts as when it is drawn: at 12 the noise (deviation 1.28) is worth a tenth of a mean ratio.
+SCALE = 12.0
 ALPHA = 0.5
 #: Labelled rows of each class that the target model and the drift are fitted on at most, those of the least hash of their id.
 TARGET = 20_000
@@ -135,12 +142,12 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Counts of every bucket in the raw corpus and the target, which documents are the target, and what is taken off each ratio."""
+    """Counts of every bucket in the raw corpus and the target, which documents are the target, and the mean ratio that parts good from bad."""
 
     raw: np.ndarray
     target: np.ndarray
     ids: frozenset[int]
-    drift: float = 0.0
+    cut: float = 0.0
 
     def __post_init__(self):
         self.totals = self.raw.sum(), self.target.sum()
@@ -157,7 +164,7 @@ class Model:
         share = (raw + ALPHA) / (all_raw + ALPHA * len(self.raw))
         prior = self.totals[1]
         ratio = np.log((target + prior * share) / (all_target + prior) / share)
-        return float(n @ ratio) - self.drift * size, size
+        return float(n @ ratio), size
 
 
 def _labelled(labels: DataFrame, quality: int) -> list[int]:
@@ -183,13 +190,18 @@ def _middle(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def model(docs: DataFrame, labels: DataFrame) -> Model:
-    """Both models, counted in one pass over all texts, and the drift, from one over the labelled ones."""
+    """Both models, counted in one pass over all texts, and the cut, from one over the labelled ones."""
     good = frozenset(_labelled(labels, 1))
     size = 1 << BITS
     sent = docs.sparkSession.sparkContext.broadcast(good)  # at most TARGET ids
-    pair = pa.schema([("target", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
+    cells = min(size, 4_096)
+    part = pa.schema([("target", pa.bool_()), ("block", pa.int32()), ("counts", pa.binary())])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(held: dict[tuple[bool, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (target, block), counts in sorted(held.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], schema=part)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
         held = np.zeros((2, size), np.int64)
         for doc, text in rows_of(batches, "doc_id", "text"):
@@ -197,24 +209,29 @@ def model(docs: DataFrame, labels: DataFrame) -> Model:
             held[0, bucket] += n
             if doc in sent.value:
                 held[1, bucket] += n
-        for kind in (0, 1):
-            there = np.flatnonzero(held[kind])
-            for lo in range(0, len(there), 16384):
-                some = there[lo : lo + 16384]
-                yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(some)), pa.array(some.astype(np.int32)), pa.array(held[kind][some])], schema=pair)
-
-    base = plain(docs, "doc_id", "text")
-    totals = base.mapInArrow(total, "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n"))
-    counts = np.zeros((2, size))
-    for is_target, bucket, n in totals.collect():  # at most 2 * 2**BITS rows
-        counts[int(is_target), bucket] = n
+        each = held.reshape(2, -1, cells)
+        yield from blocks({(bool(kind), int(i)): each[kind, i] for kind in (0, 1) for i in np.flatnonzero(each[kind].any(axis=1))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bool, int], np.ndarray] = {}
+        for batch in batches:
+            for target, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(counts, np.int64)
+                held[target, block] = held[target, block] + own if (target, block) in held else own
+        yield from blocks(held)
+
+    base, kinds = plain(docs, "doc_id", "text"), "target boolean, block int, counts binary"
+    counts = np.zeros((2, size // cells, cells))
+    for target, block, own in base.mapInArrow(count, kinds).repartition("target", "block").mapInArrow(add, kinds).collect():  # at most 2 * 2**BITS counts
+        counts[int(target), block] = np.frombuffer(own, np.int64)
+    counts = counts.reshape(2, size)
     out = Model(counts[0], counts[1], good)
     if out.totals[1]:
-        out.drift = _drift(base, out, frozenset(_labelled(labels, 0)))
+        out.cut = _cut(base, out, frozenset(_labelled(labels, 0)))
     return out
 
 
-def _drift(base: DataFrame, own: Model, bad: frozenset[int]) -> float:
+def _cut(base: DataFrame, own: Model, bad: frozenset[int]) -> float:
     sent = base.sparkSession.sparkContext.broadcast((own, bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,20 +266,27 @@ def _sortable(x: float) -> int:
     return bits if bits >= 0 else bits ^ ((1 << 63) - 1)
 
 
-def _scored(doc: int | None, text: str | None, own: Model) -> tuple[float, int]:
-    weight, _ = own.weigh(doc, text)
-    return weight, _sortable(weight + gumbel(doc))
+#: The key of what is never selected.
+NEVER = -(1 << 63)
+
+
+def _scored(doc: int | None, text: str | None, own: Model, seed: int) -> tuple[float, bool, int]:
+    """Log weight, whether it counts towards k, and the key of a draw."""
+    weight, size = own.weigh(doc, text)
+    if not size or not own.totals[1]:
+        return weight, False, NEVER
+    return weight, weight / size > own.cut, _sortable(SCALE * weight / size + gumbel(doc, seed))
 
 
-def weights(docs: DataFrame, own: Model) -> DataFrame:
-    """doc_id, log_weight, key (orders as weight plus noise) for every whole text."""
+def weights(docs: DataFrame, own: Model, seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight, likely, key (orders as scaled weight plus noise) for every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(own)  # of fixed size
-    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("likely", pa.bool_()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batched(((doc, *_scored(doc, text, sent.value)) for doc, text in rows_of(batches, "doc_id", "text")), schema)
+        return batched(((doc, *_scored(doc, text, sent.value, seed)) for doc, text in rows_of(batches, "doc_id", "text")), schema)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, key long")
+    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, likely boolean, key long")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -270,7 +294,7 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     if k <= 0:
         return None
     if keys.count() <= k:
-        return -(1 << 63)
+        return NEVER
     fixed, shift = None, 48
     while shift >= 0:
         digit = F.shiftright("key", shift)
@@ -286,27 +310,28 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
 
 def threshold(scored: DataFrame, k: int | None = None) -> int | None:
     """The least selected key; None if nothing is."""
-    return kth_largest(scored, scored.where("log_weight > 0").count() if k is None else k)
+    least = kth_largest(scored, scored.where("likely").count() if k is None else k)
+    return None if least is None else max(least, NEVER + 1)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, selected: one row per row of ``docs``."""
-    scored = materialise(weights(docs, model(docs, labels)), "quality-weights")
+    scored = materialise(weights(docs, model(docs, labels), seed), "quality-weights")
     least = threshold(scored, k)
     return scored.select("doc_id", "log_weight", (F.lit(False) if least is None else F.col("key") >= least).alias("selected"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The selected rows of ``docs`` with all their columns; no row is moved between tasks."""
     own = model(docs, labels)
-    least = threshold(materialise(weights(docs, own), "quality-weights"), k)
+    least = threshold(materialise(weights(docs, own, seed), "quality-weights"), k)
     if least is None:
         return docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_scored(doc, text, sent.value)[1] >= least for doc, text in rows_of(iter([batch]), "doc_id", "text")]
+            keep = [_scored(doc, text, sent.value, seed)[2] >= least for doc, text in rows_of(iter([batch]), "doc_id", "text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

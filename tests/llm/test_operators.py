@@ -569,10 +569,38 @@ def brute_ngrams(text):
     return out + Counter(("sss", *x) for x in zip(shapes, shapes[1:], shapes[2:]))  # noqa: B905
 
 
+def brute_bucket(gram: tuple) -> int:
+    """The cell of a plain n-gram, by a second implementation of the hash in whole numbers."""
+    mask, base, odd = (1 << 64) - 1, 0x100000001B3, 0x9E3779B97F4A7C15
+
+    def word(w: bytes) -> int:
+        return sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w)) & mask
+
+    def shape(s: tuple) -> int:
+        kinds, once, twice = s
+        bits = sum(1 << (8 if k == "high" else 7 if k == "other" else k) for k in kinds) | once << 9 | twice << 10
+        return ((bits + 1) * 0xFF51AFD7ED558CCD) & mask
+
+    kind, *parts = gram
+    one = word if kind[0] == "w" else shape
+    value = one(parts[0])
+    for p in parts[1:]:
+        value = (value * 31 + one(p)) & mask
+    x = ((value + {"w": 1, "ww": 2, "s": 3, "ss": 4, "sss": 5}[kind]) * odd) & mask
+    x ^= x >> 29
+    return ((x * odd) & mask) >> (64 - quality.BITS)
+
+
 def test_quality_weights_by_brute_force(docs, labels):
-    """Weights from plain n-gram counts, each document left out of its own models; hashed buckets collide at times."""
+    """Weights from plain counts of cells, each document left out of its own models."""
     good = {i for i in range(12) if i % 5}
-    rows = [(r[0], brute_ngrams(r[1])) for r in data.rows()]
+    cell: dict = {}
+    rows = []
+    for r in data.rows():
+        own = Counter()
+        for gram, n in brute_ngrams(r[1]).items():
+            own[cell.setdefault(gram, brute_bucket(gram))] += n
+        rows.append((r[0], own))
     raw, target = Counter(), Counter()
     for d, grams in rows:
         raw += grams
@@ -598,11 +626,11 @@ def test_quality_weights_by_brute_force(docs, labels):
     means = {d: min(v) for d, v in means.items()}
     low, high = max(means[d] for d in means if d not in good), min(means[d] for d in good)
     if low < high:
-        assert own.drift == pytest.approx((low + high) / 2, abs=0.02)
-    got = sorted((r.doc_id is not None, r.doc_id, r.log_weight) for r in quality.weights(docs, own).collect() if r.doc_id is not None)
-    want = sorted((True, d, (mean(d, g) - own.drift) * sum(g.values()) if g else 0.0) for d, g in rows if d is not None)
-    for (_, d, x), (_, e, y) in zip(got, want, strict=True):
-        assert d == e and x == pytest.approx(y, rel=0.05, abs=2.0)
+        assert own.cut == pytest.approx((low + high) / 2, rel=1e-6)
+    got = sorted((r.doc_id, r.log_weight, r.likely) for r in quality.weights(docs, own).collect() if r.doc_id is not None)
+    want = sorted((d, mean(d, g) * sum(g.values()) if g else 0.0, bool(g) and mean(d, g) > own.cut) for d, g in rows if d is not None)
+    for (d, x, likely), (e, y, expected) in zip(got, want, strict=True):
+        assert d == e and x == pytest.approx(y, rel=1e-6, abs=1e-6) and (likely == expected or abs(y) < 1e-6)
 
 
 def test_quality_of_long_texts(monkeypatch):
@@ -623,10 +651,11 @@ def test_quality_keeps_languages_alike(spark):
     shares = {}
     for sf in ("sf0.001", "sf0.01"):
         docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
-        weighed = quality.weights(docs, quality.model(docs, labels)).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left")
-        for r in weighed.groupBy("lang").agg(F.avg(F.when(F.col("quality").isNull(), (F.col("log_weight") > 0).cast("double"))).alias("kept"), F.min(F.when(F.col("quality") == 1, F.col("log_weight"))).alias("good"), F.max(F.when(F.col("quality") == 0, F.col("log_weight"))).alias("bad")).collect():
+        drawn = quality.resample(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left")
+        for r in drawn.groupBy("lang").agg(F.avg(F.when(F.col("quality").isNull(), F.col("selected").cast("double"))).alias("kept")).collect():
             shares[sf, r.lang] = r.kept
-            assert r.good > 0 and (r.bad is None or r.bad < 0)
+        kept = {r.quality: r.kept for r in drawn.groupBy("quality").agg(F.avg(F.col("selected").cast("double")).alias("kept")).collect()}
+        assert kept[1] > 0.98 and kept[0] < 0.1
     assert all(0.6 < x < 0.95 for x in shares.values()), shares
 
 
@@ -634,8 +663,11 @@ def test_quality_selects_the_largest_keys(docs, labels, spark):
     ratio = quality.model(docs, labels)
     rows = quality.weights(docs, ratio).collect()
     assert len(rows) == len(data.rows())
+    sizes = {r[0]: sum(brute_ngrams(r[1]).values()) for r in data.rows() if r[0] is not None and r[0] != 3}
     for r in rows:
-        assert r.key == quality._sortable(r.log_weight + quality.gumbel(r.doc_id))
+        if r.doc_id in sizes:
+            n = sizes[r.doc_id]
+            assert r.key == (quality._sortable(quality.SCALE * r.log_weight / n + quality.gumbel(r.doc_id)) if n else quality.NEVER)
     keys = sorted((r.key for r in rows), reverse=True)
     scored = quality.weights(docs, ratio)
     for k in (1, 3, len(keys) - 1):
@@ -643,9 +675,40 @@ def test_quality_selects_the_largest_keys(docs, labels, spark):
     assert quality.kth_largest(scored, 0) is None
     chosen = [r for r in quality.resample(docs, labels, 5).collect() if r.selected]
     assert len(chosen) == sum(k >= keys[4] for k in keys)
+    every = [r for r in quality.resample(docs, labels, 10**6).collect() if r.selected]
+    assert len(every) == sum(k > quality.NEVER for k in keys)
     assert [quality._sortable(x) for x in (-2.0, -1.0, 0.0, 1.0, 2.0)] == sorted(quality._sortable(x) for x in (2.0, 1.0, 0.0, -1.0, -2.0))
 
 
+def test_quality_draws_in_proportion_to_weights():
+    """Over many seeds, each document is drawn as often as by drawing one after the other in proportion to its weight; seeds differ."""
+
+    class Weighed:
+        totals, cut = (1, 1), 0.0
+
+        def weigh(self, doc, text):
+            return weight[doc] / quality.SCALE, 1
+
+    weight = dict(enumerate(np.log([1, 2, 4, 8, 1, 1, 16, 3])))
+    k, seeds, times = 3, 4_000, Counter()
+    sets = set()
+    for seed in range(seeds):
+        keys = {d: quality._scored(d, "x", Weighed(), seed)[2] for d in weight}
+        drawn = sorted(keys, key=keys.get)[-k:]
+        sets.add(frozenset(drawn))
+        times.update(drawn)
+    p = np.exp(list(weight.values()))
+    want = np.zeros(len(p))
+    for order in permutations(range(len(p)), k):
+        chance, left = 1.0, p.sum()
+        for d in order:
+            chance *= p[d] / left
+            left -= p[d]
+        want[list(order)] += chance
+    assert len(sets) > 20
+    assert np.abs(np.array([times[d] / seeds for d in range(len(p))]) - want).max() < 0.03
+
+
 def test_gumbel_draws_are_standard():
     draws = np.array([quality.gumbel(i) for i in range(20_000)])
     assert abs(draws.mean() - 0.5772) < 0.03
