@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -205,16 +205,30 @@ def neighbours(frames: DataFrame, window: float = 1.0, limit: int = 5) -> DataFr
     return each.select("video_id", "frame_id", "_x.neighbour_id", "_x.distance", (F.col("_at") + 1).alias("rank"))
 
 
-def signature(candidates: DataFrame) -> DataFrame:
-    """video_id, n, first_time, last_time, digest of the rounded rows in any order.
+def is_candidate(frames: DataFrame) -> Column:
+    """Whether a frame is to be read: it has a text and that changed.
+
+    Where frames don't have ``has_subtitle`` or ``changed``, that part holds for
+    all; a null ``has_subtitle`` is none, a null ``changed`` is a change.
+    """
+    text = F.coalesce("has_subtitle", F.lit(False)) if "has_subtitle" in frames.columns else F.lit(True)
+    return text & (F.coalesce("changed", F.lit(True)) if "changed" in frames.columns else F.lit(True))
+
+
+def signature(frames: DataFrame) -> DataFrame:
+    """video_id, n, first_time, last_time, digest of the candidates among the frames, in any order.
 
     The digest is a sum of the rows' hashes, so it is combined where rows are
-    read, whatever a video's size.
+    read, whatever a video's size.  A row is its times to the millisecond (without
+    an end, its time is), its frame and its text box to four digits (0 where it
+    has none), so other crops of the same times don't share it.
     """
-    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint").cast("string")
-    row = F.md5(F.concat_ws("|", ms("time"), ms("end_time"), F.col("frame_id")))
+    scaled = lambda c, by: F.round(c * by).cast("bigint").cast("string")
+    box = [scaled(F.coalesce(c, F.lit(0.0)) if c in frames.columns else F.lit(0.0), 10000) for c in ("text_bbox_y1", "text_bbox_y2")]
+    row = F.md5(F.concat_ws("|", scaled(F.col("time"), 1000), scaled(F.coalesce("end_time", "time"), 1000), F.col("frame_id"), *box))
     number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
-    return candidates.groupBy("video_id").agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.sha1(F.sum(number).cast("string")).alias("digest"))
+    df = frames.where(is_candidate(frames)).groupBy("video_id")
+    return df.agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.sha1(F.sum(number).cast("string")).alias("digest"))
 
 
 def decode(files: DataFrame, decoder) -> DataFrame:

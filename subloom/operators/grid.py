@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, SEARCH_ORDER, presets_table
 from ..functions import text as T
-from ..functions.core import ladder
+from ..functions.core import ladder, let
 from ..functions.scripts import CYRILLIC, Script
+from . import quality
+from .candidates import is_candidate
 
 
-def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC) -> DataFrame:
-    """Readings under every preset: adds preset, cleaned, reason, score; one row for each pair.
+def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC, noise_mode: str = "standard", sanity: str = "off") -> DataFrame:
+    """Readings under every preset: adds preset, cleaned, reason, emitted, kept, rejection, score; one row for each pair.
 
-    All presets' results of a reading are computed in its own row, from features
-    that they share, and then unfolded, so readings aren't joined or moved.
+    ``reason`` is the cleaner's; ``emitted``, ``kept`` (the text, empty where it
+    goes) and ``rejection`` are the read loop's, with its noise filter and, where
+    asked for, language sanity.  All presets' results of a reading are computed in
+    its own row, from features that they share, each different cleaned text is
+    judged once, and then they are unfolded, so readings aren't joined or moved.
     """
     each = T.clean_under(F.coalesce("text", F.lit("")), [(name, *PRESETS[name][:2]) for name in presets or list(PRESETS)], script)
-    df = readings.select("*", F.explode(each).alias("_x"))
-    df = df.withColumns({"preset": F.col("_x.preset"), "cleaned": F.col("_x.r.cleaned"), "reason": F.col("_x.r.reason")}).drop("_x")
-    return df.withColumn("score", T.candidate_score(F.col("cleaned"), F.col("confidence"), script))
+
+    def judged(found: Column) -> Column:
+        accepted = F.filter(found, lambda x: (x["r"]["reason"] == "accepted") & (x["r"]["cleaned"] != ""))
+        texts = F.array_distinct(F.transform(accepted, lambda x: x["r"]["cleaned"]))
+        verdicts = F.transform(texts, lambda t: F.struct(t.alias("cleaned"), quality.verdict(t, noise_mode, script, sanity).alias("v")))
+        of = lambda x, seen: F.get(F.filter(seen, lambda v: v["cleaned"] == x["r"]["cleaned"]), F.lit(0))["v"]
+        return let(verdicts, lambda seen: F.transform(found, lambda x: F.struct(x["preset"].alias("preset"), x["r"].alias("r"), of(x, seen).alias("v"))))
+
+    df = readings.select("*", F.explode(let(each, judged)).alias("_x"))
+    ok = F.col("_x.r.reason") == "accepted"
+    kept = F.when(ok, F.coalesce("_x.v.text", F.lit(""))).otherwise(F.lit(""))
+    df = df.withColumns({"preset": F.col("_x.preset"), "cleaned": F.col("_x.r.cleaned"), "reason": F.col("_x.r.reason"), "kept": kept})
+    df = df.withColumns({"emitted": F.col("kept") != "", "rejection": F.when(F.col("kept") == "", F.when(ok, F.coalesce("_x.v.rejection", F.lit("empty"))).otherwise(F.col("reason")))}).drop("_x")
+    return df.withColumn("score", T.candidate_score(F.col("kept"), F.col("confidence"), script))
 
 
 def scores(evaluated: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Accepted, dropped, mean score and confidence, noise ratio and composite score of each preset."""
-    ok = F.col("reason") == "accepted"
+    """Emitted (``accepted``) and dropped readings, their mean score and confidence, noise ratio and composite score of each preset."""
+    ok = F.col("emitted")
     mean = lambda c: F.coalesce(F.avg(F.when(ok, F.col(c))), F.lit(0.0))
     df = evaluated.groupBy(*(keys or []), "preset").agg(F.count("*").alias("sample"), F.count_if(ok).alias("accepted"), mean("confidence").alias("avg_confidence"), mean("score").alias("avg_score"))
     df = df.withColumn("dropped", F.col("sample") - F.col("accepted"))
@@ -44,14 +60,15 @@ def best_preset(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def trial(readings: DataFrame, regions: DataFrame | None = None, script: Script = CYRILLIC, sample: int = 100, least: int = 4) -> DataFrame:
     """video_id, label, preset, accepted, sample of each video's best configuration.
 
-    The first ``sample`` readings of a video are cleaned under every preset; with
-    ``regions`` (readings of the same frames from a detected region) the preset
+    The first ``sample`` readings of a video's candidates (frames with a text that
+    changed; all frames, where the readings don't say) are cleaned and judged under
+    every preset; with ``regions`` (readings of the same frames from a detected region) the preset
     ``recall`` is tried on those too, as ``auto-region``.  Videos of fewer than
     ``least`` readings keep what they have: label and preset are null.  The
-    highest count of accepted readings wins, then confidence, least noise and
+    highest count of emitted readings wins, then confidence, least noise and
     score, then the earlier trial.
     """
-    first = lambda df: sample_per_key(df, ["video_id"], ["time", "frame_id"], sample)
+    first = lambda df: sample_per_key(df.where(is_candidate(df)), ["video_id"], ["time", "frame_id"], sample)
     own = first(readings)
     counts = own.groupBy("video_id").agg(F.count("*").alias("_n"))
     tried = scores(evaluate(own, script=script), ["video_id"]).withColumn("label", F.col("preset"))
@@ -103,18 +120,27 @@ def region_trial(initial: DataFrame, regional: DataFrame, settings: DataFrame |
     return df.select("video_id", "initial_hits", F.coalesce("region_hits", F.lit(0)).alias("region_hits"), F.coalesce("_known", better).alias("use_region"), F.col("_known").isNotNull().alias("cached"))
 
 
-def benchmark(evaluated: DataFrame, blocks: DataFrame, seconds: float | None = None) -> DataFrame:
-    """The benchmark's row for each preset (D18, K10). ``blocks`` has preset."""
-    ok = F.col("reason") == "accepted"
+def benchmark(evaluated: DataFrame, blocks: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """The benchmark's ten figures of each preset (D18, K10). ``blocks`` has preset; ``seconds`` (preset, seconds) is what its run took.
+
+    Frames without a text of their own, or the same as before, are no candidates
+    and count for the speed alone; only candidates are read.
+    """
+    asked = is_candidate(evaluated)
+    ok = asked & F.col("emitted")
     conf = F.when(ok, F.col("confidence"))
-    status = lambda s: F.count_if(F.col("status") == s) if "status" in evaluated.columns else F.lit(0).cast("bigint")
+    status = lambda s: F.count_if(asked & (F.col("status") == s)) if "status" in evaluated.columns else F.lit(0).cast("bigint")
     a = evaluated.groupBy("preset").agg(
-        F.count("*").alias("ocr_candidates"), F.count_if(ok).alias("ocr_hits"), F.coalesce(F.avg(conf), F.lit(0.0)).alias("average_confidence"),
+        F.count_if(asked).alias("ocr_candidates"), F.count_if(ok).alias("ocr_hits"), F.coalesce(F.avg(conf), F.lit(0.0)).alias("average_confidence"),
         F.coalesce(F.median(conf), F.lit(0.0)).alias("median_confidence"), status("timeout").alias("timeout_frames"), status("failed").alias("failed_frames"),
+        F.count_if(ok).alias("successful_frames"), F.count("*").alias("_frames"),
     )
     b = blocks.groupBy("preset").agg(F.count("*").alias("subtitle_blocks"))
-    speed = F.lit(None).cast("double") if seconds is None else F.col("ocr_candidates") / max(0.001, seconds)
-    return a.join(b, "preset", "left").withColumns({"subtitle_blocks": F.coalesce("subtitle_blocks", F.lit(0)), "processing_speed_candidates_per_second": speed})
+    took = F.lit(None).cast("double") if seconds is None else F.when(F.col("seconds").isNotNull(), F.greatest(F.lit(0.001), F.col("seconds")))
+    df = a.join(b, "preset", "left")  # one row for each preset
+    df = df if seconds is None else df.join(seconds, "preset", "left")
+    df = df.withColumns({"subtitle_blocks": F.coalesce("subtitle_blocks", F.lit(0)), "processing_seconds": took})
+    return df.withColumn("processing_speed_candidates_per_second", F.col("_frames") / F.col("processing_seconds")).drop("_frames", "seconds")
 
 
 def benchmark_html(report: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import call_limit
+from ..config import call_limit, presets_table
 from ..functions import arrays, timecode
 from ..functions import text as T
 from ..functions.scripts import LATIN
@@ -216,12 +216,25 @@ def preset_choice(spark: SparkSession, d: str) -> DataFrame:
     return grid.best_preset(grid.scores(_evaluated(spark, d), ["video_id"]), ["video_id"])
 
 
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as frames, a text without a letter as one without subtitle; a preset's run takes a second more than the one before."""
+    frames = tab.document_readings(spark, d).withColumn("has_subtitle", F.col("text").rlike(r"\p{L}"))
+    ev = written(grid.evaluate(frames, script=LATIN).select("preset", "video_id", "frame_id", "doc_id", "has_subtitle", "emitted", "kept", "score", "confidence"), "evaluated")
+    ok = ev.where("has_subtitle and emitted").select("preset", F.concat_ws("/", "preset", "video_id").alias("video_id"), F.col("frame_id").cast("double").alias("time"), (F.col("frame_id") + 0.75).alias("end"), F.col("kept").alias("text"), "score", "confidence", "doc_id")
+    blocks = B.blocks_of_equal(ok, order=("time", "doc_id")).withColumn("preset", F.element_at(F.split("video_id", "/"), 1))
+    return grid.benchmark(ev, blocks, presets_table(spark).select("preset", (F.col("rank") + 1.0).alias("seconds")))
+
+
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark page: one row, as its readers open one page."""
-    ev = _evaluated(spark, d)
-    ok = ev.where("reason = 'accepted'").select("preset", F.concat_ws("/", "preset", "video_id").alias("video_id"), F.col("frame_id").cast("double").alias("time"), (F.col("frame_id") + 0.75).alias("end"), F.col("cleaned").alias("text"), "score", "confidence", "doc_id")
-    blocks = B.blocks_of_equal(ok, order=("time", "doc_id")).withColumn("preset", F.element_at(F.split("video_id", "/"), 1))
-    return grid.benchmark_html(grid.benchmark(ev, blocks, 1.0))
+    mark = noted(spark)
+    return settled(grid.benchmark_html(_benchmark(spark, d)), "benchmark-page", mark)
+
+
+def benchmark_metrics(spark: SparkSession, d: str) -> DataFrame:
+    mark = noted(spark)
+    out = settled(_benchmark(spark, d), "benchmark", mark)
+    return out.withColumns({c: F.round(c, 6) for c in ("average_confidence", "median_confidence", "processing_seconds", "processing_speed_candidates_per_second")})
 
 
 def _seen(spark: SparkSession, d: str, preset: str) -> DataFrame:
@@ -278,10 +291,10 @@ def quality_report_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preset_trial(spark: SparkSession, d: str) -> DataFrame:
-    """The presets on each source's first readings of low confidence; in the detected region two texts of three are lost and one is cut short."""
+    """The presets on each source's first texts with a letter; the detected region reads the same texts without digits and signs."""
     own = tab.document_readings(spark, d).select("video_id", F.format_string("%012d", "doc_id").alias("frame_id"), F.col("doc_id").cast("double").alias("time"), "doc_id", "engine", "text", "confidence")
-    region = own.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 120)).otherwise(F.lit("")))
-    return grid.trial(own.where("confidence < 0.5"), region, LATIN, sample=20)
+    own = own.withColumn("has_subtitle", F.col("text").rlike(r"\p{L}"))
+    return grid.trial(own, own.withColumn("text", F.regexp_replace("text", r"[^\p{L}\n ]+", " ")), LATIN, sample=20)
 
 
 def region_trial(spark: SparkSession, d: str) -> DataFrame:
@@ -331,7 +344,9 @@ def cleanup_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_signature(spark: SparkSession, d: str) -> DataFrame:
-    df = tab.event_readings(spark, d).withColumn("end_time", F.col("end"))
+    """Events as frames: a new type is a change, a signup has no text, and its text box is by its value."""
+    w = Window.partitionBy("video_id").orderBy("time", "event_id")
+    df = tab.event_readings(spark, d).withColumns({"end_time": F.col("end"), "has_subtitle": F.col("text") != "signup", "changed": ~F.col("text").eqNullSafe(F.lag("text").over(w)), "text_bbox_y1": F.col("confidence") / 2, "text_bbox_y2": F.col("confidence") / 2 + 0.125})
     return C.signature(df).select("video_id", "n", F.round("first_time", 3).alias("first_time"), F.round("last_time", 3).alias("last_time"), "digest")
 
 
@@ -439,7 +454,7 @@ QUERIES = {
     for f in (
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
-        temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
+        temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, benchmark_metrics, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
         srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
         neighbor_noise_alike, read_loop,
     )
@@ -550,10 +565,18 @@ _DIFF = """
     i AS (SELECT *, sum(CASE WHEN first OR diff >= 0.14 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS island FROM s),
     g AS (SELECT video_id, island::BIGINT AS island, min(time) AS time, max(time) + 0.75 AS end_time, round(arg_min(diff, time), 6) AS diff_score, count(*) AS frames FROM i GROUP BY video_id, island)
 """
+def _emitted(ev: str) -> str:
+    """CTEs: a query of evaluated texts as ``ev``, and ``em`` with what the noise filter leaves."""
+    doubt = " OR ".join(f"({c})" for _, c in O.noise_flags("t"))
+    return f"""ev AS MATERIALIZED ({ev}),
+    nf AS MATERIALIZED (SELECT t, ({doubt}) AND NOT {O.valid_short("t")} AS blocked FROM (SELECT DISTINCT cleaned AS t FROM ev WHERE reason = 'accepted')),
+    em AS (SELECT ev.*, reason = 'accepted' AND cleaned <> '' AND NOT coalesce(blocked, false) AS emitted FROM ev LEFT JOIN nf ON ev.cleaned = nf.t)"""
+
+
 _GRID = f"""
-    WITH ev AS ({O.evaluated()}),
-    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM ev),
-    a AS (SELECT video_id, preset, count(*) AS sample, count(*) FILTER (reason = 'accepted') AS accepted, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS avg_confidence, coalesce(avg(score) FILTER (reason = 'accepted'), 0.0) AS avg_score FROM sc GROUP BY ALL),
+    WITH {_emitted(O.evaluated())},
+    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM em),
+    a AS (SELECT video_id, preset, count(*) AS sample, count(*) FILTER (emitted) AS accepted, coalesce(avg(confidence) FILTER (emitted), 0.0) AS avg_confidence, coalesce(avg(score) FILTER (emitted), 0.0) AS avg_score FROM sc GROUP BY ALL),
     g AS (SELECT *, sample - accepted AS dropped, (sample - accepted) / greatest(1, sample) AS noise_ratio, 10000.0 * accepted + 100.0 * avg_confidence + avg_score - (sample - accepted) / greatest(1, sample) AS composite FROM a)
 """
 _LOGS = """
@@ -648,7 +671,8 @@ ORACLE_SQL = {
         WITH {_CONV}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", text) AS k FROM cv WHERE trim(text) <> '')
         SELECT video_id, k AS block_no, k || chr(10) || {O.srt_time("start")} || ' --> ' || {O.srt_time('"end"')} || chr(10) || text || chr(10) AS cue FROM n""",
     "candidate_signature": f"""
-        WITH {O.EVENTS}, h AS (SELECT video_id, t, ('0x' || substr(md5(round(t * 1000)::BIGINT || '|' || round(e * 1000)::BIGINT || '|' || printf('%012d', event_id)), 1, 15))::BIGINT AS k FROM ev)
+        WITH {O.EVENTS}, f AS (SELECT *, confidence / 2 AS y1, confidence / 2 + 0.125 AS y2, lag(text) OVER (PARTITION BY video_id ORDER BY t, event_id) IS DISTINCT FROM text AS changed FROM ev),
+        h AS (SELECT video_id, t, ('0x' || substr(md5(round(t * 1000)::BIGINT || '|' || round(e * 1000)::BIGINT || '|' || printf('%012d', event_id) || '|' || round(y1 * 10000)::BIGINT || '|' || round(y2 * 10000)::BIGINT), 1, 15))::BIGINT AS k FROM f WHERE changed AND text <> 'signup')
         SELECT video_id, count(*) AS n, round(min(t), 3) AS first_time, round(max(t), 3) AS last_time, sha1(sum(k)::VARCHAR) AS digest FROM h GROUP BY video_id""",
     "report_scan": "SELECT doc_id, n_chars AS failed_frames, 0::BIGINT AS timeout_frames, doc_id % 10 / 10 AS ratio, lang AS title FROM documents",
     "progress_ladder": f"WITH {_LOGS} SELECT job_id, event_id, coalesce(percent, -1) AS percent, progress FROM pg",
@@ -733,12 +757,20 @@ def _read_loop_sql() -> str:
 
 
 ORACLE_SQL["read_loop"] = _read_loop_sql()
-ORACLE_SQL["benchmark_report"] = f"""
-    WITH ev AS ({O.evaluated()}),
-    {_joined_blocks("SELECT preset || '/' || video_id AS video_id, (doc_id // 2)::DOUBLE AS t, doc_id // 2 + 0.75 AS e, cleaned AS text, confidence, doc_id AS o FROM ev WHERE reason = 'accepted'", 1.2, "bk")},
+_BENCH = f"""
+    WITH {_emitted(O.evaluated())},
+    fr AS (SELECT em.*, regexp_matches(coalesce(text, ''), '\\p{{L}}') AS has FROM em JOIN documents USING (doc_id)),
+    {_joined_blocks("SELECT preset || '/' || video_id AS video_id, (doc_id // 2)::DOUBLE AS t, doc_id // 2 + 0.75 AS e, cleaned AS text, confidence, doc_id AS o FROM fr WHERE has AND emitted", 1.2, "bk")},
     n AS (SELECT split_part(video_id, '/', 1) AS preset, count(*) AS blocks FROM bk GROUP BY ALL),
-    a AS (SELECT preset, count(*) AS c, count(*) FILTER (reason = 'accepted') AS h, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS m FROM ev GROUP BY preset),
-    r AS (SELECT preset, '<tr><td>' || preset || '</td><td>' || c || '</td><td>' || h || '</td><td>' || coalesce(blocks, 0) || '</td><td>' || printf('%.3f', m) || '</td><td>0</td><td>0</td><td>' || printf('%.2f', c::DOUBLE) || '</td></tr>' AS row FROM a LEFT JOIN n USING (preset))
+    a AS (SELECT preset, count(*) AS frames, count(*) FILTER (has) AS c, count(*) FILTER (has AND emitted) AS h, coalesce(avg(confidence) FILTER (has AND emitted), 0.0) AS m, coalesce(median(confidence) FILTER (has AND emitted), 0.0) AS mid FROM fr GROUP BY preset),
+    z AS (SELECT a.*, coalesce(blocks, 0) AS blocks, rank + 1.0 AS seconds FROM a LEFT JOIN n USING (preset) JOIN {O.RANKS} USING (preset))
+"""
+ORACLE_SQL["benchmark_metrics"] = f"""{_BENCH}
+    SELECT preset, c AS ocr_candidates, h AS ocr_hits, round(m, 6) AS average_confidence, round(mid, 6) AS median_confidence, 0::BIGINT AS timeout_frames, 0::BIGINT AS failed_frames, h AS successful_frames,
+      blocks::BIGINT AS subtitle_blocks, round(seconds::DOUBLE, 6) AS processing_seconds, round(frames / seconds::DOUBLE, 6) AS processing_speed_candidates_per_second FROM z
+"""
+ORACLE_SQL["benchmark_report"] = f"""{_BENCH},
+    r AS (SELECT preset, '<tr><td>' || preset || '</td><td>' || c || '</td><td>' || h || '</td><td>' || blocks || '</td><td>' || printf('%.3f', m) || '</td><td>0</td><td>0</td><td>' || printf('%.2f', frames / seconds::DOUBLE) || '</td></tr>' AS row FROM z)
     SELECT '<!doctype html><meta charset=''utf-8''><title>OCR benchmark</title><h1>OCR benchmark</h1><table><thead><tr><th>Preset</th><th>OCR candidates</th><th>OCR hits</th><th>Subtitle blocks</th><th>Average confidence</th><th>Timeout frames</th><th>Failed frames</th><th>Candidates/s</th></tr></thead><tbody>'
       || string_agg(row, '' ORDER BY preset) || '</tbody></table>' AS html FROM r
 """
@@ -765,18 +797,16 @@ ORACLE_SQL["quality_report"] = f"""{_REPORT}
       coalesce(bins, '{_NO_BINS}') AS confidence_histogram, '0.08 0.92 0.78 0.93' AS used_crop, false AS auto_region_used, coalesce(blocks, 0)::BIGINT AS subtitle_blocks_generated, 'raw.srt' AS raw_srt FROM rp
 """
 ORACLE_SQL["quality_report_text"] = _text_lines()
-_SHORTENED = O.evaluated(("recall",)).replace("coalesce(text, '')", "CASE WHEN doc_id % 3 = 0 THEN substr(coalesce(text, ''), 1, 120) ELSE '' END", 1)
+_REGION = O.evaluated(("recall",)).replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '[^\\p{L}\\n ]+', ' ', 'g')", 1)
 ORACLE_SQL["preset_trial"] = f"""
-    WITH own AS ({O.evaluated()}), reg AS ({_SHORTENED}),
-    every AS (SELECT *, preset AS label FROM own UNION ALL SELECT *, 'auto-region' AS label FROM reg),
-    f AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE (doc_id % 101) / 100.0 < 0.5),
-    g AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-    used AS (SELECT every.* FROM every JOIN f USING (doc_id) WHERE k <= 20 AND label <> 'auto-region' UNION ALL SELECT every.* FROM every JOIN g USING (doc_id) WHERE k <= 20 AND label = 'auto-region'),
-    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM used),
-    a AS (SELECT video_id, label, preset, count(*) AS sample, count(*) FILTER (reason = 'accepted') AS accepted, coalesce(avg(confidence) FILTER (reason = 'accepted'), 0.0) AS m, coalesce(avg(score) FILTER (reason = 'accepted'), 0.0) AS s FROM sc GROUP BY ALL),
+    WITH own AS ({O.evaluated()}), reg AS ({_REGION}),
+    f AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE regexp_matches(coalesce(text, ''), '\\p{{L}}')),
+    {_emitted("SELECT x.* FROM (SELECT *, preset AS label FROM own UNION ALL SELECT *, 'auto-region' AS label FROM reg) x JOIN f USING (doc_id) WHERE k <= 20")},
+    sc AS (SELECT *, {O.score("cleaned", "confidence", O.repeats("cleaned", 5))} AS score FROM em),
+    a AS (SELECT video_id, label, preset, count(*) AS sample, count(*) FILTER (emitted) AS accepted, coalesce(avg(confidence) FILTER (emitted), 0.0) AS m, coalesce(avg(score) FILTER (emitted), 0.0) AS s FROM sc GROUP BY ALL),
     o AS (SELECT *, (sample - accepted) / greatest(1, sample) AS noise FROM a),
     r AS (SELECT o.*, row_number() OVER (PARTITION BY video_id ORDER BY accepted DESC, round(m, 9) DESC, round(noise, 9), round(10000.0 * accepted + 100.0 * m + s - noise, 6) DESC, coalesce(rank, 9)) AS k FROM o LEFT JOIN {O.RANKS} ON r.preset = o.label),
-    n AS (SELECT video_id, count(*) AS n FROM used WHERE label = 'recall' GROUP BY video_id)
+    n AS (SELECT video_id, count(*) AS n FROM em WHERE label = 'recall' GROUP BY video_id)
     SELECT video_id, CASE WHEN n >= 4 THEN label END AS label, CASE WHEN n >= 4 THEN preset END AS preset, CASE WHEN n >= 4 THEN accepted END AS accepted, n AS sample FROM r JOIN n USING (video_id) WHERE k = 1
 """
 ORACLE_SQL["region_trial"] = """

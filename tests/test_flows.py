@@ -170,11 +170,39 @@ def test_trials(spark):
     assert grid.region_is_better(6, 10) and not grid.region_is_better(5, 10)
 
 
+def test_presets_are_judged_by_what_is_emitted(spark):
+    """Each preset's readings against the cleaner, then the noise filter, one preset at a time; dropped frames are no hits of the benchmark."""
+    texts = ["Это наш дом", "мыы ннадо ббыло", "Да", "", "ЗЖШЩ КРПТ ВВВ", "мы идем домой сейчас", None, "и я к у в", "Это наш дом, где мы жжжжили"]
+    rows = [("v", f"{i:02d}", float(i), "paddle", t, i / 10, t is not None, i != 5, "failed" if not t else "ok") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, f"{KEYS}, engine string, text string, confidence double, has_subtitle boolean, changed boolean, status string")
+    for mode, sanity in (("standard", "off"), ("mild", "local")):
+        got = {(r.preset, r.frame_id): (r.kept, r.emitted, r.rejection) for r in grid.evaluate(df, noise_mode=mode, sanity=sanity).collect()}
+        for preset in grid.PRESETS:
+            chosen = quality.choose_best(quality.clean(df, preset), ["frame_id"])
+            for r in quality.observations(chosen, mode, sanity=sanity).collect():
+                why = r.rejection if r.rejection is None or r.accepted else r.rejection.split(":", 1)[1]
+                assert got[preset, r.frame_id] == (r.text, r.emitted, why), (mode, preset, r.frame_id)
+    ev = grid.evaluate(df)
+    assert ev.where("reason = 'accepted' and not emitted").count() > 0
+    blocks = spark.createDataFrame([("recall",)] * 3, "preset string")
+    b = {r.preset: r for r in grid.benchmark(ev, blocks, spark.createDataFrame([("recall", 0.0)], "preset string, seconds double")).collect()}
+    hits = ev.where("preset = 'recall' and emitted and has_subtitle and changed")
+    assert (b["recall"].ocr_candidates, b["recall"].ocr_hits, b["recall"].successful_frames) == (7, hits.count(), hits.count())
+    assert (b["recall"].failed_frames, b["recall"].timeout_frames, b["recall"].subtitle_blocks, b["strict"].subtitle_blocks) == (1, 0, 3, 0)
+    assert (b["recall"].processing_seconds, b["recall"].processing_speed_candidates_per_second, b["strict"].processing_seconds) == (0.001, 9000.0, None)
+
+
 def test_signature_is_one_of_the_rows_in_any_order(spark):
     rows = [("v", f"{i}", i / 3, i / 3 + 1) for i in range(20)]
     of = lambda r: C.signature(spark.createDataFrame(r, "video_id string, frame_id string, time double, end_time double").repartition(3)).first().digest
     assert of(rows) == of(rows[::-1]) != of(rows[:-1])
     assert of(rows) != of([*rows[:-1], ("v", "x", *rows[-1][2:])])
+    boxed = lambda y, seen: [("v", f"{i}", i / 3, i / 3 + 1, y, seen or i < 5, i != 4) for i in range(20)]
+    full = "video_id string, frame_id string, time double, end_time double, text_bbox_y1 double, has_subtitle boolean, changed boolean"
+    other = lambda r: C.signature(spark.createDataFrame(r, full)).first()
+    assert other(boxed(0.5, True)).digest != other(boxed(0.6, True)).digest and other(boxed(0.5, True)).digest == other(boxed(0.50001, True)).digest
+    assert (other(boxed(0.5, False)).n, other(boxed(0.5, True)).n) == (4, 19)
+    assert C.signature(spark.createDataFrame([], full)).count() == 0
 
 
 def test_votes_are_merges_of_groups():
