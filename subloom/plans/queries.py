@@ -398,9 +398,36 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deep_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Four documents are a frame's neighbours, each read whole and without digits and signs."""
     df = tab.document_readings(spark, d)
-    votes = df.select("video_id", F.floor(F.col("frame_id") / 4).cast("string").alias("frame_id"), F.col("doc_id").alias("neighbour_rank"), F.lit(0).alias("variant_rank"), "text", "confidence")
-    return B.deep_vote(votes, LATIN).select("video_id", "frame_id", F.col("outcome"), F.length("text").alias("length"))
+    read = F.array(F.struct(F.lit(0).alias("variant_rank"), F.col("text")), F.struct(F.lit(1).alias("variant_rank"), F.regexp_replace("text", r"[^\p{L}\n ]+", " ").alias("text")))
+    votes = df.select("video_id", F.floor(F.col("frame_id") / 2).cast("string").alias("frame_id"), F.col("doc_id").alias("neighbour_rank"), F.explode(read).alias("_r"), "confidence")
+    votes = votes.select("video_id", "frame_id", "neighbour_rank", "_r.*", "confidence")
+    return B.deep_vote(votes, LATIN).select("video_id", "frame_id", "outcome", "text", F.round("confidence", 6).alias("confidence"))
+
+
+#: What a frame of an event shows, by its type; types that are listed twice take turns.
+SHOWN = {"view": ("view of the page",), "click": ("click of the page",), "purchase": ("purchase of the page",), "error": ("zr tk", "the bcdfghjklm"), "signup": ("no", "")}
+
+
+def deep_votes_alike(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as a frame and its neighbours, in three variants: of some users all events at once, of others a day's.
+
+    The second variant reads a letter more or nothing, the third a sign more, or
+    nothing where the value is low; spellings of a text are alike, different
+    texts aren't.
+    """
+    e = tab.event_readings(spark, d)
+    n = F.col("event_id")
+    shown = F.lit("")
+    for kind, texts in SHOWN.items():
+        shown = F.when(F.col("text") == kind, F.get(F.lit(list(texts)), F.pmod(n, F.lit(len(texts))).cast("int"))).otherwise(shown)
+    base = F.col("base")
+    more = lambda c, suffix: F.when((base != "") & c, F.concat(base, F.lit(suffix))).otherwise(F.lit(""))
+    variants = F.array(base, more(n % 3 == 0, "s"), more(F.col("confidence") >= 0.2, "!"))
+    frame = F.when(F.col("user_id") % 2 == 0, F.lit("all")).otherwise(F.to_date("ts").cast("string"))
+    votes = e.withColumn("base", shown).select("video_id", frame.alias("frame_id"), n.alias("neighbour_rank"), F.posexplode(variants).alias("variant_rank", "text"), "confidence")
+    return B.deep_vote(votes, LATIN).select("video_id", "frame_id", "outcome", "text", F.round("confidence", 6).alias("confidence"))
 
 
 def language_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -455,7 +482,7 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, benchmark_metrics, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
         neighbor_noise_alike, read_loop,
     )
 }
@@ -851,6 +878,36 @@ ORACLE_SQL["votes_alike"] = f"""
 """
 
 
+def _shown() -> str:
+    turns = lambda texts: f"{O.listed(texts)}[event_id % {len(texts)} + 1]"
+    return "CASE text " + " ".join(f"WHEN '{kind}' THEN {turns(texts)}" for kind, texts in SHOWN.items()) + " ELSE '' END"
+
+
+def _deep_votes_sql() -> str:
+    flags = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in O.noise_flags("t"))
+    w = O.words("t")
+    common = O.size_of(O.words("lower(t)"), f"list_contains({O.listed(LATIN.common)}, x)")
+    return f"""
+    WITH {O.EVENTS},
+    bs AS (SELECT video_id, CASE WHEN video_id::BIGINT % 2 = 0 THEN 'all' ELSE ts::DATE::VARCHAR END AS frame_id, event_id, confidence, {_shown()} AS base FROM ev),
+    rd AS (SELECT *, 0 AS v, base AS text FROM bs UNION ALL SELECT *, 1, CASE WHEN base <> '' AND event_id % 3 = 0 THEN base || 's' ELSE '' END FROM bs UNION ALL SELECT *, 2, CASE WHEN base <> '' AND confidence >= 0.2 THEN base || '!' ELSE '' END FROM bs),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY event_id, v) AS n FROM rd),
+    sc AS (SELECT *, {O.score("text", "confidence", O.repeats("text", 5))} AS score FROM rk WHERE n <= 24 AND text <> ''),
+    ld AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, base ORDER BY score DESC, n) AS k FROM sc),
+    gr AS (SELECT video_id, frame_id, base, count(*) AS votes, max(confidence) AS confidence, max(score) AS score, max(CASE WHEN k = 1 THEN text END) AS text, min(n) AS first FROM ld GROUP BY ALL),
+    wn AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY votes DESC, confidence DESC, score DESC, length(text) DESC, first) AS k FROM gr),
+    tx AS MATERIALIZED (SELECT t, concat_ws(',', {flags}) AS found, {O.valid_short("t")} AS sh, {common} AS common, len({w}) AS n, length({O.joined(w)}) AS chars, {O.vowels(O.joined(w))} AS vow, {O.size_of(w, "length(x) >= 3")} AS longer, {O.meaningful("t")} AS sense FROM (SELECT DISTINCT text AS t FROM wn WHERE k = 1)),
+    ok AS (SELECT *, sh OR common > 0 OR (n > 0 AND found = '' AND chars >= 5 AND vow / greatest(1, chars) >= 0.22 AND (longer >= 2 OR chars >= 12)) AS fit FROM tx),
+    oc AS (SELECT f.video_id, f.frame_id, w.text, w.confidence, CASE WHEN w.votes IS NULL THEN 'deep_no_text' WHEN NOT fit THEN 'deep_rejected_language_validity:' || coalesce(nullif(found, ''), 'no_common_word') WHEN w.votes >= 2 THEN 'deep_vote'
+        WHEN sh THEN 'deep_valid_short' WHEN found = '' AND sense >= 4 THEN 'deep_single_valid' ELSE 'deep_unconfirmed_noise:' || coalesce(nullif(found, ''), 'unknown') END AS outcome
+      FROM (SELECT DISTINCT video_id, frame_id FROM rk) f LEFT JOIN wn w ON w.video_id = f.video_id AND w.frame_id = f.frame_id AND w.k = 1 LEFT JOIN ok ON ok.t = w.text)
+    SELECT video_id, frame_id, outcome, CASE WHEN outcome IN ('deep_vote', 'deep_valid_short', 'deep_single_valid') THEN text ELSE '' END AS text, CASE WHEN outcome IN ('deep_vote', 'deep_valid_short', 'deep_single_valid') THEN round(confidence, 6) ELSE 0.0 END AS confidence FROM oc
+"""
+
+
+ORACLE_SQL["deep_votes_alike"] = _deep_votes_sql()
+
+
 def _short_ratios() -> str:
     """Rows (a, b, ratio) of the short texts' keys, by the same library as the operator: SQL has no such function."""
     keys = ["".join(c for c in x.lower() if c.isalnum()) for x in SHORT_TEXTS]

@@ -75,6 +75,18 @@ def test_neighbour_filter(spark):
     assert sorted(r.block_no for r in B.neighbour_filter(df).collect()) == [1, 3, 4]
 
 
+def test_shown_texts_are_alike_in_their_spellings_only():
+    """What the SQL of the deep votes takes for granted: one group of votes is one text's spellings."""
+    from subloom.plans.queries import SHOWN
+
+    key = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    texts = [x for xs in SHOWN.values() for x in xs if x]
+    for a in texts:
+        for b in texts:
+            alike = {B.likeness(key(a + i), key(b + j)) >= B.DEEP_SIMILARITY for i in ("", "s", "!") for j in ("", "s", "!")}
+            assert alike == {a == b}, (a, b)
+
+
 def test_deep_vote_outcomes(spark):
     rows = [
         ("v", "1", 0, 0, "мы идем домой", 0.5), ("v", "1", 1, 0, "мы идем домои", 0.9), ("v", "2", 0, 0, "да", 0.4), ("v", "3", 0, 0, "", 0.4), ("v", "4", 0, 0, "бвгд", 0.4), ("v", "5", 0, 0, "дорога светлая", 0.4),
