@@ -13,9 +13,9 @@ from ..functions.similarity import similarity
 from ..operators import blocks as B
 from ..operators import candidates as C
 from ..operators import enrich, grid, quality, recognise, reports, timeline
-from ..shared import noted, settled, written
+from ..shared import noted, scratch, settled, written
 from ..sources import inputs, srt
-from ..streaming import sessions
+from ..streaming import late, sessions
 from . import oracle as O
 from . import tables as tab
 
@@ -430,6 +430,29 @@ def deep_votes_alike(spark: SparkSession, d: str) -> DataFrame:
     return B.deep_vote(votes, LATIN).select("video_id", "frame_id", "outcome", "text", F.round("confidence", 6).alias("confidence"))
 
 
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as they arrive, the later the higher their value: each five days' arrivals are a run of the stream, which goes on where the last one stopped."""
+    e = tab.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    arrival = F.floor((F.unix_micros("ts") / 1e6 + F.col("value") * 1800.0) / 432000.0)
+    e = written(e.withColumn("arrival", arrival), "arrivals")
+    name = scratch(spark, "replay")
+    schema = "event_id long, ts timestamp, value double"
+    for (n,) in sorted(e.select("arrival").distinct().collect()):  # five days each, however many events
+        e.where(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(f"{name}/source")
+        late.route_late(spark.readStream.schema(schema).parquet(f"{name}/source"), f"{name}/out", f"{name}/checkpoint", 86400.0)
+    return late.routed(spark, f"{name}/out", schema)
+
+
+def late_rows(spark: SparkSession, d: str) -> DataFrame:
+    mark = noted(spark)
+    return settled(_replayed(spark, d), "late-rows", mark).select("event_id", "batch", "late", F.round("behind", 3).alias("behind"))
+
+
+def late_row_counts(spark: SparkSession, d: str) -> DataFrame:
+    mark = noted(spark)
+    return settled(late.late_counts(_replayed(spark, d)), "late-counts", mark).withColumn("worst", F.round("worst", 3))
+
+
 def language_checks(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     df = tab.document_readings(spark, d)
@@ -482,7 +505,7 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, benchmark_metrics, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, late_rows, late_row_counts, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
         neighbor_noise_alike, read_loop,
     )
 }
@@ -878,6 +901,16 @@ ORACLE_SQL["votes_alike"] = f"""
 """
 
 
+_LATE = """
+    WITH e AS (SELECT event_id, epoch_us(ts) AS u, floor((epoch_us(ts) / 1e6 + value * 1800.0) / 432000.0) AS arrival FROM events),
+    b AS (SELECT *, dense_rank() OVER (ORDER BY arrival) - 1 AS batch FROM e),
+    m AS (SELECT batch, max(max(u)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS mark FROM b GROUP BY batch),
+    r AS (SELECT event_id, batch, coalesce(u <= mark, false) AS late, CASE WHEN u <= mark THEN (mark - u) / 1e6 END AS behind FROM b JOIN m USING (batch))
+"""
+ORACLE_SQL["late_rows"] = f"{_LATE} SELECT event_id, batch, late, round(behind, 3) AS behind FROM r"
+ORACLE_SQL["late_row_counts"] = f"{_LATE} SELECT batch, count(*) AS readings, count(*) FILTER (late) AS late, round(max(behind), 3) AS worst FROM r GROUP BY batch"
+
+
 def _shown() -> str:
     turns = lambda texts: f"{O.listed(texts)}[event_id % {len(texts)} + 1]"
     return "CASE text " + " ".join(f"WHEN '{kind}' THEN {turns(texts)}" for kind, texts in SHOWN.items()) + " ELSE '' END"

@@ -24,11 +24,17 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder, noted as one that can be dropped."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _noted.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table that is written now and read by whoever uses it; it is noted as one that can be dropped."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _noted.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

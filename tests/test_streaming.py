@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subloom.operators import blocks as B
 from subloom.operators import candidates as C
-from subloom.streaming import sessions
+from subloom.streaming import late, sessions
 
 OBS = "video_id string, frame_id string, time double, end double, text string, score double, confidence double"
 ZERO = dt.datetime(2024, 1, 1)
@@ -63,3 +63,28 @@ def test_gated_frames_stream(spark, tmp_path):
     batch = C.gate_frames(spark.createDataFrame(rows, kind), rate=0.5).where("state = 'emit'")
     key = lambda df: sorted((r.frame_id, r.time, r.end_time) for r in df.collect())
     assert key(got) == key(batch)
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    """Late and other rows together are the input, over restarts, repeats and rows without a time; a batch that is run again finds the same."""
+    arrivals = [[0.0, 50.0, None], [45.0, 40.0, 39.9, 39.9, 60.0], [], [100.0, 50.0, 50.1], [90.0, 89.9, None, -5.0]]
+    schema, n, latest, want = "k int, ts timestamp", 0, None, []
+    source, out, check = (str(tmp_path / x) for x in ("source", "out", "check"))
+    for batch in arrivals:
+        rows = [(n + i, None if t is None else ZERO + dt.timedelta(seconds=t)) for i, t in enumerate(batch)]
+        n += len(batch)
+        mark = None if latest is None else latest - 10.0
+        want += [(k, t is not None and mark is not None and t <= mark, None if t is None or mark is None or t > mark else round(mark - t, 3)) for (k, _), t in zip(rows, batch, strict=True)]
+        latest = max([t for t in batch if t is not None] + ([latest] if latest is not None else []), default=None)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        late.route_late(spark.readStream.schema(schema).parquet(source), out, check, 10.0)
+    got = late.routed(spark, out, schema)
+    key = lambda r: (r[0], r[1], -1.0 if r[2] is None else r[2])
+    assert sorted(((r.k, r.late, None if r.behind is None else round(r.behind, 3)) for r in got.collect()), key=key) == sorted(want, key=key)
+    counts = [(r.readings, r.late) for r in late.late_counts(got).orderBy("batch").collect()]
+    assert sum(r for r, _ in counts) == n and sum(x for _, x in counts) == sum(x for _, x, _ in want) > 0
+    last = sorted((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    late.route_late(spark.readStream.schema(schema).parquet(source), out, check, 10.0)
+    assert sorted((r.k, r.late) for r in late.routed(spark, out, schema).collect()) == sorted(w[:2] for w in want)
