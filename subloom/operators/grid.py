@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PRESETS, SEARCH_ORDER, presets_table
+from ..config import PRESETS, SEARCH_ORDER, Crop, presets_table
 from ..functions import text as T
 from ..functions.core import ladder, let
 from ..functions.scripts import CYRILLIC, Script
 from . import quality
-from .candidates import is_candidate
+from .candidates import common_region, is_candidate
 
 
 def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC, noise_mode: str = "standard", sanity: str = "off") -> DataFrame:
@@ -99,17 +99,19 @@ def region_is_better(hits: int, initial: int) -> bool:
     return hits >= max(4, int(0.65 * initial))
 
 
-def region_trial(initial: DataFrame, regional: DataFrame, settings: DataFrame | None = None, sample: int = 120) -> DataFrame:
+def region_trial(initial: DataFrame, regional: DataFrame, settings: DataFrame | None = None, sample: int = 120, rate: float = 0.75) -> DataFrame:
     """video_id, initial_hits, region_hits, use_region, cached: the balanced mode's choice of region.
 
     ``initial`` and ``regional`` are candidates (video_id, time, has_subtitle) of
     the usual crop and of the detected region; only the time of the first
-    ``sample`` initial ones counts.  ``settings`` (video_id, use_region) are choices
+    ``sample`` initial ones counts, to the end of the last (``end_time``, where
+    that is known) and ``rate`` more.  ``settings`` (video_id, use_region) are choices
     made before; they are taken over, and nothing is counted for those videos'
     verdict.  A video without a detected region keeps its crop.
     """
     first = sample_per_key(initial, ["video_id"], ["time"], sample)
-    until = first.groupBy("video_id").agg(F.max("time").alias("_until"), F.count_if("has_subtitle").alias("initial_hits"))
+    end = F.coalesce("end_time", "time") if "end_time" in first.columns else F.col("time")
+    until = first.groupBy("video_id").agg((F.max(end) + rate).alias("_until"), F.count_if("has_subtitle").alias("initial_hits"))
     hits = regional.join(until.select("video_id", "_until"), "video_id").where(F.col("time") <= F.col("_until")).groupBy("video_id").agg(F.count_if("has_subtitle").alias("region_hits"))
     df = until.drop("_until").join(hits, "video_id", "left")
     better = F.coalesce(F.col("region_hits") >= F.greatest(F.lit(4), F.floor(F.col("initial_hits") * 0.65)), F.lit(False))
@@ -120,6 +122,32 @@ def region_trial(initial: DataFrame, regional: DataFrame, settings: DataFrame |
     return df.select("video_id", "initial_hits", F.coalesce("region_hits", F.lit(0)).alias("region_hits"), F.coalesce("_known", better).alias("use_region"), F.col("_known").isNotNull().alias("cached"))
 
 
+def region_settings(keys: DataFrame, initial: DataFrame, regional: DataFrame, stored: DataFrame | None = None, crop: Crop = Crop(), sample: int = 120) -> DataFrame:
+    """video_id, settings_digest, x1, x2, y1, y2, use_region, cached: the crop that each video is read with.
+
+    ``keys`` has video_id and settings_digest, one row each; ``stored`` has
+    settings_digest and the values of earlier choices, which are taken over
+    whole: nothing is detected or counted for those videos again.  For the others
+    the detected region of ``initial`` (with text boxes) is tried; a video
+    without one keeps its crop.  The rows without ``cached`` are what a caller
+    adds to ``stored``.
+    """
+    values = ("x1", "x2", "y1", "y2", "use_region")
+    known = None if stored is None else keys.join(stored.select("settings_digest", *values), "settings_digest")
+    left = keys if known is None else keys.join(known.select("video_id"), "video_id", "left_anti")
+    mine = initial.join(left.select("video_id"), "video_id", "left_semi")
+    found = common_region(mine).select("video_id", F.col("y1").alias("_y1"), F.col("y2").alias("_y2"))
+    tried = region_trial(mine, regional.join(found.select("video_id"), "video_id", "left_semi"), sample=sample).select("video_id", F.col("use_region").alias("_use"))
+    df = left.join(found, "video_id", "left").join(tried, "video_id", "left")  # one row for each video
+    use = F.coalesce(F.col("_use") & F.col("_y1").isNotNull(), F.lit(False))
+    usual = Crop()
+    side = lambda tried, own: F.when(use, tried).otherwise(F.lit(own))
+    sides = {"x1": side(F.lit(usual.x1), crop.x1), "x2": side(F.lit(usual.x2), crop.x2), "y1": side(F.col("_y1"), crop.y1), "y2": side(F.col("_y2"), crop.y2)}
+    chosen = df.select("video_id", "settings_digest", *[c.alias(name) for name, c in sides.items()], use.alias("use_region"))
+    chosen = chosen.withColumn("cached", F.lit(False))
+    return chosen if known is None else chosen.unionByName(known.select("video_id", "settings_digest", *values).withColumn("cached", F.lit(True)))
+
+
 def benchmark(evaluated: DataFrame, blocks: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
     """The benchmark's ten figures of each preset (D18, K10). ``blocks`` has preset; ``seconds`` (preset, seconds) is what its run took.
 

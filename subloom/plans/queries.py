@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import call_limit, presets_table
+from ..config import Crop, Options, call_limit, presets_table
 from ..functions import arrays, timecode
 from ..functions import text as T
 from ..functions.scripts import LATIN
@@ -350,6 +350,33 @@ def candidate_signature(spark: SparkSession, d: str) -> DataFrame:
     return C.signature(df).select("video_id", "n", F.round("first_time", 3).alias("first_time"), F.round("last_time", 3).alias("last_time"), "digest")
 
 
+def observation_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The cache keys of users' runs: the signature of their events, and as a file's hash that of their number, which every fifth lacks."""
+    w = Window.partitionBy("video_id").orderBy("time", "event_id")
+    df = tab.event_readings(spark, d).withColumns({"end_time": F.col("end"), "changed": ~F.col("text").eqNullSafe(F.lag("text").over(w))})
+    user = F.col("video_id").cast("bigint")
+    runs = C.signature(df).withColumnRenamed("digest", "candidate_digest").withColumns({"input_hash": F.when(user % 5 > 0, F.sha1("video_id")), "start_time": F.when(user % 2 > 0, user / 4), "end_time": F.lit(None).cast("double")})
+    return inputs.observation_key(runs, KEPT_OPTIONS).select("video_id", "digest", "cache_key")
+
+
+KEPT_OPTIONS = Options(engine="tesseract", preset="balanced", deep="short", max_calls=500)
+REGION_CROP = Crop(0.1, 0.9, 0.6, 0.95)
+
+
+def region_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of labels' videos: those of the first five labels come from an earlier run that looked at more frames."""
+    e = tab.embedding_frames(spark, d)
+    at = lambda i: F.element_at("small", i).cast("double")
+    initial = e.select("video_id", "time", (at(1) > -0.05).alias("has_subtitle"), (0.7 + at(3) / 2).alias("text_bbox_y1"), (0.8 + at(4) / 2).alias("text_bbox_y2"))
+    regional = e.select("video_id", "time", (at(2) > 0.02).alias("has_subtitle"))
+    number = F.col("video_id").cast("int")
+    files = e.where("video_id is not null").select("video_id").distinct().select("video_id", F.concat(F.lit("/media/"), "video_id").alias("path"), (number * 1000).alias("length"), F.timestamp_seconds(number * 60 + 0.5).alias("modificationTime"))
+    keys = inputs.settings_key(files, Options(crop=REGION_CROP)).select("video_id", "settings_digest")
+    earlier = grid.region_settings(keys.where(number < 5), initial, regional, crop=REGION_CROP, sample=60)
+    out = grid.region_settings(keys, initial, regional, earlier, REGION_CROP, sample=20)
+    return out.withColumns({c: F.round(c, 6) for c in ("x1", "x2", "y1", "y2")})
+
+
 def report_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = tab.table(spark, d, "documents")
     text = F.concat(F.lit("title: "), F.col("lang"), F.lit("\nfailed_frames: "), F.col("n_chars").cast("string"), F.lit("\nratio: "), (F.col("doc_id") % 10 / 10).cast("string"), F.lit("\n"))
@@ -505,7 +532,7 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, benchmark_metrics, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, late_rows, late_row_counts, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, late_rows, late_row_counts, observation_keys, region_settings, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
         neighbor_noise_alike, read_loop,
     )
 }
@@ -901,6 +928,28 @@ ORACLE_SQL["votes_alike"] = f"""
 """
 
 
+ORACLE_SQL["observation_keys"] = f"""
+    WITH {O.EVENTS}, f AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY t, event_id) IS DISTINCT FROM text AS changed FROM ev),
+    h AS (SELECT video_id, t, ('0x' || substr(md5(round(t * 1000)::BIGINT || '|' || round(e * 1000)::BIGINT || '|' || printf('%012d', event_id) || '|0|0'), 1, 15))::BIGINT AS k FROM f WHERE changed),
+    g AS (SELECT video_id, video_id::BIGINT AS u, count(*) AS n, round(min(t) * 1000)::BIGINT AS a, round(max(t) * 1000)::BIGINT AS z, sha1(sum(k)::VARCHAR) AS c FROM h GROUP BY video_id),
+    j AS (SELECT *, CASE WHEN u % 5 > 0 THEN sha1(video_id) END AS f FROM g),
+    k AS (SELECT *, substr(sha1('{{"candidate_digest":"' || c || '","crop":"0.08 0.92 0.78 0.93","deep":"short","detect_changes":"False","detect_mode":"hybrid","end_ms":"null","engine":"tesseract","first_ms":"' || a || '","input_hash":"' || coalesce(f, 'null')
+      || '","last_ms":"' || z || '","mask_similarity":"0.9","max_calls":"500","max_frames":"null","min_gap":"2.0","n":"' || n || '","noise":"standard","preprocess":"auto","preset":"balanced","quality_profile":"default","sample_rate":"0.75","sanity":"ollama","speed":"balanced","start_ms":"'
+      || CASE WHEN u % 2 > 0 THEN round(u / 4 * 1000)::BIGINT::VARCHAR ELSE 'null' END || '","version":"5"}}'), 1, 16) AS digest FROM j)
+    SELECT video_id, digest, coalesce(substr(f, 1, 16), 'no_video_hash') || '_' || digest AS cache_key FROM k
+"""
+ORACLE_SQL["region_settings"] = """
+    WITH e AS (SELECT label::VARCHAR AS video_id, label, vec_id, embedding[1] > -0.05 AS a, embedding[2]::DOUBLE > 0.02 AS b, 0.7 + embedding[3]::DOUBLE / 2 AS y1, 0.8 + embedding[4]::DOUBLE / 2 AS y2, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IS NOT NULL),
+    p1 AS (SELECT video_id, y1, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) AS k FROM e WHERE y1 > 0), p2 AS (SELECT video_id, y2, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) AS k FROM e WHERE y2 > 0),
+    r1 AS (SELECT video_id, greatest(0.55, least(0.82, median(y1) - 0.06)) AS y1 FROM p1 WHERE k <= 200 GROUP BY video_id HAVING count(*) >= 10),
+    r2 AS (SELECT video_id, median(y2) + 0.06 AS y2 FROM p2 WHERE k <= 200 GROUP BY video_id HAVING count(*) >= 10),
+    rg AS (SELECT video_id, y1, greatest(y1 + 0.12, least(0.99, y2)) AS y2 FROM r1 JOIN r2 USING (video_id)),
+    u AS (SELECT video_id, label, max(vec_id) FILTER (k <= CASE WHEN label < 5 THEN 60 ELSE 20 END) AS until, count(*) FILTER (a AND k <= CASE WHEN label < 5 THEN 60 ELSE 20 END) AS hits FROM e GROUP BY ALL),
+    h AS (SELECT video_id, label, any_value(hits) AS hits, count(*) FILTER (b AND vec_id <= until + 0.75) AS more FROM e JOIN u USING (video_id, label) GROUP BY ALL),
+    c AS (SELECT h.*, rg.y1, rg.y2, rg.y1 IS NOT NULL AND more >= greatest(4, floor(hits * 0.65)) AS use_region,
+      substr(sha1('{"_crop":"0.1 0.9 0.6 0.95","_detect":"hybrid","_identity":"/media/' || video_id || ':' || label * 1000 || ':' || label * 60 || '","_preset":"recall","_rate":"0.75","_speed":"balanced"}'), 1, 16) AS settings_digest FROM h LEFT JOIN rg USING (video_id))
+    SELECT video_id, settings_digest, CASE WHEN use_region THEN 0.08 ELSE 0.1 END::DOUBLE AS x1, CASE WHEN use_region THEN 0.92 ELSE 0.9 END::DOUBLE AS x2, round(CASE WHEN use_region THEN y1 ELSE 0.6 END, 6) AS y1, round(CASE WHEN use_region THEN y2 ELSE 0.95 END, 6) AS y2, use_region, label < 5 AS cached FROM c
+"""
 _LATE = """
     WITH e AS (SELECT event_id, epoch_us(ts) AS u, floor((epoch_us(ts) / 1e6 + value * 1800.0) / 432000.0) AS arrival FROM events),
     b AS (SELECT *, dense_rank() OVER (ORDER BY arrival) - 1 AS batch FROM e),

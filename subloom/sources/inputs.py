@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Crop, Options, noise_mode, sanity_mode
 from ..functions.text import normalize
 from ..schema import CACHE
 
@@ -70,6 +71,41 @@ def with_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("digest", F.substring(F.sha1(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in sorted(columns)]))), 1, 16))
 
 
+#: Goes up when readings are made otherwise, so that older caches no longer hit.
+OBSERVATIONS_VERSION = 5
+
+
+def observation_key(runs: DataFrame, o: Options, version: int = OBSERVATIONS_VERSION) -> DataFrame:
+    """Adds what a run's readings depend on: twenty named fields, ``digest`` over them and the candidates' signature, and ``cache_key``.
+
+    Needs input_hash (a file's SHA-1; null where there is no file), start_time and
+    end_time of the range, and the signature's n, first_time, last_time and
+    candidate_digest.  Times count to the millisecond.
+    """
+    crop = o.crop or Crop()
+    named = {
+        "version": version, "quality_profile": o.quality_profile, "sample_rate": o.sample_rate, "crop": f"{crop.x1} {crop.x2} {crop.y1} {crop.y2}", "engine": o.engine, "preset": o.preset, "preprocess": o.preprocess,
+        "detect_mode": o.detect_mode, "speed": o.speed, "deep": o.deep, "sanity": sanity_mode(o), "noise": noise_mode(o), "max_frames": o.max_frames, "max_calls": o.max_calls, "min_gap": o.min_gap,
+        "mask_similarity": o.mask_similarity, "detect_changes": o.detect_changes,
+    }
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    times = {f"{c.removesuffix('_time')}_ms": ms(c) for c in ("start_time", "end_time", "first_time", "last_time")}
+    fixed = {name: F.lit(None if value is None else str(value)).cast("string") for name, value in named.items()}
+    df = with_digest(runs.withColumns(fixed | times), [*named, *times, "input_hash", "n", "candidate_digest"])
+    video = F.coalesce(F.nullif(F.substring("input_hash", 1, 16), F.lit("")), F.lit("no_video_hash"))
+    return df.withColumn("cache_key", F.concat(video, F.lit("_"), "digest"))
+
+
+def settings_key(files: DataFrame, o: Options) -> DataFrame:
+    """Adds ``settings_digest``: the file as it is (path, length, modificationTime in seconds) and the options that a choice of region depends on."""
+    crop = o.crop or Crop()
+    named = {"_speed": o.speed, "_preset": o.preset, "_rate": o.sample_rate, "_detect": o.detect_mode, "_crop": f"{crop.x1} {crop.x2} {crop.y1} {crop.y2}"}
+    at = F.floor(F.unix_micros(F.col("modificationTime").cast("timestamp")) / 1000000)
+    identity = F.concat_ws(":", "path", F.col("length").cast("string"), at.cast("string"))
+    df = files.withColumns({"_identity": identity} | {name: F.lit(str(value)) for name, value in named.items()})
+    return with_digest(df, ["_identity", *named]).select(*files.columns, F.col("digest").alias("settings_digest"))
+
+
 def file_digests(files: DataFrame) -> DataFrame:
     """path, sha1 of whole files."""
     return files.select("path", F.sha1("content").alias("sha1"))

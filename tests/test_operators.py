@@ -263,6 +263,33 @@ def test_observation_cache(spark):
     assert [r.video for r in hits.collect()] == ["a"] and [r.video for r in misses.collect()] == ["b"]
 
 
+def test_observation_key_depends_on_each_field(spark):
+    """Any option, version, range, file or candidate that changes gives another key; what has no part in readings doesn't."""
+    from dataclasses import replace
+
+    run = ("h" * 40, 0.0, None, 3, 1.0, 2.0, "abc")
+    kind = "input_hash string, start_time double, end_time double, n bigint, first_time double, last_time double, candidate_digest string"
+    o = Options()
+    key = lambda o=o, run=run, **more: inputs.observation_key(spark.createDataFrame([run], kind), o, **more).first().cache_key
+    base = key()
+    assert base == key() == key(replace(o, translator="google")) and base.startswith("h" * 16 + "_")
+    changed = {"preset": "strict", "engine": "compare", "sample_rate": 0.5, "crop": config.Crop(0.1), "speed": "quality", "quality_profile": "legacy_good", "max_calls": 5, "detect_changes": True}
+    others = [key(replace(o, **{k: v})) for k, v in changed.items()] + [key(version=6)]
+    others += [key(run=(*run[:i], v, *run[i + 1 :])) for i, v in enumerate((None, 5.0, 9.0, 4, 1.5, 2.5, "abd"))]
+    assert len({base, *others}) == len(others) + 1
+    assert key(run=(None, *run[1:])).startswith("no_video_hash_")
+
+
+def test_region_settings_are_taken_over_whole(spark):
+    keys = spark.createDataFrame([("a", "ka"), ("b", "kb"), ("c", "kc")], "video_id string, settings_digest string")
+    frames = spark.createDataFrame([(v, float(i), True, 0.8, 0.9) for v in "abc" for i in range(20 if v != "c" else 5)], "video_id string, time double, has_subtitle boolean, text_bbox_y1 double, text_bbox_y2 double")
+    first = grid.region_settings(keys, frames, frames.where("video_id = 'a' or time < 3"))
+    got = {r.video_id: (r.x1, round(r.y1, 6), round(r.y2, 6), r.use_region, r.cached) for r in first.collect()}
+    assert got == {"a": (0.08, 0.74, 0.96, True, False), "b": (0.08, 0.78, 0.93, False, False), "c": (0.08, 0.78, 0.93, False, False)}
+    again = grid.region_settings(keys, frames.where("video_id = 'x'"), frames, first.where("video_id <> 'b'"))
+    assert {r.video_id: (round(r.y1, 6), r.use_region, r.cached) for r in again.collect()} == {"a": (0.74, True, True), "b": (0.78, False, False), "c": (0.78, False, True)}
+
+
 def test_srt_round_trip(spark, tmp_path):
     rows = [("v", 1, 1.0, 2.5, "Привет\nмир", 0.0, 0.5), ("v", 2, 0.0, 0.7, "дом", 0.0, 0.5), ("v", 3, 5.0, 6.0, " ", 0.0, 0.5), ("w", 1, 0.0, 3723.25, "лес", 0.0, 0.5)]
     df = spark.createDataFrame(rows, schema.BLOCKS)
