@@ -31,14 +31,14 @@ def mean_difference(a: Column, b: Column) -> Column:
 
 
 def envelope(boxes: Column) -> Column:
-    """struct(x1, y1, x2, y2, area, n) of boxes (x, y, w, h)."""
+    """struct(x1, y1, x2, y2, area, n) of components (x, y, w, h, area): the area is what they fill, not their boxes' (A22)."""
     of = lambda f: F.transform(boxes, f)
     return F.struct(
         F.array_min(of(lambda b: b["x"])).alias("x1"),
         F.array_min(of(lambda b: b["y"])).alias("y1"),
         F.array_max(of(lambda b: b["x"] + b["w"])).alias("x2"),
         F.array_max(of(lambda b: b["y"] + b["h"])).alias("y2"),
-        _total(of(lambda b: (b["w"] * b["h"]).cast("double"))).alias("area"),
+        _total(of(lambda b: b["area"].cast("double"))).alias("area"),
         F.size(boxes).alias("n"),
     )
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, pixels
 
 DEDUP_OUT = "video_id string, frame_id string, time double, end_time double, diff_score double, mask_similarity double, state string"
 
@@ -231,6 +231,27 @@ def signature(frames: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.sha1(F.sum(number).cast("string")).alias("digest"))
 
 
+def with_text(images: DataFrame, legacy: bool = False) -> DataFrame:
+    """Frames with what their crops' pixels tell: ``detected``, ``mask`` and ``small`` for the gate, ``boxes``, ``n_components``, ``bright``, ``text_box`` and ``crop``.
+
+    Needs pixels, width and height, which go.  Pixels become components in one
+    pass of a kernel; which of them are letters and whether they are a subtitle
+    is told by expressions.  ``text_box`` is there wherever letters are, ``crop``
+    only where text was detected.  What is no image has no text and nulls.
+    """
+    width, height = F.col("width"), F.col("height")
+    df = images.withColumn("_of", pixels.text_of(F.col("pixels"), width, height, legacy)).drop("pixels")
+    df = df.withColumn("_kept", arrays.kept_components(F.col("_of.components"), width, height, legacy))
+    bright = F.col("_of.bright")
+    found = F.coalesce(arrays.is_subtitle(F.col("_kept"), width, height, bright, bright, legacy), F.lit(False))
+    df = df.withColumn("detected", found).withColumn("text_box", F.when(F.size("_kept") > 0, arrays.envelope(F.col("_kept"))))
+    box = [F.col(f"text_box.{k}") for k in ("x1", "y1", "x2", "y2")]
+    df = df.withColumn("crop", F.when(F.col("detected"), arrays.padded_crop(*box, width, height)))
+    keep = [F.col(f"`{c}`") for c in images.columns if c not in ("pixels", "width", "height", "detected", "mask", "small", "boxes", "n_components", "bright", "text_box", "crop")]
+    parts = [F.col("_of.mask").alias("mask"), F.col("_of.small").alias("small"), F.col("_kept").alias("boxes"), F.size("_of.components").alias("n_components"), bright.alias("bright")]
+    return df.select(*keep, "detected", *parts, "text_box", "crop")
+
+
 def decode(files: DataFrame, decoder) -> DataFrame:
     """Rows of an injected decoder over a ``binaryFile`` scan: path, content -> dicts of the given schema.
 

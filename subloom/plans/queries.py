@@ -18,6 +18,7 @@ from ..sources import inputs, srt
 from ..streaming import late, sessions
 from . import oracle as O
 from . import tables as tab
+from . import vision
 
 DAY_HALF = 43200.0
 TERMS = {"the": "The", "of": "OF", "and": "and", "le": "Le", "der": "DER"}
@@ -536,6 +537,7 @@ QUERIES = {
         neighbor_noise_alike, read_loop,
     )
 }
+QUERIES |= vision.QUERIES
 
 _R = "round_even"
 _DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
@@ -1025,3 +1027,4 @@ ORACLE_SQL["gate_stats"] = """
     SELECT video_id, count(*) AS sampled, count(*) FILTER (state <> 'no_text') AS with_text, count(*) FILTER (state = 'no_text') AS skipped_no_text, count(*) FILTER (state = 'same') AS skipped_same, count(*) FILTER (state = 'emit') AS calls
     FROM g WHERE rn > 0 GROUP BY video_id
 """
+ORACLE_SQL |= vision.ORACLE_SQL
