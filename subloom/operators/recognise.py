@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PREPROCESS_MODES
+from ..functions import pixels
 from ..functions import text as T
 from ..functions.core import ladder
 from ..functions.scripts import CYRILLIC, Script
@@ -99,7 +100,7 @@ def deep_retry(
     images: DataFrame,
     wanted: DataFrame,
     engine: dict[str, Callable[[], Recogniser]],
-    transform: Callable[[bytes, str], bytes],
+    transform: Callable[[bytes, str], bytes] = pixels.portable_variant,
     preset: str = "recall",
     mode: str = "auto",
     script: Script = CYRILLIC,
@@ -275,8 +276,12 @@ def variants(frames: DataFrame, mode: str = "subtitle") -> DataFrame:
     return frames.select("*", F.explode(each).alias("_v")).select(*frames.columns, "_v.*")
 
 
-def transform_images(images: DataFrame, transform: Callable[[bytes, str], bytes]) -> DataFrame:
-    """Images of each variant by an injected transform."""
+def transform_images(images: DataFrame, transform: Callable[[bytes, str], bytes] = pixels.portable_variant) -> DataFrame:
+    """Images of each variant.
+
+    Portable graymaps and pixmaps are transformed by the library's kernels; a
+    transform of compressed images is injected, as it must decode them first.
+    """
 
     @F.pandas_udf("binary")
     def run(content: pd.Series, variant: pd.Series) -> pd.Series:

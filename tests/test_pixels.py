@@ -122,3 +122,92 @@ def test_components_of_masks(spark):
     rows = [(1, [True, None, True, False]), (2, None), (3, []), (4, [True] * 3), (5, [False] * 4)]
     got = spark.createDataFrame(rows, "k int, m array<boolean>").select("k", P.components_of("m", P.F.lit(2), (1, 1), (1, 1)).alias("c"))
     assert {r.k: None if r.c is None else [tuple(c) for c in r.c] for r in got.collect()} == {1: [(0, 0, 1, 2, 2)], 2: None, 3: None, 4: None, 5: []}
+
+
+def reflected(i, n):
+    return 0 if n == 1 else abs((n - 1) - abs((n - 1 - i) % (2 * (n - 1)))) if not 0 <= i < n else i
+
+
+def test_denoising_by_loops():
+    rng = np.random.default_rng(5)
+    v = (rng.integers(0, 3, (6, 16)) * 40 + rng.integers(0, 9, (6, 16))).astype(np.uint8)
+    h, w = v.shape
+    at = lambda y, x: int(v[reflected(y, h), reflected(x, w)])
+    wide = np.array([[at(y, x) for x in range(-13, w + 13)] for y in range(-13, h + 13)])
+    for y, x in ((0, 0), (5, 15), (2, 7), (3, 1)):
+        mine, top, bottom = wide[y + 10 : y + 17, x + 10 : x + 17], 0.0, 0.0
+        for a in range(-10, 11):
+            for b in range(-10, 11):
+                other = wide[y + 10 + a : y + 17 + a, x + 10 + b : x + 17 + b]
+                weight = np.exp(-((mine - other) ** 2).sum() / 49 / 144)
+                if weight >= 0.001:
+                    top, bottom = top + weight * wide[y + 13 + a, x + 13 + b], bottom + weight
+        assert P.denoised(v)[y, x] == int(top / bottom + 0.5)
+    flat = np.full((20, 30), 77, np.uint8)
+    assert (P.denoised(flat) == flat).all() and (P.prepare(flat[:, :, None], "denoise") == 0).all()
+
+
+def test_modes_by_loops():
+    rng = np.random.default_rng(11)
+    big = rng.integers(0, 256, (9, 40)).astype(np.uint8)
+    h, w = big.shape
+    sigma = 0.3 * (34 * 0.5 - 1) + 0.8
+    g = [np.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-17, 18)]
+    mean = lambda y, x: sum(g[a + 17] * g[b + 17] * big[min(max(y + a, 0), h - 1), min(max(x + b, 0), w - 1)] for a in range(-17, 18) for b in range(-17, 18)) / sum(g) ** 2
+    got = P.local_levels(big, 35, 6)
+    for y, x in ((0, 0), (8, 39), (4, 20), (7, 3)):
+        assert got[y, x] == (255 if int(big[y, x]) - round(mean(y, x)) > 6 else 0)
+
+    def apart(t):
+        low, high = big[big <= t].astype(float), big[big > t].astype(float)
+        return low.size * high.size * (low.mean() - high.mean()) ** 2 if low.size and high.size else 0.0
+
+    best = max(range(256), key=lambda t: (round(apart(t), 3), -t))
+    assert (P.two_levels(big) == np.where(big > best, 255, 0)).all()
+    assert (P.two_levels(np.full((3, 3), 9, np.uint8)) == 255).all()
+
+
+def test_style_of_letters():
+    white, amber = painted(4), painted(4)
+    amber[amber.min(axis=2) > 200] = (20, 200, 230)
+    assert P.style(white) == "white" and P.style(amber) == "yellow"
+    assert P.prepare(amber, "subtitle").max() == 255 and (P.prepare(amber, "subtitle") > 0).mean() < 0.2
+    assert P.prepare(amber, "subtitle").shape == (360, 1920) and P.prepare(amber, "simple").shape == (240, 1280)
+    assert (P.prepare(amber, "auto") == P.prepare(amber, "subtitle", "yellow")).all()
+    assert (P.enlarge(np.full((2, 3, 3), 200, np.uint8), 3) == 200).all()
+
+
+def test_variants_and_portable_images(spark):
+    img = np.arange(50, dtype=np.uint8).reshape(50, 1, 1)
+    assert P.variant(img, "crop_down:none")[:, 0, 0].tolist() == [0, 0, 0, *range(47)]
+    assert P.variant(img, "crop_up:none")[:, 0, 0].tolist() == [*range(3, 50), 49, 49, 49]
+    assert (P.variant(img, "crop:invert") == 255 - P.prepare(img, "grayscale")).all()
+    for sample in (painted(2), painted(1, channels=1)):
+        assert (P.decoded(P.encoded(sample)) == sample).all()
+    assert P.decoded(b"P5 # made by hand\n2\n1 255\n\x01\x02").tolist() == [[[1], [2]]]
+    for bad in (b"", b"P4 1 1 255\n1", b"P5 2 2 255\n1", b"P6 0 1 255\n"):
+        with pytest.raises(ValueError):
+            P.decoded(bad)
+    rows = [(k, img.tobytes(), 1, 50, m) for k, m in enumerate(("crop_up:none", "adaptive", None, "no such"))] + [(9, None, 1, 1, "none"), (10, b"12", 3, 3, "none")]
+    df = spark.createDataFrame(rows, "k int, p binary, w int, h int, m string")
+    got = {r.k: r.p for r in df.select("k", P.prepared(P.F.col("p"), P.F.col("w"), P.F.col("h"), P.F.col("m")).alias("p")).collect()}
+    assert (got[0].width, got[0].height, bytes(got[0].pixels)) == (1, 50, P.variant(img, "crop_up:none").tobytes())
+    assert [(got[k].width, got[k].height) for k in (1, 2, 3)] == [(3, 150)] * 3 and got[2].pixels == got[3].pixels
+    assert all(got[k].pixels is None and got[k].width is None for k in (9, 10))
+
+
+class Meter:
+    """Reads a word where letters are bright enough."""
+
+    def __call__(self, content: bytes) -> tuple[str, float]:
+        img = P.decoded(content)
+        return ("Это наш дом" if (img > 200).mean() > 0.005 else ""), min(0.99, img.shape[0] / 1000)
+
+
+def test_deep_retry_on_portable_images(spark):
+    from subloom.operators import recognise
+
+    rows = [("v", f"{i}", float(i), P.encoded(painted(n))) for i, n in enumerate((4, 4, 0))] + [("w", "0", 0.0, b"no image")]
+    frames = spark.createDataFrame(rows, "video_id string, frame_id string, time double, content binary")
+    out = {(r.video_id, r.frame_id): r for r in recognise.deep_retry(frames.where("video_id = 'v'"), frames.where("frame_id = '0'"), {"meter": Meter}).collect()}
+    assert (out["v", "0"].text, out["v", "0"].outcome) == ("Это наш дом", "deep_vote")
