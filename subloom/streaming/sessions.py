@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scripts import CYRILLIC, Script
 from ..operators.blocks import Session, prepared
 from ..operators.candidates import Gate
 from ..schema import BLOCKS
+from .ordered import OrderedFold, folded
 
 
 def gap_sessions(readings: DataFrame, gap: str, keys: list[str], delay: str | None = None, ts: str = "ts") -> DataFrame:
@@ -27,96 +25,110 @@ def gap_sessions(readings: DataFrame, gap: str, keys: list[str], delay: str | No
 _FIELDS = ["time", "end", "text", "key", "score", "confidence", "suspicious"]
 
 
+class _Sessions(OrderedFold):
+    waiting = "micros long, time double, frame_id string, end double, text string, `key` string, score double, confidence double, suspicious boolean"
+    held = "seen double, no int, start double, end double, readings int, groups array<struct<`key`: string, text: string, n: int, confidence: double, score: double, own: string>>"
+    out = ["video_id", "block_no", "start", "end", "text", "score", "confidence", "readings"]
+
+    def __init__(self, max_gap: float, similarity: float, min_duration: float, slot: float, keep: float):
+        super().__init__(slot, keep)
+        self.max_gap, self.rule = max_gap, (max_gap, similarity, min_duration)
+
+    def _session(self, held: tuple | None) -> tuple[Session, float, int]:
+        session = Session(*self.rule)
+        if held is None:
+            return session, 0.0, 0
+        seen, no, start, end, readings, groups = held
+        if groups:
+            session.restored({"start": start, "end": end, "readings": readings, "keys": {g[1]: g[5] for g in groups}, "groups": [tuple(g)[:5] for g in groups]})
+        return session, seen, no
+
+    @staticmethod
+    def _held(session: Session, seen: float, no: int) -> tuple:
+        groups = [(g.key, g.text, g.count, g.confidence, g.score, session.keys[g.text]) for g in session.groups]
+        return seen, no, session.start, session.end, session.readings, groups
+
+    def fold(self, held: tuple | None, rows: Iterable[tuple]) -> tuple[tuple, list[tuple]]:
+        session, seen, no = self._session(held)
+        given = []
+        for micros, time, _, end, *rest in rows:
+            if (b := session.add(time, end, *rest)) is not None:
+                seen, no = 0.0, no + 1
+                given.append((no, *b.values()))
+            seen = max(seen, micros / 1e6 + (end - time))  # the block's end on the clock of ``ts``
+        return self._held(session, seen, no), given
+
+    def until(self, held: tuple | None) -> float | None:
+        return held[0] + self.max_gap if held is not None and held[5] else None
+
+    def joins(self, held: tuple, row: tuple) -> bool:
+        return row[1] - held[3] <= self.max_gap
+
+    def finish(self, held: tuple) -> tuple[tuple, list[tuple]]:
+        session, _, no = self._session(held)
+        return (0.0, no + 1, 0.0, 0.0, 0, []), [(no + 1, *session.finish().values())]
+
+
 def content_sessions(
-    readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC, keep: float = 3600.0
+    readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC, keep: float = 3600.0, slot: float = 10.0
 ) -> DataFrame:
-    """The batch fold's blocks from a stream (X2). Needs ``ts`` (event time) beside a reading's columns.
+    """The batch fold's blocks from a stream (X2). Needs ``ts`` (event time) beside a reading's columns, and the RocksDB state store.
 
     A video's state is its open block's groups of votes and what waits behind
-    the watermark, so late rows take their place in order.  A block closes when a
-    reading that is past the watermark doesn't join it, or when the watermark has
-    passed its end by the gap.  A video that has been silent for ``keep`` seconds
-    of event time leaves the store; should it come again, its blocks are counted
-    anew.
+    the watermark in slots of ``slot`` seconds, so late rows take their place in
+    order.  A block closes when a reading that is past the watermark doesn't join
+    it, or when the watermark has passed its end by the gap.  A video that has
+    been silent for ``keep`` seconds of event time leaves the store; should it
+    come again, its blocks are counted anew.
     """
+    ready = prepared(readings, script).select("video_id", "ts", "time", "frame_id", *[c for c in _FIELDS if c != "time"])
+    return folded(ready, _Sessions(max_gap, similarity, min_duration, slot, keep), f"{BLOCKS}, readings int", delay)
+
+
+class _Gated(OrderedFold):
+    waiting = "micros long, time double, frame_id string, detected boolean, mask array<boolean>, small array<double>"
+    held = "active boolean, read_at double, mask array<boolean>, small array<double>, has_image boolean, frame_id string, time double, end_time double, seen double"
+    out = ["video_id", "frame_id", "time", "end_time"]
+
+    def __init__(self, rate: float, options: dict, slot: float, keep: float):
+        super().__init__(slot, keep)
+        self.rate, self.options = rate, options
+
+    def fold(self, held: tuple | None, rows: Iterable[tuple]) -> tuple[tuple, list[tuple]]:
+        gate, last, seen, given = Gate(**self.options), None, 0.0, []
+        if held is not None:
+            gate.active, gate.read_at, gate.mask, gate.small, gate.has_image, *last, seen = held
+            last = None if last[0] is None else last
+        for micros, time, frame, detected, mask, small in rows:
+            what, _ = gate.step(time, bool(detected), mask, small)
+            if what == "same" and last:
+                last[2], seen = time + self.rate, micros / 1e6
+            elif last and what in ("emit", "no_text"):
+                given.append(tuple(last))
+                last = None
+            if what == "emit":
+                last, seen = [frame, time, time + self.rate], micros / 1e6
+        lists = [None if x is None else list(x) for x in (gate.mask, gate.small)]
+        return (gate.active, gate.read_at, *lists, gate.has_image, *(last or (None, None, None)), seen), given
+
+    def until(self, held: tuple | None) -> float | None:
+        return held[8] + self.keep / 1000 if held is not None and held[5] is not None else None
+
+    def joins(self, held: tuple, row: tuple) -> bool:
+        return True  # any later frame decides the end of the one before
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"open": None, "seen": 0.0, "wait": [], "no": 0}
-        wait = held["wait"]
-        for part in parts:
-            wait += [[float(t.timestamp()), f, *r] for t, f, *r in part[["ts", "frame_id", *_FIELDS]].itertuples(index=False, name=None)]
-        mark = state.getCurrentWatermarkMs() / 1000
-        wait.sort(key=lambda r: (r[2], str(r[1])))
-        session, done, seen, taken = Session(max_gap, similarity, min_duration).restored(held["open"]), [], held["seen"], 0
-        while taken < len(wait) and wait[taken][0] <= mark:  # in order, up to the first that may still be preceded
-            r = wait[taken]
-            taken += 1
-            if (b := session.add(*r[2:])) is not None:
-                done.append(b)
-                seen = 0.0
-            seen = max(seen, r[0] + (r[3] - r[2]))  # the block's end on the clock of ``ts``
-        wait = wait[taken:]
-        if session.groups and mark > seen + max_gap and not (wait and wait[0][2] - session.end <= max_gap):
-            done.append(session.finish())
-        rows = [{"video_id": key[0], "block_no": held["no"] + i, **b} for i, b in enumerate(done, 1)]
-        if session.groups or wait:
-            state.update((json.dumps({"open": session.state(), "seen": seen, "wait": wait, "no": held["no"] + len(done)}),))
-            latest = max([seen if session.groups else 0.0, *(r[0] + (r[3] - r[2]) for r in wait)])
-            state.setTimeoutTimestamp(int(max(latest + max_gap, mark) * 1000) + 1)
-        elif state.hasTimedOut:  # nothing came since the last block was given out
-            state.remove()
-        else:  # only the count, until the video has been silent for long
-            state.update((json.dumps({"open": None, "seen": 0.0, "wait": [], "no": held["no"] + len(done)}),))
-            state.setTimeoutTimestamp(int((mark + keep) * 1000) + 1)
-        yield pd.DataFrame(rows, columns=["video_id", "block_no", "start", "end", "text", "score", "confidence", "readings"])
-
-    ready = prepared(readings, script).select("video_id", "ts", "frame_id", *_FIELDS).withWatermark("ts", delay)
-    return ready.groupBy("video_id").applyInPandasWithState(step, f"{BLOCKS}, readings int", "held string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, keep: float = 3600.0, **options) -> DataFrame:
-    """Frames to read, from a stream, each with its end once that is final (X3). Needs ``ts`` beside the batch gate's columns.
+    def finish(self, held: tuple) -> tuple[tuple, list[tuple]]:
+        return (*held[:5], None, None, None, 0.0), [tuple(held[5:8])]
+
+
+def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, keep: float = 3600.0, slot: float = 10.0, **options) -> DataFrame:
+    """Frames to read, from a stream, each with its end once that is final (X3). Needs ``ts`` beside the batch gate's columns, and the RocksDB state store.
 
     A row is given out when the next one is emitted or text has gone, so its end
-    no longer changes; the last of a stream waits for a timer.  A video that has
-    been silent for ``keep`` seconds of event time leaves the store.
+    no longer changes; the last of a stream is given out after ``keep`` seconds of
+    event time without another.  A video that has then been silent for as long
+    again leaves the store.
     """
-    schema = "video_id string, frame_id string, time double, end_time double"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"gate": None, "last": None, "wait": []}
-        for part in parts:
-            for r in part.itertuples():
-                held["wait"].append([float(r.ts.timestamp()), r.time, r.frame_id, bool(r.detected), None if r.mask is None else [bool(x) for x in r.mask], None if r.small is None else [float(x) for x in r.small]])
-        mark = state.getCurrentWatermarkMs() / 1000
-        held["wait"].sort(key=lambda r: (r[1], str(r[2])))
-        gate, out = Gate(**options), []
-        if held["gate"]:
-            gate.__dict__.update(held["gate"])
-        wait, taken = held["wait"], 0
-        while taken < len(wait) and wait[taken][0] <= mark:
-            _, t, frame, detected, mask, small = wait[taken]
-            taken += 1
-            what, _ = gate.step(t, detected, mask, small)
-            if what == "same" and held["last"]:
-                held["last"][1:] = [held["last"][1], t + rate]
-            elif held["last"] and what in ("emit", "no_text"):
-                out.append((key[0], held["last"][0], held["last"][1], held["last"][2]))
-                held["last"] = None
-            if what == "emit":
-                held["last"] = [frame, t, t + rate]
-        wait = wait[taken:]
-        if state.hasTimedOut and held["last"] and not wait:
-            out.append((key[0], *held["last"]))
-            held["last"] = None
-        if state.hasTimedOut and not wait and held["last"] is None and not out:
-            state.remove()  # silent since its last row was given out
-        else:
-            kept = {k: (v if not hasattr(v, "tolist") else v.tolist()) for k, v in gate.__dict__.items()}
-            state.update((json.dumps({"gate": kept, "last": held["last"], "wait": wait}),))
-            until = max([mark, *(r[0] for r in wait)]) + rate if held["last"] or wait else mark + keep
-            state.setTimeoutTimestamp(int(until * 1000) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "frame_id", "time", "end_time"])
-
-    ready = frames.select("video_id", "ts", "frame_id", "time", "detected", "mask", "small").withWatermark("ts", delay)
-    return ready.groupBy("video_id").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = {"mask": "array<boolean>", "small": "array<double>"}
+    ready = frames.select("video_id", "ts", "time", "frame_id", "detected", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    return folded(ready, _Gated(rate, options, slot, keep), "video_id string, frame_id string, time double, end_time double", delay)

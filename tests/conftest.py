@@ -24,6 +24,7 @@ def spark():
         .config("spark.driver.memory", "3g")
         .config("spark.sql.warehouse.dir", f"{work}/warehouse")
         .config("spark.checkpoint.dir", f"{work}/shared")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
