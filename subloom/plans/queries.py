@@ -13,9 +13,11 @@ from ..functions.similarity import similarity
 from ..operators import blocks as B
 from ..operators import candidates as C
 from ..operators import enrich, grid, quality, recognise, reports, timeline
+from ..schema import BLOCKS
 from ..shared import noted, scratch, settled, written
 from ..sources import inputs, srt
 from ..streaming import late, sessions
+from ..streaming.ordered import session_with_store
 from . import oracle as O
 from . import tables as tab
 from . import vision
@@ -481,6 +483,26 @@ def late_row_counts(spark: SparkSession, d: str) -> DataFrame:
     return settled(late.late_counts(_replayed(spark, d)), "late-counts", mark).withColumn("worst", F.round("worst", 3))
 
 
+def stream_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of events that arrive out of order, in runs of a stream that goes on where the last one stopped; the last run only moves the watermark."""
+    mark = noted(spark)
+    rows = tab.event_readings(spark, d).drop("event_id", "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    width, delay, end = 30 * 86400, 900000, "~"
+    arrival = F.floor((F.col("time") + F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) * delay) / width)  # later by less than the delay
+    rows = written(rows.withColumn("arrival", arrival), "stream-arrivals")
+    last = rows.agg(F.max("ts").alias("ts")).select(F.lit(end).alias("video_id"), F.lit("").alias("frame_id"), (F.col("ts") + F.make_dt_interval(F.lit(60))).alias("ts"), F.lit(0.0).alias("time"), F.lit(0.0).alias("end"), F.lit("").alias("text"), F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"))
+    name, own = scratch(spark, "stream-blocks"), session_with_store(spark)
+    schema = rows.drop("arrival").schema
+    runs = [rows.where(F.col("arrival") == n).drop("arrival") for (n,) in sorted(rows.where("arrival is not null").select("arrival").distinct().collect())]  # a run a month, however many events
+    for part in [*runs, last.where("ts is not null").select(*schema.names)]:
+        part.write.mode("append").parquet(f"{name}/source")
+        stream = own.readStream.schema(schema).parquet(f"{name}/source")
+        blocks = sessions.content_sessions(stream, f"{delay + 60} seconds", DAY_HALF, script=LATIN, keep=1e9, slot=float(delay))
+        blocks.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"{BLOCKS}, readings int").parquet(f"{name}/out").where(F.col("video_id") != end)
+    return _rounded(settled(out, "stream-blocks-out", mark))
+
+
 def language_checks(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     df = tab.document_readings(spark, d)
@@ -533,7 +555,7 @@ QUERIES = {
         normalize_text, merge_key, char_profile, ocr_score, clean_reason_counts, noise_reasons, best_reading, rejection_counts, engine_counts, confidence_hist_equal, confidence_hist_quality,
         confidence_stats, blocks_exact, blocks_voted, block_report, block_votes, neighbor_noise, change_detection_diff, mask_jaccard, extraction_stats, gate_stats, gate_frames, common_region,
         temporal_neighbors_top5, call_cap, preset_grid, preset_choice, benchmark_report, benchmark_metrics, ocr_report, glossary_rewrite, corrections, translate_cached, translation_summary, timing_conformance,
-        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, late_rows, late_row_counts, observation_keys, region_settings, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
+        srt_lines, cleanup_blocks, candidate_signature, report_scan, progress_ladder, batch_progress, log_history, ratio_similarity, gap_sessions, deep_votes, deep_votes_alike, late_rows, late_row_counts, stream_blocks, observation_keys, region_settings, language_checks, sample_files, quality_report, quality_report_text, preset_trial, region_trial, blocks_alike, votes_alike,
         neighbor_noise_alike, read_loop,
     )
 }
@@ -765,7 +787,7 @@ ORACLE_SQL = {
         s AS (SELECT *, sum(b) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT video_id, round(min(t), 3) AS start, round(max(t) + 21600, 3) AS "end", count(*) AS readings, round(max(confidence), 6) AS confidence FROM s GROUP BY video_id, k""",
 }
-ORACLE_SQL["blocks_voted"] = ORACLE_SQL["blocks_exact"]
+ORACLE_SQL["blocks_voted"] = ORACLE_SQL["stream_blocks"] = ORACLE_SQL["blocks_exact"]
 _PARTED = f"regexp_replace({O.norm('text')}, '([{LATIN.lower}])([{LATIN.upper}])', '\\1 \\2', 'g')"
 _TIDY = f"trim(regexp_replace({_PARTED}, '[ ]+([,.!?;:])', '\\1', 'g'), {O.q(T.PUNCTUATION)})"
 ORACLE_SQL["cleanup_blocks"] = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -59,6 +59,7 @@ class OrderedFold(StatefulProcessor):
         self.slots = handle.getMapState("waiting", "slot long", f"rows array<struct<{self.waiting}>>")
         self.open = handle.getValueState("held", self.held)
         self.silent = handle.getValueState("silent", "since long")
+        self.mark, self.settled = None, set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         new: dict[int, list[tuple]] = {}
@@ -74,10 +75,15 @@ class OrderedFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
+        if mark != self.mark:
+            self.mark, self.settled = mark, set()
+        if key in self.settled:  # the first of a batch's timers has taken all that was due
+            return
+        self.settled.add(key)
         held = tuple(self.open.get()) if self.open.exists() else None
         slots, given = sorted(k for (k,) in self.slots.keys()), []
         due = [k for k in slots if self._end(k) <= mark]
-        for k in due:  # all that are due at once: the timers of the others find nothing
+        for k in due:
             held, more = self.fold(held, self._sorted(k))
             self.slots.removeKey((k,))
             given += more
@@ -112,11 +118,20 @@ class OrderedFold(StatefulProcessor):
         return sorted(map(tuple, self.slots.getValue((slot,))[0]), key=lambda r: (r[1], str(r[2])))
 
 
+def session_with_store(spark: SparkSession) -> SparkSession:
+    """A session of its own with the RocksDB store, for streams with typed state; the caller's stays as it is."""
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set(PROVIDER, ROCKSDB)
+    return own
+
+
 def folded(rows: DataFrame, processor: OrderedFold, schema: str, delay: str) -> DataFrame:
     """A stream's rows (video_id, ts, then the processor's) through an ordered fold, a video at a time."""
     spark = rows.sparkSession
     if not spark.conf.get(PROVIDER).endswith("RocksDBStateStoreProvider"):
-        raise ValueError(f"{PROVIDER} must be {ROCKSDB}: maps and timers are in its store")
+        raise ValueError(f"{PROVIDER} must be {ROCKSDB} (see session_with_store): maps and timers are in its store")
     others = [F.col(c) for c in rows.columns if c not in ("video_id", "ts")]
     late = rows.withWatermark("ts", delay)
     ready = late.select("video_id", F.unix_micros("ts").alias("micros"), *others, "ts")

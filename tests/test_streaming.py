@@ -88,3 +88,39 @@ def test_late_rows_are_kept(spark, tmp_path):
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     late.route_late(spark.readStream.schema(schema).parquet(source), out, check, 10.0)
     assert sorted((r.k, r.late) for r in late.routed(spark, out, schema).collect()) == sorted(w[:2] for w in want)
+
+
+def test_streams_go_on_after_a_stop_and_leave_no_state(spark, tmp_path):
+    """Many runs, each a stream of its own over what came since: blocks as in the batch, the store holds what waits and is empty in the end."""
+    source, out, check = (str(tmp_path / x) for x in ("source", "out", "check"))
+    texts = ["дом", "дом", "дома", "лес", "лес!", "гора"]
+    rows = [(v, f"{i:04d}", i * 0.9, i * 0.9 + 0.5, texts[(i * 7 // 3 + len(v)) % 6], 1.0, 0.5 + i % 40 / 100) for v in ("a", "bb", "ccc") for i in range(60) if (i + len(v)) % 11]
+    arrivals = [[r for r in rows if int((r[2] + (int(r[1]) * 37 % 13)) // 15) == n] for n in range(5)]
+    assert sum(map(len, arrivals)) == len(rows) and any(a[-1] > b[0] for a, b in zip([[r[2] for r in x] for x in arrivals], [[r[2] for r in x] for x in arrivals[1:]], strict=False))
+    waiting = []
+    for part in [*arrivals, [("~", "0", 500.0, 500.1, "x", 1.0, 0.5)], [("~", "1", 900.0, 900.1, "x", 1.0, 0.5)], []]:
+        with_ts(spark.createDataFrame(part, OBS)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(with_ts(spark.createDataFrame([], OBS)).schema).parquet(source)
+        blocks = sessions.content_sessions(stream, "20 seconds", keep=60.0, slot=4.0)
+        blocks.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "waiting").load(check)
+        waiting.append(state.where("key.video_id <> '~'").count())
+    got = spark.read.parquet(out).where("video_id <> '~'")
+    batch = B.build_blocks(spark.createDataFrame(rows, OBS))
+    key = lambda df: sorted((r.video_id, r.block_no, r.start, r.end, r.text, r.confidence, r.readings) for r in df.collect())
+    assert key(got) == key(batch) and len(key(got)) > 10
+    assert max(waiting) > 0 and waiting[-1] == 0
+    for name in ("held", "silent"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(check).where("key.video_id <> '~'").count() == 0
+
+
+def test_typed_state_needs_its_store(spark):
+    import pytest
+
+    from subloom.streaming import ordered
+
+    plain = spark.newSession()
+    plain.conf.set(ordered.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    with pytest.raises(ValueError, match="RocksDB"):
+        sessions.content_sessions(with_ts(plain.createDataFrame([], OBS)))
+    assert ordered.session_with_store(plain).conf.get(ordered.PROVIDER) == ordered.ROCKSDB
