@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,7 @@ class Gate:
     def __init__(self, hybrid: bool = True, threshold: float = 7.5, similarity: float = 0.9, min_gap: float = 2.0, detect_changes: bool = False):
         self.diffing, self.threshold = hybrid or detect_changes, threshold
         self.similarity, self.min_gap = similarity, min_gap
+        self.nearly = float(Decimal("0.75") * Decimal(repr(float(similarity))))  # 0.75 * 0.4 in doubles is over 0.3
         self.active, self.read_at, self.mask, self.small, self.has_image = False, None, None, None, False
 
     @staticmethod
@@ -70,7 +72,7 @@ class Gate:
         alike = self.jaccard(self.mask, mask)
         moved = self.active and diff >= self.threshold
         waited = self.read_at is None or t - self.read_at >= self.min_gap
-        if self.active and not moved and (alike > self.similarity or (alike >= 0.75 * self.similarity and not waited and self.has_image)):
+        if self.active and not moved and (alike > self.similarity or (alike >= self.nearly and not waited and self.has_image)):
             return "same", diff
         self.active, self.read_at, self.mask, self.has_image = True, t, mask, True
         if self.diffing:

@@ -109,3 +109,12 @@ def test_neighbours_of_very_many_frames_of_one_time(spark):
     rows = spark.range(100_000).select(F.lit("v").alias("video_id"), F.format_string("%06d", "id").alias("frame_id"), F.lit(5.0).alias("time"))
     out = C.neighbours(rows)
     assert out.count() == 500_000 and out.select("neighbour_id").distinct().count() == 5
+
+
+def test_gate_bound_of_nearly_alike_masks_is_exact():
+    """Masks alike by exactly three quarters of 0.4 are the same text while the last reading is near; 0.75 * 0.4 in doubles is over 0.3."""
+    first, then = [True] * 5 + [False] * 5, [False] * 2 + [True] * 8
+    gate = C.Gate(threshold=0.2, similarity=0.4)
+    assert C.Gate.jaccard(first, then) == 0.3
+    assert gate.step(0.0, True, first, [0.0])[0] == "emit"
+    assert gate.step(1.0, True, then, [0.0])[0] == "same"
