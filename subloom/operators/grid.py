@@ -13,6 +13,16 @@ from . import quality
 from .candidates import common_region, is_candidate
 
 
+def _under(presets: list[str] | None, script: Script) -> Column:
+    return T.clean_under(F.coalesce("text", F.lit("")), [(name, *PRESETS[name][:2]) for name in presets or list(PRESETS)], script)
+
+
+def cleaned(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC) -> DataFrame:
+    """Readings under every preset's cleaner alone: adds preset, cleaned, reason; what is kept of them is ``evaluate``'s to tell."""
+    df = readings.select("*", F.explode(_under(presets, script)).alias("_x"))
+    return df.withColumns({"preset": F.col("_x.preset"), "cleaned": F.col("_x.r.cleaned"), "reason": F.col("_x.r.reason")}).drop("_x")
+
+
 def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Script = CYRILLIC, noise_mode: str = "standard", sanity: str = "off") -> DataFrame:
     """Readings under every preset: adds preset, cleaned, reason, emitted, kept, rejection, score; one row for each pair.
 
@@ -22,7 +32,7 @@ def evaluate(readings: DataFrame, presets: list[str] | None = None, script: Scri
     its own row, from features that they share, each different cleaned text is
     judged once, and then they are unfolded, so readings aren't joined or moved.
     """
-    each = T.clean_under(F.coalesce("text", F.lit("")), [(name, *PRESETS[name][:2]) for name in presets or list(PRESETS)], script)
+    each = _under(presets, script)
 
     def judged(found: Column) -> Column:
         accepted = F.filter(found, lambda x: (x["r"]["reason"] == "accepted") & (x["r"]["cleaned"] != ""))

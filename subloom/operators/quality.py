@@ -104,9 +104,14 @@ def observations(chosen: DataFrame, noise_mode: str = "standard", script: Script
 
 
 def rejection_counts(df: DataFrame, column: str = "rejection") -> DataFrame:
-    """reason, n: reasons parted at commas; blank ones count as ``empty``."""
-    part = F.explode(F.split(F.col(column), ",")).alias("reason")
-    return df.where(F.col(column).isNotNull()).select(part).select(F.when(F.trim("reason") == "", F.lit("empty")).otherwise(F.trim("reason")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """reason, n: reasons parted at commas; blank ones count as ``empty``, null ones not at all.
+
+    Whole ones are counted first, so that a reason is made once a row: a filter
+    on it would be pushed to the scan and make it there again.
+    """
+    whole = df.groupBy(F.col(column).alias("_whole")).agg(F.count("*").alias("_n"))
+    part = whole.select(F.explode(F.split("_whole", ",")).alias("reason"), "_n")
+    return part.select(F.when(F.trim("reason") == "", F.lit("empty")).otherwise(F.trim("reason")).alias("reason"), "_n").groupBy("reason").agg(F.sum("_n").alias("n"))
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: Column | int) -> DataFrame:

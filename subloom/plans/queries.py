@@ -60,7 +60,7 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d).groupBy("preset", "reason").agg(F.count("*").alias("n"))
+    return grid.cleaned(tab.document_readings(spark, d), script=LATIN).groupBy("preset", "reason").agg(F.count("*").alias("n"))
 
 
 def noise_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def best_reading(spark: SparkSession, d: str) -> DataFrame:
 
 def rejection_counts(spark: SparkSession, d: str) -> DataFrame:
     df = quality.clean(tab.document_readings(spark, d), "balanced", LATIN)
-    return quality.rejection_counts(df.where("reason <> 'accepted'"), "reason")
+    return quality.rejection_counts(df, "reason").where("reason <> 'accepted'")
 
 
 def engine_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -544,7 +544,7 @@ def read_loop(spark: SparkSession, d: str) -> DataFrame:
 def sample_files(spark: SparkSession, d: str) -> DataFrame:
     """The samples file's lines, numbered."""
     mark = noted(spark)
-    seen = _seen(spark, d, "balanced").withColumn("video_id", F.lit("all"))
+    seen = written(_seen(spark, d, "balanced").withColumn("video_id", F.lit("all")), "observations")
     text = settled(inputs.samples_text(inputs.samples(seen)), "samples", mark)
     return text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 

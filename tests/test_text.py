@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from subloom.config import PRESETS
 from subloom.functions import text as T
 from subloom.functions import timecode
+from subloom.functions.scripts import LATIN
 from subloom.functions.similarity import ratio, similarity
 
 
@@ -132,3 +133,34 @@ def test_similarity_is_that_of_difflib(spark):
     rows = df.select(ratio(F.col("a"), F.col("b")).alias("r"), similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r.r for r in rows][:2] == [0.25, 0.5]
     assert rows[2].s == 1.0 and rows[3].s == 1.0 and rows[4].s == 0.0 and rows[5].r is None
+
+
+def test_rules_count_without_lists():
+    """Counts are lengths of what is left of a text, and ranges within Latin-1 are spelt out; no list of single characters is made."""
+    assert T.members("a-cÀ-Â") == "abcÀÁÂ" and T.members("Ѐ-ӿ") == "Ѐ-ӿ" and T.members(r"\p{L}") == r"\p{L}"
+    assert set(T.capitals(LATIN)) >= set("AZÀÞ") and not set(T.capitals(LATIN)) & set("azßÿ")
+
+
+def test_counts_and_repeats_of_odd_texts(spark):
+    texts = ["aÖ×b 1!k", "aabb", "aaBb c", "aaa", "aab", "ÉÉÉÉAB x", "éééé"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(T.count_script(F.col("t"), LATIN)).collect()] == [4, 4, 5, 3, 3, 7, 4]
+    got = [r[0] for r in df.select(T.noise_reasons(F.col("t"), LATIN)).collect()]
+    assert ["repeated_letters" in x for x in got] == [False, True, True, True, False, True, True]
+    assert ["random_uppercase_sequence" in x for x in got] == [False] * 5 + [True, False]
+
+
+def test_rejections_are_made_once_a_row(spark):
+    """No filter on a reason is pushed to the scan, where it would clean each text again."""
+    from subloom.plans import queries
+
+    plan = queries.rejection_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("x85") == 1 and "Filter" not in plan.split("Relation")[0].split("Repartition")[-1]
+
+
+def test_reason_counts_judge_nothing(spark):
+    """The cleaner's reasons are counted without the noise filter's verdict on each text."""
+    from subloom.plans import queries
+
+    plan = queries.clean_reason_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "noise_filter" not in plan
