@@ -211,3 +211,15 @@ def test_deep_retry_on_portable_images(spark):
     frames = spark.createDataFrame(rows, "video_id string, frame_id string, time double, content binary")
     out = {(r.video_id, r.frame_id): r for r in recognise.deep_retry(frames.where("video_id = 'v'"), frames.where("frame_id = '0'"), {"meter": Meter}).collect()}
     assert (out["v", "0"].text, out["v", "0"].outcome) == ("Это наш дом", "deep_vote")
+
+
+def test_results_of_a_batch_are_flat_arrays():
+    """A batch's masks, thumbnails and components are made as Arrow arrays, without an object a row; what is no image has nulls."""
+    import pyarrow as pa
+
+    blank = bytes(8 * 4)
+    args = pa.array([blank, None, blank], pa.binary()), pa.array([8, 8, 5]), pa.array([4, 4, 4]), pa.array([0.32] * 3)
+    got = P._text_of.func(*args)
+    assert isinstance(got, pa.StructArray) and len(got) == 3
+    assert [x["mask"] is None for x in got.to_pylist()] == [x["components"] is None for x in got.to_pylist()] == [False, True, True]
+    assert got[0].as_py()["components"] == [] and got[0].as_py()["bright"] == 0.0
