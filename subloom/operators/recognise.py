@@ -122,7 +122,8 @@ def deep_retry(
     each = variants(shots, mode)
     ranks = each.sparkSession.createDataFrame(list(enumerate(variant_names(mode))), "variant_rank int, variant string")
     readings = written(read(transform_images(each, transform), engine, seconds), "deep-readings").where("status = 'ok'")
-    cleaned = quality.noise(quality.clean(readings, preset, script), "cleaned", "standard", script)
+    cleaned = quality.noise(quality.clean(readings, preset, script), "cleaned", "standard", script).select("video_id", "frame_id", "variant", "cleaned", "confidence", "reason", "noise")
+    cleaned = written(cleaned, "deep-cleaned")  # a filter on reasons would be pushed to the scan and clean each text once more for each use
     fit = cleaned.where((F.col("reason") == "accepted") & (~F.col("noise.suspicious") | F.col("noise.is_valid_short"))).join(F.broadcast(ranks), "variant")  # a row for each variant
     fit = fit.select("video_id", F.col("frame_id").alias("neighbour_id"), "variant_rank", F.col("cleaned").alias("text"), "confidence")
     cast = near.select("video_id", "frame_id", "neighbour_id", F.col("rank").alias("neighbour_rank")).join(fit, ["video_id", "neighbour_id"])
@@ -140,8 +141,9 @@ def recovered(chosen: DataFrame, retried: DataFrame, noise_mode: str = "standard
     that aren't suspicious.
     """
     again = retried.select("video_id", "frame_id", F.col("text").alias("_text"), F.col("confidence").alias("_confidence"), "outcome")
-    df = quality.noise(chosen.join(again, ["video_id", "frame_id"], "left"), "text", noise_mode, script)
     tried, found = F.col("outcome").isNotNull(), F.coalesce(F.col("_text") != "", F.lit(False))
+    met = chosen.join(again, ["video_id", "frame_id"], "left").withColumn("_doubt", F.when(tried & ~found, F.col("text")))
+    df = quality.noise(met, "_doubt", noise_mode, script)  # other texts aren't looked at
     lost = tried & ~found & F.col("noise.suspicious") & ~F.col("noise.is_valid_short")
     return df.withColumns(
         {

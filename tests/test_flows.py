@@ -262,3 +262,14 @@ def test_read_loop_routes_and_calls(spark, tmp_path):
     assert seen["005"].route == "late" and seen["006"].route == "clean"
     calls = [(f.name.split("-")[0], f.read_text()) for f in log.iterdir()]
     assert len(calls) == len(set(calls)) and ("late", "Это наш дом") not in calls and ("late", "медленно") not in calls
+
+
+def test_recovered_looks_at_doubtful_texts_only(spark):
+    """Frames that weren't retried, or were recovered, aren't judged for noise; what the retry leaves is as before."""
+    from subloom.operators import recognise as R
+
+    chosen = spark.createDataFrame([("v", "1", "zr tk", 0.5, "accepted", True), ("v", "2", "zr tk", 0.5, "accepted", True), ("v", "3", "zr tk", 0.5, "accepted", True)], "video_id string, frame_id string, text string, confidence double, reason string, accepted boolean")
+    retried = spark.createDataFrame([("v", "1", "дом у реки", 0.9, "deep_vote"), ("v", "2", "", 0.0, "deep_no_text")], "video_id string, frame_id string, text string, confidence double, outcome string")
+    out = R.recovered(chosen, retried)
+    assert {(r.frame_id, r.text, r.accepted, r.deep) for r in out.collect()} == {("1", "дом у реки", True, "recovered"), ("2", "", False, "rejected"), ("3", "zr tk", True, None)}
+    assert "_doubt" in out._jdf.queryExecution().analyzed().toString()
