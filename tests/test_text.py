@@ -164,3 +164,21 @@ def test_reason_counts_judge_nothing(spark):
 
     plan = queries.clean_reason_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "noise_filter" not in plan
+
+
+def test_lines_of_a_long_text_are_looked_at_until_it_is_too_long(spark):
+    long = "\n".join(["The river was cold and the stone was old"] * 8)
+    texts = [long, long + "\nlicensed\nunder the stone", "licensed\nunder", long + "\nwww", "the river", ""]
+    for rule, most in T.LONGEST.items():
+        got = column(spark, texts, lambda t, rule=rule: T.clean_with_reason(t, rule, 0.3, 3, LATIN)["reason"])
+        assert got[:2] == [f"too_long_{rule}", "credit_or_technical_text"] and got[3] == f"too_long_{rule}"
+        assert len(long) > most
+    plan = spark.createDataFrame([("",)], "t string").select(T.clean_with_reason(F.col("t"), "balanced", 0.3, 3, LATIN))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan  # a fold, which stops looking
+
+
+def test_words_in_one_string_are_trimmed_like_a_list(spark):
+    texts = ["x the x", "x y z", "a", "", "I", "the b c d stone", "the b c d", "x I am y x", "b c d", "é the", "Y x"]
+    as_list = column(spark, texts, lambda t: F.array_join(T.trim_noise_words(T.words(t, LATIN), LATIN), " "))
+    assert column(spark, texts, lambda t: T.trim_spaced(T.spaced(t, LATIN), LATIN)) == as_list
+    assert column(spark, ["12 the, a\tb", "the  of", "..", "the.of"], lambda t: T.spaced(t, LATIN)) == ["the a b", "the of", "", "the of"]
