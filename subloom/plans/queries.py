@@ -506,7 +506,8 @@ def stream_blocks(spark: SparkSession, d: str) -> DataFrame:
 def language_checks(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     df = tab.document_readings(spark, d)
-    return df.select("doc_id", T.has_good_language(t, LATIN).alias("good"), T.is_acceptable_recovery(t, LATIN).alias("acceptable"), T.looks_like_damaged_sentence(t, LATIN).alias("damaged"), T.is_short_noise(t, LATIN).alias("short_noise"), T.is_fragment_noise(t, LATIN).alias("fragments"))
+    df = df.withColumn("good", T.has_good_language(t, LATIN))
+    return df.select("doc_id", "good", T.is_acceptable_recovery(t, LATIN, F.col("good")).alias("acceptable"), T.looks_like_damaged_sentence(t, LATIN).alias("damaged"), T.is_short_noise(t, LATIN).alias("short_noise"), T.is_fragment_noise(t, LATIN).alias("fragments"))
 
 
 #: What the stand-in of a costly engine reads, by the length of an image.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,16 @@ def test_words_in_one_string_are_trimmed_like_a_list(spark):
     as_list = column(spark, texts, lambda t: F.array_join(T.trim_noise_words(T.words(t, LATIN), LATIN), " "))
     assert column(spark, texts, lambda t: T.trim_spaced(T.spaced(t, LATIN), LATIN)) == as_list
     assert column(spark, ["12 the, a\tb", "the  of", "..", "the.of"], lambda t: T.spaced(t, LATIN)) == ["the a b", "the of", "", "the of"]
+
+
+def test_rules_that_stop_at_the_first_word(spark):
+    texts = ["the", "The stone", "other", "x the", "été le", "Über UND", "", "b.of.c", "aTHE", "que?"]
+    assert column(spark, texts, lambda t: T.has_common(t, LATIN)) == [n > 0 for n in column(spark, texts, lambda t: T.common_count(t, LATIN))]
+    assert T.small_letters(LATIN) and not T.small_letters(replace(LATIN, lower="à-яa-z"))
+    few = ["e", "a b c", "ab " * 9 + "x", "ab " * 9 + "xy", "12", "stone " * 4]
+    assert column(spark, few, lambda t: T.is_short_noise(t, LATIN)) == [True, True, True, False, False, False]
+
+
+def test_a_known_good_language_is_not_judged_again(spark):
+    df = spark.createDataFrame([("brst",)], "t string")
+    assert df.select(T.is_acceptable_recovery(F.col("t"), LATIN, F.lit(True)), T.is_acceptable_recovery(F.col("t"), LATIN)).first()[:] == (True, False)
