@@ -240,8 +240,13 @@ def _few_vowels(joined: Column, own: Column, share: float, script: Script) -> Co
 
 def has_common(text: Column, script: Script = CYRILLIC) -> Column:
     """Whether ``common_count`` finds a word; the first one is enough."""
+    return _common_in(normalize(text), script)
+
+
+def _common_in(t: Column, script: Script) -> Column:
+    """The same of a normal text."""
     one = f"[{members(script.letters)}]"
-    return F.lower(normalize(text)).rlike(f"(?<!{one})(?:{'|'.join(map(re.escape, script.common))})(?!{one})") if script.common else F.lit(False)
+    return F.lower(t).rlike(f"(?<!{one})(?:{'|'.join(map(re.escape, script.common))})(?!{one})") if script.common else F.lit(False)
 
 
 def _noise_rules(f: Column, short: Column, script: Script) -> list[tuple[str, Column]]:
@@ -314,7 +319,7 @@ def has_good_language(text: Column, script: Script = CYRILLIC) -> Column:
 
     def of(f: Column) -> Column:
         t, chars = f["t"], f["own"]
-        enough = (chars >= 12) | has_common(t, script) | (_long(f["w"], 3) >= 2)
+        enough = (chars >= 12) | _common_in(t, script) | (_long(f["w"], 3) >= 2)
         rules = dict(_noise_rules(f, f["short"], script))
         noisy = reduce(or_, [rules.pop("repeated_letters"), *rules.values()])  # the first that holds settles it
         return (chars > 0) & (f["short"] | ((chars >= 5) & enough & ~noisy & ~_few_vowels(f["joined"], chars, 0.22, script)))
@@ -369,7 +374,7 @@ def language_sanity(text: Column, script: Script = CYRILLIC) -> Column:
     """struct(valid, repaired, reason) by the local rules (P10)."""
 
     def rules(r: Column) -> Column:
-        valid = has_common(r, script) | looks_like_damaged_sentence(r, script)
+        valid = _common_in(r, script) | looks_like_damaged_sentence(r, script)
         reason = F.when(valid, F.lit("local_language_sanity")).otherwise(F.lit("language_sanity_noise"))
         return F.struct(valid.alias("valid"), r.alias("repaired"), reason.alias("reason"))
 

@@ -127,10 +127,13 @@ def samples(observations: DataFrame, n: int = 100) -> DataFrame:
     At most ``n`` of each; rejected readings are cut at 300 characters, and blank
     ones are none.
     """
-    shown = F.when(F.col("emitted"), F.col("text")).otherwise(F.substring(normalize(F.col("raw")), 1, 300))
     w = Window.partitionBy("video_id", "emitted").orderBy("time", "frame_id")
-    df = observations.select("video_id", "time", "frame_id", "emitted", "rejection", shown.alias("text")).where("text <> ''")
-    return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("video_id", "emitted", "k", "rejection", "text")
+    own = F.when(F.col("emitted"), F.col("text")).otherwise(F.col("raw"))
+    there = F.when(F.col("emitted"), F.col("text") != "").otherwise(F.col("raw").rlike(r"(?U)[^\s\x1c-\x1f]"))  # a rejected reading is tidied once it is known to be a sample
+    df = observations.where(there).select("video_id", "time", "frame_id", "emitted", "rejection", own.alias("text"))
+    first = df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    shown = F.when(F.col("emitted"), F.col("text")).otherwise(F.substring(normalize(F.col("text")), 1, 300))
+    return first.select("video_id", "emitted", "k", "rejection", shown.alias("text"))
 
 
 def samples_text(listed: DataFrame) -> DataFrame:

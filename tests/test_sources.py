@@ -92,3 +92,11 @@ def test_exact_median(spark):
     whole = reports.exact_median(spark.createDataFrame(rows, "k string, x double"), [], "x").first()["median"]
     assert whole == statistics.median([x for _, x in rows if x is not None and x == x])
     assert reports.exact_median(spark.createDataFrame([], "k string, x double"), ["k"], "x").collect() == []
+
+
+def test_only_samples_are_tidied(spark):
+    rows = [("v", float(i), f"{i}", False, "why", "", raw) for i, raw in enumerate(["  a \t b ", " \t\x1c\n", "", None, "c" * 400])] + [("v", 9.0, "9", True, None, "kept", "x")]
+    seen = spark.createDataFrame(rows, "video_id string, time double, frame_id string, emitted boolean, rejection string, text string, raw string")
+    out = inputs.samples(seen, 5)
+    assert sorted((r.emitted, r.k, r.text) for r in out.collect()) == [(False, 1, "a b"), (False, 2, "c" * 300), (True, 1, "kept")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # not in a filter before the cut too
