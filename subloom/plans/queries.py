@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Crop, Options, call_limit, presets_table
 from ..functions import arrays, timecode
@@ -483,21 +484,36 @@ def late_row_counts(spark: SparkSession, d: str) -> DataFrame:
     return settled(late.late_counts(_replayed(spark, d)), "late-counts", mark).withColumn("worst", F.round("worst", 3))
 
 
+#: Rows of a lane and of a store of ``stream_blocks``, over all its runs: a lane's videos share calls, a store is opened in each batch.
+LANE_ROWS, STORE_ROWS = 1 << 14, 1 << 20
+
+
 def stream_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of events that arrive out of order, in runs of a stream that goes on where the last one stopped; the last run only moves the watermark."""
+    """Blocks of events that arrive out of order, in runs of a stream that goes on where the last one stopped; the last run only moves the watermark.
+
+    Lanes and stores of the stream grow with the rows, a lane's work doesn't.  Only
+    the last run makes batches without rows: before it, the next run's batch gives
+    out what the watermark has passed.
+    """
     mark = noted(spark)
     rows = tab.event_readings(spark, d).drop("event_id", "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
     width, delay, end = 30 * 86400, 900000, "~"
     arrival = F.floor((F.col("time") + F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) * delay) / width)  # later by less than the delay
-    rows = written(rows.withColumn("arrival", arrival), "stream-arrivals")
+    name, schema = scratch(spark, "stream-blocks"), rows.schema
+    arrivals = scratch(spark, "stream-arrivals")
+    rows.withColumn("arrival", arrival).where("arrival is not null").write.partitionBy("arrival").parquet(arrivals)
+    rows = spark.read.schema(StructType(schema.fields).add("arrival", "long")).parquet(arrivals)
+    sizes = {n: k for n, k in rows.groupBy("arrival").count().collect()}  # a run a month, however many events
     last = rows.agg(F.max("ts").alias("ts")).select(F.lit(end).alias("video_id"), F.lit("").alias("frame_id"), (F.col("ts") + F.make_dt_interval(F.lit(60))).alias("ts"), F.lit(0.0).alias("time"), F.lit(0.0).alias("end"), F.lit("").alias("text"), F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"))
-    name, own = scratch(spark, "stream-blocks"), session_with_store(spark)
-    schema = rows.drop("arrival").schema
-    runs = [rows.where(F.col("arrival") == n).drop("arrival") for (n,) in sorted(rows.where("arrival is not null").select("arrival").distinct().collect())]  # a run a month, however many events
-    for part in [*runs, last.where("ts is not null").select(*schema.names)]:
-        part.write.mode("append").parquet(f"{name}/source")
+    cores, total = spark.sparkContext.defaultParallelism, sum(sizes.values())
+    stores = max(cores, -(-total // STORE_ROWS))
+    own, lanes = session_with_store(spark, stores), max(4 * stores, -(-total // LANE_ROWS))
+    for n in [*sorted(sizes), None]:
+        own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(n is None).lower())
+        part = last.where("ts is not null") if n is None else rows.where(F.col("arrival") == n)
+        part.select(*schema.names).write.mode("append").parquet(f"{name}/source")
         stream = own.readStream.schema(schema).parquet(f"{name}/source")
-        blocks = sessions.content_sessions(stream, f"{delay + 60} seconds", DAY_HALF, script=LATIN, keep=1e9, slot=float(delay))
+        blocks = sessions.content_sessions(stream, f"{delay + 60} seconds", DAY_HALF, script=LATIN, keep=1e9, slot=float(delay), lanes=lanes)
         blocks.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(f"{BLOCKS}, readings int").parquet(f"{name}/out").where(F.col("video_id") != end)
     return _rounded(settled(out, "stream-blocks-out", mark))

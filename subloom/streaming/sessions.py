@@ -70,7 +70,7 @@ class _Sessions(OrderedFold):
 
 
 def content_sessions(
-    readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC, keep: float = 3600.0, slot: float = 10.0
+    readings: DataFrame, delay: str = "10 seconds", max_gap: float = 1.2, similarity: float = 0.86, min_duration: float = 0.7, script: Script = CYRILLIC, keep: float = 3600.0, slot: float = 10.0, lanes: int | None = None
 ) -> DataFrame:
     """The batch fold's blocks from a stream (X2). Needs ``ts`` (event time) beside a reading's columns, and the RocksDB state store.
 
@@ -79,10 +79,11 @@ def content_sessions(
     order.  A block closes when a reading that is past the watermark doesn't join
     it, or when the watermark has passed its end by the gap.  A video that has
     been silent for ``keep`` seconds of event time leaves the store; should it
-    come again, its blocks are counted anew.
+    come again, its blocks are counted anew.  Many videos may share ``lanes`` of
+    the store (see ``folded``); blocks are the same.
     """
     ready = prepared(readings, script).select("video_id", "ts", "time", "frame_id", *[c for c in _FIELDS if c != "time"])
-    return folded(ready, _Sessions(max_gap, similarity, min_duration, slot, keep), f"{BLOCKS}, readings int", delay)
+    return folded(ready, _Sessions(max_gap, similarity, min_duration, slot, keep), f"{BLOCKS}, readings int", delay, lanes)
 
 
 class _Gated(OrderedFold):
@@ -121,14 +122,14 @@ class _Gated(OrderedFold):
         return (*held[:5], None, None, None, 0.0), [tuple(held[5:8])]
 
 
-def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, keep: float = 3600.0, slot: float = 10.0, **options) -> DataFrame:
+def gated_frames(frames: DataFrame, delay: str = "10 seconds", rate: float = 0.75, keep: float = 3600.0, slot: float = 10.0, lanes: int | None = None, **options) -> DataFrame:
     """Frames to read, from a stream, each with its end once that is final (X3). Needs ``ts`` beside the batch gate's columns, and the RocksDB state store.
 
     A row is given out when the next one is emitted or text has gone, so its end
     no longer changes; the last of a stream is given out after ``keep`` seconds of
     event time without another.  A video that has then been silent for as long
-    again leaves the store.
+    again leaves the store.  ``lanes`` is as in ``content_sessions``.
     """
     kinds = {"mask": "array<boolean>", "small": "array<double>"}
     ready = frames.select("video_id", "ts", "time", "frame_id", "detected", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
-    return folded(ready, _Gated(rate, options, slot, keep), "video_id string, frame_id string, time double, end_time double", delay)
+    return folded(ready, _Gated(rate, options, slot, keep), "video_id string, frame_id string, time double, end_time double", delay, lanes)
