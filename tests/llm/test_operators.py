@@ -430,6 +430,28 @@ def test_class_repeats_in_small_parts(monkeypatch):
         assert (again[0] == leaf).all() and (again[1] == inner).all()
 
 
+def test_classes_that_share_a_gram_by_chance_are_not_sorted(monkeypatch):
+    draw, seen, scan = random.Random(6), [], suffix_dedup.maximal_repeats
+    monkeypatch.setattr(suffix_dedup, "maximal_repeats", lambda suffixes, *rest: seen.append(len(suffixes)) or scan(suffixes, *rest))
+    gram, around = b"the same of both", lambda n: bytes(draw.randrange(256) for _ in range(n))
+    classes = [(around(34) + gram + around(34), 34) for _ in range(50)]
+    leaf, inner = suffix_dedup.class_repeats(classes, list(range(50)), [1] * 50)
+    assert not leaf.any() and not len(inner) and sum(seen) == 0
+
+
+@pytest.mark.parametrize("before", range(35))
+@pytest.mark.parametrize("more", [0, 1, 5])
+def test_a_window_with_its_gram_at_any_place_repeats(before, more):
+    draw = random.Random(before)
+    gram, around = b"the same of both", lambda n: bytes(draw.randrange(256) for _ in range(n))
+    shared = around(before) + gram + around(34 - before + more)
+    begin = [34 - before, max(0, 20 - before)]  # their strings begin at different places
+    classes = [(around(n) + shared + around(max(0, before - more)), n + before) for n in begin] + [(around(34) + gram + around(34), 34)]
+    leaf, inner = suffix_dedup.class_repeats(classes, [7, 3, 1], [1, 2, 1])
+    assert leaf.tolist() == [False, True, False]
+    assert inner.tolist() == [[0, begin[0], begin[0] + len(shared)]]
+
+
 def test_maximal_repeats_by_brute_force():
     draw = random.Random(4)
     text = bytes(draw.choice(b"ab") for _ in range(120))
