@@ -1,10 +1,12 @@
 """Hard-negative mining by a two-dimensional block matrix product.
 
 Rows and dimensions are cut into blocks.  A panel of anchors and a block of rows
-meet for each chunk of dimensions, their products are partial tiles of int64
-scores, partial tiles are shuffled by their place and added, and what is asked
-for is reduced inside each whole tile: the best positives first, then the best
-negatives in the window that each positive sets.
+meet at their place in the grid with all chunks of dimensions.  The chunks'
+products are partial tiles of scores, which are added where they are made, and
+what is asked for is reduced inside each whole tile: the best positives first,
+then, with the tiles made again, the best negatives in the window that each
+positive sets.  So rows and anchors are moved, and never a score that isn't
+among the best of its tile.
 """
 
 from __future__ import annotations
@@ -19,18 +21,25 @@ from pyspark.sql import functions as F
 
 from .common import drop_intermediates, intermediates, materialise, plain
 
-#: Rows of a block, anchors of a panel, anchors of a tile: a tile of int64 scores has at most 1 MB.
-ROWS, PANEL, STRIPE = 4_096, 1_024, 32
+#: Rows of a block, anchors of a panel, anchors of a tile: a tile of int64 scores has at most 8 MB.
+ROWS, PANEL, STRIPE = 32_768, 16_384, 32
+#: Bytes of a block or panel as 64-bit numbers; those of very many dimensions have fewer rows.
+BYTES = 16 << 20
+#: Rows of a block at least, where there are fewer blocks than tasks that run together.
+FEWEST = 2_048
 #: Chunks that the dimensions are cut into.
 CHUNKS = 2
 #: Tasks that rows are dealt to at most; beyond it a task cuts several blocks.
 TASKS = 10_000
-#: Anchors' positives are sent to every task up to so many bytes, and joined by the tiles' places beyond.
+#: Anchors' positives are sent to every task that joins them to their anchors up to so many bytes, and shuffled beyond.
 SENT = 8 << 20
 
 _BLOCK = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("seq", pa.int64()), ("chunk", pa.int32()), ("rows", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("places", pa.binary()), ("data", pa.binary())])
 BLOCK = "kind string, part int, seq bigint, chunk int, rows int, ids binary, labels binary, places binary, data binary"
-TILE = "panel bigint, stripe int, block bigint, anchor_ids binary, anchor_labels binary, ids binary, labels binary, own binary, tile binary"
+PIECE = ["part", "seq"]
+BEST = "part int, seq bigint, a int, anchor_id bigint, id bigint, score bigint"
+RESULT = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
+FOUND = "part int, seq bigint, a int, k int, negative_id bigint, negative_score bigint"
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
@@ -52,22 +61,42 @@ def _narrow(x: np.ndarray) -> tuple[bytes, bytes]:
     return bytes([8]) + x.tobytes()
 
 
-def _wide(data: bytes, rows: int) -> np.ndarray:
+def _read(data: bytes, rows: int) -> np.ndarray:
     kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[data[0]]
-    return np.frombuffer(data, kind, offset=1).reshape(rows, -1).astype(np.int64)
+    return np.frombuffer(data, kind, offset=1).reshape(rows, -1)
+
+
+def _kind(a: list[np.ndarray], b: list[np.ndarray]) -> type:
+    """The type in which the sum of all chunks' products is exact: floats for small numbers, else int64."""
+    most = [max((max(-float(x.min()), float(x.max())) for x in side if x.size), default=0.0) for side in (a, b)]
+    bound = most[0] * most[1] * sum(x.shape[1] for x in a)
+    return np.float32 if bound < 2.0**24 else np.float64 if bound < 2.0**53 else np.int64
+
+
+def scores(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """A tile: the sum of the partial tiles of the chunks, of numbers that ``_kind`` has chosen; int64 sums wrap."""
+    total = a[0] @ b[0].T
+    for x, y in zip(a[1:], b[1:], strict=True):
+        total += x @ y.T
+    return total
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times the transpose of b, in int64: through doubles where every sum is exact in them; sums beyond 64 bits wrap."""
-    x, y = a.astype(np.float64), b.astype(np.float64)
-    if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * a.shape[1] < 2.0**53:
-        return (x @ y.T).astype(np.int64)
-    return a @ b.T
+    """a times the transpose of b, in int64: through floats where every sum is exact in them; sums beyond 64 bits wrap."""
+    kind = _kind([a], [b])
+    return scores([a.astype(kind)], [b.astype(kind)]).astype(np.int64)
+
+
+def _sizes(dims: int) -> tuple[int, int]:
+    """Rows of a block and anchors of a panel at most."""
+    widest = max(1, BYTES // (8 * max(1, dims)))
+    return min(ROWS, widest), min(PANEL, widest)
 
 
 def _blocks(rows: DataFrame, count: int, dims: int, chunks: int, every: Column) -> DataFrame:
     """Blocks of rows and panels of anchors, a row for each chunk of dimensions; ``place`` tells a row from all others."""
     width = max(1, -(-dims // chunks))
+    size, panel = _sizes(dims)
 
     def cut(kind: str, seq: int, ids: np.ndarray, labels: np.ndarray, places: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         for chunk in range(chunks):
@@ -78,7 +107,7 @@ def _blocks(rows: DataFrame, count: int, dims: int, chunks: int, every: Column)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"row": [], "anchor": []}
         made = {"row": 0, "anchor": 0}
-        most = {"row": ROWS, "anchor": PANEL}
+        most = {"row": size, "anchor": panel}
 
         def flush(kind: str) -> Iterator[pa.RecordBatch]:
             parts, held[kind] = held[kind], []
@@ -88,8 +117,8 @@ def _blocks(rows: DataFrame, count: int, dims: int, chunks: int, every: Column)
                 made[kind] += 1
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, PANEL):
-                part = batch.slice(lo, PANEL)
+            for lo in range(0, batch.num_rows, min(panel, 1024)):
+                part = batch.slice(lo, min(panel, 1024))
                 vectors = part.column("v")
                 lengths = np.diff(vectors.offsets.to_numpy())
                 data = np.zeros((part.num_rows, max(1, dims)), np.int64)
@@ -107,89 +136,151 @@ def _blocks(rows: DataFrame, count: int, dims: int, chunks: int, every: Column)
         for kind in held:
             yield from flush(kind)
 
-    dealt = rows.withColumn("anchor", F.coalesce(every, F.lit(False))).repartition(int(min(TASKS, max(1, -(-count // ROWS)))))
+    together = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = min(TASKS, max(1, -(-count // size), min(together, -(-count // FEWEST))))
+    dealt = rows.withColumn("anchor", F.coalesce(every, F.lit(False))).repartition(int(tasks))
     placed = dealt.select("vec_id", "label", "anchor", "v", F.monotonically_increasing_id().alias("place"))
     return materialise(placed.mapInArrow(run, BLOCK), "negatives-blocks")
 
 
-def _tiles(blocks: DataFrame, chunks: int) -> DataFrame:
-    """Whole tiles of scores: partial products of each chunk, shuffled by their place and added."""
-
-    counts = {kind: {} for kind in ("anchor", "row")}
-    for r in blocks.groupBy("kind", "part").agg(F.max("seq").alias("last")).collect():  # two rows a task at most
-        counts[r.kind][r.part] = r["last"] + 1
-    if not counts["anchor"]:
-        return blocks.sparkSession.createDataFrame([], TILE)
-    n_panels, n_rows = (sum(counts[kind].values()) for kind in ("anchor", "row"))
-
-    def numbered(kind: str) -> DataFrame:
-        """Blocks of a kind, numbered from 0 without gaps."""
-        at, firsts = 0, []
-        for part, n in sorted(counts[kind].items()):
-            firsts.append((part, at))
-            at += n
-        table = blocks.sparkSession.createDataFrame(firsts, "part int, first bigint")
-        return blocks.where(F.col("kind") == kind).join(F.broadcast(table), "part").withColumn("at", F.col("first") + F.col("seq"))
-
-    panels, rows = numbered("anchor"), numbered("row")
-    # each panel goes along a row of the grid, each block of rows down a column: a place of the grid and a chunk is one product
-    left = panels.select(F.col("at").alias("panel"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"), "chunk", F.col("rows").alias("a_rows"), F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("places").alias("a_places"), F.col("data").alias("a"))
-    right = rows.select(F.col("at").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_panels - 1).cast("long"))).alias("panel"), "chunk", F.col("rows").alias("b_rows"), "ids", "labels", "places", F.col("data").alias("b"))
-    met = left.join(right, ["panel", "block", "chunk"])
-    out = pa.schema([("panel", pa.int64()), ("stripe", pa.int32()), ("block", pa.int64()), ("anchor_ids", pa.binary()), ("anchor_labels", pa.binary()), ("ids", pa.binary()), ("labels", pa.binary()), ("own", pa.binary()), ("tile", pa.binary())])
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                a, b = _wide(r["a"], r["a_rows"]), _wide(r["b"], r["b_rows"])
-                a_places, places = np.frombuffer(r["a_places"], np.int64), np.frombuffer(r["places"], np.int64)
-                order = np.argsort(places)
-                at = np.minimum(np.searchsorted(places, a_places, sorter=order), len(places) - 1)
-                own = np.where(places[order[at]] == a_places, order[at], -1).astype(np.int32)  # where in the block an anchor's own row is
-                for stripe, lo in enumerate(range(0, len(a), STRIPE)):
-                    hi = min(lo + STRIPE, len(a))
-                    columns = [[r["panel"]], [stripe], [r["block"]], [r["a_ids"][8 * lo : 8 * hi]], [r["a_labels"][8 * lo : 8 * hi]], [r["ids"]], [r["labels"]], [own[lo:hi].tobytes()], [product(a[lo:hi], b).tobytes()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("tile"):
-            part = np.frombuffer(x.as_buffer(), np.int64)
-            total = part.copy() if total is None else total + part
-        kept = table.slice(0, 1)
-        return kept.set_column(kept.column_names.index("tile"), "tile", pa.array([total.tobytes()], pa.binary())).select(out.names).cast(out)
-
-    partial = met.mapInArrow(multiply, TILE)
-    return partial.groupBy("panel", "stripe", "block").applyInArrow(add, TILE)
-
-
-class _Tile:
-    """A tile's arrays; rows are in order of id."""
-
-    def __init__(self, r: dict):
-        self.anchors, self.anchor_labels = np.frombuffer(r["anchor_ids"], np.int64), np.frombuffer(r["anchor_labels"], np.int64)
-        self.ids, self.labels, self.own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64), np.frombuffer(r["own"], np.int32)
-        self.scores = np.frombuffer(r["tile"], np.int64).reshape(len(self.anchors), -1)
-
-    def best(self, a: int, among: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` best of some places: higher scores first, then smaller ids, which is smaller places."""
-        s = self.scores[a][among]
-        if len(among) > n:
-            keep = s >= np.partition(s, -n)[-n]
-            among, s = among[keep], s[keep]
-        return among[np.argsort(-s.astype(np.float64) if np.abs(s).max(initial=0) < 2**53 else np.array([-int(v) for v in s], object), kind="stable")][:n]
-
-    def positives(self, n: int) -> Iterator[tuple[int, int, int]]:
-        for a, label in enumerate(self.anchor_labels):
-            same = np.flatnonzero(self.labels == label)
-            for i in self.best(a, same[same != self.own[a]], n):
-                yield a, int(self.ids[i]), int(self.scores[a, i])
-
-    def negatives(self, a: int, least: int, most: int, n: int) -> Iterator[tuple[int, int]]:
-        s = self.scores[a]
-        for i in self.best(a, np.flatnonzero((s >= least) & (s <= most) & (self.labels != self.anchor_labels[a])), n):
-            yield int(self.ids[i]), int(s[i])
+class _Part:
+    """A block of rows, or a piece of a panel, with all its chunks; rows are in order of id."""
+
+    def __init__(self, chunks: list[dict]):
+        chunks.sort(key=lambda r: r["chunk"])
+        r = chunks[0]
+        self.key = (r["part"], r["seq"])
+        self.ids, self.labels, self.places = (np.frombuffer(r[c], np.int64) for c in ("ids", "labels", "places"))
+        self.data = [_read(x["data"], x["rows"]) for x in chunks]
+        self.asked = r.get("asked")
+
+
+def _parts(table: pa.Table) -> list[_Part]:
+    found: dict[tuple, list[dict]] = {}
+    for batch in table.to_batches():
+        for r in batch.to_pylist():
+            found.setdefault((r["part"], r["seq"]), []).append(r)
+    return [_Part(found[key]) for key in sorted(found)]
+
+
+class Grid:
+    """Panels of anchors against blocks of rows."""
+
+    def __init__(self, blocks: DataFrame, panel: int):
+        # for each task how many rows it has of a kind, and blocks
+        had = sorted(blocks.where("chunk = 0").groupBy("kind", "part").agg(F.max("seq").alias("last"), F.sum("rows").alias("rows")).collect())
+        self.anchors, self.blocks = 0, 0
+        before, firsts = [], []
+        for r in had:
+            if r.kind == "anchor":
+                before.append((r.part, self.anchors))
+                self.anchors += r["rows"]
+            else:
+                firsts.append((r.part, self.blocks))
+                self.blocks += r["last"] + 1
+        self.panels = -(-self.anchors // panel)
+        spark = blocks.sparkSession
+        of = lambda kind, table, name: blocks.where(F.col("kind") == kind).drop("kind").join(F.broadcast(spark.createDataFrame(table, f"part int, {name} bigint")), "part")
+        # the tasks' pieces of anchors, of which all but the last of a task are full, are put together to panels
+        self.left = of("anchor", before, "before").withColumn("panel", F.expr(f"(before + seq * {panel}L) div {panel}L")).drop("before")
+        right = of("row", firsts, "first").withColumn("block", F.col("first") + F.col("seq")).drop("first")
+        self.right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides are of one table: columns of their own
+
+    def meet(self, left: DataFrame, work, ddl: str) -> DataFrame:
+        """What ``work`` makes of each piece of a panel and each block, with all chunks; a task has one panel and one block at a time."""
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        # each panel goes along a row of the grid, each block of rows down a column
+        sides = [left.withColumn("block", spread(self.blocks)), self.right.withColumn("panel", spread(self.panels))]
+        n = int(min(TASKS, 2 * self.panels * self.blocks))  # places are told apart by hash
+        sides = [x.repartition(n, "panel", "block").groupBy("panel", "block") for x in sides]
+        schema = pa.schema([(name, {"int": pa.int32(), "bigint": pa.int64()}[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+        def run(anchors: pa.Table, rows: pa.Table) -> pa.Table:
+            out = [c for b in _parts(rows) for a in _parts(anchors) for c in work(a, b)]
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[] for _ in schema]
+            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        return sides[0].cogroup(sides[1]).applyInArrow(run, ddl)
+
+
+def best(s: np.ndarray, among: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` best of some places: higher scores first, then smaller ids, which is smaller places."""
+    s = s[among]
+    if len(among) > n:
+        keep = s >= np.partition(s, -n)[-n]
+        among, s = among[keep], s[keep]
+    return among[np.argsort(-s.astype(np.float64) if np.abs(s).max(initial=0) < 2**53 else np.array([-int(v) for v in s], object), kind="stable")][:n]
+
+
+def _rows_of(key: tuple, columns: list[list]) -> list[tuple]:
+    """Columns of one piece's results as arrays, its key first."""
+    size = len(columns[0])
+    return [(*(np.full(size, x) for x in key), *(np.array(c, np.int64) for c in columns))] if size else []
+
+
+def _positives(n: int):
+    """Of each anchor's rows of its own label the ``n`` best, without its own."""
+
+    def work(a: _Part, b: _Part) -> list[tuple]:
+        kind = _kind(a.data, b.data)
+        by_label, anchors = np.argsort(b.labels, kind="stable"), np.argsort(a.labels, kind="stable")  # ties by label stay in order of id
+        labels = b.labels[by_label]
+        order = np.argsort(b.places)
+        at = np.minimum(np.searchsorted(b.places, a.places, sorter=order), len(order) - 1)
+        own = np.where(b.places[order[at]] == a.places, order[at], -1)  # where in the block an anchor's own row is
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(a.labels[anchors]) != 0, [True])))
+        out: list[list] = [[] for _ in range(4)]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            label = a.labels[anchors[lo]]
+            same = by_label[np.searchsorted(labels, label) : np.searchsorted(labels, label, "right")]
+            if not len(same):
+                continue
+            rows = [x[same].astype(kind) for x in b.data]
+            for first in range(lo, hi, STRIPE):
+                stripe = anchors[first : min(first + STRIPE, hi)]
+                tile = scores([x[stripe].astype(kind) for x in a.data], rows)
+                for i, s in zip(stripe.tolist(), tile, strict=True):
+                    found = best(s, np.flatnonzero(same != own[i]), n)
+                    for c, x in zip(out, ([i] * len(found), [int(a.ids[i])] * len(found), b.ids[same[found]].tolist(), s[found].astype(np.int64).tolist()), strict=True):
+                        c += x
+        return _rows_of(a.key, out)
+
+    return work
+
+
+def _negatives(n: int, window: tuple[int, int]):
+    """For each anchor and each of its positives the ``n`` best rows of other labels in the positive's window."""
+
+    def work(a: _Part, b: _Part) -> list[tuple]:
+        kind = _kind(a.data, b.data)
+        asked: dict[int, list[tuple[int, int, int]]] = {}
+        for x in a.asked:
+            asked.setdefault(x["a"], []).append((x["k"], *bounds(x["score"], window)))
+        anchors = np.array(sorted(asked), np.int64)
+        rows = [x.astype(kind) for x in b.data]
+        out: list[list] = [[] for _ in range(4)]
+        for first in range(0, len(anchors), STRIPE):
+            stripe = anchors[first : first + STRIPE]
+            tile = scores([x[stripe].astype(kind) for x in a.data], rows)
+            # a bound that the type rounds is beyond all of the tile's scores
+            least = np.array([min(x[1] for x in asked[i]) for i in stripe.tolist()]).astype(kind)
+            most = np.array([max(x[2] for x in asked[i]) for i in stripe.tolist()]).astype(kind)
+            line, places = np.nonzero((tile >= least[:, None]) & (tile <= most[:, None]))
+            other = b.labels[places] != a.labels[stripe[line]]
+            line, places = line[other], places[other]
+            edge = np.searchsorted(line, np.arange(len(stripe) + 1)).tolist()
+            for at, (i, s) in enumerate(zip(stripe.tolist(), tile, strict=True)):
+                if edge[at] == edge[at + 1]:
+                    continue
+                among = places[edge[at] : edge[at + 1]]
+                near = s[among]
+                for k, lo, hi in asked[i]:
+                    found = best(s, among[(near >= kind(lo)) & (near <= kind(hi))], n)
+                    for c, x in zip(out, ([i] * len(found), [k] * len(found), b.ids[found].tolist(), s[found].astype(np.int64).tolist()), strict=True):
+                        c += x
+        return _rows_of(a.key, out)
+
+    return work
 
 
 def bounds(score: int, window: tuple[int, int]) -> tuple[int, int]:
@@ -206,9 +297,10 @@ def hard_negatives(vectors: DataFrame, every: Column, positives: int = 5, negati
     at least ``window[0]`` and at most ``window[1]`` hundredths of its own; higher
     scores come first, then smaller ids.
 
-    The tiles are written once; positives are the best of all tiles' best, are
-    sent to the tasks where they are small (``SENT``) and joined by the tiles'
-    places where not, and the tiles are read again for the negatives.
+    Tiles are made twice, for the positives and then for the negatives, and are
+    never written: what is moved is rows once for each panel of anchors, anchors
+    once for each block of rows, and the best of each block.  Positives go with
+    their anchors, sent to the tasks where they are small (``SENT``).
 
     Defined results: rows without an id take no part; rows that repeat are rows
     each, also as anchors, and a row is never its own positive; shorter vectors
@@ -221,43 +313,19 @@ def hard_negatives(vectors: DataFrame, every: Column, positives: int = 5, negati
     whole_numbers = F.transform("v", lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), whole_numbers.alias("v"))
     count, dims, anchors = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(F.coalesce(every, F.lit(False)))).first()
-    place = ["panel", "stripe", "block"]
-    tiles = _tiles(_blocks(rows, count, dims, chunks, every), chunks)
-
-    best_schema = f"{TILE}, best array<struct<a: int, id: bigint, score: bigint>>"
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("id", pa.int64()), ("score", pa.int64())]))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                found = [{"a": a, "id": x, "score": s} for a, x, s in _Tile(one.to_pylist()[0]).positives(positives)]
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([found], kind)], names=[*one.schema.names, "best"])
-
-    whole = materialise(tiles.mapInArrow(first, best_schema), "negatives-tiles")
-    w = Window.partitionBy("panel", "stripe", "a").orderBy(F.desc("score"), "id")
-    each = whole.select("panel", "stripe", F.inline("best")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= positives)
-    asked = each.groupBy("panel", "stripe").agg(F.array_sort(F.collect_list(F.struct("a", "k", "id", "score"))).alias("asked"))  # at most STRIPE times the positives
-    asked = materialise(asked, "negatives-asked")
-    if anchors * positives * 40 <= SENT:
-        met = whole.drop("best").join(F.broadcast(asked), ["panel", "stripe"])
-    else:
-        met = whole.drop("best").join(whole.select(*place).join(asked, ["panel", "stripe"]), place)
-
-    kinds = pa.schema([("panel", pa.int64()), ("stripe", pa.int32()), ("a", pa.int32()), ("k", pa.int32()), ("anchor_id", pa.int64()), ("positive_id", pa.int64()), ("positive_score", pa.int64()), ("negative_id", pa.int64()), ("negative_score", pa.int64())])
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                tile = _Tile(r)
-                out = [(r["panel"], r["stripe"], x["a"], x["k"], int(tile.anchors[x["a"]]), x["id"], x["score"], *n) for x in r["asked"] for n in tile.negatives(x["a"], *bounds(x["score"], window), negatives)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
-
-    found = met.mapInArrow(second, "panel bigint, stripe int, a int, k int, anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
-    w = Window.partitionBy("panel", "stripe", "a", "k").orderBy(F.desc("negative_score"), "negative_id")
+    grid = Grid(_blocks(rows, count, dims, chunks, every), _sizes(dims)[1])
+    if not grid.anchors:
+        drop_intermediates(spark, mark)
+        return spark.createDataFrame([], RESULT)
+    w = Window.partitionBy(*PIECE, "a").orderBy(F.desc("score"), "id")
+    each = grid.meet(grid.left, _positives(positives), BEST).withColumn("k", F.row_number().over(w)).where(F.col("k") <= positives)
+    each = materialise(each, "negatives-positives")
+    asked = each.groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("a", "k", "score"))).alias("asked"))  # at most a panel's anchors times the positives
+    left = grid.left.join(F.broadcast(asked) if anchors * positives * 40 <= SENT else asked, PIECE)
+    found = grid.meet(left, _negatives(negatives, window), FOUND)
+    w = Window.partitionBy(*PIECE, "a", "k").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
+    ranked = ranked.join(each.withColumnsRenamed({"id": "positive_id", "score": "positive_score"}), [*PIECE, "a", "k"])
     out = materialise(ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives", keep=True)
     drop_intermediates(spark, mark)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -77,6 +78,36 @@ def test_chunks_of_dimensions_add_up(spark, chunks):
     assert got(negatives.hard_negatives(data, F.col("vec_id") % 50 == 0, chunks=chunks)) == brute(some)
 
 
+def test_scores_are_not_written(spark, monkeypatch):
+    """A thousand anchors: what is written grows with rows and with the best, not with all scores."""
+    some = [(50 * i, v, label) for i, v, label in rows(7, 1000)]
+    written, write = {}, negatives.materialise
+
+    def noted(df, name, **how):
+        out = write(df, name, **how)
+        written[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(negatives, "materialise", noted)
+    assert got(negatives.mined(table(spark, some))) == brute(some)
+    assert written and sum(written.values()) < 1_000_000
+
+
+@pytest.mark.parametrize("most", [2**11, 2**24, 2**30])
+def test_scores_of_any_size(spark, most):
+    """Sums that single and double floats hold, and those that neither does."""
+    draw = random.Random(most)
+    table_ = [(i, draw.randrange(3), [draw.randrange(-most // 9, most) for _ in range(3)]) for i in range(120)]
+    data = spark.createDataFrame(table_, "vec_id long, label int, v array<long>").repartition(3)
+    want = Counter()
+    for a, la, va in table_[::5]:
+        scored = [(-sum(x * y for x, y in zip(va, vb, strict=True)), b, lb) for b, lb, vb in table_ if b != a]
+        for ps, p, _ in sorted(x for x in scored if x[2] == la)[:5]:
+            fit = sorted(x for x in scored if x[2] != la and -50 * ps <= -100 * x[0] <= -95 * ps)[:3]
+            want.update((a, p, rank, n, -ps, -ns) for rank, (ns, n, _) in enumerate(fit, 1))
+    assert got(negatives.hard_negatives(data, F.col("vec_id") % 5 == 0)) == want and len(want) > 100
+
+
 def test_large_numbers_are_exact():
     draw = np.random.default_rng(4)
     a, b = draw.integers(-(2**28), 2**28, (5, 7)), draw.integers(-(2**28), 2**28, (6, 7))
